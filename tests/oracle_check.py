@@ -103,7 +103,8 @@ if __name__ == "__main__":
     from txsentinel.session import get_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or None
-    spark = get_session("local[8]", shuffle_partitions=8)
+    spark = get_session("local[8]", shuffle_partitions=8,
+                        extra_conf={"spark.driver.memory": "6g"})
     r = check(spark, sf, names)
     bad = {k: v for k, v in r.items() if v[0] not in ("OK", "ROWS_ONLY")}
     print("SUMMARY", len(r), "queries;", len(bad), "bad:", sorted(bad))

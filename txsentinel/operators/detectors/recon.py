@@ -34,6 +34,7 @@ from txsentinel.operators.detectors.base import (
     score_frame,
 )
 from txsentinel.operators.ordered import exact_quantiles
+from txsentinel.functions.scalars import vector_mse
 from txsentinel.operators.scaling import Scaler, assemble
 from txsentinel.schema import FEATURES
 
@@ -62,36 +63,30 @@ class PCAReconstructionDetector:
         return self
 
     def _project(self, scaled: DataFrame) -> DataFrame:
-        """Add the k component scores _pc0.._pc{k-1} (one projection step)."""
+        """Add ``_x`` (features as array) and ``_pc`` (the k component scores).
+
+        Array higher-order functions keep the expression O(d*k) in size no
+        matter how the optimizer inlines the projection.
+        """
         P, d = self.components, len(self.features)
-        comps = []
-        for j in range(self.k):
-            acc = None
-            for i in range(d):
-                term = F.col(self.features[i]) * F.lit(float(P[i][j]))
-                acc = term if acc is None else acc + term
-            comps.append(acc.alias(f"_pc{j}"))
-        return scaled.select("*", *comps)
+        cols_of_p = F.array(*[F.array(*[F.lit(float(P[i][j])) for i in range(d)])
+                              for j in range(self.k)])
+        x = feature_array(self.features)
+        with_x = scaled.withColumn("_x", x)
+        pc = F.transform(cols_of_p, lambda col: F.aggregate(
+            F.zip_with(F.col("_x"), col, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
+        return with_x.withColumn("_pc", pc)
 
     def _errors(self, scaled: DataFrame) -> DataFrame:
-        """Mean squared error between x and its reconstruction P P^T x.
-
-        The component scores are computed in their own projection first, so
-        each reconstruction term reads a column instead of re-expanding the
-        projection (keeps the generated code small).
-        """
+        """Mean squared error between x and its reconstruction P P^T x."""
         P, d = self.components, len(self.features)
+        rows_of_p = F.array(*[F.array(*[F.lit(float(P[i][j])) for j in range(self.k)])
+                              for i in range(d)])
         proj = self._project(scaled)
-        err = None
-        for i in range(d):
-            rec = None
-            for j in range(self.k):
-                term = F.col(f"_pc{j}") * F.lit(float(P[i][j]))
-                rec = term if rec is None else rec + term
-            diff = F.col(self.features[i]) - rec
-            err = diff * diff if err is None else err + diff * diff
+        rec = F.transform(rows_of_p, lambda row: F.aggregate(
+            F.zip_with(F.col("_pc"), row, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
         keep = [c for c in ("tx_id", "is_fraud") if c in scaled.columns]
-        return proj.select(*keep, (err / F.lit(float(d))).alias("err"))
+        return proj.select(*keep, vector_mse(F.col("_x"), rec).alias("err"))
 
     def score(self, df: DataFrame) -> DataFrame:
         if self.components is None:
@@ -103,7 +98,7 @@ class PCAReconstructionDetector:
     def latent(self, df: DataFrame) -> DataFrame:
         """M8b analogue: the k principal-component scores as array<double>."""
         proj = self._project(prepared(df, self.scaler, None))
-        return proj.select("tx_id", F.array(*[F.col(f"_pc{j}") for j in range(self.k)]).alias("latent"))
+        return proj.select("tx_id", F.col("_pc").alias("latent"))
 
     def save(self, path: str) -> None:
         save_scaler(path, self.scaler)

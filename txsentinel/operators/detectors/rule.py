@@ -32,3 +32,34 @@ def all_rule_scores(features: DataFrame, rules=None) -> DataFrame:
         s = rule_scores(features, name, col, thr)
         out = s if out is None else out.unionByName(s)
     return out
+
+
+class RuleDetector:
+    """M12 as a detector object (same interface as the trained ones)."""
+
+    def __init__(self, name: str = "zscore_rule", column: str = "amount_zscore",
+                 threshold: float = 3.0):
+        self.name, self.column, self.threshold = name, column, threshold
+
+    def fit(self, _train: DataFrame) -> "RuleDetector":
+        return self
+
+    def score(self, df: DataFrame) -> DataFrame:
+        label = "is_fraud" if "is_fraud" in df.columns else None
+        if label is None:
+            df = df.withColumn("is_fraud", F.lit(None).cast("int"))
+        return rule_scores(df, self.name, self.column, self.threshold)
+
+    def save(self, path: str) -> None:  # nothing to persist beyond parameters
+        from txsentinel.operators.detectors.base import save_meta
+        save_meta(path, {"name": self.name, "column": self.column, "threshold": self.threshold})
+
+    @classmethod
+    def load(cls, spark, path: str) -> "RuleDetector":
+        from txsentinel.operators.detectors.base import load_meta
+        m = load_meta(spark, path)
+        return cls(m["name"], m["column"], m["threshold"])
+
+
+def default_rule_detectors() -> dict:
+    return {name: RuleDetector(name, col, thr) for name, col, thr in DEFAULT_RULES}

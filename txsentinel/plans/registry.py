@@ -652,3 +652,128 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["QUERIES", "flagship", "rounded", "TX_COLUMNS"]
+
+
+# ------------------------------------------------------ detectors (rows) ---
+def _models():
+    from txsentinel.plans import models as M
+    return M
+
+
+@register("gbt_scores")
+def q_gbt(spark, sf):
+    M = _models()
+    return M.fitted(spark, sf, "gbt").score(M.test_rows(spark, sf))
+
+
+@register("gbt_param_search")
+def q_gbt_search(spark, sf):
+    return _models().search(spark, sf)[1]
+
+
+@register("feature_importances")
+def q_importances(spark, sf):
+    return _models().fitted(spark, sf, "gbt").importances()
+
+
+@register("top_importances")
+def q_top_importances(spark, sf):
+    from txsentinel.operators.detectors.gbt import top_importances
+    return top_importances(_models().fitted(spark, sf, "gbt").importances(), 15)
+
+
+@register("iforest_scores")
+def q_iforest(spark, sf):
+    M = _models()
+    return M.fitted(spark, sf, "isolation_forest").score(M.test_rows(spark, sf))
+
+
+@register("pca_recon_scores")
+def q_pca(spark, sf):
+    M = _models()
+    test = M.test_rows(spark, sf)
+    return (M.fitted(spark, sf, "pca_p95").score(test)
+            .unionByName(M.fitted(spark, sf, "pca_p99").score(test)))
+
+
+@register("autoencoder_scores")
+def q_ae(spark, sf):
+    M = _models()
+    return M.fitted(spark, sf, "autoencoder").score(M.test_rows(spark, sf))
+
+
+@register("latent_representation")
+def q_latent(spark, sf):
+    M = _models()
+    return M.fitted(spark, sf, "autoencoder").latent(M.test_rows(spark, sf))
+
+
+@register("discriminator_scores")
+def q_disc(spark, sf):
+    M = _models()
+    return M.fitted(spark, sf, "discriminator").score(M.test_rows(spark, sf))
+
+
+def _all_scores(spark, sf):
+    from txsentinel.plans.training import score_all
+    M = _models()
+    dets = {n: M.fitted(spark, sf, n) for n in M.ALL_MODELS}
+    return score_all(dets, M.test_rows(spark, sf))
+
+
+@register("model_scores")
+def q_model_scores(spark, sf):
+    return _all_scores(spark, sf)
+
+
+@register("model_tournament")
+def q_model_tournament(spark, sf):
+    return ev.tournament(_all_scores(spark, sf))
+
+
+@register("model_thresholds")
+def q_model_thresholds(spark, sf):
+    return ev.compare_thresholds(ev.optimal_threshold(ev.cumulative_counts(_all_scores(spark, sf))))
+
+
+@register("batch_predictions")
+def q_batch_predictions(spark, sf):
+    """M11 + S13: save every detector, load them back, score JSON records."""
+    from txsentinel.plans.scoring import load_detectors, score_json_records
+    M = _models()
+    base = checkpoint_dir(spark).rstrip("/") + f"/models-{uuid.uuid4().hex}"
+    for n in M.ALL_MODELS:
+        M.fitted(spark, sf, n).save(f"{base}/{n}")
+    dets = load_detectors(spark, base)
+    return score_json_records(js.features_to_json(M.test_rows(spark, sf)), dets)
+
+
+# ------------------------------------------------------------ streaming ---
+@register("online_velocity", Q.chain(*Q.FEAT_CHAIN) + Q.select(
+    ["tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h", "0 AS is_late"], [], "feat"))
+def q_online_velocity(spark, sf):
+    """The velocity features from a file stream replayed in time order."""
+    from txsentinel.schema import TX_SCHEMA
+    from txsentinel.streaming.scoring_stream import run_to_table, write_stream_input
+    from txsentinel.streaming.velocity_state import online_velocity
+    path = write_stream_input(P.labelled(spark, sf), "tx", "timestamp", 4)
+    stream = spark.readStream.schema(TX_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    out = run_to_table(online_velocity(stream), "online_velocity")
+    return out.select("tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h", "is_late")
+
+
+@register("stream_scores", Q.chain(*Q.SCORE_CHAIN) + Q.select(
+    ["tx_id", "model", "label", "prediction"], ["score"], "scores"))
+def q_stream_scores(spark, sf):
+    """JSON feature records of the test split streamed through parsing
+    and the rule detectors; equals the batch rule scores."""
+    from txsentinel.operators.detectors.rule import default_rule_detectors
+    from txsentinel.streaming.scoring_stream import (
+        json_record_stream, run_to_table, score_stream, write_stream_input,
+    )
+    test = P.split(spark, sf).where(F.col("is_train") == 0)
+    path = write_stream_input(js.features_to_json(test), "records", "tx_id", 4)
+    scored = score_stream(json_record_stream(spark, path), default_rule_detectors())
+    out = run_to_table(scored.drop("label"), "stream_scores")
+    labels = test.select("tx_id", F.col("is_fraud").alias("label"))
+    return scs.align_scores(out, labels)
