@@ -74,3 +74,36 @@ def test_purged_kfold_matches_rule(spark):
             elif j < s - 7 or j >= e + 3:
                 expected[(j, i)] = "train"
     assert got == expected
+
+
+@pytest.mark.parametrize("parts", [3, 37, 120])
+def test_ranged_velocity_equals_window(spark, parts):
+    """Skew-safe velocity (hot customer, NULL customer, tiny partitions) equals
+    the plain per-customer window."""
+    import datetime as dt
+    from txsentinel.operators.features import add_velocity_features
+    rnd = random.Random(parts)
+    t0 = dt.datetime(2026, 3, 1)
+    rows = []
+    for i in range(900):
+        c = 5 if i % 3 == 0 else (None if i % 97 == 0 else rnd.randint(1, 12))
+        ts = t0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 20))
+        rows.append((i, c, ts))
+    df = spark.createDataFrame(rows, "tx_id long, customer_id long, timestamp timestamp_ntz")
+    cols = ["tx_id", "gap_seconds", "tx_frequency_1h", "tx_frequency_24h"]
+    a = add_velocity_features(df, keep_gap=True, strategy="ranged", num_partitions=parts)
+    b = add_velocity_features(df, keep_gap=True, strategy="window")
+    assert a.count() == 900
+    assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
+
+
+def test_fallback_row_numbers_split_hot_customer(spark):
+    from txsentinel.operators.features import velocity_fallback
+    rows = [(i, 1 if i % 2 else None) for i in range(50)]
+    df = spark.createDataFrame(rows, "tx_id long, customer_id long")
+    out = {r.tx_id: r for r in velocity_fallback(df, num_partitions=6).collect()}
+    ones = sorted(i for i in range(50) if i % 2)
+    nulls = sorted(i for i in range(50) if not i % 2)
+    for grp in (ones, nulls):
+        for k, i in enumerate(grp):
+            assert out[i].tx_frequency_1h == k % 5 and out[i].tx_frequency_24h == k % 20

@@ -19,10 +19,18 @@ def test_feature_plan_has_no_single_partition_and_no_python(spark):
 
 
 def test_velocity_windows_share_one_exchange(spark):
-    p = plan(add_velocity_features(P.labelled(spark, SF_SMALL)).select("tx_frequency_24h"))
+    lab = P.labelled(spark, SF_SMALL)
+    p = plan(add_velocity_features(lab, strategy="window").select("tx_frequency_24h"))
     assert p.count("Exchange hashpartitioning(customer_id") <= 2  # union side + window
 
 
+def test_ranged_velocity_never_clusters_on_customer_alone(spark):
+    from txsentinel.session import materialize
+    lab = materialize(P.labelled(spark, SF_SMALL), "lab")
+    p = plan(add_velocity_features(lab).select("tx_frequency_24h"))
+    assert "hashpartitioning(customer_id" not in p
+
+
 def test_filter_and_projection_pushed_to_scan(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     df = normal_only(ev.withColumnRenamed("event_id", "is_fraud")).select("value")

@@ -68,43 +68,150 @@ def velocity_window(key: str = "customer_id", ts: str = "timestamp", tie: str =
 
 
 def tx_gap_seconds(df: DataFrame, key: str = "customer_id", ts: str = "timestamp",
-                   tie: str = "tx_id") -> DataFrame:
+                   tie: str = "tx_id", strategy: str = "ranged") -> DataFrame:
     """Seconds since the customer's previous transaction; first -> 9999."""
-    w = velocity_window(key, ts, tie)
+    out = add_velocity_features(df, key, ts, tie, keep_gap=True, strategy=strategy)
+    return out.drop("tx_frequency_1h", "tx_frequency_24h")
+
+
+def _velocity_columns(df: DataFrame, w, ts: str) -> DataFrame:
+    """gap, 1h and 24h row-window sums over window spec ``w`` (ordered)."""
     prev = F.lag(F.col(ts)).over(w)
     gap = F.timestamp_diff("MICROSECOND", prev, F.col(ts)).cast("double") / F.lit(1e6)
-    return df.withColumn("gap_seconds", F.coalesce(gap, F.lit(FIRST_GAP_SECONDS)))
+    with_gap = df.withColumn("gap_seconds", F.coalesce(gap, F.lit(FIRST_GAP_SECONDS)))
+    g = F.col("gap_seconds")
+    f1 = F.when(g < VELOCITY_1H_SECONDS, F.lit(1)).otherwise(F.lit(0))
+    f24 = F.when(g < VELOCITY_24H_SECONDS, F.lit(1)).otherwise(F.lit(0))
+    return with_gap.select(
+        "*",
+        F.sum(f1).over(w.rowsBetween(-(VELOCITY_1H_ROWS - 1), 0)).alias("tx_frequency_1h"),
+        F.sum(f24).over(w.rowsBetween(-(VELOCITY_24H_ROWS - 1), 0)).alias("tx_frequency_24h"),
+    )
 
 
 def add_velocity_features(df: DataFrame, key: str = "customer_id", ts: str = "timestamp",
-                          tie: str = "tx_id", keep_gap: bool = False) -> DataFrame:
+                          tie: str = "tx_id", keep_gap: bool = False,
+                          strategy: str = "ranged", num_partitions: int | None = None
+                          ) -> DataFrame:
     """W2 (and W3 fallback when there is no timestamp column).
 
     tx_frequency_1h  = number of gaps < 3600 s among the last 5 rows,
     tx_frequency_24h = number of gaps < 86400 s among the last 20 rows
     (row windows, not time ranges), ordered by (timestamp, tx_id).
+
+    strategy='window': one Window partitioned by customer (one Exchange +
+    Sort; a customer's rows all go to one task).
+    strategy='ranged' (default): skew-safe, see ``velocity_ranged``.
     """
     if ts not in df.columns:
-        return velocity_fallback(df, key, tie)
-    w = velocity_window(key, ts, tie)
-    with_gap = tx_gap_seconds(df, key, ts, tie)
-    g = F.col("gap_seconds")
-    f1 = F.when(g < VELOCITY_1H_SECONDS, F.lit(1)).otherwise(F.lit(0))
-    f24 = F.when(g < VELOCITY_24H_SECONDS, F.lit(1)).otherwise(F.lit(0))
-    out = with_gap.select(
-        "*",
-        F.sum(f1).over(w.rowsBetween(-(VELOCITY_1H_ROWS - 1), 0)).alias("tx_frequency_1h"),
-        F.sum(f24).over(w.rowsBetween(-(VELOCITY_24H_ROWS - 1), 0)).alias("tx_frequency_24h"),
-    )
+        return velocity_fallback(df, key, tie, num_partitions=num_partitions)
+    if strategy == "ranged":
+        out = velocity_ranged(df, key, ts, tie, num_partitions)
+    else:
+        out = _velocity_columns(df, velocity_window(key, ts, tie), ts)
     return out if keep_gap else out.drop("gap_seconds")
 
 
-def velocity_fallback(df: DataFrame, key: str = "customer_id", order: str = "tx_id") -> DataFrame:
-    """(row_number - 1) % 5 and % 20 per customer in input (tx_id) order."""
-    w = Window.partitionBy(key).orderBy(F.col(order).asc())
-    rn = F.row_number().over(w) - 1
-    return df.select("*", (rn % VELOCITY_1H_ROWS).cast("long").alias("tx_frequency_1h"),
-                     (rn % VELOCITY_24H_ROWS).cast("long").alias("tx_frequency_24h"))
+_NULL_KEY = -(2 ** 63)  # stands in for a NULL customer inside the ranged plan
+
+
+def velocity_ranged(df: DataFrame, key: str = "customer_id", ts: str = "timestamp",
+                    tie: str = "tx_id", num_partitions: int | None = None) -> DataFrame:
+    """Velocity features without putting any customer into a single task.
+
+    1. range-partition on (customer, timestamp, tx_id): a customer with a third
+       of all rows is spread over many partitions; compute the windows per
+       (partition, customer) and materialize (fixes the partition ids);
+    2. only a customer that continues across a partition boundary can be
+       wrong, and only in its first L = 20 rows after the boundary (the
+       windows look back at most 20 rows).  Per-partition first/last
+       customers and boundary segment sizes (O(partitions) rows) locate them;
+    3. recompute just those rows with the L rows before the boundary and
+       patch them in through a broadcast join whose size is bounded by
+       L * partitions rows.
+    """
+    from txsentinel.operators.ordered import PID
+    from txsentinel.session import materialize, shuffle_partitions
+
+    spark = df.sparkSession
+    n = num_partitions or shuffle_partitions(spark)
+    L = max(VELOCITY_1H_ROWS, VELOCITY_24H_ROWS)
+    gk = "_gkey"
+    base = df.withColumn(gk, F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY)))
+    ranged = base.repartitionByRange(n, F.col(gk), F.col(ts), F.col(tie)).withColumn(
+        PID, F.spark_partition_id())
+    w = Window.partitionBy(PID, gk).orderBy(F.col(ts).asc(), F.col(tie).asc())
+    wd = Window.partitionBy(PID, gk).orderBy(F.col(ts).desc(), F.col(tie).desc())
+    pass1 = _velocity_columns(ranged, w, ts).select(
+        "*", F.row_number().over(w).alias("_rn"), F.row_number().over(wd).alias("_rnd"))
+    pass1 = materialize(pass1, "velocity")
+
+    # Per partition: first/last customer and size (one row per partition).
+    info = {r[PID]: r for r in pass1.groupBy(PID).agg(
+        F.min(gk).alias("first"), F.max(gk).alias("last"),
+        F.count(F.lit(1)).alias("n")).collect()}
+    pids = sorted(info)
+    # Boundary segments: (partition, customer) pairs at partition edges.
+    edge_pairs = {(p, info[p]["first"]) for p in pids} | {(p, info[p]["last"]) for p in pids}
+    edges_df = spark.createDataFrame(sorted(edge_pairs), f"{PID} int, {gk} long")
+    seg = {(r[PID], r[gk]): r["cnt"] for r in pass1.join(F.broadcast(edges_df), [PID, gk])
+           .groupBy(PID, gk).agg(F.count(F.lit(1)).alias("cnt")).collect()}
+
+    heads, tails = [], []  # (pid, customer, rn_limit) / (src pid, customer, rnd_limit, target pid)
+    for i, p in enumerate(pids):
+        c = info[p]["first"]
+        if i == 0 or info[pids[i - 1]]["last"] != c:
+            continue  # customer starts in p: its windows are complete
+        heads.append((p, c, L))
+        need = L
+        for q in reversed(pids[:i]):
+            if need <= 0 or info[q]["last"] != c:
+                break
+            take = min(need, seg[(q, c)])
+            tails.append((q, c, take, p))
+            need -= take
+            if info[q]["first"] != c:
+                break
+    if not heads:
+        return pass1.drop(PID, gk, "_rn", "_rnd")
+
+    heads_df = spark.createDataFrame(heads, f"{PID} int, {gk} long, _lim long")
+    tails_df = spark.createDataFrame(tails, f"{PID} int, {gk} long, _lim long, _target int")
+    raw_cols = [c for c in df.columns] + [gk]
+    head_rows = (pass1.join(F.broadcast(heads_df), [PID, gk])
+                 .where(F.col("_rn") <= F.col("_lim"))
+                 .select(*raw_cols, PID, "_rn", F.lit(0).alias("_halo")))
+    tail_rows = (pass1.join(F.broadcast(tails_df), [PID, gk])
+                 .where(F.col("_rnd") <= F.col("_lim"))
+                 .select(*raw_cols, F.col("_target").alias(PID), F.lit(None).cast("int").alias("_rn"),
+                         F.lit(1).alias("_halo")))
+    fixed = (_velocity_columns(head_rows.unionByName(tail_rows), w, ts)
+             .where(F.col("_halo") == 0)
+             .select(PID, gk, "_rn",
+                     F.col("gap_seconds").alias("_fix_gap"),
+                     F.col("tx_frequency_1h").alias("_fix_1h"),
+                     F.col("tx_frequency_24h").alias("_fix_24h")))
+    # bounded: at most L rows per partition boundary
+    out = pass1.join(F.broadcast(fixed), [PID, gk, "_rn"], "left")
+    return out.select(
+        *[F.col(c) for c in df.columns],
+        F.coalesce("_fix_gap", "gap_seconds").alias("gap_seconds"),
+        F.coalesce("_fix_1h", "tx_frequency_1h").alias("tx_frequency_1h"),
+        F.coalesce("_fix_24h", "tx_frequency_24h").alias("tx_frequency_24h"))
+
+
+def velocity_fallback(df: DataFrame, key: str = "customer_id", order: str = "tx_id",
+                      num_partitions: int | None = None) -> DataFrame:
+    """(row_number - 1) % 5 and % 20 per customer in input (tx_id) order.
+
+    The per-customer row number is a grouped running count over range
+    partitions (ordered.running_totals), so a hot customer is split.
+    """
+    rn = ordered.running_totals(df, [order], {"_rn": F.lit(1).cast("long")}, [key],
+                                num_partitions=num_partitions)
+    r = F.col("_rn") - 1
+    return rn.select(*df.columns, (r % VELOCITY_1H_ROWS).cast("long").alias("tx_frequency_1h"),
+                     (r % VELOCITY_24H_ROWS).cast("long").alias("tx_frequency_24h"))
 
 
 def add_cyclical_features(df: DataFrame) -> DataFrame:

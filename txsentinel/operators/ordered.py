@@ -110,7 +110,10 @@ def running_totals(df: DataFrame, order: Sequence[Column | str],
             if group_totals:
                 aggs.append(F.max(F.col(name)).alias(f"_end_{name}"))
         starts = out.groupBy(*group_cols).agg(*aggs)
-        out = out.join(starts, group_cols, "inner")
+        # null-safe join: a NULL group is a group too
+        out = out.join(starts.withColumnsRenamed({g: f"_g_{g}" for g in group_cols}),
+                       [out[g].eqNullSafe(F.col(f"_g_{g}")) for g in group_cols], "inner"
+                       ).drop(*[f"_g_{g}" for g in group_cols])
         for name in weights:
             if group_totals:
                 out = out.withColumn(f"{name}_total",
