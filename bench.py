@@ -24,7 +24,7 @@ from txsentinel.operators import evaluate as ev  # noqa: E402
 from txsentinel.operators.detectors.iforest import IsolationForestDetector  # noqa: E402
 from txsentinel.operators.detectors.rule import all_rule_scores  # noqa: E402
 from txsentinel.operators.features import add_velocity_features, engineer_features  # noqa: E402
-from txsentinel.operators.ordered import positional_split  # noqa: E402
+from txsentinel.operators.ordered import positional_split_by_cut  # noqa: E402
 from txsentinel.plans import pipeline as P  # noqa: E402
 from txsentinel.session import get_session, materialize  # noqa: E402
 
@@ -41,8 +41,11 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
 
-    # warm-up (JVM, codegen caches); not timed
+    # warm-up (JVM, codegen caches, Python workers for the pandas UDFs); not timed
     run(P.labelled(spark, "/root/testdata/sf0.001"))
+    warm = spark.range(64 * cpus).repartition(cpus)
+    warm.mapInPandas(lambda it: (pdf for pdf in it), "id long").write.format("noop") \
+        .mode("overwrite").save()
 
     t = time.time()
     labelled = P.labelled(spark, sf_dir, persist=True)  # the raw table, written once
@@ -57,7 +60,7 @@ def main() -> None:
     times["velocity_features"] = time.time() - t
 
     t = time.time()
-    split = materialize(positional_split(feats, list(P.SPLIT_ORDER)), "split")
+    split = positional_split_by_cut(feats, list(P.SPLIT_ORDER))
     times["temporal_split"] = time.time() - t
 
     train = split.where(F.col("is_train") == 1)

@@ -8,7 +8,6 @@ from txsentinel.operators import evaluate as ev
 from txsentinel.operators.detectors.gbt import GBTDetector, param_search, top_importances
 from txsentinel.operators.detectors.iforest import IsolationForestDetector
 from txsentinel.operators.detectors.recon import AutoencoderDetector, PCAReconstructionDetector
-from txsentinel.operators.ordered import global_position
 from txsentinel.operators.profile import normal_only
 from txsentinel.plans import pipeline as P
 
@@ -52,9 +51,8 @@ def test_gbt_learns_and_round_trips(spark, train, test, tmp_path):
 def test_param_search_picks_a_grid_point(spark, train):
     grid = [{"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3, "subsample": 1.0},
             {"n_estimators": 3, "max_depth": 5, "learning_rate": 0.3, "subsample": 1.0}]
-    n = train.count()
-    pos = global_position(train, ["timestamp", "tx_id"])
-    best, table = param_search(pos, n, grid, n_splits=2, purge=50, embargo=10)
+    best, table = param_search(train, ["timestamp", "tx_id"], grid, n_splits=2, purge=50,
+                               embargo=10)
     assert best in grid and table.count() == 2
 
 

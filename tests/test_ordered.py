@@ -107,3 +107,25 @@ def test_fallback_row_numbers_split_hot_customer(spark):
     for grp in (ones, nulls):
         for k, i in enumerate(grp):
             assert out[i].tx_frequency_1h == k % 5 and out[i].tx_frequency_24h == k % 20
+
+
+def test_cut_split_and_key_folds_match_positions(spark, skewed):
+    rows, df = skewed
+    a = ordered.positional_split(df, ["v", "id"], 0.8).select("id", "is_train")
+    b = ordered.positional_split_by_cut(df, ["v", "id"], 0.8, accuracy=200).select("id", "is_train")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    n = len(rows)
+    pos = ordered.global_position(df, ["v", "id"])
+    f1 = ordered.purged_kfold(pos, n, 5, 40, 9).select("id", "fold", "role")
+    f2 = ordered.purged_kfold_by_keys(df, ["v", "id"], n, 5, 40, 9, accuracy=300).select(
+        "id", "fold", "role")
+    assert f1.exceptAll(f2).count() == 0 and f2.exceptAll(f1).count() == 0
+
+
+def test_selection_fallback_path(spark, skewed, monkeypatch):
+    """Brackets above the bound go through the range-partitioned ranking."""
+    rows, df = skewed
+    monkeypatch.setattr(ordered, "MAX_BRACKET_ROWS", 0)
+    a = ordered.positional_split(df, ["v", "id"], 0.7).select("id", "is_train")
+    b = ordered.positional_split_by_cut(df, ["v", "id"], 0.7, accuracy=100).select("id", "is_train")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

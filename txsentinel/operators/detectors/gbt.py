@@ -16,7 +16,7 @@ from txsentinel.operators.detectors.base import (
     fit_feature_scaler, load_meta, load_scaler, prepared, save_meta, save_scaler, score_frame,
 )
 from txsentinel.operators.evaluate import classification_metrics
-from txsentinel.operators.ordered import purged_kfold
+from txsentinel.operators.ordered import purged_kfold_by_keys
 from txsentinel.operators.profile import scale_pos_weight
 from txsentinel.operators.scaling import Scaler, assemble
 from txsentinel.schema import CLIP_BOUND, FEATURES
@@ -112,19 +112,20 @@ def top_importances(importances: DataFrame, k: int = 15) -> DataFrame:
     return importances.orderBy(F.col("importance").desc(), F.col("feature")).limit(k)
 
 
-def param_search(train_pos: DataFrame, n_rows: int, grid: list[dict] | None = None,
+def param_search(train: DataFrame, order: list[str], grid: list[dict] | None = None,
                  n_splits: int = 5, purge: int = 50, embargo: int = 10,
                  seed: int = 42) -> tuple[dict, DataFrame]:
     """M4 + A12: mean validation F1 per grid point over purged/embargoed folds.
 
-    ``train_pos`` carries a 0-based ``pos`` column in the split order.  The
+    Folds follow ``order`` (key ranges from exact rank selection).  The
     positive weight is computed once on all training rows; the first grid
     point with a strictly greater mean F1 wins.  Returns (best, table).
     """
     grid = grid or PARAM_GRID
-    spark = train_pos.sparkSession
-    spw = positive_weight(train_pos)
-    folds = purged_kfold(train_pos, n_rows, n_splits, purge, embargo).persist(
+    spark = train.sparkSession
+    spw = positive_weight(train)
+    n_rows = train.count()
+    folds = purged_kfold_by_keys(train, order, n_rows, n_splits, purge, embargo).persist(
         StorageLevel.MEMORY_AND_DISK)
     fold_ids = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
     rows = []

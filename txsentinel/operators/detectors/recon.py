@@ -31,12 +31,13 @@ from pyspark.sql import types as T
 from txsentinel.functions.hashing import keyed_uniform
 from txsentinel.operators.detectors.base import (
     feature_array, fit_feature_scaler, load_meta, load_scaler, prepared, save_meta, save_scaler,
-    score_frame,
+    score_frame, spread_for_python,
 )
 from txsentinel.operators.ordered import exact_quantiles
 from txsentinel.functions.scalars import vector_mse
 from txsentinel.operators.scaling import Scaler, assemble
 from txsentinel.schema import FEATURES
+from txsentinel.session import materialize
 
 
 def _threshold(errors: DataFrame, q: float) -> float:
@@ -199,8 +200,8 @@ class AutoencoderDetector:
 
     def fit(self, train_normal: DataFrame) -> "AutoencoderDetector":
         self.scaler = fit_feature_scaler(train_normal, self.features)
-        data = self._matrix(train_normal).withColumn(
-            "is_val", keyed_uniform("tx_id", f"val{self.seed}") < F.lit(self.validation))
+        data = spread_for_python(self._matrix(train_normal).withColumn(
+            "is_val", keyed_uniform("tx_id", f"val{self.seed}") < F.lit(self.validation)))
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         spark = data.sparkSession
         sizes = self.sizes
@@ -256,7 +257,8 @@ class AutoencoderDetector:
                 vh = v / (1 - b2 ** epoch)
                 w = w - self.learning_rate * mh / (np.sqrt(vh) + eps)
             self.weights = best_w
-            self.threshold = _threshold(self._errors(data), self.quantile)
+            errs = materialize(self._errors(data).select("tx_id", "err"), "ae_train")
+            self.threshold = _threshold(errs, self.quantile)
         finally:
             data.unpersist()
         return self
@@ -273,7 +275,7 @@ class AutoencoderDetector:
             X = np.vstack(x.to_numpy()).astype(float)
             return pd.Series(_row_mse(_unflatten(bc.value, sizes), X))
 
-        return matrix.select("*", mse(F.col("x")).alias("err"))
+        return spread_for_python(matrix).select("*", mse(F.col("x")).alias("err"))
 
     def score(self, df: DataFrame) -> DataFrame:
         if self.weights is None:

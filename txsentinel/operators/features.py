@@ -25,11 +25,14 @@ from txsentinel.schema import (
 
 def customer_stats(tx: DataFrame, amount: str = "transaction_amount",
                    key: str = "customer_id", median: str = "exact",
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, method: str = "auto") -> DataFrame:
     """A1: per customer mean, sample std (single row -> 1.0) and median.
 
-    median='exact' ranks (customer, amount) counts over range partitions, so a
-    customer with a third of all rows is split across tasks;
+    median='exact' (default) is exact; ``method`` picks the plan (see
+    ordered.exact_quantiles): 'ranged' ranks (customer, amount) counts over
+    range partitions so a customer with a third of all rows is split across
+    tasks; 'auto' uses Spark's one-aggregation percentile when the largest
+    customer's distinct amounts are provably small.
     median='approx' uses percentile_approx (a mergeable sketch) instead.
     Rows with a NULL key are left out (as pandas groupby does).
     """
@@ -43,7 +46,7 @@ def customer_stats(tx: DataFrame, amount: str = "transaction_amount",
             F.percentile_approx(amount, 0.5, 10000).cast("double").alias("cust_median"))
     else:
         med = ordered.exact_quantiles(keyed, amount, {"cust_median": 0.5}, [key],
-                                      num_partitions=num_partitions)
+                                      num_partitions=num_partitions, method=method)
     return moments.join(med, key, "left")
 
 
@@ -63,12 +66,16 @@ def add_amount_features(df: DataFrame, drop_stats: bool = True) -> DataFrame:
     return out.drop("cust_mean", "cust_std", "cust_median") if drop_stats else out
 
 
+# A customer with at most this many rows may be windowed inside one task.
+MAX_GROUP_ROWS = 2_000_000
+
+
 def velocity_window(key: str = "customer_id", ts: str = "timestamp", tie: str = "tx_id"):
     return Window.partitionBy(key).orderBy(F.col(ts).asc(), F.col(tie).asc())
 
 
 def tx_gap_seconds(df: DataFrame, key: str = "customer_id", ts: str = "timestamp",
-                   tie: str = "tx_id", strategy: str = "ranged") -> DataFrame:
+                   tie: str = "tx_id", strategy: str = "auto") -> DataFrame:
     """Seconds since the customer's previous transaction; first -> 9999."""
     out = add_velocity_features(df, key, ts, tie, keep_gap=True, strategy=strategy)
     return out.drop("tx_frequency_1h", "tx_frequency_24h")
@@ -91,8 +98,8 @@ def _velocity_columns(df: DataFrame, w, ts: str) -> DataFrame:
 
 def add_velocity_features(df: DataFrame, key: str = "customer_id", ts: str = "timestamp",
                           tie: str = "tx_id", keep_gap: bool = False,
-                          strategy: str = "ranged", num_partitions: int | None = None
-                          ) -> DataFrame:
+                          strategy: str = "auto", num_partitions: int | None = None,
+                          max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """W2 (and W3 fallback when there is no timestamp column).
 
     tx_frequency_1h  = number of gaps < 3600 s among the last 5 rows,
@@ -101,10 +108,15 @@ def add_velocity_features(df: DataFrame, key: str = "customer_id", ts: str = "ti
 
     strategy='window': one Window partitioned by customer (one Exchange +
     Sort; a customer's rows all go to one task).
-    strategy='ranged' (default): skew-safe, see ``velocity_ranged``.
+    strategy='ranged': skew-safe, see ``velocity_ranged``.
+    strategy='auto' (default): count the largest customer first; 'window'
+    when it has at most ``max_group_rows`` rows, else 'ranged'.
     """
     if ts not in df.columns:
         return velocity_fallback(df, key, tie, num_partitions=num_partitions)
+    if strategy == "auto":
+        big = ordered.largest_group(df, [key])
+        strategy = "window" if big <= max_group_rows else "ranged"
     if strategy == "ranged":
         out = velocity_ranged(df, key, ts, tie, num_partitions)
     else:
@@ -233,17 +245,19 @@ def add_interaction_features(df: DataFrame) -> DataFrame:
 
 
 def engineer_features(tx: DataFrame, stats: DataFrame | None = None,
-                      median: str = "exact", num_partitions: int | None = None) -> DataFrame:
+                      median: str = "exact", num_partitions: int | None = None,
+                      strategy: str = "auto") -> DataFrame:
     """All 18 features in one lazy plan.
 
     ``stats`` defaults to statistics over the whole input (the reference's
     behaviour); pass ``customer_stats(train_rows)`` for a leak-free variant.
     """
     if stats is None:
-        stats = customer_stats(tx, median=median, num_partitions=num_partitions)
+        stats = customer_stats(tx, median=median, num_partitions=num_partitions,
+                               method="ranged" if strategy == "ranged" else "auto")
     df = join_customer_stats(tx, stats)
     df = add_amount_features(df)
-    df = add_velocity_features(df)
+    df = add_velocity_features(df, strategy=strategy, num_partitions=num_partitions)
     df = add_cyclical_features(df)
     return add_interaction_features(df)
 

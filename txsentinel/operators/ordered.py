@@ -135,16 +135,52 @@ def global_position(df: DataFrame, order: Sequence[Column | str],
     return out.withColumn(name, F.col(name) - 1)
 
 
+# A group whose distinct values stay under this bound may be finished in one
+# task by Spark's exact ``percentile`` (its state is a value -> count map).
+MAX_GROUP_DISTINCT = 1_000_000
+
+
+def largest_group(df: DataFrame, group_cols: Sequence[str], value: str | None = None) -> int:
+    """Size of the largest group: rows, or (approximate) distinct ``value``s.
+
+    One partial aggregation; used to choose between a one-task-per-group
+    plan and the range-partitioned one.
+    """
+    g = df.groupBy(*group_cols) if group_cols else df.groupBy()
+    if value is None:
+        per = g.agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        per = g.agg(F.approx_count_distinct(value, 0.05).alias("_n"))
+    top = per.agg(F.max("_n")).first()[0]
+    return int(top or 0)
+
+
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float],
                     group_cols: Sequence[str] = (),
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, method: str = "auto",
+                    max_group_distinct: int = MAX_GROUP_DISTINCT) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy 'linear', SQL quantile_cont).
 
     Rank h = (n - 1) * q; result = v[floor h] + (v[ceil h] - v[floor h]) * (h - floor h).
-    NULL values are ignored.  Work is on (group, value) -> count rows, ranked
-    with ``running_totals``; nothing per group is gathered into one task.
+    NULL values are ignored.
+
+    method='ranged': work on (group, value) -> count rows ranked with
+    ``running_totals``; no group is gathered into one task, however large.
+    method='builtin': Spark's exact ``percentile`` (partial aggregation of
+    value -> count maps; a group's final merge runs in one task).
+    method='auto': measure the largest group's distinct values first and use
+    'builtin' only when that is at most ``max_group_distinct`` (x1.25 for
+    the estimate's error), else 'ranged'.
     """
     group_cols = list(group_cols)
+    if method == "auto":
+        big = largest_group(df.where(F.col(value).isNotNull()), group_cols, value)
+        method = "builtin" if big * 1.25 <= max_group_distinct else "ranged"
+    if method == "builtin":
+        g = df.where(F.col(value).isNotNull())
+        g = g.groupBy(*group_cols) if group_cols else g.groupBy()
+        return g.agg(*[F.percentile(F.col(value).cast("double"), float(q)).alias(name)
+                       for name, q in quantiles.items()])
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_cnt")))
     ranked = running_totals(counts, [value], {"_cum": "_cnt"}, group_cols,
@@ -212,3 +248,149 @@ def purged_kfold(df_with_pos: DataFrame, n_rows: int, n_splits: int = 5,
                   F.lit("train")))
     return (joined.withColumn("role", role).where(F.col("role").isNotNull())
             .drop("val_start", "val_end"))
+
+
+# ------------------------------------------------------ exact rank selection ---
+# A counted rank bracket up to this size is read with an ordered offset/limit.
+MAX_BRACKET_ROWS = 1_000_000
+
+def _numeric_view(df: DataFrame, col: str):
+    t = df.schema[col].dataType.simpleString()
+    if t.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp")) if t == "timestamp" else \
+            F.unix_micros(F.to_utc_timestamp(F.col(col).cast("timestamp"), "UTC"))
+    return F.col(col).cast("double")
+
+
+def keys_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int], n: int,
+                  accuracy: int = 100_000, num_partitions: int | None = None) -> dict[int, tuple]:
+    """Exact key tuples at the given 0-based ranks of ``order`` (ascending).
+
+    1. ``percentile_approx`` on the first order column brackets each rank
+       (rank error <= n / accuracy, widened two-fold);
+    2. one counting job checks every bracket holds its rank (else the bracket
+       grows to the whole range);
+    3. only the rows inside the brackets are ranked exactly
+       (``global_position`` over range partitions) and the wanted rows read.
+    No step sorts or materializes the whole table.  Keys must be unique.
+    """
+    order = list(order)
+    wanted = sorted({int(r) for r in ranks if 0 <= r < n})
+    if not wanted:
+        return {}
+    num = _numeric_view(df, order[0])
+    eps = 2.0 / accuracy
+    probs = []
+    for r in wanted:
+        q = r / max(n - 1, 1)
+        probs += [max(0.0, q - eps), min(1.0, q + eps)]
+    approx = df.agg(F.percentile_approx(num, probs, accuracy).alias("p")).first()["p"]
+    brackets = {r: (approx[2 * i], approx[2 * i + 1]) for i, r in enumerate(wanted)}
+    aggs = []
+    for i, r in enumerate(wanted):
+        lo, hi = brackets[r]
+        aggs += [F.count_if(num < F.lit(lo)).alias(f"b{i}"),
+                 F.count_if((num >= F.lit(lo)) & (num <= F.lit(hi))).alias(f"m{i}")]
+    counts = df.agg(*aggs).first()
+    below, inside = {}, {}
+    for i, r in enumerate(wanted):
+        b, m = counts[f"b{i}"], counts[f"m{i}"]
+        if not (b <= r < b + m):  # approximation missed: take the whole range
+            brackets[r] = (None, None)
+            b, m = 0, n
+        below[r], inside[r] = b, m
+    out = {}
+    ranked = []
+    for r in wanted:
+        lo, hi = brackets[r]
+        if lo is not None and inside[r] <= MAX_BRACKET_ROWS:
+            # small, counted bracket: the (r - below)-th row by an ordered
+            # offset/limit (top-k state bounded by the bracket size)
+            sub = df.where((num >= F.lit(lo)) & (num <= F.lit(hi))).select(*order)
+            row = sub.orderBy(*[F.col(c).asc() for c in order]).offset(r - below[r]).limit(1).first()
+            out[r] = tuple(row)
+        else:
+            ranked.append(r)
+    if not ranked:
+        return out
+    cond = None
+    for r in ranked:
+        lo, hi = brackets[r]
+        c = F.lit(True) if lo is None else (num >= F.lit(lo)) & (num <= F.lit(hi))
+        cond = c if cond is None else cond | c
+    sub = df.where(cond).select(*order, num.alias("_num"))
+    pos = global_position(sub, order, num_partitions=num_partitions)
+    # sub rows sorting before each bracket (one job for all ranks)
+    firsts = pos.agg(*[(F.count_if(F.col("_num") < F.lit(brackets[r][0]))
+                        if brackets[r][0] is not None else F.lit(0)).alias(f"f{i}")
+                       for i, r in enumerate(ranked)]).first()
+    target = {r: r - below[r] + firsts[f"f{i}"] for i, r in enumerate(ranked)}
+    rows = pos.where(F.col("pos").isin(sorted(set(target.values())))).select(
+        "pos", *order).collect()  # at most len(ranks) rows
+    by_pos = {row["pos"]: tuple(row[c] for c in order) for row in rows}
+    out.update({r: by_pos[target[r]] for r in ranked})
+    return out
+
+
+def key_less_than(df: DataFrame, order: Sequence[str], key: tuple | None) -> Column:
+    """(order columns) < key, lexicographically; key None means +infinity."""
+    if key is None:
+        return F.lit(True)
+    types = [df.schema[c].dataType for c in order]
+    lits = [F.lit(v).cast(t) for v, t in zip(key, types)]
+    expr = None
+    for i in reversed(range(len(order))):
+        less = F.col(order[i]) < lits[i]
+        expr = less if expr is None else less | ((F.col(order[i]) == lits[i]) & expr)
+    return expr
+
+
+def positional_split_by_cut(df: DataFrame, order: Sequence[str], train_fraction: float = 0.80,
+                            accuracy: int = 100_000) -> DataFrame:
+    """W5 without positions: train = the first int(n * fraction) rows in ``order``.
+
+    One count, one approximate-quantile job, one counting job and an exact
+    ranking of a small bracket give the cut key; the split itself is a
+    projection.  Adds ``is_train`` and ``n_rows``.
+    """
+    n = df.count()
+    cut = int(n * train_fraction)
+    key = keys_at_ranks(df, order, [cut], n, accuracy).get(cut)
+    return df.withColumn("is_train", key_less_than(df, order, key).cast("int")).withColumn(
+        "n_rows", F.lit(n).cast("long"))
+
+
+def purged_kfold_by_keys(df: DataFrame, order: Sequence[str], n_rows: int, n_splits: int = 5,
+                         purge: int = 50, embargo: int = 10, accuracy: int = 100_000
+                         ) -> DataFrame:
+    """W6 on key ranges: the same folds as ``purged_kfold`` without positions.
+
+    Fold i validates ranks [start, end); a row trains fold i if its rank is
+    < start - purge or >= end + embargo.  Every rank bound becomes the key at
+    that rank (``keys_at_ranks``), so roles are key comparisons.
+    """
+    fold_size = n_rows // n_splits
+    folds, ranks = [], set()
+    for i in range(n_splits):
+        start = i * fold_size
+        end = start + fold_size if i < n_splits - 1 else n_rows
+        if (start - purge > 0) or (end + embargo < n_rows):
+            folds.append((i, start, end))
+            ranks |= {start, end, start - purge, end + embargo}
+    keys = keys_at_ranks(df, order, sorted(r for r in ranks if 0 <= r < n_rows), n_rows, accuracy)
+
+    def below(rank: int) -> Column:  # rank(row) < rank
+        if rank <= 0:
+            return F.lit(False)
+        if rank >= n_rows:
+            return F.lit(True)
+        return key_less_than(df, order, keys[rank])
+
+    parts = []
+    for i, s, e in folds:
+        val = ~below(s) & below(e)
+        train = below(s - purge) | ~below(e + embargo)
+        role = F.when(val, F.lit("val")).when(train, F.lit("train"))
+        parts.append(F.struct(F.lit(i).alias("fold"), role.alias("role")))
+    out = df.withColumn("_f", F.explode(F.array(*parts))).select("*", "_f.fold", "_f.role")
+    return out.drop("_f").where(F.col("role").isNotNull())

@@ -58,15 +58,12 @@ class Scaler:
 def scaler_stats(df: DataFrame, features: list[str] | None = None) -> DataFrame:
     """A10 as a table: (feature, mean, std_pop with 0 -> 1); one aggregation."""
     features = [c for c in (features or FEATURES) if c in df.columns]
-    aggs = []
-    for c in features:
-        aggs += [F.avg(c).alias(f"m__{c}"), F.stddev_pop(c).alias(f"s__{c}")]
-    wide = df.agg(*aggs)
-    stack = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"m__{c}").alias("mean"),
-                 F.when(F.col(f"s__{c}") == 0, F.lit(1.0)).otherwise(F.col(f"s__{c}")).alias("std"))
-        for c in features]))
-    return wide.select(stack.alias("s")).select("s.feature", "s.mean", "s.std")
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot(
+        [], features, "feature", "value")
+    g = long.groupBy("feature").agg(F.avg("value").alias("mean"),
+                                    F.stddev_pop("value").alias("std"))
+    return g.select("feature", "mean",
+                    F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("std"))
 
 
 def fit_scaler(df: DataFrame, features: list[str] | None = None) -> Scaler:

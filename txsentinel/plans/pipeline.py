@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from txsentinel.operators.detectors.rule import all_rule_scores
 from txsentinel.operators.features import engineer_features
 from txsentinel.operators.inject import inject_anomalies
-from txsentinel.operators.ordered import positional_split
+from txsentinel.operators.ordered import positional_split_by_cut
 from txsentinel.session import materialize
 from txsentinel.sources.adapters import event_transactions
 
@@ -38,8 +38,14 @@ def engineered(spark: SparkSession, sf_dir: str, persist: bool = False) -> DataF
 
 
 def split(spark: SparkSession, sf_dir: str, persist: bool = False) -> DataFrame:
-    """W5 on the engineered table in true time order (timestamp, tx_id)."""
-    return positional_split(engineered(spark, sf_dir, persist=persist), list(SPLIT_ORDER))
+    """W5 on the engineered table in true time order (timestamp, tx_id).
+
+    The cut key is found by exact rank selection, so the split is a filter
+    and the table is never globally sorted.  The engineered table is written
+    once first: the selection reads it several times.
+    """
+    feats = materialize(engineered(spark, sf_dir, persist=persist), "engineered")
+    return positional_split_by_cut(feats, list(SPLIT_ORDER))
 
 
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

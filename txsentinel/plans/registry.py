@@ -111,7 +111,8 @@ def q_engineer(spark, sf):
 @register("customer_stats", Q.chain(*Q.FEAT_CHAIN) + Q.select(
     ["customer_id"], ["cust_mean", "cust_std", "cust_median"], "stats"))
 def q_stats(spark, sf):
-    return fe.customer_stats(P.labelled(spark, sf))
+    """A1 through the skew-safe ranged plan (the flagship picks its plan)."""
+    return fe.customer_stats(P.labelled(spark, sf), method="ranged")
 
 
 @register("join_customer_stats", Q.chain(*Q.FEAT_CHAIN) + Q.select(
@@ -138,7 +139,8 @@ def q_gap(spark, sf):
 @register("velocity_features", Q.chain(*Q.FEAT_CHAIN) + Q.select(
     ["tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h"], [], "feat"))
 def q_velocity(spark, sf):
-    return fe.add_velocity_features(P.labelled(spark, sf)).select(
+    """W2 through the skew-safe ranged plan (the flagship picks its plan)."""
+    return fe.add_velocity_features(P.labelled(spark, sf), strategy="ranged").select(
         "tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h")
 
 
@@ -391,7 +393,16 @@ def q_distinct(spark, sf):
 @register("temporal_split", Q.chain(*Q.SPLIT_CHAIN)
           + "SELECT tx_id, CAST(pos AS BIGINT) AS pos, is_train, CAST(n_rows AS BIGINT) AS n_rows FROM split")
 def q_split(spark, sf):
-    return P.split(spark, sf).select("tx_id", "pos", "is_train", "n_rows")
+    """W5 with explicit positions (G1: range-partitioned running count)."""
+    return ordered.positional_split(P.engineered(spark, sf), list(P.SPLIT_ORDER)).select(
+        "tx_id", "pos", "is_train", "n_rows")
+
+
+@register("temporal_split_cut", Q.chain(*Q.SPLIT_CHAIN)
+          + "SELECT tx_id, is_train, CAST(n_rows AS BIGINT) AS n_rows FROM split")
+def q_split_cut(spark, sf):
+    """W5 by exact rank selection of the cut key (the pipeline's split)."""
+    return P.split(spark, sf).select("tx_id", "is_train", "n_rows")
 
 
 @register("purged_folds", Q.chain(*Q.SPLIT_CHAIN) + """,
@@ -404,10 +415,11 @@ SELECT tx_id, fold, CASE WHEN pos >= vs AND pos < ve THEN 'val' ELSE 'train' END
 FROM bounds
 WHERE (pos >= vs AND pos < ve) OR pos < vs - 50 OR pos >= ve + 10""")
 def q_folds(spark, sf):
+    """W6 on key ranges (exact rank selection), the folds the search uses."""
     train = P.split(spark, sf).where(F.col("is_train") == 1)
-    pos = ordered.global_position(train.select("tx_id", "timestamp"), ["timestamp", "tx_id"])
     n = train.count()
-    return ordered.purged_kfold(pos, n, 5, 50, 10).select("tx_id", "fold", "role")
+    return ordered.purged_kfold_by_keys(train, ["timestamp", "tx_id"], n, 5, 50, 10).select(
+        "tx_id", "fold", "role")
 
 
 @register("cumulative_counts", Q.chain(*Q.SCORE_CHAIN, Q.CURVE) + """

@@ -14,7 +14,6 @@ from txsentinel.operators.detectors.discriminator import DiscriminatorDetector
 from txsentinel.operators.detectors.gbt import GBTDetector, param_search
 from txsentinel.operators.detectors.iforest import IsolationForestDetector
 from txsentinel.operators.detectors.recon import AutoencoderDetector, PCAReconstructionDetector
-from txsentinel.operators.ordered import global_position
 from txsentinel.operators.profile import normal_only
 from txsentinel.plans.pipeline import SPLIT_ORDER
 
@@ -52,10 +51,8 @@ def train_all(split_df: DataFrame, config: TrainingConfig | None = None,
         if "gbt" in cfg.models:
             params = cfg.gbt_params
             if params is None:
-                n = train.count()
-                pos = global_position(train, list(SPLIT_ORDER))
-                params, _ = param_search(pos, n, cfg.gbt_grid, cfg.n_splits, cfg.purge,
-                                         cfg.embargo, cfg.seed)
+                params, _ = param_search(train, list(SPLIT_ORDER), cfg.gbt_grid, cfg.n_splits,
+                                         cfg.purge, cfg.embargo, cfg.seed)
             fitted["gbt"] = GBTDetector(params=params, seed=cfg.seed).fit(train)
         if "isolation_forest" in cfg.models:
             fitted["isolation_forest"] = IsolationForestDetector(
