@@ -27,7 +27,7 @@ def test_velocity_windows_share_one_exchange(spark):
 def test_ranged_velocity_never_clusters_on_customer_alone(spark):
     from txsentinel.session import materialize
     lab = materialize(P.labelled(spark, SF_SMALL), "lab")
-    p = plan(add_velocity_features(lab).select("tx_frequency_24h"))
+    p = plan(add_velocity_features(lab, strategy="ranged").select("tx_frequency_24h"))
     assert "hashpartitioning(customer_id" not in p
 
 
