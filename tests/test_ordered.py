@@ -129,3 +129,31 @@ def test_selection_fallback_path(spark, skewed, monkeypatch):
     a = ordered.positional_split(df, ["v", "id"], 0.7).select("id", "is_train")
     b = ordered.positional_split_by_cut(df, ["v", "id"], 0.7, accuracy=100).select("id", "is_train")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_cumulative_counts_ranged_equals_window(spark):
+    from txsentinel.operators import evaluate as ev
+    rnd = random.Random(11)
+    rows = [(i, "m" + str(i % 3), int(rnd.random() < 0.2), round(rnd.random(), 3), 0)
+            for i in range(2000)]
+    s = spark.createDataFrame(rows, "tx_id long, model string, label int, score double, "
+                                    "prediction int")
+    cols = ["model", "score", "pos", "neg", "tp", "fp", "n_pos", "n_neg"]
+    a = ev.cumulative_counts(s, num_partitions=5, method="ranged").select(*cols)
+    b = ev.cumulative_counts(s, method="window").select(*cols)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_cut_split_is_time_zone_free(spark):
+    """Keys of timestamp_ntz columns round-trip without session-zone shifts."""
+    import datetime as dt
+    t0 = dt.datetime(2026, 3, 8, 0, 0)  # a DST change day in America/New_York
+    rows = [(i, t0 + dt.timedelta(minutes=7 * i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "tx_id long, timestamp timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        out = ordered.positional_split_by_cut(df, ["timestamp", "tx_id"], 0.8, accuracy=50)
+        assert sorted(r.tx_id for r in out.where("is_train = 1").collect()) == list(range(400))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -106,3 +106,29 @@ def vector_mse(a: ColumnOrName, b: ColumnOrName) -> Column:
     diffs = F.zip_with(_c(a), _c(b), lambda x, y: (x - y) * (x - y))
     total = F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
     return total / F.size(_c(a))
+
+
+def key_expr(col: str, dtype) -> Column:
+    """A column as a value that survives collect() without time zone shifts:
+    timestamp_ntz as its ISO string, timestamp as epoch microseconds."""
+    t = dtype.simpleString()
+    if t == "timestamp_ntz":
+        return F.date_format(F.col(col), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if t == "timestamp":
+        return F.unix_micros(F.col(col))
+    return F.col(col)
+
+
+def typed_lit(value, dtype) -> Column:
+    """Literal of ``dtype`` from a value produced by ``key_expr`` (or plain)."""
+    import datetime as _dt
+    t = dtype.simpleString()
+    if value is None:
+        return F.lit(None).cast(dtype)
+    if t == "timestamp_ntz":
+        if isinstance(value, _dt.datetime):
+            value = value.strftime("%Y-%m-%d %H:%M:%S.%f")
+        return F.lit(str(value)).cast("timestamp_ntz")
+    if t == "timestamp" and not isinstance(value, _dt.datetime):
+        return F.timestamp_micros(F.lit(int(value)))
+    return F.lit(value).cast(dtype)

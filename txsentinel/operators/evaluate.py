@@ -65,13 +65,36 @@ def financial_cost(scores: DataFrame, cost_fn: float = COST_FALSE_NEGATIVE,
         "model", "false_negatives", "false_positives", "total_cost")
 
 
-def cumulative_counts(scores: DataFrame, num_partitions: int | None = None) -> DataFrame:
+# A model whose distinct scores stay under this bound may be ranked in one task.
+MAX_DISTINCT_SCORES = 1_000_000
+
+
+def cumulative_counts(scores: DataFrame, num_partitions: int | None = None,
+                      method: str = "auto") -> DataFrame:
     """Per model and distinct score (descending), counts of rows with
-    score >= that score: tp, fp; plus pos/neg at the score and class totals."""
+    score >= that score: tp, fp; plus pos/neg at the score and class totals.
+
+    Rows are first pre-aggregated to one per (model, distinct score).
+    method='ranged' ranks them with ``ordered.running_totals`` (range
+    partitions, no model gathered into one task); method='window' uses a
+    window per model; 'auto' counts the largest model's distinct scores and
+    takes 'window' only when that is at most MAX_DISTINCT_SCORES.
+    """
     per_score = (scores.where(F.col("score").isNotNull())
                  .groupBy("model", "score")
                  .agg(F.sum(F.col("label").cast("long")).alias("pos"),
                       F.sum((1 - F.col("label")).cast("long")).alias("neg")))
+    if method == "auto":
+        big = ordered.largest_group(per_score, ["model"])
+        method = "window" if big <= MAX_DISTINCT_SCORES else "ranged"
+    if method == "window":
+        w = Window.partitionBy("model").orderBy(F.col("score").desc())
+        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        every = Window.partitionBy("model")
+        return per_score.select(
+            "model", "score", "pos", "neg",
+            F.sum("pos").over(run).alias("tp"), F.sum("neg").over(run).alias("fp"),
+            F.sum("pos").over(every).alias("n_pos"), F.sum("neg").over(every).alias("n_neg"))
     ranked = ordered.running_totals(per_score, [F.col("score").desc()],
                                     {"tp": "pos", "fp": "neg"}, ["model"],
                                     group_totals=True, num_partitions=num_partitions)

@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txsentinel.functions.scalars import key_expr, typed_lit
 from txsentinel.session import materialize, shuffle_partitions
 
 PID = "_pid"
@@ -255,10 +256,15 @@ def purged_kfold(df_with_pos: DataFrame, n_rows: int, n_splits: int = 5,
 MAX_BRACKET_ROWS = 1_000_000
 
 def _numeric_view(df: DataFrame, col: str):
+    """A numeric column that orders like ``col`` (time zone free for timestamps)."""
     t = df.schema[col].dataType.simpleString()
-    if t.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp")) if t == "timestamp" else \
-            F.unix_micros(F.to_utc_timestamp(F.col(col).cast("timestamp"), "UTC"))
+    if t == "timestamp_ntz":
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(col)).cast("double")
+    if t == "timestamp":
+        return F.unix_micros(F.col(col)).cast("double")
+    if t == "date":
+        return F.unix_date(F.col(col)).cast("double")
     return F.col(col).cast("double")
 
 
@@ -307,7 +313,8 @@ def keys_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int], n:
             # small, counted bracket: the (r - below)-th row by an ordered
             # offset/limit (top-k state bounded by the bracket size)
             sub = df.where((num >= F.lit(lo)) & (num <= F.lit(hi))).select(*order)
-            row = sub.orderBy(*[F.col(c).asc() for c in order]).offset(r - below[r]).limit(1).first()
+            row = (sub.orderBy(*[F.col(c).asc() for c in order]).offset(r - below[r]).limit(1)
+                   .select(*[key_expr(c, df.schema[c].dataType).alias(c) for c in order]).first())
             out[r] = tuple(row)
         else:
             ranked.append(r)
@@ -326,7 +333,8 @@ def keys_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int], n:
                        for i, r in enumerate(ranked)]).first()
     target = {r: r - below[r] + firsts[f"f{i}"] for i, r in enumerate(ranked)}
     rows = pos.where(F.col("pos").isin(sorted(set(target.values())))).select(
-        "pos", *order).collect()  # at most len(ranks) rows
+        "pos", *[key_expr(c, df.schema[c].dataType).alias(c) for c in order]
+    ).collect()  # at most len(ranks) rows
     by_pos = {row["pos"]: tuple(row[c] for c in order) for row in rows}
     out.update({r: by_pos[target[r]] for r in ranked})
     return out
@@ -337,7 +345,7 @@ def key_less_than(df: DataFrame, order: Sequence[str], key: tuple | None) -> Col
     if key is None:
         return F.lit(True)
     types = [df.schema[c].dataType for c in order]
-    lits = [F.lit(v).cast(t) for v, t in zip(key, types)]
+    lits = [typed_lit(v, t) for v, t in zip(key, types)]
     expr = None
     for i in reversed(range(len(order))):
         less = F.col(order[i]) < lits[i]

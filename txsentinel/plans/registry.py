@@ -425,7 +425,8 @@ def q_folds(spark, sf):
 @register("cumulative_counts", Q.chain(*Q.SCORE_CHAIN, Q.CURVE) + """
 SELECT model, round(score, 6) + 0.0 AS score, pos, neg, tp, fp, n_pos, n_neg FROM curve""")
 def q_cumulative(spark, sf):
-    return ev.cumulative_counts(P.rule_scores(spark, sf)).select(
+    """W7 through the range-partitioned plan (the evaluation picks its plan)."""
+    return ev.cumulative_counts(P.rule_scores(spark, sf), method="ranged").select(
         "model", "score", "pos", "neg", "tp", "fp", "n_pos", "n_neg")
 
 
