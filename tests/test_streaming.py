@@ -48,3 +48,21 @@ def test_stream_scores_equal_batch(spark):
     cols = ["tx_id", "model", "score", "prediction"]
     assert streamed.select(*cols).exceptAll(batch.select(*cols)).count() == 0
     assert batch.select(*cols).exceptAll(streamed.select(*cols)).count() == 0
+
+
+def test_stream_scores_with_trained_detectors(spark):
+    """T1 with fitted models (pandas UDF and column-expression scorers)."""
+    from txsentinel.operators.detectors.iforest import IsolationForestDetector
+    from txsentinel.operators.detectors.recon import PCAReconstructionDetector
+    feats = P.engineered(spark, SF_SMALL)
+    dets = {"isolation_forest": IsolationForestDetector(n_trees=10).fit(feats),
+            "pca_p95": PCAReconstructionDetector(name="pca_p95", k=4).fit(feats)}
+    path = write_stream_input(js.features_to_json(feats), "rec2", "tx_id", 2)
+    streamed = run_to_table(score_stream(json_record_stream(spark, path), dets), "s2")
+    cols = ["tx_id", "model", "prediction"]
+    batch = None
+    for d in dets.values():
+        s = d.score(feats)
+        batch = s if batch is None else batch.unionByName(s)
+    assert streamed.count() == batch.count()
+    assert streamed.select(*cols).exceptAll(batch.select(*cols)).count() == 0

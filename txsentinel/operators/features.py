@@ -37,17 +37,20 @@ def customer_stats(tx: DataFrame, amount: str = "transaction_amount",
     Rows with a NULL key are left out (as pandas groupby does).
     """
     keyed = tx.where(F.col(key).isNotNull())
-    moments = keyed.groupBy(key).agg(
-        F.avg(amount).alias("cust_mean"),
-        F.coalesce(F.stddev_samp(amount), F.lit(1.0)).alias("cust_std"),
-    )
+    moments = [F.avg(amount).alias("cust_mean"),
+               F.coalesce(F.stddev_samp(amount), F.lit(1.0)).alias("cust_std")]
     if median == "approx":
-        med = keyed.groupBy(key).agg(
-            F.percentile_approx(amount, 0.5, 10000).cast("double").alias("cust_median"))
-    else:
-        med = ordered.exact_quantiles(keyed, amount, {"cust_median": 0.5}, [key],
-                                      num_partitions=num_partitions, method=method)
-    return moments.join(med, key, "left")
+        return keyed.groupBy(key).agg(*moments, F.percentile_approx(
+            amount, 0.5, 10000).cast("double").alias("cust_median"))
+    if method == "auto":
+        big = ordered.largest_group(keyed.where(F.col(amount).isNotNull()), [key], amount)
+        method = "builtin" if big * 1.25 <= ordered.MAX_GROUP_DISTINCT else "ranged"
+    if method == "builtin":  # one aggregation, one shuffle
+        return keyed.groupBy(key).agg(*moments, F.percentile(
+            F.col(amount).cast("double"), 0.5).alias("cust_median"))
+    med = ordered.exact_quantiles(keyed, amount, {"cust_median": 0.5}, [key],
+                                  num_partitions=num_partitions, method="ranged")
+    return keyed.groupBy(key).agg(*moments).join(med, key, "left")
 
 
 def join_customer_stats(tx: DataFrame, stats: DataFrame, key: str = "customer_id") -> DataFrame:

@@ -19,6 +19,7 @@ LOADERS = {
     "pca_p95": PCAReconstructionDetector,
     "pca_p99": PCAReconstructionDetector,
     "autoencoder": AutoencoderDetector,
+    "sequence_autoencoder": AutoencoderDetector,
     "discriminator": DiscriminatorDetector,
 }
 

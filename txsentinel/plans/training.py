@@ -33,8 +33,9 @@ class TrainingConfig:
     ae_epochs: int = 100
     ae_learning_rate: float = 1e-3
     disc_iter: int = 30
+    seq_ae_epochs: int = 50
     models: tuple[str, ...] = ("gbt", "isolation_forest", "pca_p95", "pca_p99",
-                               "autoencoder", "discriminator")
+                               "autoencoder", "sequence_autoencoder", "discriminator")
     seed: int = 42
     extra: dict = field(default_factory=dict)
 
@@ -68,6 +69,13 @@ def train_all(split_df: DataFrame, config: TrainingConfig | None = None,
             fitted["autoencoder"] = AutoencoderDetector(
                 hidden=cfg.ae_hidden, epochs=cfg.ae_epochs,
                 learning_rate=cfg.ae_learning_rate, seed=cfg.seed).fit(normals)
+        if "sequence_autoencoder" in cfg.models:
+            # length-1 sequences make the sequence model a per-row reconstruction
+            # scorer: P99 threshold, patience 5
+            fitted["sequence_autoencoder"] = AutoencoderDetector(
+                name="sequence_autoencoder", hidden=cfg.ae_hidden, epochs=cfg.seq_ae_epochs,
+                learning_rate=cfg.ae_learning_rate, patience=5, quantile=0.99,
+                seed=cfg.seed).fit(normals)
         if "discriminator" in cfg.models:
             fitted["discriminator"] = DiscriminatorDetector(
                 max_iter=cfg.disc_iter, seed=cfg.seed).fit(normals)
