@@ -9,9 +9,9 @@ variant), flag = error > threshold (strict).
   projection and reconstruction are plain column arithmetic (JVM, codegen).
 * ``AutoencoderDetector`` (M8): a dense ReLU autoencoder trained by
   data-parallel full-batch Adam: each step broadcasts the weights, every
-  partition returns its gradient sum from ``mapInPandas`` (numpy), and the
-  driver adds one vector per partition (bounded by the partition count and
-  the parameter count), then updates.  A keyed-hash 15 % validation split
+  partition returns its gradient sum from ``mapInPandas`` (numpy), Spark
+  adds those vectors up (``Summarizer.sum``, partial aggregation) and the
+  driver receives one parameter-sized vector per step, then updates.  A keyed-hash 15 % validation split
   drives early stopping with best-weight restore.
 """
 
@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, PCAModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -235,13 +237,20 @@ class AutoencoderDetector:
                     yield pd.DataFrame({"n_train": [nt], "loss_train": [lt], "n_val": [nv],
                                         "loss_val": [lv], "grad": [g_sum.tolist()]})
 
-                parts = data.mapInPandas(step, out_schema).collect()  # one row per partition
+                # per-partition gradient sums, added up inside Spark (a vector
+                # aggregate with partial merges); the driver receives one vector
+                tot = (data.mapInPandas(step, out_schema)
+                       .select("n_train", "loss_train", "n_val", "loss_val",
+                               array_to_vector("grad").alias("g"))
+                       .agg(F.sum("n_train").alias("nt"), F.sum("loss_train").alias("lt"),
+                            F.sum("n_val").alias("nv"), F.sum("loss_val").alias("lv"),
+                            Summarizer.sum(F.col("g")).alias("g"))
+                       .first())
                 bc.unpersist()
-                nt = sum(r["n_train"] for r in parts)
-                nv = sum(r["n_val"] for r in parts)
-                g = np.sum([np.asarray(r["grad"]) for r in parts], axis=0) / max(nt, 1)
-                train_loss = sum(r["loss_train"] for r in parts) / max(nt, 1)
-                val_loss = sum(r["loss_val"] for r in parts) / max(nv, 1) if nv else train_loss
+                nt, nv = int(tot["nt"] or 0), int(tot["nv"] or 0)
+                g = tot["g"].toArray() / max(nt, 1)
+                train_loss = (tot["lt"] or 0.0) / max(nt, 1)
+                val_loss = (tot["lv"] or 0.0) / max(nv, 1) if nv else train_loss
                 self.history.append((train_loss, val_loss))
                 if not np.isfinite(train_loss):
                     raise FloatingPointError("autoencoder loss is not finite")
