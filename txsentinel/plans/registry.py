@@ -790,3 +790,40 @@ def q_stream_scores(spark, sf):
     out = run_to_table(scored.drop("label"), "stream_scores")
     labels = test.select("tx_id", F.col("is_fraud").alias("label"))
     return scs.align_scores(out, labels)
+
+
+# ------------------------------------------------ reference-compatible options ---
+@register("temporal_split_customer_order", Q.chain(*Q.FEAT_CHAIN) + """,
+sp AS (SELECT tx_id, row_number() OVER (ORDER BY customer_id, "timestamp", tx_id) - 1 AS pos,
+              count(*) OVER () AS n_rows FROM feat)
+SELECT tx_id, CASE WHEN pos < floor(n_rows * 0.8) THEN 1 ELSE 0 END AS is_train,
+       CAST(n_rows AS BIGINT) AS n_rows FROM sp""")
+def q_split_customer_order(spark, sf):
+    """W5 with order_by=(customer, timestamp): the positional cut of a table
+    sorted by customer first, i.e. a split by customer (reproduces the
+    original pipeline's behaviour)."""
+    from txsentinel.session import materialize
+    feats = materialize(P.engineered(spark, sf), "engineered")
+    return ordered.positional_split_by_cut(
+        feats, ["customer_id", "timestamp", "tx_id"]).select("tx_id", "is_train", "n_rows")
+
+
+_FEAT_FIT_ON_TRAIN = Q.FEAT.replace(
+    "FROM labelled WHERE customer_id IS NOT NULL GROUP BY customer_id",
+    "FROM lab_train WHERE customer_id IS NOT NULL GROUP BY customer_id")
+_LAB_TRAIN = """lab_train AS (
+  SELECT * FROM (SELECT *, row_number() OVER (ORDER BY "timestamp", tx_id) - 1 AS pos,
+                        count(*) OVER () AS n_rows FROM labelled)
+  WHERE pos < floor(n_rows * 0.8))"""
+
+
+@register("engineer_features_fit_on_train", Q.chain(*Q.BASE, _LAB_TRAIN, _FEAT_FIT_ON_TRAIN)
+          + Q.select(FEAT_ALL_OTHERS, FEAT_ALL_DOUBLES, "feat"))
+def q_engineer_fit_on_train(spark, sf):
+    """E7 with customer statistics fitted on the training period only (the
+    leak-free variant): stats from the first 80 % of rows in time order,
+    joined to every row."""
+    from txsentinel.session import materialize
+    lab = materialize(P.labelled(spark, sf), "labelled")
+    train = ordered.positional_split_by_cut(lab, list(P.SPLIT_ORDER)).where(F.col("is_train") == 1)
+    return fe.engineer_features(lab, stats=fe.customer_stats(train))

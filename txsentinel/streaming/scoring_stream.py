@@ -72,16 +72,16 @@ def write_stream_input(df: DataFrame, name: str, order: str, n_files: int = 4) -
     lo, hi = bounds["lo"], bounds["hi"]
     n = n_files if lo is not None and hi != lo else 1
     edges = [lo + (hi - lo) * i / n for i in range(n + 1)] if n > 1 else [lo, hi]
-    if isinstance(lo, int) and n > 1:
-        edges = [lo + (hi - lo) * i // n for i in range(n + 1)]
+
+    def edge(v):  # numeric edges stay fractional; timestamps keep their type
+        return F.lit(float(v)) if isinstance(v, (int, float)) else typed_lit(v, dtype)
     t0 = 1_000_000_000_000
     for i in range(n):
         if n == 1:
             part = df
         else:
-            lo_i = F.lit(True) if i == 0 else F.col(order) >= typed_lit(edges[i], dtype)
-            cond = lo_i & (F.col(order) < typed_lit(edges[i + 1], dtype) if i < n - 1
-                           else F.lit(True))
+            lo_i = F.lit(True) if i == 0 else F.col(order) >= edge(edges[i])
+            cond = lo_i & (F.col(order) < edge(edges[i + 1]) if i < n - 1 else F.lit(True))
             part = df.where(cond)
         staging = f"{base}/staging/{i:05d}"
         part.coalesce(1).write.mode("overwrite").parquet(staging)
