@@ -25,7 +25,7 @@ from txsentinel.operators.detectors.iforest import IsolationForestDetector  # no
 from txsentinel.operators.detectors.rule import all_rule_scores  # noqa: E402
 from txsentinel.operators.features import add_velocity_features, engineer_features  # noqa: E402
 from txsentinel.operators.ordered import positional_split_by_cut  # noqa: E402
-from txsentinel.plans import pipeline as P  # noqa: E402
+from txsentinel.plans import flow as P  # noqa: E402
 from txsentinel.session import get_session, materialize  # noqa: E402
 
 
@@ -81,7 +81,7 @@ def main() -> None:
 
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     total = sum(times.values())
-    print(json.dumps({"metric": "pipeline_seconds", "value": round(total, 3), "unit": "sec",
+    print(json.dumps({"metric": "headline_seconds", "value": round(total, 3), "unit": "sec",
                       "queries": {k: round(v, 3) for k, v in times.items()},
                       "sf": float(sf.group(1)) if sf else sf_dir, "cpus": cpus}))
     spark.stop()

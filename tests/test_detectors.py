@@ -9,7 +9,7 @@ from txsentinel.operators.detectors.gbt import GBTDetector, param_search, top_im
 from txsentinel.operators.detectors.iforest import IsolationForestDetector
 from txsentinel.operators.detectors.recon import AutoencoderDetector, PCAReconstructionDetector
 from txsentinel.operators.profile import normal_only
-from txsentinel.plans import pipeline as P
+from txsentinel.plans import flow as P
 
 
 @pytest.fixture(scope="module")

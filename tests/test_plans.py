@@ -4,7 +4,7 @@ in the feature plan, filters and projections reach the scan."""
 from tests.conftest import SF_SMALL
 from txsentinel.operators.features import add_velocity_features
 from txsentinel.operators.profile import normal_only
-from txsentinel.plans import pipeline as P
+from txsentinel.plans import flow as P
 
 
 def plan(df):

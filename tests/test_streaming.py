@@ -3,7 +3,7 @@
 from tests.conftest import SF_SMALL
 from txsentinel.operators.detectors.rule import default_rule_detectors
 from txsentinel.operators.features import add_velocity_features
-from txsentinel.plans import pipeline as P
+from txsentinel.plans import flow as P
 from txsentinel.schema import TX_SCHEMA
 from txsentinel.sources import json_records as js
 from txsentinel.streaming.scoring_stream import (

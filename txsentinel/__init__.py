@@ -5,7 +5,7 @@ Layers:
   functions/  column expressions (features, hashing, flags)
   operators/  distributed operators (features, ordered ops, profiling,
               injection, evaluation, detectors)
-  plans/      end-to-end pipelines composed from operators
+  plans/      end-to-end flows composed from operators
   streaming/  Structured Streaming scoring and online velocity state
 """
 

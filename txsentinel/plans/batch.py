@@ -18,7 +18,7 @@ from txsentinel.operators import evaluate as ev
 from txsentinel.operators.features import engineer_features
 from txsentinel.operators.inject import inject_anomalies
 from txsentinel.operators.ordered import positional_split_by_cut
-from txsentinel.plans.pipeline import SPLIT_ORDER
+from txsentinel.plans.flow import SPLIT_ORDER
 from txsentinel.plans.training import TrainingConfig, train_all
 from txsentinel.sources.adapters import event_transactions
 from txsentinel.sources.scores import read_scores, write_scores

@@ -1,6 +1,6 @@
 """DuckDB/ANSI SQL equivalents of the registered queries (the oracle).
 
-The CTE chain mirrors plans.pipeline: tx -> labelled -> feat -> split ->
+The CTE chain mirrors plans.flow: tx -> labelled -> feat -> split ->
 scores.  Double outputs are rounded to 6 decimals (plus 0.0, which turns
 -0.0 into 0.0) on both sides; money-like rounding uses floor(x*100+0.5)/100.
 """

@@ -25,7 +25,7 @@ from txsentinel.operators import profile as pr
 from txsentinel.operators import scaling as sc
 from txsentinel.operators.detectors.rule import all_rule_scores
 from txsentinel.plans import oracle_sql as Q
-from txsentinel.plans import pipeline as P
+from txsentinel.plans import flow as P
 from txsentinel.schema import FEATURES, TX_COLUMNS
 from txsentinel.session import checkpoint_dir
 from txsentinel.sources import json_records as js

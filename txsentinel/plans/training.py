@@ -15,7 +15,7 @@ from txsentinel.operators.detectors.gbt import GBTDetector, param_search
 from txsentinel.operators.detectors.iforest import IsolationForestDetector
 from txsentinel.operators.detectors.recon import AutoencoderDetector, PCAReconstructionDetector
 from txsentinel.operators.profile import normal_only
-from txsentinel.plans.pipeline import SPLIT_ORDER
+from txsentinel.plans.flow import SPLIT_ORDER
 
 
 @dataclass

@@ -8,6 +8,7 @@ local mode, ``<warehouse>/_txsentinel_checkpoints`` otherwise.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -62,9 +63,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    out_dir = tempfile.mkdtemp(prefix="txsentinel-pkg-", dir="/tmp")
-    zpath = os.path.join(out_dir, "txsentinel.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for base, _dirs, files in os.walk(pkg_dir):
             if "__pycache__" in base:
                 continue
@@ -72,6 +72,20 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     zf.write(full, os.path.relpath(full, root))
+    data = buf.getvalue()
+    if sc.master.startswith("local"):
+        out_dir = tempfile.mkdtemp(prefix="txsentinel-pkg-", dir="/tmp")
+        zpath = os.path.join(out_dir, "txsentinel.zip")
+        with open(zpath, "wb") as fh:
+            fh.write(data)
+    else:
+        # stage the archive in the shared checkpoint folder, not on the driver's disk
+        zpath = checkpoint_dir(spark).rstrip("/") + f"/pkg-{uuid.uuid4().hex}/txsentinel.zip"
+        jvm = sc._jvm
+        path = jvm.org.apache.hadoop.fs.Path(zpath)
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(data))
+        out.close()
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
 
