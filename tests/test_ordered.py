@@ -157,3 +157,18 @@ def test_cut_split_is_time_zone_free(spark):
         assert sorted(r.tx_id for r in out.where("is_train = 1").collect()) == list(range(400))
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_ranged_sequences_equal_window(spark):
+    import datetime as dt
+    from txsentinel.operators.features import sequence_features
+    rnd = random.Random(5)
+    t0 = dt.datetime(2026, 3, 1)
+    rows = [(i, 7 if i % 2 else rnd.randint(1, 5), t0 + dt.timedelta(minutes=rnd.randint(0, 9999)),
+             float(i), float(i % 13)) for i in range(400)]
+    df = spark.createDataFrame(rows, "tx_id long, customer_id long, timestamp timestamp_ntz, "
+                                     "a double, b double")
+    kw = dict(length=4, features=["a", "b"])
+    x = sequence_features(df, strategy="ranged", num_partitions=23, **kw).select("tx_id", "sequence")
+    y = sequence_features(df, strategy="window", **kw).select("tx_id", "sequence")
+    assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0

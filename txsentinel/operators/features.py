@@ -132,47 +132,60 @@ _NULL_KEY = -(2 ** 63)  # stands in for a NULL customer inside the ranged plan
 
 def velocity_ranged(df: DataFrame, key: str = "customer_id", ts: str = "timestamp",
                     tie: str = "tx_id", num_partitions: int | None = None) -> DataFrame:
-    """Velocity features without putting any customer into a single task.
-
-    1. range-partition on (customer, timestamp, tx_id): a customer with a third
-       of all rows is spread over many partitions; compute the windows per
-       (partition, customer) and materialize (fixes the partition ids);
-    2. only a customer that continues across a partition boundary can be
-       wrong, and only in its first L = 20 rows after the boundary (the
-       windows look back at most 20 rows).  Per-partition first/last
-       customers and boundary segment sizes (O(partitions) rows) locate them;
-    3. recompute just those rows with the L rows before the boundary and
-       patch them in through a broadcast join whose size is bounded by
-       L * partitions rows.
+    """Velocity features without putting any customer into a single task
+    (see ``ranged_rows_window``; the windows look back 20 rows)."""
+    lookback = max(VELOCITY_1H_ROWS, VELOCITY_24H_ROWS)
+    return ranged_rows_window(df, lambda d, w: _velocity_columns(d, w, ts), lookback,
+                              ["gap_seconds", "tx_frequency_1h", "tx_frequency_24h"],
+                              key, ts, tie, num_partitions)
+
+
+def ranged_rows_window(df: DataFrame, compute, lookback: int, out_cols: list[str],
+                       key: str = "customer_id", ts: str = "timestamp", tie: str = "tx_id",
+                       num_partitions: int | None = None) -> DataFrame:
+    """Per-customer row-window features whose frames look back at most
+    ``lookback`` rows, computed without putting any customer into one task.
+
+    ``compute(frame, window_spec)`` adds ``out_cols`` using the given ordered
+    window spec (partitioned by customer, ordered by (ts, tie)).
+
+    1. range-partition on (customer, ts, tie): a customer with a third of all
+       rows is spread over many partitions; compute per (partition, customer)
+       and materialize (fixes the partition ids);
+    2. only a customer continuing across a partition boundary can be wrong,
+       and only in its first ``lookback`` rows after the boundary;
+       per-partition first/last customers and boundary segment sizes
+       (O(partitions) rows) locate them;
+    3. recompute just those rows with the ``lookback`` rows before the
+       boundary and patch them in through a broadcast join bounded by
+       lookback * partitions rows.
     """
     from txsentinel.operators.ordered import PID
     from txsentinel.session import materialize, shuffle_partitions
 
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
-    L = max(VELOCITY_1H_ROWS, VELOCITY_24H_ROWS)
+    L = max(1, int(lookback))
     gk = "_gkey"
     base = df.withColumn(gk, F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY)))
     ranged = base.repartitionByRange(n, F.col(gk), F.col(ts), F.col(tie)).withColumn(
         PID, F.spark_partition_id())
     w = Window.partitionBy(PID, gk).orderBy(F.col(ts).asc(), F.col(tie).asc())
     wd = Window.partitionBy(PID, gk).orderBy(F.col(ts).desc(), F.col(tie).desc())
-    pass1 = _velocity_columns(ranged, w, ts).select(
+    pass1 = compute(ranged, w).select(
         "*", F.row_number().over(w).alias("_rn"), F.row_number().over(wd).alias("_rnd"))
-    pass1 = materialize(pass1, "velocity")
+    pass1 = materialize(pass1, "rows_window")
 
-    # Per partition: first/last customer and size (one row per partition).
+    # Per partition: first/last customer (one row per partition).
     info = {r[PID]: r for r in pass1.groupBy(PID).agg(
-        F.min(gk).alias("first"), F.max(gk).alias("last"),
-        F.count(F.lit(1)).alias("n")).collect()}
+        F.min(gk).alias("first"), F.max(gk).alias("last")).collect()}
     pids = sorted(info)
-    # Boundary segments: (partition, customer) pairs at partition edges.
     edge_pairs = {(p, info[p]["first"]) for p in pids} | {(p, info[p]["last"]) for p in pids}
     edges_df = spark.createDataFrame(sorted(edge_pairs), f"{PID} int, {gk} long")
     seg = {(r[PID], r[gk]): r["cnt"] for r in pass1.join(F.broadcast(edges_df), [PID, gk])
            .groupBy(PID, gk).agg(F.count(F.lit(1)).alias("cnt")).collect()}
 
-    heads, tails = [], []  # (pid, customer, rn_limit) / (src pid, customer, rnd_limit, target pid)
+    heads, tails = [], []  # (pid, customer, rn_limit) / (src pid, customer, rnd_limit, target)
     for i, p in enumerate(pids):
         c = info[p]["first"]
         if i == 0 or info[pids[i - 1]]["last"] != c:
@@ -188,31 +201,25 @@ def velocity_ranged(df: DataFrame, key: str = "customer_id", ts: str = "timestam
             if info[q]["first"] != c:
                 break
     if not heads:
-        return pass1.drop(PID, gk, "_rn", "_rnd")
+        return pass1.select(*df.columns, *out_cols)
 
     heads_df = spark.createDataFrame(heads, f"{PID} int, {gk} long, _lim long")
     tails_df = spark.createDataFrame(tails, f"{PID} int, {gk} long, _lim long, _target int")
-    raw_cols = [c for c in df.columns] + [gk]
+    raw_cols = list(df.columns) + [gk]
     head_rows = (pass1.join(F.broadcast(heads_df), [PID, gk])
                  .where(F.col("_rn") <= F.col("_lim"))
                  .select(*raw_cols, PID, "_rn", F.lit(0).alias("_halo")))
     tail_rows = (pass1.join(F.broadcast(tails_df), [PID, gk])
                  .where(F.col("_rnd") <= F.col("_lim"))
-                 .select(*raw_cols, F.col("_target").alias(PID), F.lit(None).cast("int").alias("_rn"),
-                         F.lit(1).alias("_halo")))
-    fixed = (_velocity_columns(head_rows.unionByName(tail_rows), w, ts)
+                 .select(*raw_cols, F.col("_target").alias(PID),
+                         F.lit(None).cast("int").alias("_rn"), F.lit(1).alias("_halo")))
+    fixed = (compute(head_rows.unionByName(tail_rows), w)
              .where(F.col("_halo") == 0)
-             .select(PID, gk, "_rn",
-                     F.col("gap_seconds").alias("_fix_gap"),
-                     F.col("tx_frequency_1h").alias("_fix_1h"),
-                     F.col("tx_frequency_24h").alias("_fix_24h")))
-    # bounded: at most L rows per partition boundary
+             .select(PID, gk, "_rn", *[F.col(c).alias(f"_fix_{c}") for c in out_cols]))
+    # bounded: at most `lookback` rows per partition boundary
     out = pass1.join(F.broadcast(fixed), [PID, gk, "_rn"], "left")
-    return out.select(
-        *[F.col(c) for c in df.columns],
-        F.coalesce("_fix_gap", "gap_seconds").alias("gap_seconds"),
-        F.coalesce("_fix_1h", "tx_frequency_1h").alias("tx_frequency_1h"),
-        F.coalesce("_fix_24h", "tx_frequency_24h").alias("tx_frequency_24h"))
+    return out.select(*[F.col(c) for c in df.columns],
+                      *[F.coalesce(F.col(f"_fix_{c}"), F.col(c)).alias(c) for c in out_cols])
 
 
 def velocity_fallback(df: DataFrame, key: str = "customer_id", order: str = "tx_id",
@@ -267,18 +274,27 @@ def engineer_features(tx: DataFrame, stats: DataFrame | None = None,
 
 def sequence_features(df: DataFrame, length: int = 1, key: str = "customer_id",
                       ts: str = "timestamp", tie: str = "tx_id",
-                      features: list[str] | None = None) -> DataFrame:
+                      features: list[str] | None = None, strategy: str = "auto",
+                      num_partitions: int | None = None,
+                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Array of the customer's last ``length`` feature vectors, left-padded with 0.
 
     Output column ``sequence`` is array<array<double>> ordered oldest first;
-    length=1 reproduces the per-row sequences of the reference.
+    length=1 reproduces the per-row sequences of the reference.  The lag
+    window looks back length-1 rows, so a hot customer goes through
+    ``ranged_rows_window`` (strategy 'auto' measures the largest customer).
     """
     features = features or FEATURES
-    w = velocity_window(key, ts, tie)
-    vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-    zero = F.array(*[F.lit(0.0) for _ in features])
-    steps = []
-    for lag in range(length - 1, 0, -1):
-        steps.append(F.coalesce(F.lag(vec, lag).over(w), zero))
-    steps.append(vec)
-    return df.withColumn("sequence", F.array(*steps))
+
+    def compute(frame: DataFrame, w) -> DataFrame:
+        vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+        zero = F.array(*[F.lit(0.0) for _ in features])
+        steps = [F.coalesce(F.lag(vec, lag).over(w), zero) for lag in range(length - 1, 0, -1)]
+        return frame.withColumn("sequence", F.array(*steps, vec))
+
+    if strategy == "auto":
+        strategy = "window" if ordered.largest_group(df, [key]) <= max_group_rows else "ranged"
+    if strategy == "ranged" and length > 1:
+        return ranged_rows_window(df, compute, length - 1, ["sequence"], key, ts, tie,
+                                  num_partitions)
+    return compute(df, velocity_window(key, ts, tie))
