@@ -58,13 +58,15 @@ def _partition_offsets(ranged: DataFrame, weights: Sequence[str]
               .agg(*[F.sum(w).alias(w) for w in weights])
               .collect())
     totals.sort(key=lambda r: r[PID])
-    running = {w: 0 for w in weights}
+    kinds = {w: _sum_type(ranged, w) for w in weights}
+    cast = {w: (float if kinds[w] == "double" else int) for w in weights}
+    running = {w: cast[w](0) for w in weights}
     rows = []
     for r in totals:
         rows.append((int(r[PID]), *[running[w] for w in weights]))
         for w in weights:
-            running[w] += (r[w] or 0)
-    schema = ", ".join([f"{PID} int"] + [f"_off_{w} {_sum_type(ranged, w)}" for w in weights])
+            running[w] += cast[w](r[w] or 0)
+    schema = ", ".join([f"{PID} int"] + [f"_off_{w} {kinds[w]}" for w in weights])
     return spark.createDataFrame(rows, schema), running
 
 
@@ -88,7 +90,10 @@ def running_totals(df: DataFrame, order: Sequence[Column | str],
     group_cols = list(group_cols)
     weights = {}
     work = df
-    for name, expr in sums.items():
+    all_sums = dict(sums)
+    if group_cols:
+        all_sums["_seq"] = F.lit(1).cast("long")  # strictly increasing along the order
+    for name, expr in all_sums.items():
         wcol = f"_w_{name}"
         e = F.col(expr) if isinstance(expr, str) else expr
         work = work.withColumn(wcol, e)
@@ -103,23 +108,27 @@ def running_totals(df: DataFrame, order: Sequence[Column | str],
         out = out.withColumn(name, F.coalesce(F.col(f"_off_{wcol}"), F.lit(0))
                              + F.sum(wcol).over(frame))
     if group_cols:
-        # Global prefix -> per-group prefix: subtract the sum before the group's
-        # first row.  Partial aggregation keeps a hot group cheap.
+        # Global prefix -> per-group prefix: subtract the prefix before the
+        # group's first row (located by the running row count, so any sign of
+        # weights works).  Partial aggregation keeps a hot group cheap.
         aggs = []
         for name, wcol in weights.items():
-            aggs.append(F.min(F.col(name) - F.col(wcol)).alias(f"_start_{name}"))
+            if name == "_seq":
+                continue
+            aggs.append(F.min_by(F.col(name) - F.col(wcol), F.col("_seq")).alias(f"_start_{name}"))
             if group_totals:
-                aggs.append(F.max(F.col(name)).alias(f"_end_{name}"))
+                aggs.append(F.max_by(F.col(name), F.col("_seq")).alias(f"_end_{name}"))
         starts = out.groupBy(*group_cols).agg(*aggs)
         # null-safe join: a NULL group is a group too
         out = out.join(starts.withColumnsRenamed({g: f"_g_{g}" for g in group_cols}),
                        [out[g].eqNullSafe(F.col(f"_g_{g}")) for g in group_cols], "inner"
                        ).drop(*[f"_g_{g}" for g in group_cols])
-        for name in weights:
+        for name in sums:
             if group_totals:
                 out = out.withColumn(f"{name}_total",
                                      F.col(f"_end_{name}") - F.col(f"_start_{name}"))
             out = out.withColumn(name, F.col(name) - F.col(f"_start_{name}"))
+        out = out.drop("_seq")
     elif group_totals:
         for name, wcol in weights.items():
             out = out.withColumn(f"{name}_total", F.lit(grand[wcol]))
