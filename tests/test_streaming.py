@@ -66,3 +66,19 @@ def test_stream_scores_with_trained_detectors(spark):
         batch = s if batch is None else batch.unionByName(s)
     assert streamed.count() == batch.count()
     assert streamed.select(*cols).exceptAll(batch.select(*cols)).count() == 0
+
+
+def test_online_velocity_null_customer(spark):
+    import datetime as dt
+    t0 = dt.datetime(2026, 3, 1)
+    rows = [(i, None if i < 3 else 9, t0 + dt.timedelta(minutes=10 * i)) for i in range(6)]
+    schema = "tx_id long, customer_id long, timestamp timestamp_ntz"
+    df = spark.createDataFrame(rows, schema)
+    path = write_stream_input(df, "nullkey", "tx_id", 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = {r.tx_id: r for r in run_to_table(online_velocity(stream), "nullkey").collect()}
+    batch = {r.tx_id: r for r in add_velocity_features(df).collect()}
+    assert out[0].customer_id is None
+    for i in range(6):
+        assert out[i].tx_frequency_1h == batch[i].tx_frequency_1h
+        assert out[i].tx_frequency_24h == batch[i].tx_frequency_24h

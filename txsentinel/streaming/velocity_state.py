@@ -76,7 +76,7 @@ def velocity_update(key: tuple, pdfs: Iterator[pd.DataFrame],
     state.update((last_us, last_id, [float(g) for g in gaps]))
     yield pd.DataFrame({
         "tx_id": ids.astype(np.int64),
-        "customer_id": np.full(len(pdf), key[0], dtype=np.int64),
+        "customer_id": pd.array([key[0]] * len(pdf), dtype="Int64"),  # NULL key allowed
         "timestamp": pdf["timestamp"],
         "tx_frequency_1h": np.asarray(f1h, dtype=np.int64),
         "tx_frequency_24h": np.asarray(f24h, dtype=np.int64),
