@@ -187,3 +187,12 @@ def test_api_example_record_identities(spark):
     assert (r.hs, r.hc) == (pytest.approx(-0.5, abs=2e-3), pytest.approx(-0.866, abs=2e-3))
     assert (r.ds, r.dc) == (pytest.approx(0.433, abs=2e-3), pytest.approx(-0.9, abs=2e-3))
     assert r.hs ** 2 + r.hc ** 2 == pytest.approx(1.0)
+
+
+def test_dataset_summary_counts_nulls(spark):
+    df = tx(spark, [dict(tx_id=1, customer_id=None, is_fraud=1),
+                    dict(tx_id=2, transaction_amount=None),
+                    dict(tx_id=3)])
+    r = st.dataset_summary(df).first()
+    assert (r.n_total, r.n_fraud, r.n_legit, r.n_customers, r.null_cells) == (3, 1, 2, 1, 2)
+    assert r.fraud_pct == pytest.approx(100.0 / 3)

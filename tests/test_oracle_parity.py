@@ -27,3 +27,9 @@ def test_every_query_has_a_builder():
     qs = E.queries()
     assert set(E.oracle_sql()) <= set(qs)
     assert len(qs) >= 70
+
+
+def test_entry_schema_is_stable(spark):
+    a = E.entry(spark).schema
+    b = E.entry(spark).schema
+    assert a == b
