@@ -2,15 +2,14 @@
 
 Lineage is cut by writing a parquet table under the cluster's checkpoint
 folder (``spark.checkpoint.dir``).  When the session has no such folder
-configured (unit tests, local runs) one is created: a fresh temp folder in
-local mode, ``<warehouse>/_txsentinel_checkpoints`` otherwise.
+configured (unit tests, local runs) ``<warehouse>/_txsentinel_checkpoints``
+is used, which every executor can reach wherever the warehouse can.
 """
 
 from __future__ import annotations
 
 import io
 import os
-import tempfile
 import uuid
 import zipfile
 
@@ -72,24 +71,22 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     zf.write(full, os.path.relpath(full, root))
-    data = buf.getvalue()
-    if sc.master.startswith("local"):
-        out_dir = tempfile.mkdtemp(prefix="txsentinel-pkg-", dir="/tmp")
-        zpath = os.path.join(out_dir, "txsentinel.zip")
-        with open(zpath, "wb") as fh:
-            fh.write(data)
-    else:
-        # stage the archive in the shared checkpoint folder, not on the driver's disk
-        zpath = checkpoint_dir(spark).rstrip("/") + f"/pkg-{uuid.uuid4().hex}/txsentinel.zip"
-        jvm = sc._jvm
-        path = jvm.org.apache.hadoop.fs.Path(zpath)
-        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(data))
-        out.close()
-    sc.addPyFile(zpath)
+    sc.addPyFile(write_shared_file(spark, "txsentinel.zip", buf.getvalue()))
     _SHIPPED.add(key)
 
 
+def write_shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write ``data`` as one file in a fresh folder under the shared checkpoint
+    folder (through the Hadoop FileSystem) and return its URI."""
+    sc = spark.sparkContext
+    target = checkpoint_dir(spark).rstrip("/") + f"/files/{uuid.uuid4().hex}/{name}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(data))
+    out.close()
+    return target
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring one only if unset."""
     sc = spark.sparkContext
@@ -103,11 +100,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - conf may be absent
             configured = None
     if not configured:
-        if sc.master.startswith("local"):
-            configured = tempfile.mkdtemp(prefix="txsentinel-ckpt-", dir="/tmp")
-        else:
-            wh = spark.conf.get("spark.sql.warehouse.dir")
-            configured = wh.rstrip("/") + "/_txsentinel_checkpoints"
+        wh = spark.conf.get("spark.sql.warehouse.dir")
+        configured = wh.rstrip("/") + "/_txsentinel_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
