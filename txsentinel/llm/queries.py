@@ -8,13 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txsentinel.llm import bpe, decontam, exact_tree, url_filter, warc_fixity
+from txsentinel.llm import (bpe, cotrain, decontam, exact_tree, toxic_crf, url_filter,
+                            warc_fixity)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = cotrain.fit(docs, read(spark, sf_dir, "labels"))
+    return cotrain.score_quality(docs, model, carry=["doc_id"])
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = bpe.decode_ids(bpe.encode_texts(docs))
@@ -95,10 +102,22 @@ def op9_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    bucket = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = toxic_crf.fit(docs, read(spark, sf_dir, "labels"), bucket != 2)
+    tagged = toxic_crf.tag(docs, model)
+    return tagged.select("doc_id", F.coalesce(bucket == 2, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"),
+                         F.size("spans").alias("n_spans"))
+
+
 QUERIES = {
+    "op2_cotraining": (op2_cotraining, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
     "op5_url_rules": (op5_url_rules, URL_SQL),
     "op6_exact_tree": (op6_exact_tree, exact_tree.ORACLE_SQL),
     "op8_warc_fixity": (op8_warc_fixity, WARC_SQL),
     "op9_pigeonhole": (op9_pigeonhole, None),
+    "op10_toxic_crf": (op10_toxic_crf, None),
 }
