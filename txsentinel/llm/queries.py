@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txsentinel.llm import (bpe, cotrain, decontam, exact_tree, toxic_crf, url_filter,
-                            warc_fixity)
+from txsentinel.llm import (bpe, cotrain, decontam, exact_tree, tensor_minhash, toxic_crf,
+                            url_filter, warc_fixity)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.score_quality(docs, model, carry=["doc_id"])
 
 
+def op3_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = bpe.decode_ids(bpe.encode_texts(docs))
@@ -114,6 +118,7 @@ def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_cotraining": (op2_cotraining, None),
+    "op3_tensor_minhash": (op3_tensor_minhash, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
     "op5_url_rules": (op5_url_rules, URL_SQL),
     "op6_exact_tree": (op6_exact_tree, exact_tree.ORACLE_SQL),
