@@ -8,14 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txsentinel.llm import (bpe, cotrain, decontam, exact_tree, tensor_minhash, toxic_crf,
-                            url_filter, warc_fixity)
+from txsentinel.llm import (bpe, cotrain, decontam, exact_tree, hpylm, tensor_minhash,
+                            toxic_crf, url_filter, warc_fixity)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return hpylm.score_corpus(read(spark, sf_dir, "documents"), held_out)
+
+
 def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = cotrain.fit(docs, read(spark, sf_dir, "labels"))
@@ -117,6 +122,7 @@ def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hpylm": (op1_hpylm, None),
     "op2_cotraining": (op2_cotraining, None),
     "op3_tensor_minhash": (op3_tensor_minhash, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
