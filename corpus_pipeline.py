@@ -12,14 +12,38 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txsentinel.llm import bpe, decontam, exact_tree
+from txsentinel.llm import bpe, cotrain, decontam, exact_tree, tensor_minhash
 from txsentinel.session import checkpoint_dir, materialize
 
+#: Least similarity (per cent, five-word shingles) of near duplicates.
+NEAR_PERCENT = 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    model = cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotrain.score_quality(docs, model).where("kept").select(*docs.columns)
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays (the largest doc_id)."""
-    kept = materialize(exact_tree.exact_groups(docs).where("kept").select("doc_id").distinct(), "kept-ids")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group of equal texts stays (the largest doc_id).
+
+    Rows that repeat both doc_id and text, and rows without doc_id, stay or go together."""
+    groups = exact_tree.exact_groups(docs)
+    gone = materialize(groups.where("NOT kept").select(F.col("doc_id").alias("__id"),
+                                                       F.col("text_sha256").alias("__sha")).distinct(), "copies")
+    sha = F.sha2(exact_tree.normalised(docs["text"]), 256)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (sha == gone["__sha"]), "left_anti")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays (the smallest doc_id).
+
+    Rows without doc_id cannot be named as copies and stay."""
+    classes = tensor_minhash.near_duplicates(docs, percent=NEAR_PERCENT)
+    gone = materialize(classes.where("NOT kept AND doc_id IS NOT NULL")
+                       .select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
+    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +60,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", quality),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
     ("encode", encode),
 ]

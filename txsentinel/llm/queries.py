@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txsentinel.llm import (bpe, cotrain, decontam, exact_tree, hpylm, tensor_minhash,
-                            toxic_crf, url_filter, warc_fixity)
+from txsentinel.llm import (bpe, cotrain, decontam, exact_tree, hpylm, suffix_dedup,
+                            tensor_minhash, toxic_crf, url_filter, warc_fixity)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,6 +72,14 @@ def op6_exact_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["e"] - s["s"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def damaged_replica(pages: DataFrame) -> DataFrame:
     """A second replica of ``pages``: some records changed, some lost."""
     n = F.floor(F.length("html") / 2).cast("int")
@@ -128,6 +136,7 @@ QUERIES = {
     "op4_byte_bpe": (op4_byte_bpe, None),
     "op5_url_rules": (op5_url_rules, URL_SQL),
     "op6_exact_tree": (op6_exact_tree, exact_tree.ORACLE_SQL),
+    "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_warc_fixity": (op8_warc_fixity, WARC_SQL),
     "op9_pigeonhole": (op9_pigeonhole, None),
     "op10_toxic_crf": (op10_toxic_crf, None),
