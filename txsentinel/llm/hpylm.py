@@ -55,7 +55,7 @@ from txsentinel.session import materialize, shuffle_partitions
 #: Words with a short code, at most (a broadcast of 8 bytes each).
 DICTIONARY = (1 << 20) - 2
 #: Tokens that one bucket holds on average, and that a mapper gathers before it deals them out.
-BUCKET_TOKENS, CHUNK_TOKENS = 1_500_000, 2_000_000
+BUCKET_TOKENS, CHUNK_TOKENS = 1_000_000, 700_000
 BURN_IN, SAMPLES = 3, 4
 THETA, THETA_ROOT = 1.0, 10.0
 
@@ -73,6 +73,18 @@ def _unpack(blob: bytes) -> dict:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
+def group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a member of each distinct key, in key order; number of the key of every member)."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], number
+
+
 # ---------------------------------------------------------------- tokens
 
 
@@ -168,22 +180,21 @@ class Chunk:
     def clear(self):
         self.parts, self.docs, self.held, self.tokens = [], 0, [], 0
 
-    def add(self, tokens: Tokens, held: np.ndarray, salt: np.ndarray):
+    def add(self, tokens: Tokens, code: np.ndarray, held: np.ndarray, salt: np.ndarray):
         """``held``: held-out documents; ``salt``: a hash per document for sections."""
         d = self.dictionary
-        code = d.codes(tokens.word)
         first = np.cumsum(tokens.size) - tokens.size
         v, x = _shifted(tokens.word, first, 1, BEGIN), _shifted(tokens.word, first, 2, BEGIN)
         vc, xc = _shifted(code, first, 1, _BEGIN_CODE), _shifted(code, first, 2, _BEGIN_CODE)
         m = d.section_counts(vc)
-        section = np.zeros(len(v), np.int64)
+        section = np.zeros(len(v), np.int32)
         hot = np.flatnonzero(m > 1)
         if len(hot):
             mx = np.minimum(d.section_counts(xc[hot]), m[hot])
             spread = salt[tokens.doc[hot]] % mx.astype(_U64)
-            section[hot] = ((mix(x[hot]) + spread) % m[hot].astype(_U64)).astype(np.int64)
+            section[hot] = ((mix(x[hot]) + spread) % m[hot].astype(_U64)).astype(np.int32)
         self.parts.append((v, x, tokens.word, vc, xc, code, section,
-                           tokens.doc + self.docs, held[tokens.doc]))
+                           (tokens.doc + self.docs).astype(np.int32), held[tokens.doc]))
         self.docs += len(tokens.size)
         self.tokens += len(code)
 
@@ -192,13 +203,19 @@ class Chunk:
         with count 0 those held-out ones whose word has no code."""
         if not self.parts:
             return
-        v, x, w, vc, xc, wc, section, doc, held = (np.concatenate(p) for p in zip(*self.parts))
+        columns = [list(p) for p in zip(*self.parts)]
+        self.parts = []
+        for k, parts in enumerate(columns):   # one column at a time is in memory twice
+            columns[k] = np.concatenate(parts)
+            del parts
+        v, x, w, vc, xc, wc, section, doc, held = columns
+        del columns
         context = context_hash(v, section)
         extra = 2 * doc + held
         if counts_only:
             key = mix(context + mix(x * _TWO + mix(w * _THREE)))
             use = np.flatnonzero(~held | (wc == _RARE))
-            _, first, inverse = np.unique(key[use], return_index=True, return_inverse=True)
+            first, inverse = group(key[use])
             extra = np.bincount(inverse, ~held[use], len(first)).astype(np.int64)
             pick = use[first]
             v, x, w, vc, xc, wc, section, context = (
@@ -265,41 +282,44 @@ def discount(c: np.ndarray) -> float:
 
 
 class Level:
-    """Dishes of all restaurants of one level: customers, tables, and Gibbs updates."""
-
-    def __init__(self, restaurant: np.ndarray, restaurants: int, theta: float):
-        self.restaurant, self.restaurants, self.theta = restaurant, restaurants, theta
-        self.t = np.zeros(len(restaurant), np.int64)
-        self.log_z = np.zeros(len(restaurant))
-        self.c = np.zeros(len(restaurant), np.int64)
-        self.d = 0.5
-
-    def totals(self):
-        self.tables = np.bincount(self.restaurant, self.t, self.restaurants)
-        self.people = np.bincount(self.restaurant, self.c, self.restaurants)
-
-    def predict(self, parent: np.ndarray, c=None, t=None) -> np.ndarray:
-        c, t = self.c if c is None else c, self.t if t is None else t
-        r = self.restaurant
-        return ((c - self.d * t + (self.theta + self.d * self.tables[r]) * parent)
+    """Dishes of all restaurants of one level: customers, tables, and Gibbs updates.
+
+    Dishes with at most one customer have as many tables as customers; the others (``many``) are
+    the ones that Gibbs steps move."""
+
+    def __init__(self, restaurant: np.ndarray, theta: float):
+        self.restaurant, self.theta = restaurant, theta
+
+    def start(self, customers: np.ndarray, many: np.ndarray):
+        """One table per dish; ``many``: dishes that can come to have several customers."""
+        restaurants = int(self.restaurant.max()) + 1
+        self.c, self.many = customers, many
+        self.t = np.minimum(customers, 1)
+        self.log_z = np.full(len(many), -np.inf)
+        self.d = discount(customers)
+        self.tables = np.bincount(self.restaurant, self.t, restaurants)
+        self.people = np.bincount(self.restaurant, self.c, restaurants)
+
+    def predict(self, parent: np.ndarray, at=slice(None)) -> np.ndarray:
+        """P(dish) in its restaurant, for the dishes ``at``, given the parent's P(dish)."""
+        r = self.restaurant[at]
+        return ((self.c[at] - self.d * self.t[at] + (self.theta + self.d * self.tables[r]) * parent)
                 / (self.theta + self.people[r]))
 
-    def reseat(self, customers: np.ndarray, parent: np.ndarray, which: np.ndarray,
-               rng: np.random.Generator):
-        """Blocked Gibbs step of the dishes ``which`` (indices)."""
-        c = customers[which]
-        moved = c != self.c[which]
-        self.c[which] = c
-        simple = c <= 1
-        self.t[which[simple]] = c[simple]
-        rest = which[~simple]
-        if len(rest):
-            others = self.tables[self.restaurant[rest]] - self.t[rest]
-            t, log_z = seat(customers[rest], np.maximum(others, 0), parent[rest], self.theta,
-                            self.d, rng)
-            take = moved[~simple] | (np.log(rng.random(len(rest))) < log_z - self.log_z[rest])
-            self.t[rest[take]], self.log_z[rest[take]] = t[take], log_z[take]
-        self.totals()
+    def reseat(self, half: np.ndarray, customers: np.ndarray, parent: np.ndarray,
+               rng: np.random.Generator) -> np.ndarray:
+        """Blocked Gibbs step of the dishes ``many[half]``; returns the change of their tables."""
+        which = self.many[half]
+        r, old_c, old_t = self.restaurant[which], self.c[which], self.t[which]
+        t, log_z = seat(customers, np.maximum(self.tables[r] - old_t, 0), parent, self.theta, self.d, rng)
+        moved = customers != old_c
+        take = moved | (np.log(rng.random(len(which))) < log_z - self.log_z[half])
+        t = np.where(take, t, old_t)
+        self.log_z[half] = np.where(take, log_z, self.log_z[half])
+        self.c[which], self.t[which] = customers, t
+        np.add.at(self.tables, r, t - old_t)
+        np.add.at(self.people, r[moved], (customers - old_c)[moved])
+        return t - old_t
 
 
 class Bucket:
@@ -308,46 +328,44 @@ class Bucket:
     def __init__(self, v, section, x, w, train: np.ndarray, seed: int):
         context = context_hash(v, section)
         inner = mix(context + mix(x * _TWO))
-        pair = mix(context * _TWO + mix(w * _THREE))
-        key = mix(inner * _THREE + mix(w * _ONE))
-        _, first, self.inverse = np.unique(key, return_index=True, return_inverse=True)
+        first, self.inverse = group(mix(inner * _THREE + mix(w * _ONE)))
         self.count = np.bincount(self.inverse, train, len(first)).astype(np.int64)
-        _, self.inner = np.unique(inner[first], return_inverse=True)
-        _, pair_first, self.pair = np.unique(pair[first], return_index=True, return_inverse=True)
-        _, outer = np.unique(context[first][pair_first], return_inverse=True)
-        self.words, self.pair_word = np.unique(w[first][pair_first], return_inverse=True)
-        self.leaf = Level(self.inner, int(self.inner.max()) + 1, THETA)
-        self.middle = Level(outer, int(outer.max()) + 1, THETA)
+        context, inner, w = context[first], inner[first], w[first]
+        _, self.inner = group(inner)
+        first, self.pair = group(mix(context * _TWO + mix(w * _THREE)))
+        _, outer = group(context[first])
+        w = w[first]
+        at, self.pair_word = group(w)
+        self.words = w[at]
+        self.leaf, self.middle = Level(self.inner, THETA), Level(outer, THETA)
         self.rng = np.random.default_rng([seed, len(v)])
 
     def start(self, root: np.ndarray):
         """``root``: P0 of ``self.words``.  One table per dish before the first sweep."""
         self.root = root[self.pair_word]
-        self.leaf.c, self.leaf.t = self.count.copy(), np.minimum(self.count, 1)
-        self.leaf.d = discount(self.count)
-        self.leaf.totals()
-        customers = self.customers()
-        self.middle.c, self.middle.t = customers, np.minimum(customers, 1)
-        self.middle.d = discount(customers)
-        self.middle.totals()
-        self.leaf.log_z[:] = self.middle.log_z[:] = -np.inf
-
-    def customers(self) -> np.ndarray:
-        return np.bincount(self.pair, self.leaf.t, len(self.pair_word)).astype(np.int64)
+        self.leaf.start(self.count, np.flatnonzero(self.count > 1))
+        tokens = np.bincount(self.pair, self.count, len(self.pair_word))
+        tables = np.bincount(self.pair, self.leaf.t, len(self.pair_word)).astype(np.int64)
+        self.customers = tables
+        self.middle.start(tables.copy(), np.flatnonzero(tokens > 1))
 
     def sweep(self):
+        """One Gibbs sweep, children before parents; each level in two random halves."""
         leaf, middle = self.leaf, self.middle
-        for half in self._halves(len(leaf.t)):
+        for half in self._halves(len(leaf.many)):
+            dish = leaf.many[half]
+            pair = self.pair[dish]
             # the parent as it is without the tables of the dish itself
-            c = np.maximum(middle.c[self.pair] - leaf.t, 0)
-            t = np.minimum(middle.t[self.pair], c)
-            r = middle.restaurant[self.pair]
-            parent = ((c - middle.d * t + (middle.theta + middle.d * middle.tables[r])
-                       * self.root[self.pair]) / (middle.theta + middle.people[r]))
-            leaf.reseat(self.count, parent, half, self.rng)
-        customers = self.customers()
-        for half in self._halves(len(middle.t)):
-            middle.reseat(customers, self.root, half, self.rng)
+            c = np.maximum(middle.c[pair] - leaf.t[dish], 0)
+            t = np.minimum(middle.t[pair], c)
+            r = middle.restaurant[pair]
+            parent = ((c - middle.d * t + (middle.theta + middle.d * middle.tables[r]) * self.root[pair])
+                      / (middle.theta + middle.people[r]))
+            change = leaf.reseat(half, self.count[dish], parent, self.rng)
+            np.add.at(self.customers, pair, change)
+        for half in self._halves(len(middle.many)):
+            dish = middle.many[half]
+            middle.reseat(half, self.customers[dish], self.root[dish], self.rng)
 
     def _halves(self, n: int):
         side = self.rng.random(n) < 0.5
@@ -487,9 +505,9 @@ def _token_rows(shared, counts_only: bool):
                 held = np.array(rows.column(1).to_pylist(), bool)
                 ids = rows.column(0)
                 plain = np.asarray(ids.fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
-                chunk.add(tokens, held, mix(plain.view(_U64)))
+                code = dictionary.codes(tokens.word)
+                chunk.add(tokens, code, held, mix(plain.view(_U64)))
                 if not counts_only:
-                    code = dictionary.codes(tokens.word)
                     known = code < _BEGIN_CODE
                     n = len(tokens.size)
                     docs.append({
@@ -506,12 +524,12 @@ def _token_rows(shared, counts_only: bool):
 
 
 def _load(bodies: list[bytes], dictionary: Dictionary):
-    """v, section, x, w, extra (count or document) of packed token rows."""
+    """v, section, x, w, extra (count or document), whether w has no code, of packed token rows."""
     out = []
     for body in bodies:
         data = _unpack(body)
         v, x, w = (dictionary.words(_codes(data[n]), data[n + "r"]) for n in "vxw")
-        out.append((v, data["s"].astype(np.int64), x, w, data["e"].astype(np.int64)))
+        out.append((v, data["s"], x, w, data["e"], _codes(data["w"]) == _RARE))
     return out
 
 
@@ -523,7 +541,8 @@ def _first_epoch(shared, parts: int, total: int, types: int):
         dictionary = shared.value[0]
         for bucket, rows in _groups(batches):
             loaded = _load(rows["body"], dictionary)
-            v, s, x, w, count = (np.concatenate(p) for p in zip(*loaded))
+            v, s, x, w, count, _ = (np.concatenate(p) for p in zip(*loaded))
+            del loaded
             model = Bucket(v, s, x, w, count, bucket)
             code = dictionary.codes(model.words)
             known = code < _BEGIN_CODE
@@ -642,8 +661,8 @@ def _second_epoch(shared, root_shared, unseen: float, total: int, types: int):
 def _score_bucket(bucket, posts, answers, dictionary, root, unseen, total, types):
     loaded = _load([b for _, b in posts], dictionary)
     size = [len(p[0]) for p in loaded]
-    documents = [np.cumsum(p[4]) for p in loaded]
-    v, s, x, w = (np.concatenate([p[k] for p in loaded]) for k in range(4))
+    documents = [np.cumsum(p[4], dtype=np.int64) for p in loaded]
+    v, s, x, w, rare = (np.concatenate([p[k] for p in loaded]) for k in (0, 1, 2, 3, 5))
     held = np.concatenate([d & 1 for d in documents]).astype(bool)
     del loaded
     model = Bucket(v, s, x, w, ~held, bucket)
@@ -665,7 +684,6 @@ def _score_bucket(bucket, posts, answers, dictionary, root, unseen, total, types
         model.sweep()
         mean += model.predict()
     logs = np.log10(mean / SAMPLES)[model.inverse]
-    rare = dictionary.codes(w) == _RARE
     n = tokens[np.searchsorted(model.words, w[rare])]
     base = np.log10((n + 1.0) / (total + types + 1))
     out, low, low_rare = [], 0, 0
@@ -692,7 +710,8 @@ def _finish(total: int):
     def run(batches):
         for _, rows in _groups(batches):
             table = next(_unpack(b) for k, b in zip(rows["kind"], rows["body"]) if k == 1)
-            score, base, known = np.zeros(len(table["n"])), table["base"].copy(), table["known"].copy()
+            score = np.zeros(len(table["n"]))
+            base, known = table["base"].astype(float), table["known"].astype(np.int64)
             for kind, body in zip(rows["kind"], rows["body"]):
                 if kind == 0:
                     part = _unpack(body)
@@ -704,7 +723,7 @@ def _finish(total: int):
                 "id": pa.array(table["id"], pa.int64(), mask=table["null"].astype(bool)),
                 "held_out": pa.array(table["held"], pa.bool_()),
                 "n_tokens": pa.array(table["n"], pa.int64()),
-                "n_known": pa.array(known.astype(np.int64), pa.int64()),
+                "n_known": pa.array(known, pa.int64()),
                 "train_tokens": pa.array([total] * len(score), pa.int64()),
                 "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
