@@ -25,9 +25,3 @@ def keyed_normal(key: Column | str, salt1: str, salt2: str) -> Column:
     u1 = keyed_uniform(key, salt1)
     u2 = keyed_uniform(key, salt2)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-
-
-def uniform_sql(key_sql: str, salt: str) -> str:
-    """The same U(id, salt) as a DuckDB/ANSI SQL snippet (for oracles)."""
-    return (f"((CAST(('0x' || substr(md5(CAST({key_sql} AS VARCHAR) || ':{salt}'), 1, 8))"
-            f" AS BIGINT) + 0.5) / 4294967296.0)")

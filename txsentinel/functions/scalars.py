@@ -60,12 +60,6 @@ def clean_value(x: ColumnOrName) -> Column:
     return F.when(bad, F.lit(0.0)).otherwise(v)
 
 
-def standardize(x: ColumnOrName, mean: float | Column, std: float | Column) -> Column:
-    mean_c = mean if isinstance(mean, Column) else F.lit(float(mean))
-    std_c = std if isinstance(std, Column) else F.lit(float(std))
-    return (_c(x) - mean_c) / std_c
-
-
 def clip(x: ColumnOrName, bound: float) -> Column:
     return F.least(F.greatest(_c(x), F.lit(-float(bound))), F.lit(float(bound)))
 
@@ -90,6 +84,11 @@ def planar_distance_km(lat: ColumnOrName, lon: ColumnOrName,
     return F.sqrt(dlat * dlat + dlon * dlon) * F.lit(111.0)
 
 
+def clock_hour(hour: ColumnOrName) -> Column:
+    """floor(hour) mod 24, never negative."""
+    return F.pmod(F.floor(_c(hour)).cast("int"), F.lit(24))
+
+
 def round_money(x: ColumnOrName) -> Column:
     """Round to cents, half away from zero for positive values: floor(x*100+0.5)/100."""
     return F.floor(_c(x) * F.lit(100.0) + F.lit(0.5)) / F.lit(100.0)

@@ -30,19 +30,14 @@ def score_frame(df: DataFrame, model: str, score: Column, prediction: Column,
                      score.cast("double").alias("score"), prediction.cast("int").alias("prediction"))
 
 
-def spread_for_python(df: DataFrame) -> DataFrame:
-    """Give CPU-bound Python stages (pandas UDFs) at least one task per core.
-
-    Small inputs can arrive in fewer partitions than the cluster has cores;
-    only then are they redistributed (round-robin).  Large inputs already
-    have many more partitions than cores and pass through untouched.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def verdict(score: Column, prediction: Column) -> Column:
+    """struct(score, prediction): what a detector says about a row."""
+    return F.struct(score.cast("double").alias("score"), prediction.cast("int").alias("prediction"))
+
+
+def long_scores(df: DataFrame, model: str, column: str, label: str = "is_fraud") -> DataFrame:
+    """Long score rows from a frame with a verdict column."""
+    return score_frame(df, model, F.col(f"{column}.score"), F.col(f"{column}.prediction"), label)
 
 
 def fit_feature_scaler(train: DataFrame, features: list[str] | None = None) -> Scaler:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txsentinel.operators.detectors.base import (
-    fit_feature_scaler, load_meta, load_scaler, prepared, save_meta, save_scaler, score_frame,
+    fit_feature_scaler, load_meta, load_scaler, long_scores, prepared, save_meta, save_scaler, verdict,
 )
 from txsentinel.operators.evaluate import classification_metrics
 from txsentinel.operators.ordered import purged_kfold_by_keys
@@ -73,13 +73,17 @@ class GBTDetector:
             data.unpersist()
         return self
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """M3: P(fraud) and flag p > 0.5."""
+    def add_verdict(self, df: DataFrame, out: str) -> DataFrame:
+        """M3: P(fraud) and flag p > 0.5 as struct ``out``; the features of ``df`` are used up."""
         if self.model is None:
             raise ValueError("model is not trained")
         scored = self.model.transform(assemble(prepared(df, self.scaler, CLIP_BOUND), self.features))
         p = vector_to_array(F.col("probability"))[1]
-        return score_frame(scored, self.name, p, (p > 0.5).cast("int"))
+        return scored.withColumn(out, verdict(p, p > 0.5)).drop(
+            "features", "rawPrediction", "probability", "prediction")
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return long_scores(self.add_verdict(df, "_v"), self.name, "_v")
 
     def importances(self) -> DataFrame:
         """M5: (feature, importance), normalised to sum 1."""

@@ -7,18 +7,18 @@ variant), flag = error > threshold (strict).
 
 * ``PCAReconstructionDetector`` (M7): MLlib PCA (distributed covariance);
   projection and reconstruction are plain column arithmetic (JVM, codegen).
-* ``AutoencoderDetector`` (M8): a dense ReLU autoencoder trained by
-  data-parallel full-batch Adam: each step broadcasts the weights, every
-  partition returns its gradient sum from ``mapInPandas`` (numpy), Spark
-  adds those vectors up (``Summarizer.sum``, partial aggregation) and the
-  driver receives one parameter-sized vector per step, then updates.  A keyed-hash 15 % validation split
-  drives early stopping with best-weight restore.
+* ``AutoencoderDetector`` (M8): a dense ReLU autoencoder trained by rounds of
+  local mini-batch Adam: a round broadcasts weights and moments, every
+  partition makes one pass in mini-batches (``mapInPandas``, numpy), Spark sums
+  the results weighted by rows (``Summarizer.sum``, partial aggregation) and
+  the driver receives one vector per round.  A keyed-hash 15 % validation
+  split drives early stopping with best-weight restore.
 """
 
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -32,13 +32,13 @@ from pyspark.sql import types as T
 
 from txsentinel.functions.hashing import keyed_uniform
 from txsentinel.operators.detectors.base import (
-    feature_array, fit_feature_scaler, load_meta, load_scaler, prepared, save_meta, save_scaler,
-    score_frame, spread_for_python,
+    feature_array, fit_feature_scaler, load_meta, load_scaler, long_scores, prepared, save_meta,
+    save_scaler, verdict,
 )
 from txsentinel.operators.ordered import exact_quantiles
 from txsentinel.functions.scalars import vector_mse
 from txsentinel.operators.scaling import Scaler, assemble
-from txsentinel.schema import FEATURES
+from txsentinel.schema import CLIP_BOUND, FEATURES
 from txsentinel.session import materialize
 
 
@@ -58,10 +58,10 @@ class PCAReconstructionDetector:
 
     def fit(self, train_normal: DataFrame) -> "PCAReconstructionDetector":
         self.scaler = fit_feature_scaler(train_normal, self.features)
-        data = assemble(prepared(train_normal, self.scaler, None), self.features)
+        data = assemble(prepared(train_normal, self.scaler, CLIP_BOUND), self.features)
         model: PCAModel = PCA(k=self.k, inputCol="features", outputCol="_pca").fit(data)
         self.components = model.pc.toArray().tolist()
-        errs = self._errors(prepared(train_normal, self.scaler, None))
+        errs = self._errors(prepared(train_normal, self.scaler, CLIP_BOUND))
         self.threshold = _threshold(errs, self.quantile)
         return self
 
@@ -88,19 +88,27 @@ class PCAReconstructionDetector:
         proj = self._project(scaled)
         rec = F.transform(rows_of_p, lambda row: F.aggregate(
             F.zip_with(F.col("_pc"), row, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
-        keep = [c for c in ("tx_id", "is_fraud") if c in scaled.columns]
-        return proj.select(*keep, vector_mse(F.col("_x"), rec).alias("err"))
+        return proj.withColumn("err", vector_mse(F.col("_x"), rec)).drop("_x", "_pc")
 
-    def score(self, df: DataFrame) -> DataFrame:
+    def with_quantile(self, name: str, quantile: float, train_normal: DataFrame) -> "PCAReconstructionDetector":
+        """The same fitted projection under another training quantile (no second fit)."""
+        out = replace(self, name=name, quantile=quantile)
+        out.threshold = _threshold(out._errors(prepared(train_normal, self.scaler, CLIP_BOUND)), quantile)
+        return out
+
+    def add_verdict(self, df: DataFrame, out: str) -> DataFrame:
         if self.components is None:
             raise ValueError("model is not trained")
         e = F.col("err")
-        errs = self._errors(prepared(df, self.scaler, None))
-        return score_frame(errs, self.name, e, (e > F.lit(self.threshold)).cast("int"))
+        errs = self._errors(prepared(df, self.scaler, CLIP_BOUND))
+        return errs.withColumn(out, verdict(e, e > F.lit(self.threshold))).drop("err")
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return long_scores(self.add_verdict(df, "_v"), self.name, "_v")
 
     def latent(self, df: DataFrame) -> DataFrame:
         """M8b analogue: the k principal-component scores as array<double>."""
-        proj = self._project(prepared(df, self.scaler, None))
+        proj = self._project(prepared(df, self.scaler, CLIP_BOUND))
         return proj.select("tx_id", F.col("_pc").alias("latent"))
 
     def save(self, path: str) -> None:
@@ -170,6 +178,22 @@ def _loss_grad(params: list[np.ndarray], X: np.ndarray):
     return loss, grad
 
 
+#: Rows a partition holds at least while the autoencoder trains (about 40 mini-batches a pass).
+ROWS_PER_PARTITION = 10_000
+
+
+def _adam_step(state: np.ndarray, X: np.ndarray, sizes: list[int], step: int, rate: float) -> float:
+    """One Adam step on ``state`` = (weights, first, second moments), in place; summed row loss."""
+    n = len(state) // 3
+    w, m, v = state[:n], state[n:2 * n], state[2 * n:]
+    loss, grad = _loss_grad(_unflatten(w, sizes), X)
+    g = _flatten(grad) / len(X)
+    m += 0.1 * (g - m)
+    v += 0.001 * (g * g - v)
+    w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-7)
+    return loss
+
+
 def _row_mse(params: list[np.ndarray], X: np.ndarray) -> np.ndarray:
     out = _forward(params, X)[-1]
     return np.mean((out - X) ** 2, axis=1)
@@ -182,6 +206,7 @@ class AutoencoderDetector:
     epochs: int = 100
     learning_rate: float = 1e-3
     patience: int = 10
+    batch_size: int = 256
     validation: float = 0.15
     quantile: float = 0.95
     seed: int = 42
@@ -190,6 +215,7 @@ class AutoencoderDetector:
     weights: np.ndarray | None = None
     threshold: float | None = None
     history: list[tuple[float, float]] = field(default_factory=list)
+    train_errors: DataFrame | None = field(default=None, repr=False)
 
     @property
     def sizes(self) -> list[int]:
@@ -197,28 +223,38 @@ class AutoencoderDetector:
         return [d, *self.hidden, d]
 
     def _matrix(self, df: DataFrame) -> DataFrame:
-        keep = [c for c in ("tx_id", "is_fraud") if c in df.columns]
-        return prepared(df, self.scaler, None).select(*keep, feature_array(self.features).alias("x"))
+        """The columns of ``df`` without the features, plus ``x``: the scaled features."""
+        return prepared(df, self.scaler, None).withColumn(
+            "x", feature_array(self.features)).drop(*self.features)
 
     def fit(self, train_normal: DataFrame) -> "AutoencoderDetector":
+        """Rounds of local mini-batch Adam: every partition makes one pass over its rows (in
+        keyed-hash order) from the broadcast weights and moments; Spark averages the results by
+        row count.  A partition holds at least ``ROWS_PER_PARTITION`` rows, so that a pass has
+        enough steps; the validation loss of the averaged weights drives early stopping."""
         self.scaler = fit_feature_scaler(train_normal, self.features)
-        data = spread_for_python(self._matrix(train_normal).withColumn(
-            "is_val", keyed_uniform("tx_id", f"val{self.seed}") < F.lit(self.validation)))
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data = self._matrix(train_normal).select("tx_id", "x").withColumn(
+            "is_val", keyed_uniform("tx_id", f"val{self.seed}") < F.lit(self.validation))
         spark = data.sparkSession
-        sizes = self.sizes
+        order = keyed_uniform("tx_id", f"order{self.seed}")
+        parts = max(1, min(train_normal.count() // ROWS_PER_PARTITION,
+                           8 * spark.sparkContext.defaultParallelism))
+        data = data.repartition(parts, "tx_id").sortWithinPartitions(order)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        sizes, batch, rate = self.sizes, self.batch_size, self.learning_rate
         w = _flatten(_init_weights(sizes, self.seed))
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        b1, b2, eps = 0.9, 0.999, 1e-7
+        state, steps = np.concatenate([w, np.zeros(2 * len(w))]), 0
         best, best_w, bad = np.inf, w.copy(), 0
-        out_schema = "n_train long, loss_train double, n_val long, loss_val double, grad array<double>"
+        out_schema = ("n_train long, loss_train double, n_val long, loss_val double, steps long, "
+                      "state array<double>")
         try:
-            for epoch in range(1, self.epochs + 1):
-                bc = spark.sparkContext.broadcast(w)
+            for _ in range(self.epochs + 1):
+                bc = spark.sparkContext.broadcast((state, steps))
 
-                def step(it, bc=bc, sizes=sizes):
-                    params = _unflatten(bc.value, sizes)
-                    g_sum = np.zeros_like(bc.value)
+                def one_pass(it, bc=bc):
+                    start, step = bc.value
+                    own = start.copy()
+                    frozen = _unflatten(start[:len(start) // 3], sizes)
                     nt = nv = 0
                     lt = lv = 0.0
                     for pdf in it:
@@ -226,52 +262,52 @@ class AutoencoderDetector:
                             continue
                         X = np.vstack(pdf["x"].to_numpy()).astype(float)
                         val = pdf["is_val"].to_numpy(dtype=bool)
-                        if (~val).any():
-                            loss, grad = _loss_grad(params, X[~val])
-                            g_sum += _flatten(grad)
-                            lt += loss
-                            nt += int((~val).sum())
-                        if val.any():
-                            lv += float(np.sum(_row_mse(params, X[val])))
-                            nv += int(val.sum())
-                    yield pd.DataFrame({"n_train": [nt], "loss_train": [lt], "n_val": [nv],
-                                        "loss_val": [lv], "grad": [g_sum.tolist()]})
-
-                # per-partition gradient sums, added up inside Spark (a vector
-                # aggregate with partial merges); the driver receives one vector
-                tot = (data.mapInPandas(step, out_schema)
-                       .select("n_train", "loss_train", "n_val", "loss_val",
-                               array_to_vector("grad").alias("g"))
+                        lv += float(np.sum(_row_mse(frozen, X[val])))
+                        nv += int(val.sum())
+                        X = X[~val]
+                        for k in range(0, len(X), batch):
+                            step += 1
+                            lt += _adam_step(own, X[k:k + batch], sizes, step, rate)
+                        nt += len(X)
+                    yield pd.DataFrame({"n_train": [nt], "loss_train": [lt], "n_val": [nv], "loss_val": [lv],
+                                        "steps": [step], "state": [(own * nt).tolist()]})
+
+                # the sums are vector aggregates with partial merges; one vector reaches the driver
+                tot = (data.mapInPandas(one_pass, out_schema)
+                       .select("n_train", "loss_train", "n_val", "loss_val", "steps",
+                               array_to_vector("state").alias("g"))
                        .agg(F.sum("n_train").alias("nt"), F.sum("loss_train").alias("lt"),
                             F.sum("n_val").alias("nv"), F.sum("loss_val").alias("lv"),
-                            Summarizer.sum(F.col("g")).alias("g"))
+                            F.max("steps").alias("steps"), Summarizer.sum(F.col("g")).alias("g"))
                        .first())
                 bc.unpersist()
                 nt, nv = int(tot["nt"] or 0), int(tot["nv"] or 0)
-                g = tot["g"].toArray() / max(nt, 1)
                 train_loss = (tot["lt"] or 0.0) / max(nt, 1)
                 val_loss = (tot["lv"] or 0.0) / max(nv, 1) if nv else train_loss
                 self.history.append((train_loss, val_loss))
                 if not np.isfinite(train_loss):
                     raise FloatingPointError("autoencoder loss is not finite")
                 if val_loss < best:
-                    best, best_w, bad = val_loss, w.copy(), 0
+                    best, best_w, bad = val_loss, state[:len(w)].copy(), 0
                 else:
                     bad += 1
                     if bad >= self.patience:
                         break
-                m = b1 * m + (1 - b1) * g
-                v = b2 * v + (1 - b2) * g * g
-                mh = m / (1 - b1 ** epoch)
-                vh = v / (1 - b2 ** epoch)
-                w = w - self.learning_rate * mh / (np.sqrt(vh) + eps)
+                state, steps = tot["g"].toArray() / max(nt, 1), int(tot["steps"] or 0)
             self.weights = best_w
             errs = materialize(self._errors(data).select("tx_id", "err"), "ae_train")
             self.threshold = _threshold(errs, self.quantile)
+            self.train_errors = errs
         finally:
             data.unpersist()
         return self
 
+    def with_quantile(self, name: str, quantile: float) -> "AutoencoderDetector":
+        """The same trained network under another training quantile (no second fit)."""
+        out = replace(self, name=name, quantile=quantile)
+        out.threshold = _threshold(self.train_errors, quantile)
+        return out
+
     def _errors(self, matrix: DataFrame) -> DataFrame:
         spark = matrix.sparkSession
         bc = spark.sparkContext.broadcast(self.weights)
@@ -284,14 +320,17 @@ class AutoencoderDetector:
             X = np.vstack(x.to_numpy()).astype(float)
             return pd.Series(_row_mse(_unflatten(bc.value, sizes), X))
 
-        return spread_for_python(matrix).select("*", mse(F.col("x")).alias("err"))
+        return matrix.select("*", mse(F.col("x")).alias("err"))
 
-    def score(self, df: DataFrame) -> DataFrame:
+    def add_verdict(self, df: DataFrame, out: str) -> DataFrame:
         if self.weights is None:
             raise ValueError("model is not trained")
-        errs = self._errors(self._matrix(df))
         e = F.col("err")
-        return score_frame(errs, self.name, e, (e > F.lit(self.threshold)).cast("int"))
+        errs = self._errors(self._matrix(df))
+        return errs.withColumn(out, verdict(e, e > F.lit(self.threshold))).drop("x", "err")
+
+    def score(self, df: DataFrame) -> DataFrame:
+        return long_scores(self.add_verdict(df, "_v"), self.name, "_v")
 
     def latent(self, df: DataFrame) -> DataFrame:
         """The bottleneck activations (encoder half) as array<double>."""

@@ -44,6 +44,11 @@ class RuleDetector:
     def fit(self, _train: DataFrame) -> "RuleDetector":
         return self
 
+    def add_verdict(self, df: DataFrame, out: str) -> DataFrame:
+        score = F.coalesce(F.abs(F.col(self.column)).cast("double"), F.lit(0.0))
+        flag = F.when(score > F.lit(float(self.threshold)), 1).otherwise(0)
+        return df.withColumn(out, F.struct(score.alias("score"), flag.alias("prediction")))
+
     def score(self, df: DataFrame) -> DataFrame:
         label = "is_fraud" if "is_fraud" in df.columns else None
         if label is None:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txsentinel.operators import ordered
+from txsentinel.session import materialize
 from txsentinel.schema import COST_FALSE_NEGATIVE, COST_FALSE_POSITIVE
 
 EPS_F1 = 1e-10  # fixed value: denominator guard of the optimal-threshold F1
@@ -44,9 +45,26 @@ def classification_metrics(scores: DataFrame,
                            cost_fn: float = COST_FALSE_NEGATIVE,
                            cost_fp: float = COST_FALSE_POSITIVE) -> DataFrame:
     """V1 + V2: accuracy, precision, recall, F1 (0 when undefined), total cost."""
+    return metrics_of(confusion_counts(scores), cost_fn, cost_fp)
+
+
+def counted_confusion(counts: DataFrame) -> DataFrame:
+    """A7 from rows that carry their number ``n``."""
+    def cell(label, prediction):
+        hit = (F.col("label") == label) & (F.col("prediction") == prediction)
+        return F.sum(F.when(hit, F.col("n")).otherwise(0))
+
+    return counts.groupBy("model").agg(
+        cell(0, 0).alias("true_negatives"), cell(0, 1).alias("false_positives"),
+        cell(1, 0).alias("false_negatives"), cell(1, 1).alias("true_positives"))
+
+
+def metrics_of(confusion: DataFrame, cost_fn: float = COST_FALSE_NEGATIVE,
+               cost_fp: float = COST_FALSE_POSITIVE) -> DataFrame:
+    """V1 + V2 from the four counts per model."""
     tn, fp = F.col("true_negatives"), F.col("false_positives")
     fn, tp = F.col("false_negatives"), F.col("true_positives")
-    return confusion_counts(scores).select(
+    return confusion.select(
         "model",
         _ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
         _ratio(tp, tp + fp).alias("precision"),
@@ -65,28 +83,26 @@ def financial_cost(scores: DataFrame, cost_fn: float = COST_FALSE_NEGATIVE,
         "model", "false_negatives", "false_positives", "total_cost")
 
 
-# A model whose distinct scores stay under this bound may be ranked in one task.
-MAX_DISTINCT_SCORES = 1_000_000
-
-
 def cumulative_counts(scores: DataFrame, num_partitions: int | None = None,
-                      method: str = "auto") -> DataFrame:
+                      method: str = "ranged") -> DataFrame:
     """Per model and distinct score (descending), counts of rows with
     score >= that score: tp, fp; plus pos/neg at the score and class totals.
 
     Rows are first pre-aggregated to one per (model, distinct score).
     method='ranged' ranks them with ``ordered.running_totals`` (range
     partitions, no model gathered into one task); method='window' uses a
-    window per model; 'auto' counts the largest model's distinct scores and
-    takes 'window' only when that is at most MAX_DISTINCT_SCORES.
+    window per model, for scores with few distinct values.
     """
     per_score = (scores.where(F.col("score").isNotNull())
                  .groupBy("model", "score")
                  .agg(F.sum(F.col("label").cast("long")).alias("pos"),
                       F.sum((1 - F.col("label")).cast("long")).alias("neg")))
-    if method == "auto":
-        big = ordered.largest_group(per_score, ["model"])
-        method = "window" if big <= MAX_DISTINCT_SCORES else "ranged"
+    return ranked_counts(per_score, num_partitions, method)
+
+
+def ranked_counts(per_score: DataFrame, num_partitions: int | None = None,
+                  method: str = "ranged") -> DataFrame:
+    """W7 from one row per model and distinct score (see ``cumulative_counts``)."""
     if method == "window":
         w = Window.partitionBy("model").orderBy(F.col("score").desc())
         run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -261,10 +277,19 @@ def tournament(scores: DataFrame, cost_fn: float = COST_FALSE_NEGATIVE,
                num_partitions: int | None = None) -> DataFrame:
     """One row per model with all metrics; ``rank`` 1 = best F1 (O3).
 
+    The scores are read once: their counts by (model, score, label, prediction) are written, and
+    both the confusion matrix and the curves come from them.
+
     The rank window runs over one row per model (bounded by the model count).
     """
-    m = classification_metrics(scores, cost_fn, cost_fp)
-    auc = auc_scores(cumulative_counts(scores, num_partitions))
+    counts = materialize(
+        scores.groupBy("model", "score", "label", "prediction").agg(F.count(F.lit(1)).alias("n")),
+        "score-counts")
+    m = metrics_of(counted_confusion(counts), cost_fn, cost_fp)
+    per_score = (counts.where(F.col("score").isNotNull()).groupBy("model", "score")
+                 .agg(F.sum(F.col("label").cast("long") * F.col("n")).alias("pos"),
+                      F.sum((1 - F.col("label")).cast("long") * F.col("n")).alias("neg")))
+    auc = auc_scores(ranked_counts(per_score, num_partitions))
     t = m.join(auc, "model", "left")
     rank = F.row_number().over(Window.orderBy(F.col("f1_score").desc(), F.col("model")))
     return t.select("model", "accuracy", "precision", "recall", "f1_score", "auc_roc", "auc_pr",

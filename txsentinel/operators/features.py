@@ -25,14 +25,15 @@ from txsentinel.schema import (
 
 def customer_stats(tx: DataFrame, amount: str = "transaction_amount",
                    key: str = "customer_id", median: str = "exact",
-                   num_partitions: int | None = None, method: str = "auto") -> DataFrame:
+                   num_partitions: int | None = None, method: str = "builtin") -> DataFrame:
     """A1: per customer mean, sample std (single row -> 1.0) and median.
 
     median='exact' (default) is exact; ``method`` picks the plan (see
     ordered.exact_quantiles): 'ranged' ranks (customer, amount) counts over
     range partitions so a customer with a third of all rows is split across
-    tasks; 'auto' uses Spark's one-aggregation percentile when the largest
-    customer's distinct amounts are provably small.
+    tasks.
+    'builtin' (default) is Spark's one-aggregation percentile, whose state per customer is a
+    count per distinct amount.
     median='approx' uses percentile_approx (a mergeable sketch) instead.
     Rows with a NULL key are left out (as pandas groupby does).
     """
@@ -42,9 +43,6 @@ def customer_stats(tx: DataFrame, amount: str = "transaction_amount",
     if median == "approx":
         return keyed.groupBy(key).agg(*moments, F.percentile_approx(
             amount, 0.5, 10000).cast("double").alias("cust_median"))
-    if method == "auto":
-        big = ordered.largest_group(keyed.where(F.col(amount).isNotNull()), [key], amount)
-        method = "builtin" if big * 1.25 <= ordered.MAX_GROUP_DISTINCT else "ranged"
     if method == "builtin":  # one aggregation, one shuffle
         return keyed.groupBy(key).agg(*moments, F.percentile(
             F.col(amount).cast("double"), 0.5).alias("cust_median"))
@@ -69,16 +67,12 @@ def add_amount_features(df: DataFrame, drop_stats: bool = True) -> DataFrame:
     return out.drop("cust_mean", "cust_std", "cust_median") if drop_stats else out
 
 
-# A customer with at most this many rows may be windowed inside one task.
-MAX_GROUP_ROWS = 2_000_000
-
-
 def velocity_window(key: str = "customer_id", ts: str = "timestamp", tie: str = "tx_id"):
     return Window.partitionBy(key).orderBy(F.col(ts).asc(), F.col(tie).asc())
 
 
 def tx_gap_seconds(df: DataFrame, key: str = "customer_id", ts: str = "timestamp",
-                   tie: str = "tx_id", strategy: str = "auto") -> DataFrame:
+                   tie: str = "tx_id", strategy: str = "window") -> DataFrame:
     """Seconds since the customer's previous transaction; first -> 9999."""
     out = add_velocity_features(df, key, ts, tie, keep_gap=True, strategy=strategy)
     return out.drop("tx_frequency_1h", "tx_frequency_24h")
@@ -101,25 +95,19 @@ def _velocity_columns(df: DataFrame, w, ts: str) -> DataFrame:
 
 def add_velocity_features(df: DataFrame, key: str = "customer_id", ts: str = "timestamp",
                           tie: str = "tx_id", keep_gap: bool = False,
-                          strategy: str = "auto", num_partitions: int | None = None,
-                          max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                          strategy: str = "window", num_partitions: int | None = None) -> DataFrame:
     """W2 (and W3 fallback when there is no timestamp column).
 
     tx_frequency_1h  = number of gaps < 3600 s among the last 5 rows,
     tx_frequency_24h = number of gaps < 86400 s among the last 20 rows
     (row windows, not time ranges), ordered by (timestamp, tx_id).
 
-    strategy='window': one Window partitioned by customer (one Exchange +
+    strategy='window' (default): one Window partitioned by customer (one Exchange +
     Sort; a customer's rows all go to one task).
     strategy='ranged': skew-safe, see ``velocity_ranged``.
-    strategy='auto' (default): count the largest customer first; 'window'
-    when it has at most ``max_group_rows`` rows, else 'ranged'.
     """
     if ts not in df.columns:
         return velocity_fallback(df, key, tie, num_partitions=num_partitions)
-    if strategy == "auto":
-        big = ordered.largest_group(df, [key])
-        strategy = "window" if big <= max_group_rows else "ranged"
     if strategy == "ranged":
         out = velocity_ranged(df, key, ts, tie, num_partitions)
     else:
@@ -256,7 +244,7 @@ def add_interaction_features(df: DataFrame) -> DataFrame:
 
 def engineer_features(tx: DataFrame, stats: DataFrame | None = None,
                       median: str = "exact", num_partitions: int | None = None,
-                      strategy: str = "auto") -> DataFrame:
+                      strategy: str = "window") -> DataFrame:
     """All 18 features in one lazy plan.
 
     ``stats`` defaults to statistics over the whole input (the reference's
@@ -264,7 +252,7 @@ def engineer_features(tx: DataFrame, stats: DataFrame | None = None,
     """
     if stats is None:
         stats = customer_stats(tx, median=median, num_partitions=num_partitions,
-                               method="ranged" if strategy == "ranged" else "auto")
+                               method="ranged" if strategy == "ranged" else "builtin")
     df = join_customer_stats(tx, stats)
     df = add_amount_features(df)
     df = add_velocity_features(df, strategy=strategy, num_partitions=num_partitions)
@@ -274,15 +262,14 @@ def engineer_features(tx: DataFrame, stats: DataFrame | None = None,
 
 def sequence_features(df: DataFrame, length: int = 1, key: str = "customer_id",
                       ts: str = "timestamp", tie: str = "tx_id",
-                      features: list[str] | None = None, strategy: str = "auto",
-                      num_partitions: int | None = None,
-                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                      features: list[str] | None = None, strategy: str = "window",
+                      num_partitions: int | None = None) -> DataFrame:
     """Array of the customer's last ``length`` feature vectors, left-padded with 0.
 
     Output column ``sequence`` is array<array<double>> ordered oldest first;
     length=1 reproduces the per-row sequences of the reference.  The lag
     window looks back length-1 rows, so a hot customer goes through
-    ``ranged_rows_window`` (strategy 'auto' measures the largest customer).
+    ``ranged_rows_window`` with strategy='ranged'.
     """
     features = features or FEATURES
 
@@ -292,8 +279,6 @@ def sequence_features(df: DataFrame, length: int = 1, key: str = "customer_id",
         steps = [F.coalesce(F.lag(vec, lag).over(w), zero) for lag in range(length - 1, 0, -1)]
         return frame.withColumn("sequence", F.array(*steps, vec))
 
-    if strategy == "auto":
-        strategy = "window" if ordered.largest_group(df, [key]) <= max_group_rows else "ranged"
     if strategy == "ranged" and length > 1:
         return ranged_rows_window(df, compute, length - 1, ["sequence"], key, ts, tie,
                                   num_partitions)

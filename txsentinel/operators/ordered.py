@@ -29,7 +29,8 @@ PID = "_pid"
 
 
 def _sort_exprs(order: Sequence[Column | str]) -> list[Column]:
-    return [F.col(o).asc() if isinstance(o, str) else o for o in order]
+    """Ascending sort keys; NULL comes last (as a missing time does in pandas)."""
+    return [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order]
 
 
 def range_partition(df: DataFrame, order: Sequence[Column | str],
@@ -145,30 +146,9 @@ def global_position(df: DataFrame, order: Sequence[Column | str],
     return out.withColumn(name, F.col(name) - 1)
 
 
-# A group whose distinct values stay under this bound may be finished in one
-# task by Spark's exact ``percentile`` (its state is a value -> count map).
-MAX_GROUP_DISTINCT = 1_000_000
-
-
-def largest_group(df: DataFrame, group_cols: Sequence[str], value: str | None = None) -> int:
-    """Size of the largest group: rows, or (approximate) distinct ``value``s.
-
-    One partial aggregation; used to choose between a one-task-per-group
-    plan and the range-partitioned one.
-    """
-    g = df.groupBy(*group_cols) if group_cols else df.groupBy()
-    if value is None:
-        per = g.agg(F.count(F.lit(1)).alias("_n"))
-    else:
-        per = g.agg(F.approx_count_distinct(value, 0.05).alias("_n"))
-    top = per.agg(F.max("_n")).first()[0]
-    return int(top or 0)
-
-
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float],
                     group_cols: Sequence[str] = (),
-                    num_partitions: int | None = None, method: str = "auto",
-                    max_group_distinct: int = MAX_GROUP_DISTINCT) -> DataFrame:
+                    num_partitions: int | None = None, method: str = "ranged") -> DataFrame:
     """Exact quantiles with linear interpolation (numpy 'linear', SQL quantile_cont).
 
     Rank h = (n - 1) * q; result = v[floor h] + (v[ceil h] - v[floor h]) * (h - floor h).
@@ -178,14 +158,8 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float],
     ``running_totals``; no group is gathered into one task, however large.
     method='builtin': Spark's exact ``percentile`` (partial aggregation of
     value -> count maps; a group's final merge runs in one task).
-    method='auto': measure the largest group's distinct values first and use
-    'builtin' only when that is at most ``max_group_distinct`` (x1.25 for
-    the estimate's error), else 'ranged'.
     """
     group_cols = list(group_cols)
-    if method == "auto":
-        big = largest_group(df.where(F.col(value).isNotNull()), group_cols, value)
-        method = "builtin" if big * 1.25 <= max_group_distinct else "ranged"
     if method == "builtin":
         g = df.where(F.col(value).isNotNull())
         g = g.groupBy(*group_cols) if group_cols else g.groupBy()
@@ -294,6 +268,23 @@ def keys_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int], n:
     if not wanted:
         return {}
     num = _numeric_view(df, order[0])
+    # rows without the first key come after all others, in the order of the remaining keys
+    missing = df.where(F.col(order[0]).isNull()).count()
+    tail = [r for r in wanted if r >= n - missing]
+    if tail:
+        first = n - missing
+        if len(order) == 1:
+            out = {r: (None,) for r in tail}
+        else:
+            behind = keys_at_ranks(df.where(F.col(order[0]).isNull()), order[1:],
+                                   [r - first for r in tail], missing, accuracy, num_partitions)
+            out = {r: (None, *behind[r - first]) for r in tail}
+        head = [r for r in wanted if r < first]
+        out.update(keys_at_ranks(df.where(F.col(order[0]).isNotNull()), order, head, first, accuracy,
+                                 num_partitions))
+        return out
+    if missing:
+        n, df = n - missing, df.where(F.col(order[0]).isNotNull())
     eps = 2.0 / accuracy
     probs = []
     for r in wanted:
@@ -322,7 +313,7 @@ def keys_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int], n:
             # small, counted bracket: the (r - below)-th row by an ordered
             # offset/limit (top-k state bounded by the bracket size)
             sub = df.where((num >= F.lit(lo)) & (num <= F.lit(hi))).select(*order)
-            row = (sub.orderBy(*[F.col(c).asc() for c in order]).offset(r - below[r]).limit(1)
+            row = (sub.orderBy(*_sort_exprs(order)).offset(r - below[r]).limit(1)
                    .select(*[key_expr(c, df.schema[c].dataType).alias(c) for c in order]).first())
             out[r] = tuple(row)
         else:
@@ -350,15 +341,18 @@ def keys_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int], n:
 
 
 def key_less_than(df: DataFrame, order: Sequence[str], key: tuple | None) -> Column:
-    """(order columns) < key, lexicographically; key None means +infinity."""
+    """(order columns) < key, lexicographically with NULL last; key None means +infinity.
+
+    Never NULL: every row is on one side."""
     if key is None:
         return F.lit(True)
     types = [df.schema[c].dataType for c in order]
     lits = [typed_lit(v, t) for v, t in zip(key, types)]
     expr = None
     for i in reversed(range(len(order))):
-        less = F.col(order[i]) < lits[i]
-        expr = less if expr is None else less | ((F.col(order[i]) == lits[i]) & expr)
+        c = F.col(order[i])
+        less = c.isNotNull() if key[i] is None else F.coalesce(c < lits[i], F.lit(False))
+        expr = less if expr is None else less | (c.eqNullSafe(lits[i]) & expr)
     return expr
 
 

@@ -58,12 +58,12 @@ class Scaler:
 def scaler_stats(df: DataFrame, features: list[str] | None = None) -> DataFrame:
     """A10 as a table: (feature, mean, std_pop with 0 -> 1); one aggregation."""
     features = [c for c in (features or FEATURES) if c in df.columns]
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot(
-        [], features, "feature", "value")
-    g = long.groupBy("feature").agg(F.avg("value").alias("mean"),
-                                    F.stddev_pop("value").alias("std"))
-    return g.select("feature", "mean",
-                    F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("std"))
+    one = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in features],
+                 *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in features])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m_{c}").alias("mean"),
+                              F.col(f"s_{c}").alias("std")) for c in features])
+    return one.select(F.inline(rows)).select(
+        "feature", "mean", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("std"))
 
 
 def fit_scaler(df: DataFrame, features: list[str] | None = None) -> Scaler:

@@ -1,5 +1,8 @@
 """The three batch entry points, as Spark jobs that write their outputs.
 
+The input of preprocess is either a transaction file of the user (CSV or
+parquet, with or without tx_id and timestamp) or a driver folder with events.
+
 preprocess: events -> TX -> labelled (written once, kept if present: S6/S7)
             -> 18 features -> parquet (S6)
 train:      features -> split -> detectors (saved, S13) -> long score table
@@ -31,11 +34,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def preprocess(spark: SparkSession, sf_dir: str, out_dir: str, ratio: float = 0.02) -> DataFrame:
+def preprocess(spark: SparkSession, source: str, out_dir: str, ratio: float = 0.02) -> DataFrame:
+    """``source``: a transaction table (CSV or parquet), or a folder that holds events.parquet,
+    whose rows become transactions with injected anomalies.  The raw table is kept in time order."""
     raw_path = os.path.join(out_dir, "raw_transactions")
     if not _exists(spark, raw_path):  # generate only if absent (S7)
-        labelled = inject_anomalies(event_transactions(spark, sf_dir), ratio=ratio)
-        write_table(labelled.sortWithinPartitions("timestamp"), raw_path, mode="ignore")
+        if _exists(spark, os.path.join(source, "events.parquet")):
+            raw = inject_anomalies(event_transactions(spark, source), ratio=ratio)
+        else:
+            raw = load_transactions(spark, source)
+        order = [c for c in ("timestamp", "tx_id") if c in raw.columns]
+        write_table(raw.orderBy(*[F.col(c).asc_nulls_last() for c in order]), raw_path, mode="ignore")
     raw = load_transactions(spark, raw_path, fmt="parquet")
     feats_path = os.path.join(out_dir, "features")
     write_table(engineer_features(raw), feats_path)
@@ -46,7 +55,9 @@ def train(spark: SparkSession, out_dir: str, config: TrainingConfig | None = Non
     feats_path = os.path.join(out_dir, "features")
     if not _exists(spark, feats_path):
         raise FileNotFoundError(f"engineered table not found: {feats_path}; run preprocess first")
-    split = positional_split_by_cut(spark.read.parquet(feats_path), list(SPLIT_ORDER))
+    feats = spark.read.parquet(feats_path)
+    order = [c for c in SPLIT_ORDER if c in feats.columns]  # by tx_id alone without a timestamp
+    split = positional_split_by_cut(feats, order)
     detectors, scores = train_all(split, config, save_dir=os.path.join(out_dir, "models"))
     scores_path = os.path.join(out_dir, "scores")
     write_scores(scores, scores_path)

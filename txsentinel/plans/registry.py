@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txsentinel.functions.hashing import keyed_uniform
-from txsentinel.functions.scalars import planar_distance_km, timestamp_from_hours, vector_mse
+from txsentinel.functions.scalars import (
+    clock_hour, planar_distance_km, round_money, timestamp_from_hours, vector_mse,
+)
 from txsentinel.operators import evaluate as ev
 from txsentinel.operators import features as fe
 from txsentinel.operators import inject as inj
 from txsentinel.operators import ordered
 from txsentinel.operators import profile as pr
 from txsentinel.operators import scaling as sc
-from txsentinel.operators.detectors.rule import all_rule_scores
+from txsentinel.operators.detectors.rule import DEFAULT_RULES, all_rule_scores
 from txsentinel.plans import oracle_sql as Q
 from txsentinel.plans import flow as P
 from txsentinel.schema import FEATURES, TX_COLUMNS
@@ -31,7 +33,7 @@ from txsentinel.session import checkpoint_dir
 from txsentinel.sources import json_records as js
 from txsentinel.sources import scores as scs
 from txsentinel.sources import transactions as st
-from txsentinel.sources.adapters import event_transactions, read_table
+from txsentinel.sources.adapters import event_transactions, order_transactions, read_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +81,27 @@ def q_load(spark, sf):
     return event_transactions(spark, sf)
 
 
+def _written(spark, sf, fmt: str) -> str:
+    """The adapted table without tx_id as a file of the given format, as a user would bring it."""
+    path = checkpoint_dir(spark).rstrip("/") + f"/user-{uuid.uuid4().hex}.{fmt}"
+    st.write_table(event_transactions(spark, sf).drop("tx_id"), path, fmt=fmt)
+    return path
+
+
+_LOADED = Q.chain(Q.TX) + Q.select([c for c in TXO if c != "tx_id"], TXD, "tx")
+
+
+@register("load_transactions_csv", _LOADED)
+def q_load_csv(spark, sf):
+    """S1-S4 on a CSV without tx_id: header, typed columns, timestamps, an assigned key."""
+    return st.load_transactions(spark, _written(spark, sf, "csv")).drop("tx_id")
+
+
+@register("load_transactions_parquet", _LOADED)
+def q_load_parquet(spark, sf):
+    return st.load_transactions(spark, _written(spark, sf, "parquet")).drop("tx_id")
+
+
 @register("parse_timestamp", "SELECT event_id, CAST(ts AS TIMESTAMP) AS \"timestamp\" FROM events")
 def q_parse_ts(spark, sf):
     ev_ = read_table(spark, sf, "events").select(
@@ -155,6 +178,21 @@ def q_fallback(spark, sf):
         "tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h")
 
 
+@register("engineer_features_no_timestamp", Q.chain(*Q.FEAT_CHAIN) + """,
+fb AS (SELECT tx_id, (row_number() OVER (PARTITION BY customer_id ORDER BY tx_id) - 1) % 5 AS f1,
+              (row_number() OVER (PARTITION BY customer_id ORDER BY tx_id) - 1) % 20 AS f24 FROM labelled)
+SELECT f.tx_id, CAST(f1 AS BIGINT) AS tx_frequency_1h, CAST(f24 AS BIGINT) AS tx_frequency_24h,
+       round(amount_zscore, 6) + 0.0 AS amount_zscore, round(hour_sin, 6) + 0.0 AS hour_sin,
+       round(amount_x_distance, 6) + 0.0 AS amount_x_distance,
+       round(amount_zscore * f1, 6) + 0.0 AS zscore_x_frequency
+FROM feat f JOIN fb ON f.tx_id = fb.tx_id""")
+def q_engineer_no_ts(spark, sf):
+    """E7 on a table without a timestamp: velocity through W3."""
+    return fe.engineer_features(P.labelled(spark, sf).drop("timestamp")).select(
+        "tx_id", "tx_frequency_1h", "tx_frequency_24h", "amount_zscore", "hour_sin",
+        "amount_x_distance", "zscore_x_frequency")
+
+
 @register("cyclical_encoding", Q.chain(*Q.FEAT_CHAIN) + Q.select(
     ["tx_id"], ["hour_sin", "hour_cos", "day_sin", "day_cos"], "feat"))
 def q_cyclical(spark, sf):
@@ -169,11 +207,20 @@ def q_interaction(spark, sf):
         "tx_id", "amount_x_distance", "amount_x_international", "zscore_x_frequency")
 
 
-@register("sequence_features")
+_SEQUENCE = ["transaction_amount", "hour_sin", "tx_frequency_24h"]
+
+
+@register("sequence_features", Q.chain(*Q.FEAT_CHAIN) + ",\nlong AS (" + " UNION ALL ".join(
+    f"SELECT tx_id, {step} AS step, '{c}' AS feature, CASE WHEN lag(tx_id, {2 - step}) OVER w IS NULL "
+    f"THEN 0.0 ELSE coalesce(lag(CAST({c} AS DOUBLE), {2 - step}) OVER w, 0.0) END AS value "
+    "FROM feat WINDOW w AS (PARTITION BY customer_id ORDER BY \"timestamp\", tx_id)"
+    for step in range(3) for c in _SEQUENCE) + ")\nSELECT tx_id, step, feature, round(value, 6) + 0.0 AS value FROM long")
 def q_sequence(spark, sf):
-    """W4 with length 3 (rows-only check: nested arrays)."""
-    return fe.sequence_features(P.engineered(spark, sf), length=3).select(
-        "tx_id", "customer_id", "sequence")
+    """W4 with length 3, one row per step and feature."""
+    seq = fe.sequence_features(P.engineered(spark, sf), length=3, features=_SEQUENCE)
+    names = F.array(*[F.lit(c) for c in _SEQUENCE])
+    steps = seq.select("tx_id", F.posexplode("sequence").alias("step", "vector"))
+    return steps.select("tx_id", "step", F.inline(F.arrays_zip(names.alias("feature"), F.col("vector").alias("value"))))
 
 
 # ----------------------------------------------------- projections/filters ---
@@ -243,7 +290,7 @@ def q_join_profile(spark, sf):
 @register("align_scores", Q.chain(*Q.SCORE_CHAIN) + Q.select(
     ["tx_id", "model", "label", "prediction"], ["score"], "scores"))
 def q_align(spark, sf):
-    test = P.split(spark, sf).where(F.col("is_train") == 0)
+    test = P.split(spark, sf, columns=P.RULE_COLUMNS).where(F.col("is_train") == 0)
     preds = all_rule_scores(test).drop("label")
     labels = test.select("tx_id", F.col("is_fraud").alias("label"))
     return scs.align_scores(preds, labels)
@@ -323,7 +370,7 @@ SELECT CAST(count(*) FILTER (WHERE is_fraud = 0) AS BIGINT) AS n_neg,
              / greatest(count(*) FILTER (WHERE is_fraud = 1), 1), 6) + 0.0 AS scale_pos_weight
 FROM split WHERE is_train = 1""")
 def q_spw(spark, sf):
-    return pr.scale_pos_weight(P.split(spark, sf).where(F.col("is_train") == 1))
+    return pr.scale_pos_weight(P.split(spark, sf, columns=["is_fraud"]).where(F.col("is_train") == 1))
 
 
 @register("confusion_matrix", Q.chain(*Q.SCORE_CHAIN, Q.CONF) + """
@@ -402,7 +449,65 @@ def q_split(spark, sf):
           + "SELECT tx_id, is_train, CAST(n_rows AS BIGINT) AS n_rows FROM split")
 def q_split_cut(spark, sf):
     """W5 by exact rank selection of the cut key (the pipeline's split)."""
-    return P.split(spark, sf).select("tx_id", "is_train", "n_rows")
+    return P.split(spark, sf, columns=[]).select("tx_id", "is_train", "n_rows")
+
+
+@register("temporal_split_null_ts", Q.chain(*Q.BASE) + """,
+sp AS (SELECT tx_id, row_number() OVER (ORDER BY CASE WHEN tx_id % 10 = 3 THEN NULL ELSE "timestamp" END
+                                        NULLS LAST, tx_id) - 1 AS pos, count(*) OVER () AS n_rows FROM labelled)
+SELECT tx_id, CASE WHEN pos < floor(n_rows * 0.8) THEN 1 ELSE 0 END AS is_train,
+       CAST(n_rows AS BIGINT) AS n_rows FROM sp""")
+def q_split_null_ts(spark, sf):
+    """W5 where a tenth of the timestamps is missing: they come last, and every row has a side."""
+    from txsentinel.session import materialize
+    time = F.when(F.expr("tx_id % 10 = 3"), F.lit(None)).otherwise(F.col("timestamp"))
+    lab = materialize(P.labelled(spark, sf).withColumn("timestamp", time).select("tx_id", "timestamp"), "null-ts")
+    return ordered.positional_split_by_cut(lab, list(P.SPLIT_ORDER)).select("tx_id", "is_train", "n_rows")
+
+
+@register("split_no_timestamp", Q.chain(*Q.BASE) + """,
+sp AS (SELECT tx_id, row_number() OVER (ORDER BY tx_id) - 1 AS pos, count(*) OVER () AS n_rows FROM labelled)
+SELECT tx_id, CASE WHEN pos < floor(n_rows * 0.8) THEN 1 ELSE 0 END AS is_train,
+       CAST(n_rows AS BIGINT) AS n_rows FROM sp""")
+def q_split_no_ts(spark, sf):
+    """W5 of a table without a timestamp: by tx_id."""
+    return ordered.positional_split_by_cut(P.labelled(spark, sf).select("tx_id"), ["tx_id"])
+
+
+_ORDER_TX = """otx AS (SELECT CAST(o_orderkey AS BIGINT) AS tx_id, CAST(o_custkey AS BIGINT) AS customer_id,
+  CAST(o_totalprice AS DOUBLE) AS transaction_amount, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders)"""
+
+
+@register("orders_velocity", f"WITH {_ORDER_TX}," + """
+g AS (SELECT *, coalesce(date_diff('microsecond', lag(ts) OVER w, ts) / 1e6, 9999.0) AS gap FROM otx
+      WINDOW w AS (PARTITION BY customer_id ORDER BY ts, tx_id))
+SELECT tx_id, customer_id,
+  CAST(sum(CASE WHEN gap < 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY ts, tx_id
+       ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS tx_frequency_1h,
+  CAST(sum(CASE WHEN gap < 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY ts, tx_id
+       ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS BIGINT) AS tx_frequency_24h FROM g""")
+def q_orders_velocity(spark, sf):
+    """W1/W2 on orders: whole days, so many equal times; tx_id decides."""
+    return fe.add_velocity_features(order_transactions(spark, sf), strategy="ranged").select(
+        "tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h")
+
+
+@register("orders_split", f"WITH {_ORDER_TX}," + """
+sp AS (SELECT tx_id, row_number() OVER (ORDER BY ts, tx_id) - 1 AS pos, count(*) OVER () AS n_rows FROM otx)
+SELECT tx_id, CASE WHEN pos < floor(n_rows * 0.8) THEN 1 ELSE 0 END AS is_train,
+       CAST(n_rows AS BIGINT) AS n_rows FROM sp""")
+def q_orders_split(spark, sf):
+    tx = order_transactions(spark, sf).select("tx_id", "timestamp")
+    return ordered.positional_split_by_cut(tx, list(P.SPLIT_ORDER)).select("tx_id", "is_train", "n_rows")
+
+
+@register("orders_customer_stats", f"WITH {_ORDER_TX}" + f"""
+SELECT customer_id, {Q.MONEY('avg(transaction_amount)')} AS cust_mean,
+       {Q.MONEY('coalesce(stddev_samp(transaction_amount), 1.0)')} AS cust_std,
+       {Q.MONEY('quantile_cont(transaction_amount, 0.5)')} AS cust_median FROM otx GROUP BY customer_id""")
+def q_orders_stats(spark, sf):
+    stats = fe.customer_stats(order_transactions(spark, sf), method="ranged")
+    return stats.select("customer_id", *[round_money(c).alias(c) for c in ("cust_mean", "cust_std", "cust_median")])
 
 
 @register("purged_folds", Q.chain(*Q.SPLIT_CHAIN) + """,
@@ -416,7 +521,7 @@ FROM bounds
 WHERE (pos >= vs AND pos < ve) OR pos < vs - 50 OR pos >= ve + 10""")
 def q_folds(spark, sf):
     """W6 on key ranges (exact rank selection), the folds the search uses."""
-    train = P.split(spark, sf).where(F.col("is_train") == 1)
+    train = P.split(spark, sf, columns=[]).where(F.col("is_train") == 1)
     n = train.count()
     return ordered.purged_kfold_by_keys(train, ["timestamp", "tx_id"], n, 5, 50, 10).select(
         "tx_id", "fold", "role")
@@ -494,6 +599,14 @@ def q_ts_hours(spark, sf):
                     timestamp_from_hours("value", "2024-01-01 00:00:00").alias("timestamp"))
 
 
+@register("clock_hour", """
+SELECT event_id AS tx_id, CAST((CAST(floor(value) AS BIGINT) % 24 + 24) % 24 AS INTEGER) AS hour FROM events
+WHERE value IS NOT NULL AND NOT isnan(value)""")
+def q_clock_hour(spark, sf):
+    e = read_table(spark, sf, "events").where("value IS NOT NULL AND NOT isnan(value)")
+    return e.select(F.col("event_id").alias("tx_id"), clock_hour("value").cast("int").alias("hour"))
+
+
 @register("flag_scores", Q.chain(*Q.SCORE_CHAIN) + """
 SELECT tx_id, model, label, round(score, 6) + 0.0 AS score,
        CASE WHEN score >= 2.0 THEN 1 ELSE 0 END AS prediction FROM scores""")
@@ -652,12 +765,52 @@ def q_scores_long(spark, sf):
     + ", CASE WHEN " + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
     + " THEN 1 ELSE 0 END AS is_valid FROM feat")
 def q_parse_json(spark, sf):
-    return js.parse_tx_json(js.features_to_json(P.engineered(spark, sf)))
+    return js.parse_tx_json(js.features_to_json(P.engineered(spark, sf))).drop("reject_reason")
+
+
+# Two features go missing in some rows, so that there is something to reject.
+_GAPS = {"amount_zscore": (17, 5), "hour_sin": (23, 7)}
+_GAPPY = ",\ngappy AS (SELECT * REPLACE (" + ", ".join(
+    f"CASE WHEN tx_id % {m} = {r} THEN NULL ELSE {c} END AS {c}" for c, (m, r) in _GAPS.items()) + ") FROM feat)\n"
+
+
+def _gappy(spark, sf):
+    out = P.engineered(spark, sf)
+    for c, (m, r) in _GAPS.items():
+        out = out.withColumn(c, F.when(F.col("tx_id") % m == r, F.lit(None)).otherwise(F.col(c)))
+    return out
 
 
-@register("predictions_json")
+@register("parse_tx_json_rejects", Q.chain(*Q.FEAT_CHAIN) + _GAPPY + "SELECT tx_id, 'missing ' || concat_ws(',', "
+          + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in FEATURES)
+          + ") AS reject_reason FROM gappy WHERE NOT (" + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES) + ")")
+def q_parse_rejects(spark, sf):
+    """What the parser rejects, and why."""
+    parsed = js.parse_tx_json(js.features_to_json(_gappy(spark, sf)))
+    return parsed.where("is_valid = 0").select("tx_id", "reject_reason")
+
+
+_RULE_JSON = ", ".join(
+    f"CASE WHEN ok THEN round(coalesce(abs({c}), 0.0), 6) + 0.0 END AS {m}_score, "
+    f"CASE WHEN ok THEN CASE WHEN coalesce(abs({c}), 0.0) > {t} THEN 1 ELSE 0 END END AS {m}_fraud"
+    for m, c, t in DEFAULT_RULES)
+
+
+@register("predictions_json", Q.chain(*Q.FEAT_CHAIN) + _GAPPY + ",\nchecked AS (SELECT *, "
+          + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES) + " AS ok FROM gappy)\n"
+          + f"SELECT tx_id, CASE WHEN ok THEN 'analysed' ELSE 'rejected' END AS status, {_RULE_JSON} FROM checked")
 def q_pred_json(spark, sf):
-    return js.predictions_json(P.rule_scores(spark, sf))
+    """The JSON response of every record, accepted or not, read back into columns."""
+    from txsentinel.operators.detectors.rule import default_rule_detectors
+    from txsentinel.plans.scoring import score_json_records
+    answers = score_json_records(js.features_to_json(_gappy(spark, sf)), default_rule_detectors())
+    verdict = "struct<is_fraud:boolean,score:double>"
+    names = [m for m, _, _ in DEFAULT_RULES]
+    shape = "struct<status:string,predictions:struct<" + ",".join(f"{m}:{verdict}" for m in names) + ">>"
+    read = answers.select("tx_id", F.from_json("response", shape).alias("r"))
+    return read.select("tx_id", "r.status", *[
+        c for m in names for c in (F.col(f"r.predictions.{m}.score").alias(f"{m}_score"),
+                                   F.col(f"r.predictions.{m}.is_fraud").cast("int").alias(f"{m}_fraud"))])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -679,11 +832,6 @@ def q_gbt(spark, sf):
     return M.fitted(spark, sf, "gbt").score(M.test_rows(spark, sf))
 
 
-@register("gbt_param_search")
-def q_gbt_search(spark, sf):
-    return _models().search(spark, sf)[1]
-
-
 @register("feature_importances")
 def q_importances(spark, sf):
     return _models().fitted(spark, sf, "gbt").importances()
@@ -701,6 +849,50 @@ def q_iforest(spark, sf):
     return M.fitted(spark, sf, "isolation_forest").score(M.test_rows(spark, sf))
 
 
+_IF = "if42"
+_IF_TREES, _IF_PSI = 200, 256
+
+
+def _iforest_sample_sql() -> str:
+    strides = [s for s in range(1, _IF_TREES + 1) if math.gcd(s, _IF_TREES) == 1]
+    return f""",
+nn AS (SELECT count(*) AS n, least({_IF_PSI}, count(*)) AS psi FROM labelled),
+pp AS (SELECT psi, 1.5 * psi / greatest(n, 1) AS p FROM nn),
+pmf AS (SELECT CAST(k AS INTEGER) AS k, CASE WHEN p >= 1 THEN 0.0 ELSE
+          exp(lgamma({_IF_TREES} + 1.0) - lgamma(k + 1.0) - lgamma({_IF_TREES} - k + 1.0)
+              + k * ln(p) + ({_IF_TREES} - k) * ln(1 - least(p, 0.999999999))) END AS f
+        FROM pp, range({_IF_TREES}) r(k)),
+cdf AS (SELECT k, sum(f) OVER (ORDER BY k) AS c FROM pmf),
+u AS (SELECT tx_id, {Q.U('tx_id', _IF + 'count')} AS u, {Q.U('tx_id', _IF + 'start')} AS us,
+             {Q.U('tx_id', _IF + 'stride')} AS ut FROM labelled),
+k AS (SELECT u.tx_id, any_value(us) AS us, any_value(ut) AS ut, count(*) FILTER (WHERE c <= u) AS k
+      FROM u, cdf GROUP BY u.tx_id),
+dealt AS (SELECT tx_id, CAST((CAST(floor(us * {_IF_TREES}) AS BIGINT) + j * {strides}[CAST(floor(ut * {len(strides)}) AS BIGINT) + 1])
+                             % {_IF_TREES} AS INTEGER) AS tree_id
+          FROM k, range({_IF_TREES}) r(j) WHERE j < k),
+ranked AS (SELECT tree_id, tx_id, row_number() OVER (PARTITION BY tree_id ORDER BY
+             {Q.U("(CAST(tx_id AS VARCHAR) || ':' || CAST(tree_id AS VARCHAR))", _IF + 'rank')}, tx_id) AS r FROM dealt)
+SELECT tree_id, tx_id FROM ranked, pp WHERE r <= psi"""
+
+
+@register("iforest_sample", Q.chain(*Q.BASE) + _iforest_sample_sql())
+def q_iforest_sample(spark, sf):
+    """M6: the rows that every isolation tree grows from."""
+    from txsentinel.operators.detectors.iforest import tree_samples
+    lab = P.labelled(spark, sf).select("tx_id")
+    n = lab.count()
+    return tree_samples(lab, n, _IF_TREES, min(_IF_PSI, n), 42).select("tree_id", "tx_id")
+
+
+@register("autoencoder_validation", Q.chain(*Q.SPLIT_CHAIN) + f"""
+SELECT tx_id, CAST({Q.U('tx_id', 'val42')} < 0.15 AS INTEGER) AS is_val FROM split
+WHERE is_train = 1 AND is_fraud = 0""")
+def q_ae_validation(spark, sf):
+    """M8: the keyed validation rows of the autoencoder."""
+    train = P.split(spark, sf, columns=["is_fraud"]).where("is_train = 1")
+    return pr.normal_only(train).select("tx_id", (keyed_uniform("tx_id", "val42") < 0.15).cast("int").alias("is_val"))
+
+
 @register("pca_recon_scores")
 def q_pca(spark, sf):
     M = _models()
@@ -739,6 +931,18 @@ def q_model_scores(spark, sf):
     return _all_scores(spark, sf)
 
 
+_MODELS = ["gbt", "isolation_forest", "pca_p95", "pca_p99", "autoencoder", "discriminator"]
+
+
+@register("scored_rows", Q.chain(*Q.SPLIT_CHAIN) + f""",
+m AS (SELECT unnest({_MODELS}) AS model)
+SELECT tx_id, model, CAST(is_fraud AS INTEGER) AS label, 1 AS n FROM split, m WHERE is_train = 0""")
+def q_scored_rows(spark, sf):
+    """M10 accounting: one score per test row and model, with the row's label."""
+    return _all_scores(spark, sf).where("score IS NOT NULL").groupBy("tx_id", "model", "label").agg(
+        F.count(F.lit(1)).cast("int").alias("n"))
+
+
 @register("model_tournament")
 def q_model_tournament(spark, sf):
     return ev.tournament(_all_scores(spark, sf))
@@ -758,7 +962,7 @@ def q_batch_predictions(spark, sf):
     for n in M.ALL_MODELS:
         M.fitted(spark, sf, n).save(f"{base}/{n}")
     dets = load_detectors(spark, base)
-    return score_json_records(js.features_to_json(M.test_rows(spark, sf)), dets)
+    return score_json_records(js.features_to_json(M.test_rows(spark, sf), clean=True), dets)
 
 
 # ------------------------------------------------------------ streaming ---
@@ -785,7 +989,7 @@ def q_stream_scores(spark, sf):
         json_record_stream, run_to_table, score_stream, write_stream_input,
     )
     test = P.split(spark, sf).where(F.col("is_train") == 0)
-    path = write_stream_input(js.features_to_json(test), "records", "tx_id", 4)
+    path = write_stream_input(js.features_to_json(test, clean=True), "records", "tx_id", 4)
     scored = score_stream(json_record_stream(spark, path), default_rule_detectors())
     out = run_to_table(scored.drop("label"), "stream_scores")
     labels = test.select("tx_id", F.col("is_fraud").alias("label"))

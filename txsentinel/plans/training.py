@@ -16,6 +16,7 @@ from txsentinel.operators.detectors.iforest import IsolationForestDetector
 from txsentinel.operators.detectors.recon import AutoencoderDetector, PCAReconstructionDetector
 from txsentinel.operators.profile import normal_only
 from txsentinel.plans.flow import SPLIT_ORDER
+from txsentinel.schema import FEATURES
 
 
 @dataclass
@@ -63,8 +64,9 @@ def train_all(split_df: DataFrame, config: TrainingConfig | None = None,
             fitted["pca_p95"] = PCAReconstructionDetector(
                 name="pca_p95", k=cfg.pca_k, quantile=0.95).fit(normals)
         if "pca_p99" in cfg.models:
-            fitted["pca_p99"] = PCAReconstructionDetector(
-                name="pca_p99", k=cfg.pca_k, quantile=0.99).fit(normals)
+            fitted["pca_p99"] = (
+                fitted["pca_p95"].with_quantile("pca_p99", 0.99, normals) if "pca_p95" in fitted
+                else PCAReconstructionDetector(name="pca_p99", k=cfg.pca_k, quantile=0.99).fit(normals))
         if "autoencoder" in cfg.models:
             fitted["autoencoder"] = AutoencoderDetector(
                 hidden=cfg.ae_hidden, epochs=cfg.ae_epochs,
@@ -88,10 +90,20 @@ def train_all(split_df: DataFrame, config: TrainingConfig | None = None,
     return fitted, score_all(fitted, test)
 
 
+def score_wide(detectors: dict, df: DataFrame, keep: tuple[str, ...] = ("tx_id",)) -> DataFrame:
+    """``keep`` columns, ``label`` and one struct ``_v_<model>`` (score, prediction) per detector.
+
+    One scan: every detector adds its column to the same rows; no union, no join, no shuffle."""
+    label = F.col("is_fraud").cast("int") if "is_fraud" in df.columns else F.lit(None).cast("int")
+    wide = df.select(*keep, label.alias("label"), F.struct(*FEATURES).alias("_features"))
+    for name, det in detectors.items():
+        wide = det.add_verdict(wide.select("*", "_features.*"), f"_v_{name}").drop(*FEATURES)
+    return wide.drop("_features")
+
+
 def score_all(detectors: dict, df: DataFrame) -> DataFrame:
-    """Union of every detector's scores (long format)."""
-    out = None
-    for det in detectors.values():
-        s = det.score(df)
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Every detector's scores in long format, from one wide pass."""
+    rows = F.array(*[F.struct(F.lit(name).alias("model"), F.col(f"_v_{name}.score").alias("score"),
+                              F.col(f"_v_{name}.prediction").alias("prediction")) for name in detectors])
+    return score_wide(detectors, df).select("tx_id", "label", F.inline(rows)).select(
+        "tx_id", "model", "label", "score", "prediction")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from txsentinel.functions.scalars import nan_to_null
 from txsentinel.schema import REQUIRED_COLUMNS, TX_SCHEMA
+from txsentinel.session import materialize
 
 
 def validate_columns(df: DataFrame, required: list[str] | None = None) -> DataFrame:
@@ -47,27 +48,56 @@ def parse_timestamp(df: DataFrame, col: str = "timestamp", strict: bool = True)
     return df.withColumn(col, parsed)
 
 
-def _tx_schema_for(columns: list[str]) -> T.StructType:
-    by_name = {f.name: f for f in TX_SCHEMA.fields}
-    return T.StructType([by_name.get(c, T.StructField(c, T.StringType(), True))
-                         for c in columns])
+CORRUPT_COLUMNS = "_bad_columns"
+
+
+def typed_columns(df: DataFrame, strict: bool = True) -> DataFrame:
+    """Text columns of a CSV as the canonical types; other columns keep their text.
+
+    An empty cell is NULL.  strict=True raises on a value that its type cannot hold (ANSI casts;
+    ISO and space-separated timestamps are both read).  strict=False makes such values NULL and
+    names their columns in ``_bad_columns``, so that the rows can be sent to a reject table.
+    """
+    by_name = {f.name: f.dataType for f in TX_SCHEMA.fields}
+    cols, bad = [], []
+    for c in df.columns:
+        if c not in by_name:
+            cols.append(F.col(f"`{c}`"))
+            continue
+        text = F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
+        kind = by_name[c].simpleString()
+        if strict:
+            cols.append(text.cast(kind).alias(c))
+        else:
+            value = text.try_cast(kind)
+            cols.append(value.alias(c))
+            bad.append(F.when(text.isNotNull() & value.isNull(), F.lit(c)))
+    if not strict:
+        cols.append(F.array_compact(F.array(*bad)).alias(CORRUPT_COLUMNS))
+    return df.select(*cols)
+
+
+def with_tx_id(df: DataFrame) -> DataFrame:
+    """Give a table without ``tx_id`` one: a number per row, assigned once and written, so that
+    every later step sees the same numbers.  A table that has one is returned as it is."""
+    if "tx_id" in df.columns:
+        return df
+    return materialize(df.withColumn("tx_id", F.monotonically_increasing_id()), "tx-with-id")
 
 
 def load_transactions(spark: SparkSession, path: str, fmt: str | None = None,
-                      validate: bool = True) -> DataFrame:
+                      validate: bool = True, strict: bool = True) -> DataFrame:
     """Read a transaction table (CSV with header, or parquet).
 
     Missing input raises FileNotFoundError; missing required columns raise
-    ValueError; `timestamp` is parsed when present; NaN becomes NULL.
+    ValueError; `timestamp` is parsed when present; NaN becomes NULL; ``tx_id``
+    is assigned when absent.  A CSV value that does not fit its type raises
+    (strict) or is listed in ``_bad_columns`` (see ``typed_columns``).
     """
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     try:
         if fmt == "csv":
-            header = spark.read.option("header", True).csv(path).columns
-            df = (spark.read.option("header", True)
-                  .schema(_tx_schema_for(header))
-                  .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-                  .csv(path))
+            df = typed_columns(spark.read.option("header", True).csv(path), strict)
         else:
             df = spark.read.format(fmt).load(path)
     except AnalysisException as exc:
@@ -76,8 +106,8 @@ def load_transactions(spark: SparkSession, path: str, fmt: str | None = None,
         raise
     if validate:
         validate_columns(df)
-    df = parse_timestamp(df)
-    return normalize_nulls(df)
+    df = parse_timestamp(df, strict=strict)
+    return normalize_nulls(with_tx_id(df))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
@@ -85,7 +115,8 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     """Write a table; mode='ignore' writes only if the output is absent."""
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = (w.option("header", True)  # no digit of a timestamp is lost
+             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)

@@ -21,7 +21,9 @@ from txsentinel.sources.json_records import parse_tx_json
 
 
 def score_stream(records: DataFrame, detectors: dict, value: str = "value") -> DataFrame:
-    """Streaming (tx_id, value JSON) -> long score rows of every detector."""
+    """Streaming (tx_id, value JSON) -> long score rows of every detector.
+
+    Rejected records have no scores; ``plans.scoring.score_json_records`` answers them too."""
     parsed = parse_tx_json(records, value).where("is_valid = 1")
     return score_all(detectors, parsed)
 
@@ -51,42 +53,32 @@ def run_to_table(stream_df: DataFrame, name: str) -> DataFrame:
 
 
 def write_stream_input(df: DataFrame, name: str, order: str, n_files: int = 4) -> str:
-    """Write ``df`` as ``n_files`` consecutive slices of ``order`` into one
-    landing folder: one parquet file per slice, named and time-stamped in
-    slice order (oldest first), so a file stream replays the slices in order.
+    """Write ``df`` as consecutive slices of ``order`` into one landing folder, so that a file
+    stream replays them in order (oldest first).
 
-    Uses the Hadoop FileSystem API (rename, setTimes), so it works on any
-    cluster file system.
+    One write: rows are range-partitioned and sorted on ``order`` (NULL last, so no row is lost),
+    and every part file, also of a partition that is cut into several, is one slice.  File names
+    and times follow the slices.  Uses the Hadoop FileSystem API, so it works on any cluster file
+    system; a rename that fails raises.
     """
     from pyspark.sql import functions as F
+
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/") + f"/landing/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    staging = jvm.org.apache.hadoop.fs.Path(base + "/staging")
     landing = jvm.org.apache.hadoop.fs.Path(base + "/files")
-    fs = landing.getFileSystem(conf)
+    fs = landing.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(landing)
-    from txsentinel.functions.scalars import typed_lit
-    dtype = df.schema[order].dataType
-    bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    n = n_files if lo is not None and hi != lo else 1
-    edges = [lo + (hi - lo) * i / n for i in range(n + 1)] if n > 1 else [lo, hi]
-
-    def edge(v):  # numeric edges stay fractional; timestamps keep their type
-        return F.lit(float(v)) if isinstance(v, (int, float)) else typed_lit(v, dtype)
-    t0 = 1_000_000_000_000
-    for i in range(n):
-        if n == 1:
-            part = df
-        else:
-            lo_i = F.lit(True) if i == 0 else F.col(order) >= edge(edges[i])
-            cond = lo_i & (F.col(order) < edge(edges[i + 1]) if i < n - 1 else F.lit(True))
-            part = df.where(cond)
-        staging = f"{base}/staging/{i:05d}"
-        part.coalesce(1).write.mode("overwrite").parquet(staging)
-        for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(staging + "/part-*")):
-            target = jvm.org.apache.hadoop.fs.Path(f"{base}/files/slice-{i:05d}.parquet")
-            fs.rename(st.getPath(), target)
-            fs.setTimes(target, t0 + 1000 * i, -1)
+    key = F.col(order).asc_nulls_last()
+    df.repartitionByRange(n_files, key).sortWithinPartitions(key).write.parquet(staging.toString())
+    found = sorted(st.getPath().getName() for st in fs.globStatus(
+        jvm.org.apache.hadoop.fs.Path(staging, "part-*")))
+    # part-<partition>-<job>-c<file>: by partition, then by file inside it
+    found.sort(key=lambda f: (f.split("-")[1], f.rsplit("-c", 1)[-1]))
+    for i, part in enumerate(found):
+        target = jvm.org.apache.hadoop.fs.Path(landing, f"slice-{i:05d}.parquet")
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging, part), target):
+            raise OSError(f"cannot move {part} to {target.toString()}")
+        fs.setTimes(target, 1_000_000_000_000 + 1000 * i, -1)
     return base + "/files"

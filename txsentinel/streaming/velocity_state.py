@@ -47,8 +47,13 @@ def _micros(ts: pd.Series) -> np.ndarray:
     return ts.to_numpy(dtype="datetime64[us]").astype(np.int64)
 
 
-def velocity_update(key: tuple, pdfs: Iterator[pd.DataFrame],
-                    state: GroupState) -> Iterator[pd.DataFrame]:
+def velocity_update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState,
+                    expire_us: int = 0) -> Iterator[pd.DataFrame]:
+    """Features of a customer's micro-batch; ``expire_us``: event time after which the state of a
+    customer without transactions is dropped (0: never)."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     pdf = pd.concat(list(pdfs), ignore_index=True)
     if pdf.empty:
         return
@@ -60,33 +65,62 @@ def velocity_update(key: tuple, pdfs: Iterator[pd.DataFrame],
         last_us, last_id, gaps = None, None, []
     ts = _micros(pdf["timestamp"])
     ids = pdf["tx_id"].to_numpy()
-    f1h, f24h, late = [], [], []
-    for t_us, tid in zip(ts, ids):
-        is_late = last_us is not None and (t_us, tid) < (last_us, last_id)
-        gap = FIRST_GAP_SECONDS if last_us is None else (t_us - last_us) / 1e6
-        window = gaps + [gap]
-        w1 = window[-VELOCITY_1H_ROWS:]
-        w24 = window[-VELOCITY_24H_ROWS:]
-        f1h.append(sum(1 for g in w1 if g < VELOCITY_1H_SECONDS))
-        f24h.append(sum(1 for g in w24 if g < VELOCITY_24H_SECONDS))
-        late.append(1 if is_late else 0)
-        if not is_late:
-            gaps = window[-HISTORY:]
-            last_us, last_id = int(t_us), int(tid)
-    state.update((last_us, last_id, [float(g) for g in gaps]))
+    # the batch is sorted, so the rows behind the state's last transaction come first
+    late = np.zeros(len(ts), bool)
+    if last_us is not None:
+        late = (ts < last_us) | ((ts == last_us) & (ids < last_id))
+    known, n_late = np.asarray(gaps, float), int(late.sum())
+    f1h, f24h = np.empty(len(ts), np.int64), np.empty(len(ts), np.int64)
+    # late rows: each against the state as it is
+    gap = (ts[:n_late] - (last_us or 0)) / 1e6
+    for out, rows, limit in ((f1h, VELOCITY_1H_ROWS, VELOCITY_1H_SECONDS),
+                             (f24h, VELOCITY_24H_ROWS, VELOCITY_24H_SECONDS)):
+        out[:n_late] = (known[len(known) - min(len(known), rows - 1):] < limit).sum() + (gap < limit)
+    # rows in order: stored gaps and new ones in one sequence, windows as differences of its sums
+    now = ts[n_late:]
+    before = np.concatenate([[last_us if last_us is not None else 0], now[:-1]])[:len(now)]
+    new = (now - before) / 1e6
+    if last_us is None and len(new):
+        new[0] = FIRST_GAP_SECONDS
+    sequence = np.concatenate([known, new])
+    ends = np.arange(len(known) + 1, len(sequence) + 1)
+    for out, rows, limit in ((f1h, VELOCITY_1H_ROWS, VELOCITY_1H_SECONDS),
+                             (f24h, VELOCITY_24H_ROWS, VELOCITY_24H_SECONDS)):
+        sums = np.concatenate([[0], np.cumsum(sequence < limit)])
+        out[n_late:] = sums[ends] - sums[np.maximum(ends - rows, 0)]
+    if len(now):
+        last_us, last_id = int(now[-1]), int(ids[-1])
+    state.update((last_us, last_id, sequence[-HISTORY:].tolist()))
+    if expire_us:
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last_us // 1000 + expire_us // 1000))
     yield pd.DataFrame({
         "tx_id": ids.astype(np.int64),
         "customer_id": pd.array([key[0]] * len(pdf), dtype="Int64"),  # NULL key allowed
         "timestamp": pdf["timestamp"],
-        "tx_frequency_1h": np.asarray(f1h, dtype=np.int64),
-        "tx_frequency_24h": np.asarray(f24h, dtype=np.int64),
-        "is_late": np.asarray(late, dtype=np.int32),
+        "tx_frequency_1h": f1h,
+        "tx_frequency_24h": f24h,
+        "is_late": late.astype(np.int32),
     })
 
 
-def online_velocity(stream: DataFrame) -> DataFrame:
-    """Streaming TX rows -> (tx_id, customer_id, timestamp, 1h/24h features, is_late)."""
-    return (stream.select("tx_id", "customer_id", "timestamp")
-            .groupBy("customer_id")
-            .applyInPandasWithState(velocity_update, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
+def online_velocity(stream: DataFrame, expire: str | None = None,
+                    watermark: str = "1 day") -> DataFrame:
+    """Streaming TX rows -> (tx_id, customer_id, timestamp, 1h/24h features, is_late).
+
+    ``expire`` (e.g. "90 days") drops the state of customers that have had no transaction for that
+    much event time; a customer that comes back later starts anew, as with its first transaction.
+    Without it the state of every customer is kept, as exact equality with the batch needs.
+    """
+    rows = stream.select("tx_id", "customer_id", "timestamp")
+    if expire is None:
+        return rows.groupBy("customer_id").applyInPandasWithState(
+            velocity_update, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    expire_us = int(pd.Timedelta(expire).total_seconds() * 1e6)
+
+    def update(key, pdfs, state):
+        return velocity_update(key, pdfs, state, expire_us)
+
+    # watermarks need a zoned timestamp; the values themselves stay zone-free
+    timed = rows.withColumn("_event", rows["timestamp"].cast("timestamp")).withWatermark("_event", watermark)
+    return timed.groupBy("customer_id").applyInPandasWithState(
+        update, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
