@@ -33,7 +33,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = materialize(groups.where("NOT kept").select(F.col("doc_id").alias("__id"),
                                                        F.col("text_sha256").alias("__sha")).distinct(), "copies")
     sha = F.sha2(exact_tree.normalised(docs["text"]), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (sha == gone["__sha"]), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__id"]) & (sha == gone["__sha"]),
+                     "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = tensor_minhash.near_duplicates(docs, percent=NEAR_PERCENT)
     gone = materialize(classes.where("NOT kept AND doc_id IS NOT NULL")
                        .select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__id"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

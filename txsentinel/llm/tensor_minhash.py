@@ -9,7 +9,7 @@
 * A set can only meet another in a table if it shares a left hash, so right
   halves are attached only where a left hash is shared.
 * Sets that meet form candidate groups (connected over table keys, each key as
-  a star around its smallest member, never all pairs).  Groups of up to
+  a star around its best connected member, never all pairs).  Groups of up to
   ``BLOCK`` sets are verified in one task; larger ones are cut into blocks, and
   every pair of blocks is a task, so all pairs of a group are decided exactly
   on full sets while no task holds more than two blocks.
@@ -133,23 +133,27 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
-    """(a, b): every set that shares a table with a smaller one, with the smallest of that table.
+    """(a, b): every set that shares a table with others, with the centre of that table.
 
-    ``classes``: rep, sketch.
+    The centre is the member that shares left hashes with the most sets; sets of one family then
+    have few centres between them and the edges stay few.  ``classes``: rep, sketch.
     """
     left = classes.select("rep", F.posexplode(F.slice("sketch", 1, SIDE)).alias("i", "left"))
-    shared = materialize(left.groupBy("i", "left").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                         .select("i", "left"), "left-shared")
-    hits = materialize(left.join(shared, ["i", "left"], "left_semi"), "left-hits")
-    right = classes.select("rep", F.slice("sketch", SIDE + 1, SIDE).alias("rights"))
-    tables = hits.join(right, "rep").select(
-        "rep", F.posexplode("rights").alias("j", "right"), "i", "left")
-    keyed = tables.select("rep", F.xxhash64("i", "j", "left", "right").alias("table"))
-    keyed = materialize(keyed, "table-keys")
-    stars = materialize(keyed.groupBy("table").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n"))
-                        .where("n > 1").select("table", "low"), "table-stars")
-    return (keyed.join(stars, "table").where("rep <> low")
-            .select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct())
+    shared = materialize(left.groupBy("i", "left").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+                         "left-shared")
+    hits = materialize(left.join(shared, ["i", "left"]), "left-hits")
+    degree = hits.groupBy("rep").agg(F.sum("n").alias("degree"))
+    right = degree.join(classes, "rep").select(
+        "rep", "degree", F.slice("sketch", SIDE + 1, SIDE).alias("rights"))
+    tables = hits.select("rep", "i", "left").join(right, "rep").select(
+        "rep", "degree", F.posexplode("rights").alias("j", "right"), "i", "left")
+    keyed = materialize(tables.select(
+        "rep", "degree", F.xxhash64("i", "j", "left", "right").alias("table")), "table-keys")
+    centre = F.max(F.struct("degree", (-F.col("rep")).alias("order"))).alias("c")
+    stars = materialize(keyed.groupBy("table").agg(centre, F.count(F.lit(1)).alias("n"))
+                        .where("n > 1").select("table", (-F.col("c.order")).alias("centre")), "table-stars")
+    return (keyed.join(stars, "table").where("rep <> centre")
+            .select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct())
 
 
 def linked_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -223,7 +227,8 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, doc_id: st
              .select("rep", F.col("key").alias("want"), "grp", "own", "blocks"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"),
                        F.col(f"`{text}`").cast("string").alias("body"))
-    rows = rows.join(dealt, rows["id"] == dealt["rep"]).select("rep", "want", "grp", "own", "blocks", "body")
+    # the same exchange of the texts at every size, not a broadcast while there are few candidates
+    rows = rows.join(dealt.hint("merge"), rows["id"] == dealt["rep"]).select("rep", "want", "grp", "own", "blocks", "body")
 
     def to_sets(batches):
         for batch in batches:
