@@ -7,7 +7,10 @@ from tests.conftest import SF_MID
 from txsentinel.operators import evaluate as ev
 from txsentinel.operators.detectors.gbt import GBTDetector, param_search, top_importances
 from txsentinel.operators.detectors.iforest import IsolationForestDetector
-from txsentinel.operators.detectors.recon import AutoencoderDetector, PCAReconstructionDetector
+from txsentinel.operators.detectors.discriminator import DiscriminatorDetector
+from txsentinel.operators.detectors.recon import (
+    AutoencoderDetector, PCAReconstructionDetector, choose_components,
+)
 from txsentinel.operators.profile import normal_only
 from txsentinel.plans import flow as P
 
@@ -85,3 +88,34 @@ def test_autoencoder_loss_decreases(spark, train, test, tmp_path):
     det.save(str(tmp_path / "ae"))
     again = AutoencoderDetector.load(spark, str(tmp_path / "ae"))
     assert again.score(test).exceptAll(det.score(test)).count() == 0
+
+
+def test_pca_components_chosen_on_a_validation_fold(spark, train, test):
+    k = choose_components(train, ["timestamp", "tx_id"])
+    det = PCAReconstructionDetector(k=k).fit(normal_only(train))
+    assert auc(det.score(test)) > 0.85
+    other = det.with_quantile("p99", 0.99, normal_only(train))
+    assert other.components == det.components and other.threshold > det.threshold
+
+
+def test_autoencoder_trains_on_the_real_net(spark, train, test):
+    det = AutoencoderDetector(epochs=25).fit(normal_only(train))
+    assert det.history[-1][1] < 0.2  # validation loss; it starts near 1
+    assert auc(det.score(test)) > 0.85
+
+
+def test_discriminator_bar(spark, train, test):
+    """The weakest detector: better than chance, and its flags follow its quantile."""
+    det = DiscriminatorDetector(max_iter=10).fit(normal_only(train))
+    assert auc(det.score(test)) > 0.52
+    assert flag_rate(det.score(normal_only(train))) == pytest.approx(0.05, abs=0.02)
+
+
+def test_forest_sample_follows_one_rule(spark):
+    from txsentinel.operators.detectors.iforest import binomial_steps, tree_samples
+    assert binomial_steps(3, 0.5) == pytest.approx([0.125, 0.5, 0.875])
+    for n, psi in ((100, 64), (5000, 64)):
+        rows = spark.range(n).withColumnRenamed("id", "tx_id")
+        got = tree_samples(rows, n, 50, psi).groupBy("tree_id").agg(
+            F.count("*").alias("n"), F.countDistinct("tx_id").alias("d")).collect()
+        assert len(got) == 50 and all(r["n"] == r["d"] == psi for r in got)

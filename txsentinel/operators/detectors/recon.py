@@ -125,6 +125,26 @@ class PCAReconstructionDetector:
                    threshold=m["threshold"])
 
 
+def choose_components(train: DataFrame, order: list[str],
+                      candidates: tuple[int, ...] = (4, 6, 8, 10, 12)) -> int:
+    """M7: the number of components with the best AUC on the last fifth of the training rows.
+
+    One PCA is fitted on the normal rows before them; fewer components are a prefix of it, and one
+    wide pass over the validation rows scores all candidates.  Ties go to the smaller number."""
+    from txsentinel.operators.evaluate import auc_scores, cumulative_counts
+    from txsentinel.operators.ordered import positional_split_by_cut
+    from txsentinel.operators.profile import normal_only
+    from txsentinel.plans.training import score_all
+
+    rows = materialize(positional_split_by_cut(train.drop("is_train", "n_rows"), order), "pca-folds")
+    full = PCAReconstructionDetector(k=max(candidates)).fit(normal_only(rows.where("is_train = 1")))
+    detectors = {f"k{k}": replace(full, k=k, components=[row[:k] for row in full.components])
+                 for k in candidates}
+    scores = score_all(detectors, rows.where("is_train = 0"))
+    auc = {r["model"]: r["auc_roc"] or 0.0 for r in auc_scores(cumulative_counts(scores)).collect()}
+    return max(sorted(candidates), key=lambda k: auc.get(f"k{k}", 0.0))
+
+
 # ------------------------------------------------------------ autoencoder ---
 def _init_weights(sizes: list[int], seed: int) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
