@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _U64 = np.uint64
 _BASE = _U64(0x9E3779B97F4A7C15 | 1)          # odd, so it has an inverse mod 2^64
