@@ -1,7 +1,8 @@
 """Toxic span tagging with a linear-chain conditional random field.
 
 * Labelled tokens: from labelled training documents, words and word beginnings
-  that stand out in toxic documents (G-squared test on document counts) mark
+  that stand out in toxic documents (G-squared on document counts, above what chance
+  gives to any of the words tested) mark
   the tokens of toxic documents as toxic; all other tokens are clean.
 * Model: two tags; a token's score sums weights of its word, its beginnings of
   4 to 7 bytes and its neighbours; a 2 x 2 transition table and start scores
@@ -33,14 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txsentinel.llm.arrow_text import (LOWER, prefix_hash, range_hash, slices, text_buffer,
-                                       word_spans)
+from txsentinel.llm.arrow_text import LOWER, prefix_hash, range_hash, slices, word_spans
 
 #: Documents the model is fitted on, at most: toxic and clean half each as far as there are.
 MAX_LABELLED = 3000
-#: Evidence that makes a word or beginning toxic, and that makes it a feature (G-squared).
-TOXIC_G2, FEATURE_G2 = 20.0, 6.0
+#: Evidence that makes a word, beginning or neighbour a feature (G-squared).
+FEATURE_G2 = 10.0
 EPOCHS = 40
+#: Tokens that one forward-backward call of the training holds.
+TRAIN_TOKENS = 200_000
+#: Documents of the rarer class from which on some are held back for the calibration.
+MIN_HELD = 100
 
 _U64 = np.uint64
 _SEPARATOR = np.ones(256, bool)
@@ -206,15 +210,17 @@ def g_squared(a: np.ndarray, n1: int, b: np.ndarray, n0: int) -> np.ndarray:
     return np.where(a * n0 >= b * n1, g, -g)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30,
+                 weight: np.ndarray | None = None) -> np.ndarray:
     """Ridge-penalised logistic regression by Newton steps (the first column is the intercept)."""
     w = np.zeros(x.shape[1])
+    weight = np.ones(len(x)) if weight is None else weight
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - penalty * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        grad = x.T @ (weight * (y - p)) - penalty * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, grad)
         w = w + step
         if np.abs(step).max() < 1e-8:
@@ -227,12 +233,24 @@ def train(texts: list[str], toxic: list[int], prior: float, epochs: int = EPOCHS
     y_doc = np.asarray(toxic, bool)
     if not len(texts) or y_doc.all() or not y_doc.any():
         return CrfModel(prior=prior)
-    buf, off = text_buffer(pa.array(texts, pa.large_string()))
-    low, start, end, doc = token_spans(buf, off)
-    features = token_features(low, start, end, doc)
-    n1, n0 = int(y_doc.sum()), int((~y_doc).sum())
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    parts, seen = [], 0
+    for rows, buf, off in slices(batch):
+        low, start, end, doc = token_spans(buf, off)
+        parts.append((doc + seen, *token_features(low, start, end, doc)))
+        seen += rows.num_rows
+    doc, *features = (np.concatenate(p) for p in zip(*parts))
+    del parts
+    # every fourth document of either class calibrates the score, if there are enough of them
+    held = np.zeros(len(y_doc), bool)
+    if min(y_doc.sum(), (~y_doc).sum()) >= MIN_HELD:
+        for c in (True, False):
+            held[np.flatnonzero(y_doc == c)[3::4]] = True
+    own = ~held[doc]
+    doc, features = doc[own], [f[own] for f in features]
+    n1, n0 = int(y_doc[~held].sum()), int((~y_doc[~held]).sum())
     # document counts of each feature, toxic and clean
-    keys, g2, own = [], [], []
+    keys, g2, kinds, tested = [], [], [], 0
     for kind, hashes in enumerate(features):
         order = np.lexsort((doc, hashes))
         h, d = hashes[order], doc[order]
@@ -243,22 +261,30 @@ def train(texts: list[str], toxic: list[int], prior: float, epochs: int = EPOCHS
         a = np.bincount(at, y_doc[d], len(unique))
         b = np.bincount(at, ~y_doc[d], len(unique))
         g = g_squared(a, n1, b, n0)
+        tested += len(unique) if kind <= len(BEGINNINGS) else 0
         use = (np.abs(g) >= FEATURE_G2) & (unique != 0)
         keys.append(unique[use])
         g2.append(g[use])
-        own.append(np.full(use.sum(), kind))
-    keys, g2, own = np.concatenate(keys), np.concatenate(g2), np.concatenate(own)
+        kinds.append(np.full(use.sum(), kind))
+    keys, g2, kinds = np.concatenate(keys), np.concatenate(g2), np.concatenate(kinds)
     order = np.argsort(keys)
-    keys, g2, own = keys[order], g2[order], own[order]
+    keys, g2, kinds = keys[order], g2[order], kinds[order]
     model = CrfModel(keys, np.zeros(len(keys)), prior=prior)
-    found = [model.find(hashes) for hashes in features]
+    found = [tuple(a.astype(np.int32) for a in model.find(hashes)) for hashes in features]
+    del features
+    # evidence that chance gives to less than one of the words and beginnings tested
+    strong = 2 * np.log(max(tested, 2))
     # labelled tokens: strong evidence of the token's own word or beginning, in a toxic document
     y = np.zeros(len(doc))
     for at, slot in found[:1 + len(BEGINNINGS)]:
-        y[at[(g2[slot] >= TOXIC_G2) & (own[slot] <= len(BEGINNINGS))]] = 1.0
+        y[at[(g2[slot] >= strong) & (kinds[slot] <= len(BEGINNINGS))]] = 1.0
     y *= y_doc[doc]
     first = np.ones(len(doc), bool)
     first[1:] = doc[1:] != doc[:-1]
+    # whole documents at a time, so that a step's arrays stay small
+    heads = np.flatnonzero(first)
+    cuts = [*heads[np.unique(np.searchsorted(heads, np.arange(0, len(doc), TRAIN_TOKENS)))
+                   .clip(max=len(heads) - 1)].tolist(), len(doc)]
     inner = np.flatnonzero(~first)
     was, now = y[inner - 1], y[inner]
     observed = np.array([((1 - was) * now).sum(), (was * (1 - now)).sum(), (was * now).sum()])
@@ -273,7 +299,11 @@ def train(texts: list[str], toxic: list[int], prior: float, epochs: int = EPOCHS
         logit = np.full(len(doc), model.bias)
         for at, slot in found:
             logit[at] += model.weights[slot]
-        p, expected = forward_backward(logit, first, model.trans, model.begin)
+        p, expected = np.empty(len(doc)), np.zeros(3)
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                p[a:b], moved = forward_backward(logit[a:b], first[a:b], model.trans, model.begin)
+                expected += moved
         error = y - p
         grad = np.zeros(size)
         for at, slot in found:
@@ -288,8 +318,16 @@ def train(texts: list[str], toxic: list[int], prior: float, epochs: int = EPOCHS
     used = np.abs(theta[:-5]) >= 0.02
     model = CrfModel(keys[used], theta[:-5][used], theta[-5],
                      np.array([[0.0, theta[-4]], [theta[-3], theta[-2]]]), theta[-1], prior=prior)
-    _, _, doc, p = model.marginals(buf, off)
-    model.calibration = fit_logistic(document_evidence(doc, p, len(texts)), y_doc.astype(float))
+    evidence = []
+    for rows, buf, off in slices(batch):
+        _, _, doc, p = model.marginals(buf, off)
+        evidence.append(document_evidence(doc, p, rows.num_rows))
+    judged = held if held.any() else np.ones(len(y_doc), bool)
+    evidence, y = np.vstack(evidence)[judged], y_doc[judged].astype(float)
+    # the sample is balanced: weights bring the classes back to their shares among the labels
+    share = np.clip(prior, 1e-3, 1 - 1e-3)
+    weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
+    model.calibration = fit_logistic(evidence, y, 0.1, weight=weight)
     return model
 
 
