@@ -20,6 +20,9 @@ else, in any document.  Strings are judged on the input.
    passage over all tasks.
 5. Spans go back to their documents, which return what is left.
 
+Joins are sort-merge joins at every size (skewed keys are split by AQE); the two
+joins with the documents read one exchange of the texts.
+
 Content is compared through 64-bit hashes in steps 1, 2 and 4 and byte by byte
 in the sort of step 3.  Defined results: null text counts as empty; texts
 shorter than ``length`` are never touched; repeated rows repeat each other's
@@ -86,8 +89,26 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                        F.col(f"`{doc_id}`").alias("id"), body.cast("binary").alias("body"))
 
 
+def _document_regions(start, n, h, g, length: int):
+    """The distinct (h, g) of one text: first start, starts, hashes, times, and for those met
+    several times (periodic texts) the union of their regions."""
+    order = np.lexsort((start, g, h))
+    start, n, h, g = start[order], n[order], h[order], g[order]
+    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
+    times = np.diff(np.append(first, len(h)))
+    more = [None] * len(first)
+    for k in np.flatnonzero(times > 1).tolist():
+        a, b = first[k], first[k] + times[k]
+        end = start[a:b] + n[a:b] - 1 + length
+        cut = np.flatnonzero(start[a + 1:b] > end[:-1])
+        more[k] = [{"s": int(s), "e": int(e)} for s, e in
+                   zip(start[a:b][np.append(0, cut + 1)], end[np.append(cut, b - a - 1)])]
+    return start[first], n[first], h[first], g[first], times, more
+
+
 def region_runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """rk, start, n (string starts), h (minimizer hash), g (region hash) of all runs."""
+    """Distinct regions of every text: rk, start (the first), n (string starts), h (minimizer
+    hash), g (region hash), times it occurs, more (their union, if it occurs several times)."""
     def run(batches):
         for batch in batches:
             for rows, buf, off in slices(batch, "body"):
@@ -97,20 +118,24 @@ def region_runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 at = np.arange(len(buf) - gram + 1)
                 grams = range_hash(prefix, at, at + gram)
                 keys = rows.column(0).to_numpy(zero_copy_only=False)
-                out = []
+                out, more = [], []
                 for d in np.flatnonzero(np.diff(off) >= length).tolist():
                     low, high = int(off[d]), int(off[d + 1])
                     start, n, h = minimizer_runs(grams[low:high - gram + 1], length, gram)
                     g = range_hash(prefix, low + start, low + start + n - 1 + length)
-                    out.append((np.full(len(start), keys[d]), start, n, h, g))
+                    *own, spans = _document_regions(start, n, h, g, length)
+                    out.append((np.full(len(own[0]), keys[d]), *own))
+                    more += spans
                 if out:
-                    rk, start, n, h, g = (np.concatenate(p) for p in zip(*out))
+                    rk, start, n, h, g, times = (np.concatenate(p) for p in zip(*out))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(rk), pa.array(start), pa.array(n.astype(np.int32)),
-                         pa.array(h.view(np.int64)), pa.array(g.view(np.int64))],
-                        names=["rk", "start", "n", "h", "g"])
+                         pa.array(h.view(np.int64)), pa.array(g.view(np.int64)),
+                         pa.array(times.astype(np.int32)), pa.array(more, _MORE)],
+                        names=["rk", "start", "n", "h", "g", "times", "more"])
 
-    return keyed.select("rk", "body").mapInArrow(run, "rk long, start long, n int, h long, g long")
+    return keyed.select("rk", "body").mapInArrow(
+        run, "rk long, start long, n int, h long, g long, times int, more array<struct<s:bigint,e:bigint>>")
 
 
 def shard_repeats(regions: list[bytes], starts: list[int], length: int) -> list[np.ndarray]:
@@ -144,6 +169,7 @@ def _ranges(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(values[np.append(0, cut + 1)].tolist(), values[np.append(cut, len(values) - 1)].tolist()))
 
 
+_MORE = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 _SPANS = "rk long, s long, e long"
 
 
@@ -156,7 +182,7 @@ def sorted_spans(regions: DataFrame, shards: int, length: int) -> DataFrame:
     """Repeats inside regions (rk, start, n, h, region, single): one induced sort per shard."""
     dealt = (regions.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
              .repartition(shards, "shard").sortWithinPartitions("shard")
-             .select("shard", "rk", "start", "n", "single", "region"))
+             .select("shard", "rk", "id", "start", "n", "single", "region"))
 
     def decide(held: list[dict]):
         found = shard_repeats([r["region"] for r in held], [r["n"] for r in held], length)
@@ -200,7 +226,7 @@ def counted_spans(regions: DataFrame, length: int) -> DataFrame:
                           .mapInArrow(explode, "w long, rk long, start long, single boolean"), "hot-strings")
     twice = materialize(strings.groupBy("w").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("k"))
                         .where("k > 1").select("w"), "hot-repeats")
-    return (strings.where("single").join(twice, "w")
+    return (strings.where("single").join(twice.hint("merge"), "w")
             .select("rk", F.col("start").alias("s"), (F.col("start") + length).alias("e")))
 
 
@@ -208,17 +234,18 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM,
                    hot_regions: int = HOT_REGIONS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """rk, s, e: byte ranges to remove (they may overlap)."""
     runs = materialize(region_runs(keyed, length, gram), "regions")
-    groups = materialize(runs.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("g").alias("a"),
+    groups = materialize(runs.groupBy("h").agg(F.sum("times").alias("k"), F.min("g").alias("a"),
                                                F.max("g").alias("b"))
                          .where("k > 1").select("h", (F.col("a") != F.col("b")).alias("mixed")), "shared-grams")
-    shared = materialize(runs.join(groups, "h"), "shared-regions")
+    shared = materialize(runs.join(groups.hint("merge"), "h"), "shared-regions")
     first = F.min(F.struct("rk", "start", "n")).alias("first")
-    classes = materialize(shared.groupBy("h", "g").agg(first, F.count(F.lit(1)).alias("k"),
+    classes = materialize(shared.groupBy("h", "g").agg(first, F.sum("times").alias("k"),
                                                        F.first("mixed").alias("mixed")), "region-classes")
     # two equal regions: all of their strings repeat
     copies = classes.where("k > 1").select("h", "g")
-    whole = shared.join(copies, ["h", "g"], "left_semi").select(
-        "rk", F.col("start").alias("s"), (F.col("start") + F.col("n") - 1 + length).alias("e"))
+    own = F.array(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") - 1 + length).alias("e")))
+    whole = shared.join(copies.hint("merge"), ["h", "g"], "left_semi").select(
+        "rk", F.inline(F.coalesce("more", own)))
     # several different regions of a minimizer: one of each is compared
     mixed = classes.where("mixed").select("h", "first.*", (F.col("k") == 1).alias("single"))
     hot = materialize(mixed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot_regions)
@@ -230,9 +257,10 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     def text_of(rows: DataFrame) -> DataFrame:
         place = F.substring(F.col("body"), (F.col("start") + 1).cast("int"), F.col("n") - 1 + length)
-        # rows that repeat a document answer once
-        return (keyed.select("rk", "body").join(rows, "rk")
-                .select("rk", "start", "n", "h", "single", place.alias("region"))
+        # rows that repeat a document answer once; the identifier goes along so that this join and
+        # the last one read one and the same exchange of the documents
+        return (keyed.join(rows.hint("merge"), "rk")
+                .select("rk", "id", "start", "n", "h", "single", place.alias("region"))
                 .dropDuplicates(["rk", "start"]))
 
     shards = max(1, -(-total // shard_bytes))
@@ -248,9 +276,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id``, n_bytes, spans (start, end of maximal removed runs), kept (remaining bytes)."""
     keyed = _keyed(docs, doc_id, text)
     found = repeated_spans(keyed, length, gram, hot_regions, shard_bytes)
-    spans = materialize(
-        found.groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")), "spans")
-    together = keyed.join(spans, "rk", "left").select(
+    spans = found.groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    together = keyed.join(spans.hint("merge"), "rk", "left").select(
         F.col("id"), F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("spans"),
         "body")
 
