@@ -69,3 +69,9 @@ def test_runs_are_bounded_and_cover_all_starts():
     assert n.max() <= 33
     for a, k, v in zip(start, n, h):
         assert v == grams[a:a + 33].min() == grams[a + k - 1:a + k + 32].min()
+
+
+@pytest.mark.parametrize("shared", [b"z" * 40, b"a" * 40])  # the largest and the smallest string of the shard
+def test_last_string_of_a_shard_is_compared(shared):
+    regions = [b"b" * 5 + shared, b"c" * 5 + shared]
+    assert [f.tolist() for f in suffix_dedup.shard_repeats(regions, [6, 6], 40)] == [[5], [5]]

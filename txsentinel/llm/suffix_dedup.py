@@ -151,7 +151,8 @@ def shard_repeats(regions: list[bytes], starts: list[int], length: int) -> list[
     kept = np.flatnonzero(counts)
     if not len(kept):
         return [np.zeros(0, np.int64) for _ in regions]
-    low = np.minimum.reduceat(lcp, np.append(0, kept[:-1] + 1)) if len(kept) > 1 else lcp[:1]
+    # (not over what lies behind the last of them, where the separators' suffixes begin)
+    low = np.minimum.reduceat(lcp[:kept[-1] + 1], np.append(0, kept[:-1] + 1))
     repeat = np.zeros(len(kept), bool)
     same = low[1:] >= length
     repeat[1:] |= same
