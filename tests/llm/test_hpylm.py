@@ -93,3 +93,33 @@ def test_everything_held_out(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = hpylm.score_corpus(docs, F.lit(True)).first()
     assert (r["train_tokens"], r["n_known"], r["base_score"], r["n_tokens"]) == (0, 0, 0.0, 3)
+
+
+def test_sections_of_a_context_share_their_evidence(spark):
+    # z follows v, but only after five of the words before v; q never follows v
+    r = random.Random(3)
+    rows = []
+    for d in range(600):
+        x = r.randrange(100)
+        after = "z" if x < 5 else "y%d" % r.randrange(20)
+        rows.append((d, " ".join("x%d v %s f%d" % (x, after, r.randrange(3000)) for _ in range(5)) + " g%d q f%d" % (d % 4, r.randrange(3000))))
+    for k in range(60):
+        rows += [(2000 + 2 * k, "new%d v z" % k), (2001 + 2 * k, "new%d v q" % k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = hpylm.score_corpus(docs, F.col("doc_id") >= 2000, bucket_tokens=400).collect()
+    score = {x["doc_id"]: x["score"] for x in got}
+    gain = [score[2000 + 2 * k] - score[2001 + 2 * k] for k in range(60)]
+    assert min(gain) > 0.3                       # in every section, not only where z was met
+    assert max(gain) - min(gain) < 0.1
+
+
+def test_a_trigram_is_in_one_section_only():
+    dictionary = hpylm.Dictionary(np.array([1, 2, 3], np.uint64), np.array([900, 800, 1]), 100)
+    off = np.arange(0, 41 * 6, 6)
+    tokens = hpylm.Tokens(np.frombuffer(b"a b c " * 40, np.uint8), off)
+    tokens.word[:] = np.tile(np.array([1, 2, 3, hpylm.END], np.uint64), 40)
+    chunk = hpylm.Chunk(dictionary, 1)
+    salt = [np.arange(40, dtype=np.uint64)] * ("salt" in hpylm.Chunk.add.__code__.co_varnames)
+    chunk.add(tokens, dictionary.codes(tokens.word), np.zeros(40, bool), *salt)
+    v, x, w, *_, section, _, _ = chunk.parts[0]
+    assert len(set(section[(w == 3) & (v == 2) & (x == 1)].tolist())) == 1

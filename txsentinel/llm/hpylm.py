@@ -21,12 +21,16 @@ Spark plan.
 * Tokens are dealt by context word v, so a restaurant (v) and all its children
   lie in one bucket.  Contexts with more tokens than a share of a bucket are cut
   into sections by the word before them (and, where both words are that
-  frequent, by document): sibling restaurants of their own under the root.
+  frequent, by the word that follows, so a trigram's count is never cut).  The
+  sections of v share the restaurant (v), and the parts of (x, v) its totals.
 * Epoch one seats the training trigram counts of each bucket; its tables are
-  the root's customers.  The root is seated, dealt by word.
+  the root's customers.  The sections' tables are the customers of the shared
+  restaurants, which are seated dealt by (v, word) and whose tables go to the
+  root.  The root is seated, dealt by word.
 * Epoch two deals all tokens with their documents to the same buckets, together
-  with the root's answers for the words that have no code, seats again under
-  the sampled root, and averages; buckets return one partial sum per document.
+  with the root's answers for the words that have no code and the seating of the
+  shared restaurants (done again under the sampled root), seats again under
+  both, and averages; buckets return one partial sum per document.
 
 Hashes stand for words; two words are confused with a probability of about
 V^2 / 2^65.  No driver collect grows with the data: only dictionary-sized
@@ -113,6 +117,7 @@ class Dictionary:
         order = np.argsort(words)
         self.sorted, self.code = words[order], order.astype(np.int32)
         self.sections = np.maximum(1, np.ceil(counts / hot)).astype(np.int64)
+        self.shared = int((self.sections > 1).sum())            # codes below it have sections
 
     def __reduce__(self):                         # the rest is built again by whoever reads it
         return Dictionary, (self.hashes, self.counts, self.hot)
@@ -139,6 +144,17 @@ class Dictionary:
         out[known] = self.sections[codes[known]]
         return out
 
+    def context_codes(self, word: np.ndarray) -> np.ndarray:
+        return np.where(word == BEGIN, _BEGIN_CODE, self.codes(word))
+
+    def spread(self, vc: np.ndarray, xc: np.ndarray) -> np.ndarray:
+        """Parts of the restaurants (x, v): above 1 where both words have sections."""
+        return np.minimum(self.section_counts(xc), self.section_counts(vc))
+
+    def shared_number(self, codes: np.ndarray) -> np.ndarray:
+        """Number of the shared restaurant of context words, -1 without sections."""
+        return np.where(self.section_counts(codes) > 1, np.where(codes == _BEGIN_CODE, self.shared, codes), -1)
+
 
 def _shifted(values: np.ndarray, starts: np.ndarray, by: int, fill) -> np.ndarray:
     """Values ``by`` places earlier in the same document, ``fill`` where there is none."""
@@ -155,6 +171,10 @@ def context_hash(v: np.ndarray, section: np.ndarray) -> np.ndarray:
     return mix(v * _ONE + section.astype(_U64))
 
 
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a.astype(_U64) * _ONE + mix(b * _THREE))
+
+
 def bucket_of(context: np.ndarray, buckets: int) -> np.ndarray:
     return ((context >> _U64(32)) * _U64(buckets) >> _U64(32)).astype(np.int64)
 
@@ -180,8 +200,8 @@ class Chunk:
     def clear(self):
         self.parts, self.docs, self.held, self.tokens = [], 0, [], 0
 
-    def add(self, tokens: Tokens, code: np.ndarray, held: np.ndarray, salt: np.ndarray):
-        """``held``: held-out documents; ``salt``: a hash per document for sections."""
+    def add(self, tokens: Tokens, code: np.ndarray, held: np.ndarray):
+        """``held``: held-out documents."""
         d = self.dictionary
         first = np.cumsum(tokens.size) - tokens.size
         v, x = _shifted(tokens.word, first, 1, BEGIN), _shifted(tokens.word, first, 2, BEGIN)
@@ -190,8 +210,8 @@ class Chunk:
         section = np.zeros(len(v), np.int32)
         hot = np.flatnonzero(m > 1)
         if len(hot):
-            mx = np.minimum(d.section_counts(xc[hot]), m[hot])
-            spread = salt[tokens.doc[hot]] % mx.astype(_U64)
+            # the parts of (x, v) are cut by the word that follows: all of a trigram is in one
+            spread = mix(tokens.word[hot] * _TWO) % d.spread(vc[hot], xc[hot]).astype(_U64)
             section[hot] = ((mix(x[hot]) + spread) % m[hot].astype(_U64)).astype(np.int32)
         self.parts.append((v, x, tokens.word, vc, xc, code, section,
                            (tokens.doc + self.docs).astype(np.int32), held[tokens.doc]))
@@ -200,7 +220,7 @@ class Chunk:
 
     def deal(self, counts_only: bool) -> Iterator[tuple[int, bytes]]:
         """(bucket, packed tokens); ``counts_only``: distinct training trigrams with counts, and
-        with count 0 those held-out ones whose word has no code."""
+        with count 0 those held-out ones whose word has no code or whose context has sections."""
         if not self.parts:
             return
         columns = [list(p) for p in zip(*self.parts)]
@@ -214,7 +234,7 @@ class Chunk:
         extra = 2 * doc + held
         if counts_only:
             key = mix(context + mix(x * _TWO + mix(w * _THREE)))
-            use = np.flatnonzero(~held | (wc == _RARE))
+            use = np.flatnonzero(~held | (wc == _RARE) | (self.dictionary.section_counts(vc) > 1))
             first, inverse = group(key[use])
             extra = np.bincount(inverse, ~held[use], len(first)).astype(np.int64)
             pick = use[first]
@@ -297,13 +317,15 @@ class Level:
         self.t = np.minimum(customers, 1)
         self.log_z = np.full(len(many), -np.inf)
         self.d = discount(customers)
+        self.own_d = np.full(restaurants, self.d)
         self.tables = np.bincount(self.restaurant, self.t, restaurants)
         self.people = np.bincount(self.restaurant, self.c, restaurants)
 
     def predict(self, parent: np.ndarray, at=slice(None)) -> np.ndarray:
         """P(dish) in its restaurant, for the dishes ``at``, given the parent's P(dish)."""
         r = self.restaurant[at]
-        return ((self.c[at] - self.d * self.t[at] + (self.theta + self.d * self.tables[r]) * parent)
+        d = self.own_d[r]
+        return ((self.c[at] - d * self.t[at] + (self.theta + d * self.tables[r]) * parent)
                 / (self.theta + self.people[r]))
 
     def reseat(self, half: np.ndarray, customers: np.ndarray, parent: np.ndarray,
@@ -330,10 +352,12 @@ class Bucket:
         inner = mix(context + mix(x * _TWO))
         first, self.inverse = group(mix(inner * _THREE + mix(w * _ONE)))
         self.count = np.bincount(self.inverse, train, len(first)).astype(np.int64)
-        context, inner, w = context[first], inner[first], w[first]
-        _, self.inner = group(inner)
+        context, inner, v, x, w = context[first], inner[first], v[first], x[first], w[first]
+        at, self.inner = group(inner)
+        self.leaf_v, self.leaf_x, self.leaf_key, self.share = v[at], x[at], inner[at], None
         first, self.pair = group(mix(context * _TWO + mix(w * _THREE)))
-        _, outer = group(context[first])
+        at, outer = group(context[first])
+        self.middle_v = v[first][at]
         w = w[first]
         at, self.pair_word = group(w)
         self.words = w[at]
@@ -349,9 +373,30 @@ class Bucket:
         self.customers = tables
         self.middle.start(tables.copy(), np.flatnonzero(tokens > 1))
 
+    def share_middle(self, pairs, c, t, restaurants, d, tables, people):
+        """After ``start``: the state of shared restaurants, which are seated elsewhere."""
+        middle = self.middle
+        middle.c[pairs], middle.t[pairs] = c, t
+        middle.own_d[restaurants], middle.tables[restaurants], middle.people[restaurants] = d, tables, people
+        keep = ~np.isin(middle.restaurant[middle.many], restaurants)
+        middle.many, middle.log_z = middle.many[keep], middle.log_z[keep]
+
+    def share_leaf(self, restaurants, tables, people):
+        """After ``start``: what other parts of the same (x, v) hold."""
+        self.leaf.tables[restaurants] += tables
+        self.leaf.people[restaurants] += people
+
+    def own_leaf(self) -> tuple[np.ndarray, np.ndarray]:
+        """(tables, customers) in the restaurants (x, v), of this part alone."""
+        n = len(self.leaf_v)
+        return (np.bincount(self.inner, self.leaf.t, n).astype(np.int64),
+                np.bincount(self.inner, self.count, n).astype(np.int64))
+
     def sweep(self):
         """One Gibbs sweep, children before parents; each level in two random halves."""
         leaf, middle = self.leaf, self.middle
+        if self.share is not None:   # the other parts are not known yet: as many tables as here
+            leaf.tables = self.own_leaf()[0] * self.share
         for half in self._halves(len(leaf.many)):
             dish = leaf.many[half]
             pair = self.pair[dish]
@@ -359,7 +404,8 @@ class Bucket:
             c = np.maximum(middle.c[pair] - leaf.t[dish], 0)
             t = np.minimum(middle.t[pair], c)
             r = middle.restaurant[pair]
-            parent = ((c - middle.d * t + (middle.theta + middle.d * middle.tables[r]) * self.root[pair])
+            d = middle.own_d[r]
+            parent = ((c - d * t + (middle.theta + d * middle.tables[r]) * self.root[pair])
                       / (middle.theta + middle.people[r]))
             change = leaf.reseat(half, self.count[dish], parent, self.rng)
             np.add.at(self.customers, pair, change)
@@ -506,7 +552,7 @@ def _token_rows(shared, counts_only: bool):
                 ids = rows.column(0)
                 plain = np.asarray(ids.fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
                 code = dictionary.codes(tokens.word)
-                chunk.add(tokens, code, held, mix(plain.view(_U64)))
+                chunk.add(tokens, code, held)
                 if not counts_only:
                     known = code < _BEGIN_CODE
                     n = len(tokens.size)
@@ -536,7 +582,8 @@ def _load(bodies: list[bytes], dictionary: Dictionary):
 def _first_epoch(shared, parts: int, total: int, types: int):
     """Bucket task: seat the training trigrams, send the tables of (context, word) to the root.
 
-    Rows: part, bucket, packed {code/hash, customers, tokens}; part < 0 for words with a code."""
+    Rows of kind 0: part, bucket, packed {code/hash, customers, tokens}; part < 0 for words with a
+    code.  Kind 1: customers of the shared restaurants.  Kind 2: totals of the parts of (x, v)."""
     def run(batches):
         dictionary = shared.value[0]
         for bucket, rows in _groups(batches):
@@ -550,24 +597,187 @@ def _first_epoch(shared, parts: int, total: int, types: int):
             unigram = np.full(len(code), 1.0 / (total + types + 1))
             unigram[known] = (dictionary.counts[code[known]] + 1.0) / (total + types + 1)
             model.start(unigram)
+            number = dictionary.shared_number(dictionary.context_codes(model.middle_v))
+            parts_of = dictionary.spread(dictionary.context_codes(model.leaf_v),
+                                         dictionary.context_codes(model.leaf_x))
+            if (parts_of > 1).any():
+                model.share = parts_of
             for _ in range(BURN_IN):
                 model.sweep()
-            people = np.bincount(model.pair_word, model.middle.t, len(code)).astype(np.int64)
+            number = number[model.middle.restaurant]
+            people = np.bincount(model.pair_word, np.where(number < 0, model.middle.t, 0),
+                                 len(code)).astype(np.int64)
             tokens = np.bincount(model.pair_word[model.pair], model.count, len(code)).astype(np.int64)
-            out = []
-            for p, at in _split(np.where(known, -1 - code // (1 << 14),
-                                         (model.words % _U64(parts)).astype(np.int64))):
-                out.append((p, _pack({
-                    "w": code[at] if p < 0 else model.words[at],
-                    "c": _smallest(people[at]), "n": _smallest(tokens[at])})))
+            out = [(p, 0, b) for p, b in _to_root(code, model.words, people, tokens, parts)]
+            pairs = np.flatnonzero(number >= 0)
+            word = model.pair_word[pairs]
+            key = pair_key(number[pairs], model.words[word])
+            for p, at in _split((key % _U64(parts)).astype(np.int64)):
+                own = code[word[at]]
+                out.append((p, 1, _pack({
+                    "v": _smallest(number[pairs[at]]), "w": _planes(own),
+                    "wr": model.words[word[at]][own == _RARE], "c": _smallest(model.customers[pairs[at]])})))
+            cut = np.flatnonzero(parts_of > 1)
+            key = pair_key(model.leaf_v[cut], model.leaf_x[cut])
+            tables, own = model.own_leaf()
+            for p, at in _split((key % _U64(parts)).astype(np.int64)):
+                out.append((p, 2, _pack({"k": key[at], "i": model.leaf_key[cut[at]], "t": tables[cut[at]],
+                                        "c": own[cut[at]]})))
             yield pa.RecordBatch.from_pydict({
-                "part": pa.array([p for p, _ in out], pa.int32()),
+                "part": pa.array([p for p, _, _ in out], pa.int32()),
+                "kind": pa.array([k for _, k, _ in out], pa.int32()),
                 "bucket": pa.array([bucket] * len(out), pa.int32()),
+                "body": pa.array([b for _, _, b in out], pa.binary())})
+
+    return run
+
+
+def _to_root(code, words, people, tokens, parts: int) -> Iterator[tuple[int, bytes]]:
+    known = code < _BEGIN_CODE
+    for p, at in _split(np.where(known, -1 - code // (1 << 14), (words % _U64(parts)).astype(np.int64))):
+        yield p, _pack({"w": code[at] if p < 0 else words[at],
+                        "c": _smallest(people[at]), "n": _smallest(tokens[at])})
+
+
+# ---------------------------------------------------------------- shared restaurants
+
+
+def _merged_pairs(bodies: list[bytes], dictionary: Dictionary):
+    """(restaurant, word, code, customers) of the distinct pairs of a part; the requests' pairs."""
+    data = [_unpack(b) for b in bodies]
+    number = np.concatenate([x["v"].astype(np.int64) for x in data])
+    code = np.concatenate([_codes(x["w"]) for x in data])
+    word = dictionary.words(code, np.concatenate([x["wr"] for x in data]))
+    first, inverse = group(pair_key(number, word))
+    people = np.bincount(inverse, np.concatenate([x["c"].astype(float) for x in data]), len(first))
+    cuts = np.cumsum([len(x["v"]) for x in data])[:-1]
+    return number[first], word[first], code[first], people.astype(np.int64), np.split(inverse, cuts)
+
+
+def _pair_tables(part: int, number, people, parent, state, draw: int):
+    rng = np.random.default_rng([draw, part, 7])
+    t, some = np.minimum(people, 1), np.flatnonzero(people > 1)
+    for r, at in _split(number[some]):
+        at = some[at]
+        t[at] = seat(people[at], np.full(len(at), max(state["t"][r] - 1, 0.0)), parent[at], THETA,
+                     state["d"][r], rng)[0]
+    return t
+
+
+def _unigram(dictionary: Dictionary, code: np.ndarray, total: int, types: int) -> np.ndarray:
+    out = np.full(len(code), 1.0 / (total + types + 1))
+    known = code < _BEGIN_CODE
+    out[known] = (dictionary.counts[code[known]] + 1.0) / (total + types + 1)
+    return out
+
+
+def _shared_state(rows: DataFrame, shared, state, total: int, types: int) -> dict[str, np.ndarray]:
+    """Customers, tables and discount of every shared restaurant (one table per dish without
+    ``state``, else after a Gibbs pass); there are at most 4 * buckets of them."""
+    def run(batches):
+        dictionary = shared.value[0]
+        for part, held in _groups(batches):
+            number, _, code, c, _ = _merged_pairs(held["body"], dictionary)
+            t = np.minimum(c, 1) if state is None else _pair_tables(
+                part, number, c, _unigram(dictionary, code, total, types), state, 0)
+            u, inverse = np.unique(number, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"v": pa.array(u, pa.int64())} | {
+                k: pa.array(np.bincount(inverse, n, len(u)).astype(np.int64), pa.int64())
+                for k, n in (("c", c), ("t", t), ("n1", c == 1), ("n2", c == 2))})
+
+    sums = _by_part(rows.select("part", "body")).mapInArrow(run, "v long, c long, t long, n1 long, n2 long")
+    found = sums.groupBy("v").agg(*[F.sum(k).alias(k) for k in ("c", "t", "n1", "n2")]).collect()
+    size = shared.value[0].shared + 1
+    out = {"c": np.zeros(size), "t": np.zeros(size), "d": np.full(size, 0.5)}
+    for r in found:
+        out["c"][r["v"]], out["t"][r["v"]] = r["c"], r["t"]
+        if r["n1"] + r["n2"]:
+            out["d"][r["v"]] = np.clip(r["n1"] / (r["n1"] + 2 * r["n2"]), 0.05, 0.95)
+    return out
+
+
+def _by_part(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part").sortWithinPartitions("part")
+
+
+def _shared_to_root(shared, state, parts: int, buckets: int, total: int, types: int):
+    """Part task: tables of the shared restaurants as customers of the root.  The root answers
+    part p as bucket ``buckets`` + p."""
+    def run(batches):
+        dictionary = shared.value[0]
+        for part, held in _groups(batches):
+            number, word, code, c, _ = _merged_pairs(held["body"], dictionary)
+            t = _pair_tables(part, number, c, _unigram(dictionary, code, total, types), state, 1)
+            at, inverse = group(word)
+            people = np.bincount(inverse, t, len(at)).astype(np.int64)
+            out = list(_to_root(code[at], word[at], people, np.zeros(len(at), np.int64), parts))
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([p for p, _ in out], pa.int32()),
+                "bucket": pa.array([buckets + part] * len(out), pa.int32()),
                 "body": pa.array([b for _, b in out], pa.binary())})
 
     return run
 
 
+def _shared_answers(shared, root_shared, unseen: float, state):
+    """Part task: seat the shared restaurants under the root.  Kind 4 rows for buckets: customers
+    and tables of their pairs; kind 5 (target -1): tables of every restaurant."""
+    def run(batches):
+        dictionary, root = shared.value[0], root_shared.value
+        for part, held in _groups(batches):
+            asked = [(b, x) for k, b, x in zip(held["kind"], held["bucket"], held["body"]) if k == 1]
+            if not asked:
+                continue
+            number, word, code, c, wanted = _merged_pairs([x for _, x in asked], dictionary)
+            p0, known = np.full(len(code), unseen), code < _BEGIN_CODE
+            p0[known] = root[code[known]]
+            for kind, body in zip(held["kind"], held["body"]):
+                if kind == 2:
+                    answer = _unpack(body)
+                    order = np.argsort(answer["w"])
+                    names = answer["w"][order]
+                    at = np.minimum(np.searchsorted(names, word), len(names) - 1)
+                    hit = names[at] == word
+                    p0[hit] = answer["p"][order][at[hit]]
+            t = _pair_tables(part, number, c, p0, state, 2)
+            out = []
+            for (bucket, body), at in zip(asked, wanted):
+                data = _unpack(body)
+                out.append((bucket, 4, {"v": data["v"], "w": data["w"], "wr": data["wr"],
+                                        "c": _smallest(c[at]), "t": _smallest(t[at])}))
+            sums = np.bincount(number, t, len(state["t"]))
+            out.append((-1, 5, {"t": sums}))
+            yield _answer_rows(out)
+
+    return run
+
+
+_ANSWER = "target int, kind int, chunk long, body binary"
+
+
+def _answer_rows(out: list[tuple[int, int, dict]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "target": pa.array([o[0] for o in out], pa.int32()),
+        "kind": pa.array([o[1] for o in out], pa.int32()),
+        "chunk": pa.array([-1] * len(out), pa.int64()),
+        "body": pa.array([_pack(o[2]) for o in out], pa.binary())})
+
+
+def _part_totals(batches):
+    """Part task: kind 6 rows for buckets, what the other parts of their (x, v) hold."""
+    for _, held in _groups(batches):
+        data = [_unpack(b) for b in held["body"]]
+        u, inverse = np.unique(np.concatenate([x["k"] for x in data]), return_inverse=True)
+        tables, people = (np.bincount(inverse, np.concatenate([x[k] for x in data]), len(u)).astype(np.int64)
+                          for k in "tc")
+        out, low = [], 0
+        for bucket, x in zip(held["bucket"], data):
+            at = inverse[low:low + len(x["k"])]
+            low += len(at)
+            out.append((bucket, 6, {"i": x["i"], "t": tables[at] - x["t"], "c": people[at] - x["c"]}))
+        yield _answer_rows(out)
+
+
 def _split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(key, kind="stable")
     if len(order):
@@ -630,26 +840,23 @@ def _root_answers(requests: DataFrame, d: float, people_all: int, tables: float,
                 for bucket, w in zip(rows["bucket"], wanted):
                     at = np.searchsorted(words, w)
                     out.append((bucket, 2, {"w": w, "p": p0[at], "n": _smallest(tokens[at])}))
-            yield pa.RecordBatch.from_pydict({
-                "target": pa.array([o[0] for o in out], pa.int32()),
-                "kind": pa.array([o[1] for o in out], pa.int32()),
-                "chunk": pa.array([-1] * len(out), pa.int64()),
-                "body": pa.array([_pack(o[2]) for o in out], pa.binary())})
+            yield _answer_rows(out)
 
     dealt = requests.repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, "target int, kind int, chunk long, body binary")
 
 
-def _second_epoch(shared, root_shared, unseen: float, total: int, types: int):
+def _second_epoch(shared, root_shared, unseen: float, total: int, types: int, state):
     """Bucket task: seat again under the root, average predictions, sum them by document."""
     def run(batches):
         dictionary, root = shared.value[0], root_shared.value
         for bucket, rows in _groups(batches):
             posts = [(c, b) for k, c, b in zip(rows["kind"], rows["chunk"], rows["body"]) if k == 0]
-            answers = [_unpack(b) for k, b in zip(rows["kind"], rows["body"]) if k == 2]
+            answers = {n: [_unpack(b) for k, b in zip(rows["kind"], rows["body"]) if k == n] for n in (2, 4, 6)}
             out = [(c, 1, b) for k, c, b in zip(rows["kind"], rows["chunk"], rows["body"]) if k == 1]
             if posts:
-                out += _score_bucket(bucket, posts, answers, dictionary, root, unseen, total, types)
+                out += _score_bucket(bucket, posts, answers, dictionary, root, unseen, total, types,
+                                     state)
             yield pa.RecordBatch.from_pydict({
                 "chunk": pa.array([o[0] for o in out], pa.int64()),
                 "kind": pa.array([o[1] for o in out], pa.int32()),
@@ -658,7 +865,7 @@ def _second_epoch(shared, root_shared, unseen: float, total: int, types: int):
     return run
 
 
-def _score_bucket(bucket, posts, answers, dictionary, root, unseen, total, types):
+def _score_bucket(bucket, posts, answers, dictionary, root, unseen, total, types, state):
     loaded = _load([b for _, b in posts], dictionary)
     size = [len(p[0]) for p in loaded]
     documents = [np.cumsum(p[4], dtype=np.int64) for p in loaded]
@@ -671,12 +878,13 @@ def _score_bucket(bucket, posts, answers, dictionary, root, unseen, total, types
     known = code < _BEGIN_CODE
     p0, tokens = np.full(len(code), unseen), np.zeros(len(code), np.int64)
     p0[known] = root[code[known]]
-    for answer in answers:
+    for answer in answers[2]:
         at = np.searchsorted(model.words, answer["w"])
         hit = at < len(model.words)
         hit[hit] = model.words[at[hit]] == answer["w"][hit]
         p0[at[hit]], tokens[at[hit]] = answer["p"][hit], answer["n"][hit]
     model.start(p0)
+    _share(model, answers, dictionary, state)
     for _ in range(BURN_IN):
         model.sweep()
     mean = np.zeros(len(model.count))
@@ -705,6 +913,39 @@ def _score_bucket(bucket, posts, answers, dictionary, root, unseen, total, types
     return out
 
 
+def _share(model: Bucket, answers, dictionary: Dictionary, state) -> None:
+    """Give a started bucket what the shared restaurants and other parts of its contexts hold."""
+    number = dictionary.shared_number(dictionary.context_codes(model.middle_v))
+    restaurants = np.flatnonzero(number >= 0)
+    if not len(restaurants):
+        return
+    of_pair = number[model.middle.restaurant]
+    pairs = np.flatnonzero(of_pair >= 0)
+    key = pair_key(of_pair[pairs], model.words[model.pair_word[pairs]])
+    c, t = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+    if answers[4]:
+        data = answers[4]
+        told = pair_key(np.concatenate([x["v"] for x in data]),
+                        np.concatenate([dictionary.words(_codes(x["w"]), x["wr"]) for x in data]))
+        at, hit = _found(told, key)
+        c[hit], t[hit] = (np.concatenate([x[k] for x in data])[at[hit]] for k in "ct")
+    own = number[restaurants]
+    model.share_middle(pairs, c, t, restaurants, state["d"][own], state["t"][own], state["c"][own])
+    # two sections of one context can share a bucket: each part has an answer of its own
+    if answers[6]:
+        data = answers[6]
+        at, hit = _found(np.concatenate([x["i"] for x in data]), model.leaf_key)
+        tables, people = (np.concatenate([x[k] for x in data])[at[hit]] for k in "tc")
+        model.share_leaf(np.flatnonzero(hit), tables, people)
+
+
+def _found(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``names``, whether it is there) of every wanted key."""
+    order = np.argsort(names)
+    at = order[np.minimum(np.searchsorted(names[order], wanted), len(names) - 1)]
+    return at, names[at] == wanted
+
+
 def _finish(total: int):
     """Chunk task: add the buckets' partial sums to the documents."""
     def run(batches):
@@ -752,9 +993,18 @@ def score_corpus(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str =
     mapper = sc.broadcast((dictionary, buckets, log_base))
     first = frame.mapInArrow(_token_rows(mapper, True), "target int, kind int, chunk long, body binary")
     first = first.repartition(buckets, "target").sortWithinPartitions("target")
-    requests = materialize(first.mapInArrow(
+    seated = materialize(first.mapInArrow(
         _first_epoch(mapper, parts, total, types),
-        "part int, bucket int, body binary"), "lm-root-customers")
+        "part int, kind int, bucket int, body binary"), "lm-root-customers")
+    requests = seated.where("kind = 0").select("part", "bucket", "body")
+    pairs = seated.where("kind = 1")
+    state = None
+    if dictionary.shared:
+        state = _shared_state(pairs, mapper, None, total, types)
+        state["t"] = _shared_state(pairs, mapper, state, total, types)["t"]
+        requests = requests.unionByName(materialize(_by_part(pairs).mapInArrow(
+            _shared_to_root(mapper, state, parts, buckets, total, types),
+            "part int, bucket int, body binary"), "lm-shared-customers"))
 
     people, tables, n1, n2 = _root_totals(requests, 0.5, types, types)
     d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
@@ -766,10 +1016,23 @@ def score_corpus(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str =
         data = _unpack(row["body"])
         root[data["w"]] = data["p"]
 
+    root_shared = sc.broadcast(root)
+    replies = answers.where(F.col("kind") == 2)
+    if dictionary.shared:
+        # the shared restaurants again, under the root
+        told = replies.where(F.col("target") >= buckets).select(
+            (F.col("target") - buckets).alias("part"), "kind", F.lit(-1).alias("bucket"), "body")
+        seats = materialize(_by_part(pairs.unionByName(told)).mapInArrow(
+            _shared_answers(mapper, root_shared, unseen, state), _ANSWER), "lm-shared")
+        state["t"] = np.sum([_unpack(r["body"])["t"] for r in
+                             seats.where("kind = 5").select("body").toLocalIterator()], axis=0)
+        replies = (replies.where(F.col("target") < buckets).unionByName(seats.where("kind = 4"))
+                   .unionByName(_by_part(seated.where("kind = 2")).mapInArrow(_part_totals, _ANSWER)))
+
     posts = frame.mapInArrow(_token_rows(mapper, False), "target int, kind int, chunk long, body binary")
-    dealt = (posts.unionByName(answers.where("kind = 2"))
+    dealt = (posts.unionByName(replies)
              .repartition(buckets, "target").sortWithinPartitions("target"))
-    sums = dealt.mapInArrow(_second_epoch(mapper, sc.broadcast(root), unseen, total, types),
+    sums = dealt.mapInArrow(_second_epoch(mapper, root_shared, unseen, total, types, state),
                             "chunk long, kind int, body binary")
     out = (sums.repartition("chunk").sortWithinPartitions("chunk")
            .mapInArrow(_finish(total), "id long, held_out boolean, n_tokens long, n_known long, "
