@@ -123,3 +123,27 @@ def test_a_trigram_is_in_one_section_only():
     chunk.add(tokens, dictionary.codes(tokens.word), np.zeros(40, bool), *salt)
     v, x, w, *_, section, _, _ = chunk.parts[0]
     assert len(set(section[(w == 3) & (v == 2) & (x == 1)].tolist())) == 1
+
+
+def test_no_bucket_meets_a_token_of_every_document(spark):
+    # all documents start alike: their first tokens are dealt out, and a frequent trigram goes once per chunk
+    words = np.array([1, 2, hpylm.END], np.uint64)
+    dictionary = hpylm.Dictionary(words, np.array([900, 900, 900]), 100)
+    assert dictionary.section_counts(np.array([hpylm._BEGIN_CODE])) == [9]
+    tokens = hpylm.Tokens(np.frombuffer(b"a b " * 900, np.uint8), np.arange(0, 901 * 4, 4))
+    tokens.word[:] = np.tile(words, 900)
+    chunk = hpylm.Chunk(dictionary, 4)
+    chunk.add(tokens, dictionary.codes(tokens.word), np.arange(900) % 3 == 0)
+    rows = [hpylm._unpack(body) for _, body in chunk.deal(False)]
+    assert sum(r["w"].shape[1] for r in rows) == 3 and sum(int(r["n"].sum()) for r in rows) == 3 * 600
+    assert int(chunk.often["on"].sum()) == 2700
+
+
+def test_root_parts_meet_few_rows(spark):
+    body = hpylm._pack({"w": np.arange(5), "c": np.ones(5, int), "n": np.full(5, 2)})
+    requests = spark.createDataFrame([(-1, b, bytearray(body)) for b in range(100)] + [(3, 1, bytearray(body))],
+                                     "part int, bucket int, body binary")
+    got = hpylm._few_requests(requests, 100).collect()
+    assert sum(r["part"] == -1 for r in got) == 10 and sum(r["part"] == 3 for r in got) == 1
+    _, people, seen, _ = hpylm._merged([r["body"] for r in got if r["part"] == -1])
+    assert people.tolist() == [100] * 5 and seen.tolist() == [200] * 5

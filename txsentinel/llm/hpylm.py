@@ -61,6 +61,10 @@ DICTIONARY = (1 << 20) - 2
 #: Tokens that one bucket holds on average, and that a mapper gathers before it deals them out.
 BUCKET_TOKENS, CHUNK_TOKENS = 1_000_000, 700_000
 BURN_IN, SAMPLES = 3, 4
+#: A trigram met that often in a chunk is sent once, with its count.
+OFTEN = 8
+#: Codes of one root part.
+CODES = 1 << 12
 THETA, THETA_ROOT = 1.0, 10.0
 
 _U64 = np.uint64
@@ -117,6 +121,8 @@ class Dictionary:
         order = np.argsort(words)
         self.sorted, self.code = words[order], order.astype(np.int32)
         self.sections = np.maximum(1, np.ceil(counts / hot)).astype(np.int64)
+        end = np.flatnonzero(words == END)                      # as many as documents, that is, as BEGIN
+        self.begin_sections = int(self.sections[end[0]]) if len(end) else 1
         self.shared = int((self.sections > 1).sum())            # codes below it have sections
 
     def __reduce__(self):                         # the rest is built again by whoever reads it
@@ -142,6 +148,7 @@ class Dictionary:
         out = np.ones(len(codes), np.int64)
         known = codes < _BEGIN_CODE
         out[known] = self.sections[codes[known]]
+        out[codes == _BEGIN_CODE] = self.begin_sections
         return out
 
     def context_codes(self, word: np.ndarray) -> np.ndarray:
@@ -198,7 +205,7 @@ class Chunk:
         self.clear()
 
     def clear(self):
-        self.parts, self.docs, self.held, self.tokens = [], 0, [], 0
+        self.parts, self.docs, self.held, self.tokens, self.often = [], 0, [], 0, None
 
     def add(self, tokens: Tokens, code: np.ndarray, held: np.ndarray):
         """``held``: held-out documents."""
@@ -220,7 +227,9 @@ class Chunk:
 
     def deal(self, counts_only: bool) -> Iterator[tuple[int, bytes]]:
         """(bucket, packed tokens); ``counts_only``: distinct training trigrams with counts, and
-        with count 0 those held-out ones whose word has no code or whose context has sections."""
+        with count 0 those held-out ones whose word has no code or whose context has sections.
+        Otherwise a trigram met ``OFTEN`` times goes once, as a document of its own behind the
+        others with a training count; ``often`` says which documents hold it how many times."""
         if not self.parts:
             return
         columns = [list(p) for p in zip(*self.parts)]
@@ -240,6 +249,22 @@ class Chunk:
             pick = use[first]
             v, x, w, vc, xc, wc, section, context = (
                 a[pick] for a in (v, x, w, vc, xc, wc, section, context))
+        else:
+            first, inverse = group(mix(context + mix(x * _TWO + mix(w * _THREE))))
+            many = np.bincount(inverse, minlength=len(first)) >= OFTEN
+            frequent = np.flatnonzero(many)
+            number = np.cumsum(many) - 1
+            own = many[inverse]
+            train = np.bincount(inverse, ~held, len(first)).astype(np.int64)[frequent]
+            cell = doc[own].astype(np.int64) * max(len(frequent), 1) + number[inverse[own]]
+            cell, times = np.unique(cell, return_counts=True)
+            self.often = {"od": cell // max(len(frequent), 1), "ok": cell % max(len(frequent), 1), "on": times}
+            rest = np.flatnonzero(~own)
+            pick = np.concatenate([rest, first[frequent]])
+            extra = np.concatenate([extra[rest], 2 * (self.docs + np.arange(len(frequent)))])
+            weight = np.concatenate([np.zeros(len(rest), np.int64), train])
+            v, x, w, vc, xc, wc, section, context = (
+                a[pick] for a in (v, x, w, vc, xc, wc, section, context))
         bucket = bucket_of(context, self.buckets)
         order = np.argsort(bucket.astype(np.uint16) if self.buckets < 65536 else bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -247,6 +272,8 @@ class Chunk:
             at = order[cuts[b]:cuts[b + 1]]
             data = {"s": section[at].astype(np.uint32 if section[at].max() > 255 else np.uint8),
                     "e": _smallest(np.diff(extra[at], prepend=0) if not counts_only else extra[at])}
+            if not counts_only:
+                data["d"], data["n"] = self.docs, _smallest(weight[at[extra[at] >= 2 * self.docs]])
             for name, codes, words in (("v", vc, v), ("x", xc, x), ("w", wc, w)):
                 c = codes[at]
                 data[name] = _planes(c)
@@ -533,7 +560,7 @@ def _token_rows(shared, counts_only: bool):
             name = partition * (1 << 32) + number
             rows = [(b, 0, body) for b, body in chunk.deal(counts_only)]
             if not counts_only:
-                table = {k: np.concatenate([d[k] for d in docs]) for k in docs[0]}
+                table = {k: np.concatenate([d[k] for d in docs]) for k in docs[0]} | chunk.often
                 rows.append((name % buckets, 1, _pack(table)))
             chunk.clear()
             docs.clear()
@@ -570,12 +597,13 @@ def _token_rows(shared, counts_only: bool):
 
 
 def _load(bodies: list[bytes], dictionary: Dictionary):
-    """v, section, x, w, extra (count or document), whether w has no code, of packed token rows."""
+    """v, section, x, w, extra (count or document), whether w has no code, of packed token rows;
+    for documents also their number in the chunk and the counts of the trigrams sent once."""
     out = []
     for body in bodies:
         data = _unpack(body)
         v, x, w = (dictionary.words(_codes(data[n]), data[n + "r"]) for n in "vxw")
-        out.append((v, data["s"], x, w, data["e"], _codes(data["w"]) == _RARE))
+        out.append((v, data["s"], x, w, data["e"], _codes(data["w"]) == _RARE, data.get("d"), data.get("n")))
     return out
 
 
@@ -588,7 +616,7 @@ def _first_epoch(shared, parts: int, total: int, types: int):
         dictionary = shared.value[0]
         for bucket, rows in _groups(batches):
             loaded = _load(rows["body"], dictionary)
-            v, s, x, w, count, _ = (np.concatenate(p) for p in zip(*loaded))
+            v, s, x, w, count = (np.concatenate([p[k] for p in loaded]) for k in range(5))
             del loaded
             model = Bucket(v, s, x, w, count, bucket)
             code = dictionary.codes(model.words)
@@ -634,7 +662,7 @@ def _first_epoch(shared, parts: int, total: int, types: int):
 
 def _to_root(code, words, people, tokens, parts: int) -> Iterator[tuple[int, bytes]]:
     known = code < _BEGIN_CODE
-    for p, at in _split(np.where(known, -1 - code // (1 << 14), (words % _U64(parts)).astype(np.int64))):
+    for p, at in _split(np.where(known, -1 - code // CODES, (words % _U64(parts)).astype(np.int64))):
         yield p, _pack({"w": code[at] if p < 0 else words[at],
                         "c": _smallest(people[at]), "n": _smallest(tokens[at])})
 
@@ -796,6 +824,25 @@ def _merged(bodies: list[bytes]):
     return words, people.astype(np.int64), tokens.astype(np.int64), wanted
 
 
+def _few_requests(requests: DataFrame, buckets: int) -> DataFrame:
+    """Requests for words with a code (which are not answered by bucket) added up over groups of
+    about the square root of the buckets, so that a part's task meets no more rows than that."""
+    groups = max(1, int(np.ceil(np.sqrt(buckets))))
+
+    def add(batches):
+        for lot, rows in _groups(batches):
+            words, people, tokens, _ = _merged(rows["body"])
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([-1 - lot // groups], pa.int32()), "bucket": pa.array([-1], pa.int32()),
+                "body": pa.array([_pack({"w": words, "c": _smallest(people), "n": _smallest(tokens)})],
+                                 pa.binary())})
+
+    lot = (F.lit(-1) - F.col("part")) * groups + F.pmod("bucket", F.lit(groups))
+    coded = requests.where("part < 0").select(lot.alias("lot"), "body")
+    coded = coded.repartition("lot").sortWithinPartitions("lot").mapInArrow(add, "part int, bucket int, body binary")
+    return requests.where("part >= 0").unionByName(materialize(coded, "lm-root-sums"))
+
+
 def _root_tables(part: int, people: np.ndarray, tables: float, types: int, d: float, draw: int):
     rng = np.random.default_rng([draw, abs(part), int(part < 0)])
     some = people > 1
@@ -870,9 +917,13 @@ def _score_bucket(bucket, posts, answers, dictionary, root, unseen, total, types
     size = [len(p[0]) for p in loaded]
     documents = [np.cumsum(p[4], dtype=np.int64) for p in loaded]
     v, s, x, w, rare = (np.concatenate([p[k] for p in loaded]) for k in (0, 1, 2, 3, 5))
-    held = np.concatenate([d & 1 for d in documents]).astype(bool)
+    train = []
+    for p, d in zip(loaded, documents):
+        n = 1 - (d & 1)
+        n[(d >> 1) >= p[6]] = p[7]
+        train.append(n)
     del loaded
-    model = Bucket(v, s, x, w, ~held, bucket)
+    model = Bucket(v, s, x, w, np.concatenate(train), bucket)
     del v, s, x
     code = dictionary.codes(model.words)
     known = code < _BEGIN_CODE
@@ -951,8 +1002,9 @@ def _finish(total: int):
     def run(batches):
         for _, rows in _groups(batches):
             table = next(_unpack(b) for k, b in zip(rows["kind"], rows["body"]) if k == 1)
-            score = np.zeros(len(table["n"]))
-            base, known = table["base"].astype(float), table["known"].astype(np.int64)
+            size, once = len(table["n"]), int(table["ok"].max()) + 1 if len(table["ok"]) else 0
+            score = np.zeros(size + once)     # behind the documents: trigrams that were sent once
+            base, known = (np.append(table[k], np.zeros(once)) for k in ("base", "known"))
             for kind, body in zip(rows["kind"], rows["body"]):
                 if kind == 0:
                     part = _unpack(body)
@@ -960,6 +1012,10 @@ def _finish(total: int):
                     at = np.cumsum(part["rare"].astype(np.int64))
                     base[at] += part["base"]
                     known[at] += part["known"]
+            score, base, known = (
+                a[:size] + np.bincount(table["od"], table["on"] * a[size + table["ok"]], size)
+                for a in (score, base, known))
+            known = known.astype(np.int64)
             yield pa.RecordBatch.from_pydict({
                 "id": pa.array(table["id"], pa.int64(), mask=table["null"].astype(bool)),
                 "held_out": pa.array(table["held"], pa.bool_()),
@@ -999,13 +1055,14 @@ def score_corpus(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str =
     requests = seated.where("kind = 0").select("part", "bucket", "body")
     pairs = seated.where("kind = 1")
     state = None
-    if dictionary.shared:
+    if dictionary.shared or dictionary.begin_sections > 1:
         state = _shared_state(pairs, mapper, None, total, types)
         state["t"] = _shared_state(pairs, mapper, state, total, types)["t"]
         requests = requests.unionByName(materialize(_by_part(pairs).mapInArrow(
             _shared_to_root(mapper, state, parts, buckets, total, types),
             "part int, bucket int, body binary"), "lm-shared-customers"))
 
+    requests = _few_requests(requests, buckets)
     people, tables, n1, n2 = _root_totals(requests, 0.5, types, types)
     d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
     _, tables, _, _ = _root_totals(requests, d, tables, types)
@@ -1018,7 +1075,7 @@ def score_corpus(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str =
 
     root_shared = sc.broadcast(root)
     replies = answers.where(F.col("kind") == 2)
-    if dictionary.shared:
+    if dictionary.shared or dictionary.begin_sections > 1:
         # the shared restaurants again, under the root
         told = replies.where(F.col("target") >= buckets).select(
             (F.col("target") - buckets).alias("part"), "kind", F.lit(-1).alias("bucket"), "body")
