@@ -124,3 +124,14 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     low = LOWER[buf]
     start, end, doc = word_spans(low, off)
     return range_hash(prefix_hash(low), start, end), doc
+
+
+def fresh_names(taken: list[str], *wanted: str) -> list[str]:
+    """``wanted`` with underscores added until no name of ``taken`` is met (in any case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out

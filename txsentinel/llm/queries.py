@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txsentinel.llm import (bpe, cotrain, decontam, exact_tree, hpylm, suffix_dedup,
-                            tensor_minhash, toxic_crf, url_filter, warc_fixity)
+from txsentinel.llm import (bpe, cotrain, decontam, exact_tree, fim, hpylm, mixture, suffix_dedup,
+                            tensor_minhash, toxic_crf, turn_repair, url_filter, warc_fixity)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -129,6 +129,21 @@ def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.size("spans").alias("n_spans"))
 
 
+def op11_fim_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fim.restore(moved).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(turn_repair.damaged(read(spark, sf_dir, "conversations")))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hpylm": (op1_hpylm, None),
     "op2_cotraining": (op2_cotraining, None),
@@ -140,4 +155,7 @@ QUERIES = {
     "op8_warc_fixity": (op8_warc_fixity, WARC_SQL),
     "op9_pigeonhole": (op9_pigeonhole, None),
     "op10_toxic_crf": (op10_toxic_crf, None),
+    "op11_fim_rotation": (op11_fim_rotation, fim.ORACLE_SQL),
+    "op12_turn_repair": (op12_turn_repair, turn_repair.ORACLE_SQL),
+    "op13_source_mix": (op13_source_mix, mixture.ORACLE_SQL),
 }
