@@ -78,7 +78,103 @@ def test_online_velocity_null_customer(spark):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = {r.tx_id: r for r in run_to_table(online_velocity(stream), "nullkey").collect()}
     batch = {r.tx_id: r for r in add_velocity_features(df).collect()}
-    assert out[0].customer_id is None
+    assert out[0].customer_id is None and out[0].tx_frequency_24h is None
     for i in range(6):
         assert out[i].tx_frequency_1h == batch[i].tx_frequency_1h
         assert out[i].tx_frequency_24h == batch[i].tx_frequency_24h
+
+
+SCHEMA = "tx_id long, customer_id long, timestamp timestamp_ntz"
+
+
+def holey(spark, n=400):
+    """Missing customers and times, the smallest long as a customer, ties, one hot customer."""
+    import datetime as dt
+    t0 = dt.datetime(2026, 3, 1)
+    ids = [None, -2 ** 63, 5, 5, 5, 5, 6]
+    rows = [(i, ids[i * i % 7], None if i % 9 == 4 else t0 + dt.timedelta(minutes=7 * (i // 2)))
+            for i in range(n)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def velocities(df):
+    return sorted(df.select("tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h").collect())
+
+
+def test_window_ranged_and_stream_agree_on_missing_values(spark):
+    df = holey(spark)
+    window = velocities(add_velocity_features(df))
+    assert velocities(add_velocity_features(df, strategy="ranged", num_partitions=16)) == window
+    path = write_stream_input(df, "holey", ("timestamp", "tx_id"), 6)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    out = run_to_table(online_velocity(stream), "holey")
+    assert velocities(out) == window and out.where("is_late = 1").count() == 0
+    none = [r for r in window if r["customer_id"] is None]
+    assert none and all(r["tx_frequency_1h"] is None and r["tx_frequency_24h"] is None for r in none)
+
+
+def test_rows_without_a_time_do_not_touch_the_state():
+    import numpy as np
+    from txsentinel.streaming import velocity_state as vs
+    hour = 3_600_000_000
+    last, gaps, *_ = vs.advance(None, [], np.array([0, hour // 2]), np.array([1, 2]))
+    after, same, f1h, f24h, late = vs.advance(last, gaps, np.array([vs.MISSING] * 2), np.array([3, 4]))
+    assert after == (hour // 2, 2, 2) and same == gaps and not late.any()
+    assert f1h.tolist() == [1, 1] and f24h.tolist() == [3, 4]
+    _, _, f1h, _, late = vs.advance(after, same, np.array([hour]), np.array([5]))
+    assert f1h.tolist() == [2] and not late.any()
+
+
+def test_stream_goes_on_from_its_checkpoint_and_from_a_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from txsentinel.streaming.velocity_state import initial_states
+    df = holey(spark, 300)
+    expected = velocities(add_velocity_features(df))
+    parts = [df.where("timestamp < TIMESTAMP_NTZ '2026-03-01 08:00:00'"),
+             df.where("timestamp >= TIMESTAMP_NTZ '2026-03-01 08:00:00' OR timestamp IS NULL")]
+
+    def run(name, initial=None):
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / f"in-{name}"))
+        query = (online_velocity(stream, initial=initial).writeStream.format("parquet")
+                 .option("path", str(tmp_path / f"out-{name}"))
+                 .option("checkpointLocation", str(tmp_path / f"chk-{name}")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        return spark.read.parquet(str(tmp_path / f"out-{name}"))
+
+    for part in parts:          # the second run is a new query that finds the first one's state
+        part.write.mode("append").parquet(str(tmp_path / "in-restart"))
+        out = run("restart")
+    assert velocities(out) == expected
+    parts[1].write.parquet(str(tmp_path / "in-batch"))
+    resumed = velocities(run("batch", initial_states(parts[0])))
+    late = {r["tx_id"] for r in parts[1].select(F.col("tx_id")).collect()}
+    assert resumed == [r for r in expected if r["tx_id"] in late]
+
+
+def test_replayed_batches_add_nothing_and_unfinished_ones_are_not_read(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from txsentinel.streaming.scoring_stream import ResponseSink
+    feats = P.engineered(spark, SF_SMALL)
+    broken = feats.withColumn("hour_sin", F.when(F.expr("tx_id % 5 <> 0"), F.col("hour_sin")))
+    records = js.features_to_json(broken).unionByName(
+        spark.createDataFrame([(10 ** 9, "{not json"), (10 ** 9 + 1, None)], "tx_id long, value string"))
+    sink = ResponseSink(spark, str(tmp_path / "sink"), default_rule_detectors())
+    sink.write(records, 0)
+    sink.write(records, 0)
+    answers = sink.responses().collect()
+    assert len(answers) == len({r["tx_id"] for r in answers}) == records.count()
+    reasons = {r["tx_id"]: r["reason"] for r in answers if r["status"] == "rejected"}
+    assert reasons[10 ** 9] == reasons[10 ** 9 + 1] == "corrupt" and reasons[5] == "missing hour_sin"
+    assert all((r["zscore_rule"] is None) == (r["status"] == "rejected") for r in answers)
+    # a batch that fails between its sinks and its marker is invisible until it is replayed
+    half = records.where("tx_id < 20").withColumn("tx_id", F.col("tx_id") + 2 * 10 ** 9)
+    announce = sink._path
+    sink._path = lambda *a, **k: (_ for _ in ()).throw(OSError("lost")) if k else announce(*a)
+    try:
+        sink.write(half, 1)
+    except OSError:
+        pass
+    sink._path = announce
+    assert sink.announced() == [0] and sink.responses().count() == len(answers)
+    sink.write(half, 1)
+    assert sink.responses().count() == len(answers) + half.count()

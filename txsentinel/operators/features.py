@@ -1,7 +1,7 @@
 """Per-customer behavioural features.
 
-Plan shape of ``engineer_features`` on a parquet source: one scan; the
-customer statistics are one partial aggregation plus the exact median from
+Plan shape of ``engineer_features`` on a parquet source: one scan for the
+statistics and one for the rows they are joined to; the customer statistics are one partial aggregation plus the exact median from
 ``exact_quantiles``; the statistics join is left to AQE (broadcast when the
 runtime size is under the threshold, sort-merge with skew splitting
 otherwise); the two velocity features share one Exchange + Sort on the
@@ -67,25 +67,46 @@ def add_amount_features(df: DataFrame, drop_stats: bool = True) -> DataFrame:
     return out.drop("cust_mean", "cust_std", "cust_median") if drop_stats else out
 
 
+def _row_order(ts: str, tie: str, descending: bool = False) -> list:
+    """(time, tx_id); a missing time comes last, as in a sorted pandas frame."""
+    if descending:
+        return [F.col(ts).desc_nulls_first(), F.col(tie).desc()]
+    return [F.col(ts).asc_nulls_last(), F.col(tie).asc()]
+
+
+def _customer_groups(key: str, tie: str) -> list:
+    """Window groups: a customer's rows together, a row without a customer on its own.
+
+    Such rows have no history (see ``only_customers``), so they need not meet in one task."""
+    return [F.col(key), F.when(F.col(key).isNull(), F.col(tie))]
+
+
 def velocity_window(key: str = "customer_id", ts: str = "timestamp", tie: str = "tx_id"):
-    return Window.partitionBy(key).orderBy(F.col(ts).asc(), F.col(tie).asc())
+    return Window.partitionBy(*_customer_groups(key, tie)).orderBy(*_row_order(ts, tie))
+
+
+def only_customers(value, key: str = "customer_id"):
+    """``value`` where the row has a customer, else NULL (pandas groups leave missing keys out)."""
+    return F.when(F.col(key).isNotNull(), value)
 
 
 def tx_gap_seconds(df: DataFrame, key: str = "customer_id", ts: str = "timestamp",
                    tie: str = "tx_id", strategy: str = "window") -> DataFrame:
-    """Seconds since the customer's previous transaction; first -> 9999."""
+    """Seconds since the customer's previous transaction; first -> 9999, no customer -> NULL."""
     out = add_velocity_features(df, key, ts, tie, keep_gap=True, strategy=strategy)
     return out.drop("tx_frequency_1h", "tx_frequency_24h")
 
 
-def _velocity_columns(df: DataFrame, w, ts: str) -> DataFrame:
-    """gap, 1h and 24h row-window sums over window spec ``w`` (ordered)."""
+def _velocity_columns(df: DataFrame, w, key: str, ts: str) -> DataFrame:
+    """gap, 1h and 24h row-window sums over window spec ``w`` (ordered).
+
+    A gap is 9999 where one of its two times is missing."""
     prev = F.lag(F.col(ts)).over(w)
     gap = F.timestamp_diff("MICROSECOND", prev, F.col(ts)).cast("double") / F.lit(1e6)
-    with_gap = df.withColumn("gap_seconds", F.coalesce(gap, F.lit(FIRST_GAP_SECONDS)))
+    with_gap = df.withColumn("gap_seconds", only_customers(F.coalesce(gap, F.lit(FIRST_GAP_SECONDS)), key))
     g = F.col("gap_seconds")
-    f1 = F.when(g < VELOCITY_1H_SECONDS, F.lit(1)).otherwise(F.lit(0))
-    f24 = F.when(g < VELOCITY_24H_SECONDS, F.lit(1)).otherwise(F.lit(0))
+    f1 = only_customers(F.when(g < VELOCITY_1H_SECONDS, F.lit(1)).otherwise(F.lit(0)), key)
+    f24 = only_customers(F.when(g < VELOCITY_24H_SECONDS, F.lit(1)).otherwise(F.lit(0)), key)
     return with_gap.select(
         "*",
         F.sum(f1).over(w.rowsBetween(-(VELOCITY_1H_ROWS - 1), 0)).alias("tx_frequency_1h"),
@@ -100,7 +121,8 @@ def add_velocity_features(df: DataFrame, key: str = "customer_id", ts: str = "ti
 
     tx_frequency_1h  = number of gaps < 3600 s among the last 5 rows,
     tx_frequency_24h = number of gaps < 86400 s among the last 20 rows
-    (row windows, not time ranges), ordered by (timestamp, tx_id).
+    (row windows, not time ranges), ordered by (timestamp, tx_id); rows without a time come last
+    and have a gap of 9999, rows without a customer have NULL frequencies.
 
     strategy='window' (default): one Window partitioned by customer (one Exchange +
     Sort; a customer's rows all go to one task).
@@ -111,19 +133,16 @@ def add_velocity_features(df: DataFrame, key: str = "customer_id", ts: str = "ti
     if strategy == "ranged":
         out = velocity_ranged(df, key, ts, tie, num_partitions)
     else:
-        out = _velocity_columns(df, velocity_window(key, ts, tie), ts)
+        out = _velocity_columns(df, velocity_window(key, ts, tie), key, ts)
     return out if keep_gap else out.drop("gap_seconds")
 
 
-_NULL_KEY = -(2 ** 63)  # stands in for a NULL customer inside the ranged plan
-
-
 def velocity_ranged(df: DataFrame, key: str = "customer_id", ts: str = "timestamp",
                     tie: str = "tx_id", num_partitions: int | None = None) -> DataFrame:
     """Velocity features without putting any customer into a single task
     (see ``ranged_rows_window``; the windows look back 20 rows)."""
     lookback = max(VELOCITY_1H_ROWS, VELOCITY_24H_ROWS)
-    return ranged_rows_window(df, lambda d, w: _velocity_columns(d, w, ts), lookback,
+    return ranged_rows_window(df, lambda d, w: _velocity_columns(d, w, key, ts), lookback,
                               ["gap_seconds", "tx_frequency_1h", "tx_frequency_24h"],
                               key, ts, tie, num_partitions)
 
@@ -143,7 +162,8 @@ def ranged_rows_window(df: DataFrame, compute, lookback: int, out_cols: list[str
     2. only a customer continuing across a partition boundary can be wrong,
        and only in its first ``lookback`` rows after the boundary;
        per-partition first/last customers and boundary segment sizes
-       (O(partitions) rows) locate them;
+       (O(partitions) rows) locate them.  Rows without a customer sort behind
+       all others and stand alone;
     3. recompute just those rows with the ``lookback`` rows before the
        boundary and patch them in through a broadcast join bounded by
        lookback * partitions rows.
@@ -155,11 +175,13 @@ def ranged_rows_window(df: DataFrame, compute, lookback: int, out_cols: list[str
     n = num_partitions or shuffle_partitions(spark)
     L = max(1, int(lookback))
     gk = "_gkey"
-    base = df.withColumn(gk, F.coalesce(F.col(key).cast("long"), F.lit(_NULL_KEY)))
-    ranged = base.repartitionByRange(n, F.col(gk), F.col(ts), F.col(tie)).withColumn(
+    kind = df.schema[key].dataType.simpleString()
+    base = df.withColumn(gk, F.col(key))
+    ranged = base.repartitionByRange(n, F.col(gk).asc_nulls_last(), *_row_order(ts, tie)).withColumn(
         PID, F.spark_partition_id())
-    w = Window.partitionBy(PID, gk).orderBy(F.col(ts).asc(), F.col(tie).asc())
-    wd = Window.partitionBy(PID, gk).orderBy(F.col(ts).desc(), F.col(tie).desc())
+    groups = [F.col(PID), *_customer_groups(gk, tie)]
+    w = Window.partitionBy(*groups).orderBy(*_row_order(ts, tie))
+    wd = Window.partitionBy(*groups).orderBy(*_row_order(ts, tie, descending=True))
     pass1 = compute(ranged, w).select(
         "*", F.row_number().over(w).alias("_rn"), F.row_number().over(wd).alias("_rnd"))
     pass1 = materialize(pass1, "rows_window")
@@ -168,15 +190,15 @@ def ranged_rows_window(df: DataFrame, compute, lookback: int, out_cols: list[str
     info = {r[PID]: r for r in pass1.groupBy(PID).agg(
         F.min(gk).alias("first"), F.max(gk).alias("last")).collect()}
     pids = sorted(info)
-    edge_pairs = {(p, info[p]["first"]) for p in pids} | {(p, info[p]["last"]) for p in pids}
-    edges_df = spark.createDataFrame(sorted(edge_pairs), f"{PID} int, {gk} long")
+    edge_pairs = {(p, info[p][end]) for p in pids for end in ("first", "last") if info[p][end] is not None}
+    edges_df = spark.createDataFrame(sorted(edge_pairs), f"{PID} int, {gk} {kind}")
     seg = {(r[PID], r[gk]): r["cnt"] for r in pass1.join(F.broadcast(edges_df), [PID, gk])
            .groupBy(PID, gk).agg(F.count(F.lit(1)).alias("cnt")).collect()}
 
     heads, tails = [], []  # (pid, customer, rn_limit) / (src pid, customer, rnd_limit, target)
     for i, p in enumerate(pids):
         c = info[p]["first"]
-        if i == 0 or info[pids[i - 1]]["last"] != c:
+        if i == 0 or c is None or info[pids[i - 1]]["last"] != c:
             continue  # customer starts in p: its windows are complete
         heads.append((p, c, L))
         need = L
@@ -191,8 +213,8 @@ def ranged_rows_window(df: DataFrame, compute, lookback: int, out_cols: list[str
     if not heads:
         return pass1.select(*df.columns, *out_cols)
 
-    heads_df = spark.createDataFrame(heads, f"{PID} int, {gk} long, _lim long")
-    tails_df = spark.createDataFrame(tails, f"{PID} int, {gk} long, _lim long, _target int")
+    heads_df = spark.createDataFrame(heads, f"{PID} int, {gk} {kind}, _lim long")
+    tails_df = spark.createDataFrame(tails, f"{PID} int, {gk} {kind}, _lim long, _target int")
     raw_cols = list(df.columns) + [gk]
     head_rows = (pass1.join(F.broadcast(heads_df), [PID, gk])
                  .where(F.col("_rn") <= F.col("_lim"))
@@ -215,13 +237,14 @@ def velocity_fallback(df: DataFrame, key: str = "customer_id", order: str = "tx_
     """(row_number - 1) % 5 and % 20 per customer in input (tx_id) order.
 
     The per-customer row number is a grouped running count over range
-    partitions (ordered.running_totals), so a hot customer is split.
+    partitions (ordered.running_totals), so a hot customer is split.  Rows
+    without a customer have NULL, as in pandas.
     """
     rn = ordered.running_totals(df, [order], {"_rn": F.lit(1).cast("long")}, [key],
                                 num_partitions=num_partitions)
     r = F.col("_rn") - 1
-    return rn.select(*df.columns, (r % VELOCITY_1H_ROWS).cast("long").alias("tx_frequency_1h"),
-                     (r % VELOCITY_24H_ROWS).cast("long").alias("tx_frequency_24h"))
+    return rn.select(*df.columns, *[only_customers((r % rows).cast("long"), key).alias(name) for rows, name in (
+        (VELOCITY_1H_ROWS, "tx_frequency_1h"), (VELOCITY_24H_ROWS, "tx_frequency_24h"))])
 
 
 def add_cyclical_features(df: DataFrame) -> DataFrame:
@@ -267,7 +290,8 @@ def sequence_features(df: DataFrame, length: int = 1, key: str = "customer_id",
     """Array of the customer's last ``length`` feature vectors, left-padded with 0.
 
     Output column ``sequence`` is array<array<double>> ordered oldest first;
-    length=1 reproduces the per-row sequences of the reference.  The lag
+    length=1 reproduces the per-row sequences of the reference.  A row without
+    a customer has no history.  The lag
     window looks back length-1 rows, so a hot customer goes through
     ``ranged_rows_window`` with strategy='ranged'.
     """

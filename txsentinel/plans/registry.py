@@ -966,17 +966,67 @@ def q_batch_predictions(spark, sf):
 
 
 # ------------------------------------------------------------ streaming ---
+def _replayed(spark, rows: DataFrame, name: str, initial: DataFrame | None = None) -> DataFrame:
+    """T2 over a file stream that replays ``rows`` in (timestamp, tx_id) order."""
+    from txsentinel.streaming.scoring_stream import run_to_table, write_stream_input
+    from txsentinel.streaming.velocity_state import online_velocity
+    path = write_stream_input(rows, name, ("timestamp", "tx_id"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = run_to_table(online_velocity(stream, initial=initial), name)
+    return out.select("tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h", "is_late")
+
+
 @register("online_velocity", Q.chain(*Q.FEAT_CHAIN) + Q.select(
     ["tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h", "0 AS is_late"], [], "feat"))
 def q_online_velocity(spark, sf):
     """The velocity features from a file stream replayed in time order."""
-    from txsentinel.schema import TX_SCHEMA
-    from txsentinel.streaming.scoring_stream import run_to_table, write_stream_input
-    from txsentinel.streaming.velocity_state import online_velocity
-    path = write_stream_input(P.labelled(spark, sf), "tx", "timestamp", 4)
-    stream = spark.readStream.schema(TX_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
-    out = run_to_table(online_velocity(stream), "online_velocity")
-    return out.select("tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h", "is_late")
+    return _replayed(spark, P.labelled(spark, sf), "tx")
+
+
+_HOLES_SQL = """holes AS (SELECT tx_id, CASE WHEN tx_id % 7 = 2 THEN NULL ELSE customer_id END AS customer_id,
+  CASE WHEN tx_id % 10 = 3 THEN NULL ELSE "timestamp" END AS ts FROM labelled),
+holes_gap AS (SELECT *, CASE WHEN customer_id IS NOT NULL THEN
+    coalesce(CAST(date_diff('microsecond', lag(ts) OVER h, ts) AS DOUBLE) / 1000000.0, 9999.0) END AS gap
+  FROM holes WINDOW h AS (PARTITION BY customer_id ORDER BY ts NULLS LAST, tx_id)),
+holes_out AS (SELECT tx_id, customer_id, CASE WHEN customer_id IS NOT NULL THEN
+    CAST(sum(CASE WHEN gap < 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY ts NULLS LAST, tx_id
+         ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) END AS tx_frequency_1h,
+  CASE WHEN customer_id IS NOT NULL THEN
+    CAST(sum(CASE WHEN gap < 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY ts NULLS LAST, tx_id
+         ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS BIGINT) END AS tx_frequency_24h FROM holes_gap)
+"""
+
+
+def _holes(spark, sf) -> DataFrame:
+    """Labelled rows where a seventh of the customers and a tenth of the times are missing."""
+    lab = P.labelled(spark, sf).select("tx_id", "customer_id", "timestamp")
+    return lab.select("tx_id", F.when(F.expr("tx_id % 7 <> 2"), F.col("customer_id")).alias("customer_id"),
+                      F.when(F.expr("tx_id % 10 <> 3"), F.col("timestamp")).alias("timestamp"))
+
+
+@register("velocity_null_keys", Q.chain(*Q.BASE) + ",\n" + _HOLES_SQL
+          + "SELECT tx_id, customer_id, tx_frequency_1h, tx_frequency_24h FROM holes_out")
+def q_velocity_null_keys(spark, sf):
+    """W1/W2 with missing customers (no features) and missing times (last), customers split over tasks."""
+    return fe.add_velocity_features(_holes(spark, sf), strategy="ranged").select(
+        "tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h")
+
+
+@register("online_velocity_null_ts", Q.chain(*Q.BASE) + ",\n" + _HOLES_SQL
+          + "SELECT tx_id, customer_id, tx_frequency_1h, tx_frequency_24h, 0 AS is_late FROM holes_out")
+def q_online_velocity_null_ts(spark, sf):
+    """T2 with missing customers and times: the stream equals the batch there too."""
+    return _replayed(spark, _holes(spark, sf), "holes")
+
+
+@register("online_velocity_from_batch", Q.chain(*Q.SPLIT_CHAIN) + Q.select(
+    ["tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h", "0 AS is_late"], [], "split", "is_train = 0"))
+def q_online_velocity_from_batch(spark, sf):
+    """T2 that starts from the states of the training period and streams the test period."""
+    from txsentinel.streaming.velocity_state import initial_states
+    rows = P.split(spark, sf, columns=["customer_id"]).select("tx_id", "customer_id", "timestamp", "is_train")
+    history, new = rows.where("is_train = 1").drop("is_train"), rows.where("is_train = 0").drop("is_train")
+    return _replayed(spark, new, "resumed", initial_states(history))
 
 
 @register("stream_scores", Q.chain(*Q.SCORE_CHAIN) + Q.select(
@@ -989,13 +1039,33 @@ def q_stream_scores(spark, sf):
         json_record_stream, run_to_table, score_stream, write_stream_input,
     )
     test = P.split(spark, sf).where(F.col("is_train") == 0)
-    path = write_stream_input(js.features_to_json(test, clean=True), "records", "tx_id", 4)
+    path = write_stream_input(js.features_to_json(test, clean=True), "records", "tx_id")
     scored = score_stream(json_record_stream(spark, path), default_rule_detectors())
     out = run_to_table(scored.drop("label"), "stream_scores")
     labels = test.select("tx_id", F.col("is_fraud").alias("label"))
     return scs.align_scores(out, labels)
 
 
+@register("stream_responses", Q.chain(*Q.FEAT_CHAIN) + _GAPPY + ",\nchecked AS (SELECT *, "
+          + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES) + " AS ok FROM gappy)\n"
+          + "SELECT tx_id, CASE WHEN ok THEN 'analysed' ELSE 'rejected' END AS status, "
+          + "CASE WHEN NOT ok THEN 'missing ' || concat_ws(',', "
+          + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in FEATURES)
+          + f") END AS reason, {_RULE_JSON} FROM checked")
+def q_stream_responses(spark, sf):
+    """An answer for every streamed record, through the sink for scores and the one for rejects."""
+    from txsentinel.operators.detectors.rule import default_rule_detectors
+    from txsentinel.streaming.scoring_stream import ResponseSink, json_record_stream, write_stream_input
+    path = write_stream_input(js.features_to_json(_gappy(spark, sf)), "requests", "tx_id")
+    base = checkpoint_dir(spark).rstrip("/") + f"/responses-{uuid.uuid4().hex}"
+    sink = ResponseSink(spark, base, default_rule_detectors())
+    query = sink.start(json_record_stream(spark, path))
+    query.awaitTermination()
+    return sink.responses().select("tx_id", "status", "reason", *[
+        c for m, _, _ in DEFAULT_RULES for c in (
+            F.col(f"{m}.score").alias(f"{m}_score"), F.col(f"{m}.is_fraud").cast("int").alias(f"{m}_fraud"))])
+
+
 # ------------------------------------------------ reference-compatible options ---
 @register("temporal_split_customer_order", Q.chain(*Q.FEAT_CHAIN) + """,
 sp AS (SELECT tx_id, row_number() OVER (ORDER BY customer_id, "timestamp", tx_id) - 1 AS pos,

@@ -2,32 +2,109 @@
 
 All detector scoring paths are projections, MLlib transforms or
 ``pandas_udf``s, so the streaming query is stateless and runs in append
-mode.  Helpers here also drive a stream to completion over a folder of
-files (``availableNow``), writing to a parquet sink with a checkpoint
-location under the session's checkpoint folder, which is how the batch =
-stream checks run.
+mode.
+
+``ResponseSink`` answers every record: scores of the accepted ones go to one
+table, rejected ones with their reason to another, and the responses are built
+from both.  A micro-batch writes into folders named by its batch id and is
+announced by a marker once both are complete.  A batch that is replayed after a
+failure overwrites its own folders, so replaying adds nothing, and readers see
+announced batches only.
+
+Helpers here also drive a stream to completion over a folder of files
+(``availableNow``), with a checkpoint location under the session's checkpoint
+folder, which is how the batch = stream checks run.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txsentinel.plans.training import score_all
-from txsentinel.session import checkpoint_dir
+from txsentinel.session import checkpoint_dir, shuffle_partitions
 from txsentinel.sources.json_records import parse_tx_json
 
+SCORE_SCHEMA = "tx_id long, model string, score double, prediction int"
+REJECT_SCHEMA = "tx_id long, reason string"
+
 
 def score_stream(records: DataFrame, detectors: dict, value: str = "value") -> DataFrame:
     """Streaming (tx_id, value JSON) -> long score rows of every detector.
 
-    Rejected records have no scores; ``plans.scoring.score_json_records`` answers them too."""
+    The scores only: rejected records are answered by ``ResponseSink``."""
     parsed = parse_tx_json(records, value).where("is_valid = 1")
     return score_all(detectors, parsed)
 
 
+class ResponseSink:
+    """Two tables under ``base`` -- scores and rejects -- written by ``foreachBatch``."""
+
+    def __init__(self, spark: SparkSession, base: str, detectors: dict, value: str = "value"):
+        self.spark, self.base, self.detectors, self.value = spark, base.rstrip("/"), detectors, value
+
+    def write(self, records: DataFrame, batch_id: int) -> None:
+        """One micro-batch: parsed once, each sink overwritten in the batch's own folder."""
+        parsed = parse_tx_json(records, self.value).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            good, bad = parsed.where("is_valid = 1"), parsed.where("is_valid = 0")
+            score_all(self.detectors, good).drop("label").write.mode("overwrite").parquet(
+                self._folder("scores", batch_id))
+            bad.select("tx_id", F.col("reject_reason").alias("reason")).write.mode("overwrite").parquet(
+                self._folder("rejects", batch_id))
+            self._path(f"announced/{batch_id}", create=True)
+        finally:
+            parsed.unpersist()
+
+    def start(self, records: DataFrame, checkpoint: str | None = None):
+        """The streaming query; it takes what is available and stops."""
+        return (records.writeStream.foreachBatch(self.write)
+                .option("checkpointLocation", checkpoint or f"{self.base}/checkpoint")
+                .trigger(availableNow=True).start())
+
+    def scores(self) -> DataFrame:
+        return self._read("scores", SCORE_SCHEMA)
+
+    def rejects(self) -> DataFrame:
+        return self._read("rejects", REJECT_SCHEMA)
+
+    def responses(self) -> DataFrame:
+        """tx_id, status, reason and one struct (is_fraud, score) per model; every record once."""
+        models = [F.first(F.when(F.col("model") == m, F.struct((F.col("prediction") == 1).alias("is_fraud"), "score")),
+                          ignorenulls=True).alias(m) for m in self.detectors]
+        answered = self.scores().groupBy("tx_id").agg(*models).select(
+            "tx_id", F.lit("analysed").alias("status"), F.lit(None).cast("string").alias("reason"), *self.detectors)
+        verdict = F.lit(None).cast("struct<is_fraud:boolean,score:double>")
+        return answered.unionByName(self.rejects().select(
+            "tx_id", F.lit("rejected").alias("status"), "reason", *[verdict.alias(m) for m in self.detectors]))
+
+    def announced(self) -> list[int]:
+        """Ids of the complete batches."""
+        fs, path = self._path("announced")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _folder(self, sink: str, batch_id: int) -> str:
+        return f"{self.base}/{sink}/batch_id={batch_id}"
+
+    def _path(self, name: str, create: bool = False):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if create:
+            fs.create(path, True).close()
+        return fs, path
+
+    def _read(self, sink: str, schema: str) -> DataFrame:
+        ids = self.announced()
+        if not ids:
+            return self.spark.createDataFrame([], schema)
+        table = self.spark.read.schema(f"{schema}, batch_id long").parquet(f"{self.base}/{sink}")
+        return table.where(F.col("batch_id").isin(ids)).drop("batch_id")
+
+
 def json_record_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
     schema = T.StructType([T.StructField("tx_id", T.LongType()),
                            T.StructField("value", T.StringType())])
@@ -52,17 +129,17 @@ def run_to_table(stream_df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(base + "/out")
 
 
-def write_stream_input(df: DataFrame, name: str, order: str, n_files: int = 4) -> str:
+def write_stream_input(df: DataFrame, name: str, order: str | tuple[str, ...],
+                       n_files: int | None = None) -> str:
     """Write ``df`` as consecutive slices of ``order`` into one landing folder, so that a file
     stream replays them in order (oldest first).
 
     One write: rows are range-partitioned and sorted on ``order`` (NULL last, so no row is lost),
-    and every part file, also of a partition that is cut into several, is one slice.  File names
+    and every part file, also of a partition that is cut into several, is one slice.  There are as
+    many partitions as a shuffle of the session has, unless ``n_files`` says otherwise.  File names
     and times follow the slices.  Uses the Hadoop FileSystem API, so it works on any cluster file
     system; a rename that fails raises.
     """
-    from pyspark.sql import functions as F
-
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/") + f"/landing/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -70,8 +147,9 @@ def write_stream_input(df: DataFrame, name: str, order: str, n_files: int = 4) -
     landing = jvm.org.apache.hadoop.fs.Path(base + "/files")
     fs = landing.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(landing)
-    key = F.col(order).asc_nulls_last()
-    df.repartitionByRange(n_files, key).sortWithinPartitions(key).write.parquet(staging.toString())
+    keys = [F.col(c).asc_nulls_last() for c in ((order,) if isinstance(order, str) else order)]
+    parts = n_files or shuffle_partitions(spark)
+    df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.parquet(staging.toString())
     found = sorted(st.getPath().getName() for st in fs.globStatus(
         jvm.org.apache.hadoop.fs.Path(staging, "part-*")))
     # part-<partition>-<job>-c<file>: by partition, then by file inside it

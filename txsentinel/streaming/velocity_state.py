@@ -1,31 +1,58 @@
 """Online velocity features with per-customer state.
 
-``groupBy(customer_id).applyInPandasWithState`` keeps, per customer, the last
-timestamp, its tx_id and the last 19 gaps in seconds -- a fixed-size state, so
-a hot customer costs the same state as any other.  Each micro-batch's rows
-of a customer are processed in (timestamp, tx_id) order, so on in-order input
-the stream reproduces the batch features exactly.  A row older than the
-state's last transaction cannot be placed in the row windows any more; it is
-emitted with ``is_late = 1`` and features computed against the current
-state (the batch job remains the reference for such rows).
+``groupBy(customer).transformWithStateInPandas`` keeps, per customer, typed
+state of fixed size: the last transaction's time and tx_id, the number of rows
+without a time, and the last 19 gaps in seconds.  A hot customer costs the same
+state as any other.
+
+* Rows of a micro-batch are taken in (timestamp, tx_id) order, so on in-order
+  input the stream reproduces the batch features exactly.
+* A row without a time belongs behind all rows with one (as in the batch).  It
+  never becomes the customer's last transaction, so rows with a time that come
+  later are unaffected.
+* A row older than the state's last transaction cannot be placed in the row
+  windows any more; it is emitted with ``is_late = 1`` and features computed
+  against the current state (the batch job remains the reference for it).
+* A row without a customer has NULL features and no state; such rows are dealt
+  over many groups.
+* The state may start from a batch table (``initial_states``), and an event-time
+  timer may drop the state of customers that stay away.
+
+A micro-batch of one customer is read chunk by chunk into two numeric arrays (16
+bytes a row) and written in chunks; pandas frames of the whole are never built.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from txsentinel.operators.features import _velocity_columns, velocity_window
 from txsentinel.schema import (
     FIRST_GAP_SECONDS, VELOCITY_1H_ROWS, VELOCITY_1H_SECONDS, VELOCITY_24H_ROWS,
     VELOCITY_24H_SECONDS,
 )
 
+# Spark also loads the processor in a Python process beside the driver that knows no shipped packages,
+# so this module's functions and classes travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HISTORY = VELOCITY_24H_ROWS - 1
+WINDOWS = ((VELOCITY_1H_ROWS, VELOCITY_1H_SECONDS), (VELOCITY_24H_ROWS, VELOCITY_24H_SECONDS))
+#: Rows of one output frame.
+CHUNK = 10_000
+#: Groups over which rows without a customer are dealt.
+NOBODY_GROUPS = 1024
+#: Micros of a missing time (numpy's NaT); sorts behind every time after ``_ordered``.
+MISSING = np.iinfo(np.int64).min
 
 OUTPUT_SCHEMA = T.StructType([
     T.StructField("tx_id", T.LongType()),
@@ -36,91 +63,188 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("is_late", T.IntegerType()),
 ])
 
-STATE_SCHEMA = T.StructType([
+LAST_SCHEMA = T.StructType([
     T.StructField("last_ts_us", T.LongType()),
     T.StructField("last_tx_id", T.LongType()),
-    T.StructField("gaps", T.ArrayType(T.DoubleType())),
+    T.StructField("undated", T.LongType()),
 ])
-
-
-def _micros(ts: pd.Series) -> np.ndarray:
-    return ts.to_numpy(dtype="datetime64[us]").astype(np.int64)
-
-
-def velocity_update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState,
-                    expire_us: int = 0) -> Iterator[pd.DataFrame]:
-    """Features of a customer's micro-batch; ``expire_us``: event time after which the state of a
-    customer without transactions is dropped (0: never)."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["timestamp", "tx_id"], kind="mergesort").reset_index(drop=True)
-    if state.exists:
-        last_us, last_id, gaps = state.get
-        gaps = list(gaps)
-    else:
-        last_us, last_id, gaps = None, None, []
-    ts = _micros(pdf["timestamp"])
-    ids = pdf["tx_id"].to_numpy()
-    # the batch is sorted, so the rows behind the state's last transaction come first
+GAP_SCHEMA = T.StructType([T.StructField("gap", T.DoubleType())])
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _ordered(chunks: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """(micros, tx_id) of all rows by time, then tx_id; rows without a time last."""
+    times, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for pdf in chunks:
+        times.append(pdf["timestamp"].to_numpy(dtype="datetime64[us]").astype(np.int64))
+        ids.append(pdf["tx_id"].to_numpy(dtype=np.int64))
+    ts, tx = np.concatenate(times), np.concatenate(ids)
+    order = np.lexsort((tx, ts, ts == MISSING))
+    return ts[order], tx[order]
+
+
+def _window_sums(gaps: np.ndarray, known: int) -> list[np.ndarray]:
+    """Per window: sums of small gaps over its rows, for the rows behind the first ``known`` gaps."""
+    ends = np.arange(known + 1, len(gaps) + 1)
+    out = []
+    for rows, limit in WINDOWS:
+        sums = np.concatenate([[0], np.cumsum(gaps < limit)])
+        out.append(sums[ends] - sums[np.maximum(ends - rows, 0)])
+    return out
+
+
+def advance(last: tuple | None, gaps: list[float], ts: np.ndarray, ids: np.ndarray
+            ) -> tuple[tuple, list[float], np.ndarray, np.ndarray, np.ndarray]:
+    """(last, gaps) after the ordered rows, and their 1h sums, 24h sums and late flags."""
+    last_us, last_id, undated = last if last is not None else (None, None, 0)
+    dated = ts != MISSING
     late = np.zeros(len(ts), bool)
     if last_us is not None:
-        late = (ts < last_us) | ((ts == last_us) & (ids < last_id))
-    known, n_late = np.asarray(gaps, float), int(late.sum())
-    f1h, f24h = np.empty(len(ts), np.int64), np.empty(len(ts), np.int64)
+        late = dated & ((ts < last_us) | ((ts == last_us) & (ids < last_id)))
+    sums = [np.zeros(len(ts), np.int64), np.zeros(len(ts), np.int64)]
+    known = np.asarray(gaps, float)
     # late rows: each against the state as it is
-    gap = (ts[:n_late] - (last_us or 0)) / 1e6
-    for out, rows, limit in ((f1h, VELOCITY_1H_ROWS, VELOCITY_1H_SECONDS),
-                             (f24h, VELOCITY_24H_ROWS, VELOCITY_24H_SECONDS)):
-        out[:n_late] = (known[len(known) - min(len(known), rows - 1):] < limit).sum() + (gap < limit)
-    # rows in order: stored gaps and new ones in one sequence, windows as differences of its sums
-    now = ts[n_late:]
-    before = np.concatenate([[last_us if last_us is not None else 0], now[:-1]])[:len(now)]
-    new = (now - before) / 1e6
-    if last_us is None and len(new):
-        new[0] = FIRST_GAP_SECONDS
-    sequence = np.concatenate([known, new])
-    ends = np.arange(len(known) + 1, len(sequence) + 1)
-    for out, rows, limit in ((f1h, VELOCITY_1H_ROWS, VELOCITY_1H_SECONDS),
-                             (f24h, VELOCITY_24H_ROWS, VELOCITY_24H_SECONDS)):
-        sums = np.concatenate([[0], np.cumsum(sequence < limit)])
-        out[n_late:] = sums[ends] - sums[np.maximum(ends - rows, 0)]
+    away = (ts[late] - (last_us or 0)) / 1e6
+    for out, (rows, limit) in zip(sums, WINDOWS):
+        out[late] = (known[max(0, len(known) - (rows - 1)):] < limit).sum() + (away < limit)
+    # rows in order: stored gaps and new ones in one sequence
+    now = ts[dated & ~late]
     if len(now):
-        last_us, last_id = int(now[-1]), int(ids[-1])
-    state.update((last_us, last_id, sequence[-HISTORY:].tolist()))
-    if expire_us:
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last_us // 1000 + expire_us // 1000))
-    yield pd.DataFrame({
-        "tx_id": ids.astype(np.int64),
-        "customer_id": pd.array([key[0]] * len(pdf), dtype="Int64"),  # NULL key allowed
-        "timestamp": pdf["timestamp"],
-        "tx_frequency_1h": f1h,
-        "tx_frequency_24h": f24h,
-        "is_late": late.astype(np.int32),
-    })
-
-
-def online_velocity(stream: DataFrame, expire: str | None = None,
-                    watermark: str = "1 day") -> DataFrame:
+        before = np.concatenate([[last_us if last_us is not None else now[0]], now[:-1]])
+        new = (now - before) / 1e6
+        if last_us is None:
+            new[0] = FIRST_GAP_SECONDS
+        sequence = np.concatenate([known, new])
+        for out, values in zip(sums, _window_sums(sequence, len(known))):
+            out[dated & ~late] = values
+        known = sequence[-HISTORY:]
+        last_us, last_id = int(now[-1]), int(ids[dated & ~late][-1])
+    # rows without a time follow everything known, earlier ones of their kind between
+    missing = int((~dated).sum())
+    if missing:
+        waiting = min(int(undated), HISTORY)
+        sequence = np.concatenate([known, np.full(waiting + missing, FIRST_GAP_SECONDS)])
+        for out, values in zip(sums, _window_sums(sequence, len(known) + waiting)):
+            out[~dated] = values
+    return (last_us, last_id, int(undated) + missing), known.tolist(), sums[0], sums[1], late
+
+
+class VelocityProcessor(StatefulProcessor):
+    """``expire_ms``: event time after a customer's last transaction at which its state goes (0: never)."""
+
+    def __init__(self, expire_ms: int = 0):
+        self.expire_ms = expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", LAST_SCHEMA)
+        self.gaps = handle.getListState("gaps", GAP_SCHEMA)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self._store((None if pd.isna(row["last_ts_us"]) else int(row["last_ts_us"]),
+                     None if pd.isna(row["last_tx_id"]) else int(row["last_tx_id"]), int(row["undated"])),
+                    [float(g) for g in row["gaps"]])
+        self._watch(None, row["last_ts_us"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ts, ids = _ordered(rows)
+        customer, slot = int(key[0]), int(key[1])
+        if slot:
+            nothing = np.zeros(len(ts), np.int64)
+            yield from _frames(None, ts, ids, nothing, nothing, nothing.astype(bool))
+            return
+        last = self.last.get() if self.last.exists() else None
+        gaps = [g for (g,) in self.gaps.get()] if self.gaps.exists() else []
+        now, gaps, f1h, f24h, late = advance(last, gaps, ts, ids)
+        self._store(now, gaps)
+        self._watch(last[0] if last is not None else None, now[0])
+        yield from _frames(customer, ts, ids, f1h, f24h, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        self.gaps.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+    def _store(self, last: tuple, gaps: list[float]) -> None:
+        self.last.update(last)
+        if gaps:
+            self.gaps.put([(g,) for g in gaps])
+
+    def _watch(self, before: int | None, now) -> None:
+        """Move the customer's timer behind its last transaction."""
+        if not self.expire_ms or now is None or pd.isna(now) or now == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before // 1000 + self.expire_ms)
+        self.handle.registerTimer(int(now) // 1000 + self.expire_ms)
+
+
+def _frames(customer, ts, ids, f1h, f24h, late) -> Iterator[pd.DataFrame]:
+    for a in range(0, len(ts), CHUNK):
+        b = min(a + CHUNK, len(ts))
+        nobody = [None] * (b - a)
+        yield pd.DataFrame({
+            "tx_id": ids[a:b],
+            "customer_id": pd.array(nobody if customer is None else [customer] * (b - a), dtype="Int64"),
+            "timestamp": ts[a:b].astype("datetime64[us]"),
+            "tx_frequency_1h": pd.array(nobody if customer is None else f1h[a:b], dtype="Int64"),
+            "tx_frequency_24h": pd.array(nobody if customer is None else f24h[a:b], dtype="Int64"),
+            "is_late": late[a:b].astype(np.int32),
+        })
+
+
+def initial_states(history: DataFrame) -> DataFrame:
+    """Per customer of a batch table: the state a stream would hold after those rows."""
+    w = velocity_window()
+    gaps = _velocity_columns(history.select("tx_id", "customer_id", "timestamp")
+                             .where("customer_id IS NOT NULL"), w, "customer_id", "timestamp")
+    dated = gaps.where("timestamp IS NOT NULL")
+    back = Window.partitionBy("customer_id").orderBy(F.col("timestamp").desc(), F.col("tx_id").desc())
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    recent = dated.withColumn("back", F.row_number().over(back)).where(F.col("back") <= HISTORY)
+    lasts = recent.groupBy("customer_id").agg(
+        F.max(F.when(F.col("back") == 1, F.timestamp_diff("MICROSECOND", epoch, F.col("timestamp")))).alias("last_ts_us"),
+        F.max(F.when(F.col("back") == 1, F.col("tx_id"))).alias("last_tx_id"),
+        F.transform(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "gap_seconds"))),
+                    lambda g: g["gap_seconds"]).alias("gaps"))
+    undated = (history.where("customer_id IS NOT NULL AND timestamp IS NULL").groupBy("customer_id")
+               .agg(F.count(F.lit(1)).alias("undated")))
+    return lasts.join(undated, "customer_id", "full").select(
+        *_keys(F.lit(0)), "last_ts_us", "last_tx_id",
+        F.coalesce("undated", F.lit(0)).cast("long").alias("undated"),
+        F.coalesce("gaps", F.array().cast("array<double>")).alias("gaps"))
+
+
+def _keys(nobody) -> list:
+    """Group keys that are never NULL: customer, and slot 0 for a customer's rows.  Rows without a
+    customer take a slot from 1 on, by the number ``nobody``."""
+    missing = F.col("customer_id").isNull()
+    slot = F.when(missing, F.pmod(nobody, F.lit(NOBODY_GROUPS)) + 1).otherwise(F.lit(0))
+    return [F.coalesce("customer_id", F.lit(0)).cast("long").alias("customer"), slot.cast("long").alias("slot")]
+
+
+def online_velocity(stream: DataFrame, expire: str | None = None, watermark: str = "1 day",
+                    initial: DataFrame | None = None) -> DataFrame:
     """Streaming TX rows -> (tx_id, customer_id, timestamp, 1h/24h features, is_late).
 
     ``expire`` (e.g. "90 days") drops the state of customers that have had no transaction for that
     much event time; a customer that comes back later starts anew, as with its first transaction.
     Without it the state of every customer is kept, as exact equality with the batch needs.
+    ``initial`` (see ``initial_states``) is what the customers' states start from.
+    State lives in RocksDB, so it may outgrow memory; the session is set to that provider.
     """
-    rows = stream.select("tx_id", "customer_id", "timestamp")
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    rows = stream.select("tx_id", "timestamp", *_keys(F.xxhash64("tx_id")))
+    start = None if initial is None else initial.groupBy("customer", "slot")
     if expire is None:
-        return rows.groupBy("customer_id").applyInPandasWithState(
-            velocity_update, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    expire_us = int(pd.Timedelta(expire).total_seconds() * 1e6)
-
-    def update(key, pdfs, state):
-        return velocity_update(key, pdfs, state, expire_us)
-
+        return rows.groupBy("customer", "slot").transformWithStateInPandas(
+            VelocityProcessor(), OUTPUT_SCHEMA, "append", "none", start)
     # watermarks need a zoned timestamp; the values themselves stay zone-free
-    timed = rows.withColumn("_event", rows["timestamp"].cast("timestamp")).withWatermark("_event", watermark)
-    return timed.groupBy("customer_id").applyInPandasWithState(
-        update, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    timed = rows.withColumn("event", rows["timestamp"].cast("timestamp")).withWatermark("event", watermark)
+    expire_ms = int(pd.Timedelta(expire).total_seconds() * 1000)
+    return timed.groupBy("customer", "slot").transformWithStateInPandas(
+        VelocityProcessor(expire_ms), OUTPUT_SCHEMA, "append", "eventTime", start)
