@@ -112,23 +112,64 @@ def test_fallback_row_numbers_split_hot_customer(spark):
 def test_cut_split_and_key_folds_match_positions(spark, skewed):
     rows, df = skewed
     a = ordered.positional_split(df, ["v", "id"], 0.8).select("id", "is_train")
-    b = ordered.positional_split_by_cut(df, ["v", "id"], 0.8, accuracy=200).select("id", "is_train")
+    b = ordered.positional_split_by_cut(df, ["v", "id"], 0.8, bins=200).select("id", "is_train")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     n = len(rows)
     pos = ordered.global_position(df, ["v", "id"])
     f1 = ordered.purged_kfold(pos, n, 5, 40, 9).select("id", "fold", "role")
-    f2 = ordered.purged_kfold_by_keys(df, ["v", "id"], n, 5, 40, 9, accuracy=300).select(
+    f2 = ordered.purged_kfold_by_keys(df, ["v", "id"], n, 5, 40, 9, bins=64).select(
         "id", "fold", "role")
     assert f1.exceptAll(f2).count() == 0 and f2.exceptAll(f1).count() == 0
 
 
-def test_selection_fallback_path(spark, skewed, monkeypatch):
-    """Brackets above the bound go through the range-partitioned ranking."""
+@pytest.mark.parametrize("bins", [2, 7, 4096])
+def test_selection_by_small_and_large_histograms(spark, skewed, bins):
     rows, df = skewed
-    monkeypatch.setattr(ordered, "MAX_BRACKET_ROWS", 0)
-    a = ordered.positional_split(df, ["v", "id"], 0.7).select("id", "is_train")
-    b = ordered.positional_split_by_cut(df, ["v", "id"], 0.7, accuracy=100).select("id", "is_train")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    n, keys = ordered.keys_at_ranks(df, ["v", "id"], [0, 1, 250, len(rows) - 1, len(rows)], bins)
+    wanted = sorted((r.v, r.id) for r in df.collect())
+    assert n == len(wanted) and keys == {r: wanted[r] for r in (0, 1, 250, n - 1)}
+
+
+def test_selection_of_extreme_and_missing_values(spark):
+    import datetime as dt
+    inf, nan = float("inf"), float("nan")
+    doubles = [-inf, -1e308, -1.5, 0.0, 1e-300, 2.0, 1e308, inf, nan, None]
+    longs = [-2 ** 63, -2 ** 63 + 1, -1, 0, 2 ** 53, 2 ** 53 + 1, 2 ** 63 - 2, 2 ** 63 - 1, None]
+    t0 = dt.datetime(2026, 3, 8, 1, 59, 59, 999999)
+    times = [t0, t0 + dt.timedelta(microseconds=1), t0 + dt.timedelta(days=4000), None]
+    rows = [(d, n, t, 7) for d in doubles for n in longs for t in times]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "d double, n long, t timestamp_ntz, same int")
+    last = lambda v: (v is None, v != v if v is not None else False, 0 if v is None or v != v else v)
+    wanted = sorted(((d, n, t) for d, n, t, _ in rows),
+                    key=lambda r: (last(r[0]), r[1] is None, r[1] or 0, r[2] is None, r[2] or t0))
+    text = lambda r: (repr(r[0]), r[1], None if r[2] is None else r[2].strftime("%Y-%m-%d %H:%M:%S.%f"))
+    for bins in (2, 64):
+        n, keys = ordered.keys_at_ranks(df, ["same", "d", "n", "t"], range(0, len(rows), 13), bins)
+        assert n == len(rows)
+        assert {r: (repr(k[1]), k[2], k[3]) for r, k in keys.items()} == {
+            r: text(wanted[r]) for r in range(0, len(rows), 13)}
+
+
+def test_selection_of_an_empty_table_and_of_text(spark):
+    assert ordered.keys_at_ranks(spark.createDataFrame([], "a long"), ["a"], [0]) == (0, {})
+    with pytest.raises(TypeError):
+        ordered.keys_at_ranks(spark.createDataFrame([("x",), ("y",)], "a string"), ["a"], [0])
+
+
+def test_split_reads_ranges_and_collects_cells(spark, tmp_path):
+    """No order, limit or offset over rows; the candidates' range reaches the scan."""
+    spark.range(5000).selectExpr("id", "CAST(id % 97 AS DOUBLE) AS v").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = ordered.positional_split_by_cut(df, ["v", "id"], 0.5)
+    assert out.where("is_train = 1").count() == 2500
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Sort", "Exchange", "Limit", "Offset"))
+    span = ordered._Span(["v", "id"], [df.schema[c].dataType for c in ("v", "id")],
+                         {"lo_v0": 3.0, "lo_n0": 3.0, "hi_v0": 3.0, "hi_n0": 3.0,
+                          "lo_v1": 100, "lo_n1": 100, "hi_v1": 900, "hi_n1": 900})
+    scan = df.where(span.holds())._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,100)" in scan and "LessThanOrEqual(id,900)" in scan
 
 
 def test_cumulative_counts_ranged_equals_window(spark):
@@ -153,7 +194,7 @@ def test_cut_split_is_time_zone_free(spark):
     old = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")
-        out = ordered.positional_split_by_cut(df, ["timestamp", "tx_id"], 0.8, accuracy=50)
+        out = ordered.positional_split_by_cut(df, ["timestamp", "tx_id"], 0.8, bins=50)
         assert sorted(r.tx_id for r in out.where("is_train = 1").collect()) == list(range(400))
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)

@@ -13,6 +13,8 @@ table with one row per partition:
   pre-aggregated (group, value, count) rows, so a hot group never has to fit
   in one task (A8, A1 median).
 * ``positional_split`` (W5) and ``purged_kfold`` (W6).
+* ``keys_at_ranks`` -- the keys at given ranks by rounds of bounded histograms,
+  for splits and folds that need no positions.
 """
 
 from __future__ import annotations
@@ -235,109 +237,135 @@ def purged_kfold(df_with_pos: DataFrame, n_rows: int, n_splits: int = 5,
 
 
 # ------------------------------------------------------ exact rank selection ---
-# A counted rank bracket up to this size is read with an ordered offset/limit.
-MAX_BRACKET_ROWS = 1_000_000
+#: Histogram cells of one selection round, shared by the ranks that are still open.
+HISTOGRAM_BINS = 4096
 
-def _numeric_view(df: DataFrame, col: str):
-    """A numeric column that orders like ``col`` (time zone free for timestamps)."""
-    t = df.schema[col].dataType.simpleString()
+
+def _numeric(column: Column, dtype) -> Column:
+    """A number that orders like ``column``: exact long where the type allows, else double."""
+    t = dtype.simpleString()
     if t == "timestamp_ntz":
         epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, F.col(col)).cast("double")
+        return F.timestamp_diff("MICROSECOND", epoch, column)
     if t == "timestamp":
-        return F.unix_micros(F.col(col)).cast("double")
+        return F.unix_micros(column)
     if t == "date":
-        return F.unix_date(F.col(col)).cast("double")
-    return F.col(col).cast("double")
-
-
-def keys_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int], n: int,
-                  accuracy: int = 100_000, num_partitions: int | None = None) -> dict[int, tuple]:
-    """Exact key tuples at the given 0-based ranks of ``order`` (ascending).
-
-    1. ``percentile_approx`` on the first order column brackets each rank
-       (rank error <= n / accuracy, widened two-fold);
-    2. one counting job checks every bracket holds its rank (else the bracket
-       grows to the whole range);
-    3. only the rows inside the brackets are ranked exactly
-       (``global_position`` over range partitions) and the wanted rows read.
-    No step sorts or materializes the whole table.  Keys must be unique.
+        return F.unix_date(column).cast("long")
+    if t in ("tinyint", "smallint", "int", "bigint", "boolean"):
+        return column.cast("long")
+    if t in ("float", "double") or t.startswith("decimal"):
+        return column.cast("double")
+    raise TypeError(f"rank selection orders numbers and times, not {t}")
+
+
+def _same(a, b) -> bool:
+    return a == b or (a is not None and b is not None and a != a and b != b)      # NaN is one value
+
+
+class _Span:
+    """The rows between two keys (inclusive): what is left of a rank's candidates.
+
+    ``lo`` and ``hi``: per order column (value, number), the value being what ``key_expr`` gives.
+    All columns before ``at`` agree; the next histogram is taken over column ``at``."""
+
+    def __init__(self, order: Sequence[str], types: list, row):
+        self.order, self.types = order, types
+        self.lo, self.hi = ([(row[f"{end}_v{i}"], row[f"{end}_n{i}"]) for i in range(len(order))]
+                            for end in ("lo", "hi"))
+        differ = [i for i in range(len(order)) if not _same(self.lo[i][0], self.hi[i][0])]
+        self.at = differ[0] if differ else None
+
+    def key(self) -> tuple:
+        return tuple(v for v, _ in self.lo)
+
+    def holds(self) -> Column:
+        column, dtype = F.col(self.order[self.at]), self.types[self.at]
+        low = column >= typed_lit(self.lo[self.at][0], dtype)
+        inside = (low | column.isNull()) if self.hi[self.at][0] is None else (
+            low & (column <= typed_lit(self.hi[self.at][0], dtype)))
+        for i in range(self.at):
+            inside = F.col(self.order[i]).eqNullSafe(typed_lit(self.lo[i][0], self.types[i])) & inside
+        return inside
+
+    def cell(self, bins: int) -> Column:
+        """A cell number that never falls along the order; the two ends get different cells."""
+        column, dtype = F.col(self.order[self.at]), self.types[self.at]
+        (low_value, low), (high_value, high) = self.lo[self.at], self.hi[self.at]
+        if high is None:
+            return column.isNull().cast("int")
+        x, a, b = _numeric(column, dtype), float(low), float(high)
+        if a == float("-inf"):
+            return (column > typed_lit(low_value, dtype)).cast("int")
+        if not b < float("inf"):
+            return (column >= typed_lit(high_value, dtype)).cast("int")
+        if b - a == float("inf"):
+            return (x >= F.lit(a / 2 + b / 2)).cast("int")
+        if b > a:
+            share = (x.cast("double") - F.lit(a)) / F.lit(b - a)
+            return F.least(F.floor(share * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
+        # longs that are one double: a short range of exact differences
+        return F.floor((x - F.lit(int(low))) * F.lit(bins) / F.lit(int(high) - int(low) + 1)).cast("int")
+
+
+def keys_at_ranks(df: DataFrame, order: Sequence[str], ranks, bins: int = HISTOGRAM_BINS
+                  ) -> tuple[int, dict[int, tuple]]:
+    """(number of rows, exact key tuple at each of the 0-based ``ranks`` of ``order``).
+
+    ``ranks``: numbers, or a function from the number of rows to them; ranks outside are left out.
+    Order columns are numbers or times; NULL comes last.
+
+    Selection by histograms: every round cuts the rows that a rank can still be among into cells of
+    equal width in the first column whose values still differ, and takes count, smallest and largest
+    key per cell -- at most ``bins`` rows for all ranks together.  The rank falls into one cell, which
+    is the next round's candidates, until its smallest and largest key are one.  A round reads the
+    order columns only, with the candidates' range as a filter, and shuffles cells, not rows.  The
+    range of a round's column shrinks by the number of cells, whatever the number of rows: 30 days
+    in microseconds are one value after four rounds.
     """
     order = list(order)
-    wanted = sorted({int(r) for r in ranks if 0 <= r < n})
-    if not wanted:
-        return {}
-    num = _numeric_view(df, order[0])
-    # rows without the first key come after all others, in the order of the remaining keys
-    missing = df.where(F.col(order[0]).isNull()).count()
-    tail = [r for r in wanted if r >= n - missing]
-    if tail:
-        first = n - missing
-        if len(order) == 1:
-            out = {r: (None,) for r in tail}
-        else:
-            behind = keys_at_ranks(df.where(F.col(order[0]).isNull()), order[1:],
-                                   [r - first for r in tail], missing, accuracy, num_partitions)
-            out = {r: (None, *behind[r - first]) for r in tail}
-        head = [r for r in wanted if r < first]
-        out.update(keys_at_ranks(df.where(F.col(order[0]).isNotNull()), order, head, first, accuracy,
-                                 num_partitions))
-        return out
-    if missing:
-        n, df = n - missing, df.where(F.col(order[0]).isNotNull())
-    eps = 2.0 / accuracy
-    probs = []
-    for r in wanted:
-        q = r / max(n - 1, 1)
-        probs += [max(0.0, q - eps), min(1.0, q + eps)]
-    approx = df.agg(F.percentile_approx(num, probs, accuracy).alias("p")).first()["p"]
-    brackets = {r: (approx[2 * i], approx[2 * i + 1]) for i, r in enumerate(wanted)}
-    aggs = []
-    for i, r in enumerate(wanted):
-        lo, hi = brackets[r]
-        aggs += [F.count_if(num < F.lit(lo)).alias(f"b{i}"),
-                 F.count_if((num >= F.lit(lo)) & (num <= F.lit(hi))).alias(f"m{i}")]
-    counts = df.agg(*aggs).first()
-    below, inside = {}, {}
-    for i, r in enumerate(wanted):
-        b, m = counts[f"b{i}"], counts[f"m{i}"]
-        if not (b <= r < b + m):  # approximation missed: take the whole range
-            brackets[r] = (None, None)
-            b, m = 0, n
-        below[r], inside[r] = b, m
-    out = {}
-    ranked = []
-    for r in wanted:
-        lo, hi = brackets[r]
-        if lo is not None and inside[r] <= MAX_BRACKET_ROWS:
-            # small, counted bracket: the (r - below)-th row by an ordered
-            # offset/limit (top-k state bounded by the bracket size)
-            sub = df.where((num >= F.lit(lo)) & (num <= F.lit(hi))).select(*order)
-            row = (sub.orderBy(*_sort_exprs(order)).offset(r - below[r]).limit(1)
-                   .select(*[key_expr(c, df.schema[c].dataType).alias(c) for c in order]).first())
-            out[r] = tuple(row)
-        else:
-            ranked.append(r)
-    if not ranked:
-        return out
-    cond = None
-    for r in ranked:
-        lo, hi = brackets[r]
-        c = F.lit(True) if lo is None else (num >= F.lit(lo)) & (num <= F.lit(hi))
-        cond = c if cond is None else cond | c
-    sub = df.where(cond).select(*order, num.alias("_num"))
-    pos = global_position(sub, order, num_partitions=num_partitions)
-    # sub rows sorting before each bracket (one job for all ranks)
-    firsts = pos.agg(*[(F.count_if(F.col("_num") < F.lit(brackets[r][0]))
-                        if brackets[r][0] is not None else F.lit(0)).alias(f"f{i}")
-                       for i, r in enumerate(ranked)]).first()
-    target = {r: r - below[r] + firsts[f"f{i}"] for i, r in enumerate(ranked)}
-    rows = pos.where(F.col("pos").isin(sorted(set(target.values())))).select(
-        "pos", *[key_expr(c, df.schema[c].dataType).alias(c) for c in order]
-    ).collect()  # at most len(ranks) rows
-    by_pos = {row["pos"]: tuple(row[c] for c in order) for row in rows}
-    out.update({r: by_pos[target[r]] for r in ranked})
-    return out
+    types = [df.schema[c].dataType for c in order]
+    rows = df.select(*order)
+    key = F.struct(*[part for i, c in enumerate(order)
+                     for part in (F.col(c).isNull().alias(f"m{i}"), F.col(c).alias(f"k{i}"))])
+
+    def cells(frame: DataFrame, *by: str) -> list:
+        found = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        ends = [(end, i, F.col(f"{end}.k{i}")) for end in ("lo", "hi") for i in range(len(order))]
+        return found.select(*by, "n", *[key_expr(f"{end}.k{i}", types[i]).alias(f"{end}_v{i}") for end, i, _ in ends],
+                            *[_numeric(c, types[i]).alias(f"{end}_n{i}") for end, i, c in ends]).collect()
+
+    whole = cells(rows)[0]
+    n = whole["n"]
+    wanted = sorted({int(r) for r in (ranks(n) if callable(ranks) else ranks) if 0 <= r < n})
+    start = _Span(order, types, whole)
+    left = {r: (0, start) for r in wanted}      # rank -> (rows before its candidates, candidates)
+    out: dict[int, tuple] = {}
+    while True:
+        out.update({r: span.key() for r, (_, span) in left.items() if span.at is None})
+        left = {r: v for r, v in left.items() if r not in out}
+        if not left:
+            return n, out
+        spans = list({id(span): span for _, span in left.values()}.values())     # ranks may share one
+        number = {id(span): i for i, span in enumerate(spans)}
+        share = max(2, bins // len(spans))
+        place = None
+        for i, span in enumerate(spans):
+            here = F.struct(F.lit(i).alias("span"), span.cell(share).alias("cell"))
+            place = F.when(span.holds(), here) if place is None else place.when(span.holds(), here)
+        some = spans[0].holds()
+        for span in spans[1:]:
+            some = some | span.holds()
+        found = cells(rows.where(some).select("*", place.alias("place"))
+                      .select(*order, "place.span", "place.cell"), "span", "cell")
+        by_span: dict[int, list] = {}
+        for row in sorted(found, key=lambda r: (r["span"], r["cell"])):
+            by_span.setdefault(row["span"], []).append((row, _Span(order, types, row)))
+        for r, (below, span) in left.items():
+            for row, inner in by_span[number[id(span)]]:
+                if r < below + row["n"]:
+                    left[r] = (below, inner)
+                    break
+                below += row["n"]
 
 
 def key_less_than(df: DataFrame, order: Sequence[str], key: tuple | None) -> Column:
@@ -357,51 +385,48 @@ def key_less_than(df: DataFrame, order: Sequence[str], key: tuple | None) -> Col
 
 
 def positional_split_by_cut(df: DataFrame, order: Sequence[str], train_fraction: float = 0.80,
-                            accuracy: int = 100_000) -> DataFrame:
+                            bins: int = HISTOGRAM_BINS) -> DataFrame:
     """W5 without positions: train = the first int(n * fraction) rows in ``order``.
 
-    One count, one approximate-quantile job, one counting job and an exact
-    ranking of a small bracket give the cut key; the split itself is a
-    projection.  Adds ``is_train`` and ``n_rows``.
+    The row count and the cut key come from one selection (``keys_at_ranks``);
+    the split itself is a projection.  Adds ``is_train`` and ``n_rows``.
     """
-    n = df.count()
-    cut = int(n * train_fraction)
-    key = keys_at_ranks(df, order, [cut], n, accuracy).get(cut)
+    n, keys = keys_at_ranks(df, order, lambda n: [int(n * train_fraction)], bins)
+    key = keys.get(int(n * train_fraction))
     return df.withColumn("is_train", key_less_than(df, order, key).cast("int")).withColumn(
         "n_rows", F.lit(n).cast("long"))
 
 
-def purged_kfold_by_keys(df: DataFrame, order: Sequence[str], n_rows: int, n_splits: int = 5,
-                         purge: int = 50, embargo: int = 10, accuracy: int = 100_000
-                         ) -> DataFrame:
+def purged_kfold_by_keys(df: DataFrame, order: Sequence[str], n_rows: int | None = None, n_splits: int = 5,
+                         purge: int = 50, embargo: int = 10, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """W6 on key ranges: the same folds as ``purged_kfold`` without positions.
 
     Fold i validates ranks [start, end); a row trains fold i if its rank is
     < start - purge or >= end + embargo.  Every rank bound becomes the key at
-    that rank (``keys_at_ranks``), so roles are key comparisons.
+    that rank (``keys_at_ranks``), so roles are key comparisons.  ``n_rows`` may
+    be left out; it is then counted with the first selection round.
     """
-    fold_size = n_rows // n_splits
-    folds, ranks = [], set()
-    for i in range(n_splits):
-        start = i * fold_size
-        end = start + fold_size if i < n_splits - 1 else n_rows
-        if (start - purge > 0) or (end + embargo < n_rows):
-            folds.append((i, start, end))
-            ranks |= {start, end, start - purge, end + embargo}
-    keys = keys_at_ranks(df, order, sorted(r for r in ranks if 0 <= r < n_rows), n_rows, accuracy)
+    folds = fold_roles(df, order, n_splits, purge, embargo, bins)
+    out = df.withColumn("_f", F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), role.alias("role"))
+                                                  for i, role in folds]))).select("*", "_f.fold", "_f.role")
+    return out.drop("_f").where(F.col("role").isNotNull())
+
+
+def fold_roles(df: DataFrame, order: Sequence[str], n_splits: int = 5, purge: int = 50, embargo: int = 10,
+               bins: int = HISTOGRAM_BINS) -> list[tuple[int, Column]]:
+    """W6 as expressions: (fold, role column: 'val', 'train' or NULL); folds without training rows are left out."""
+    def bounds(n: int) -> list[tuple[int, int, int]]:
+        size = n // n_splits
+        ends = [(i, i * size, (i + 1) * size if i < n_splits - 1 else n) for i in range(n_splits)]
+        return [(i, s, e) for i, s, e in ends if s - purge > 0 or e + embargo < n]
+
+    n, keys = keys_at_ranks(df, order, lambda n: [
+        r for _, s, e in bounds(n) for r in (s, e, s - purge, e + embargo)], bins)
 
     def below(rank: int) -> Column:  # rank(row) < rank
         if rank <= 0:
             return F.lit(False)
-        if rank >= n_rows:
-            return F.lit(True)
-        return key_less_than(df, order, keys[rank])
-
-    parts = []
-    for i, s, e in folds:
-        val = ~below(s) & below(e)
-        train = below(s - purge) | ~below(e + embargo)
-        role = F.when(val, F.lit("val")).when(train, F.lit("train"))
-        parts.append(F.struct(F.lit(i).alias("fold"), role.alias("role")))
-    out = df.withColumn("_f", F.explode(F.array(*parts))).select("*", "_f.fold", "_f.role")
-    return out.drop("_f").where(F.col("role").isNotNull())
+        return F.lit(True) if rank >= n else key_less_than(df, order, keys[rank])
+
+    return [(i, F.when(~below(s) & below(e), F.lit("val"))
+             .when(below(s - purge) | ~below(e + embargo), F.lit("train"))) for i, s, e in bounds(n)]
