@@ -69,6 +69,31 @@ def test_isolation_forest_contamination(spark, train, test, tmp_path):
     assert again.exceptAll(s).count() == 0
 
 
+def test_isolation_forest_scores_in_the_jvm_like_a_walk_over_its_nodes(spark, train, test):
+    import numpy as np
+    from txsentinel.operators.detectors.base import feature_array, prepared
+    from txsentinel.operators.detectors.iforest import avg_path_length
+    det = IsolationForestDetector(n_trees=20).fit(train)
+    rows = prepared(test, det.scaler, None).select("tx_id", feature_array(det.features).alias("x")).collect()
+    trees = {t: g.set_index("node_id") for t, g in det.nodes.groupby("tree_id")}
+
+    def path(x, nodes):
+        at, depth = 0, 0
+        while nodes.at[at, "left"] >= 0:
+            at = nodes.at[at, "left" if x[nodes.at[at, "feature"]] < nodes.at[at, "threshold"] else "right"]
+            depth += 1
+        return depth + float(avg_path_length(np.array([nodes.at[at, "size"]]))[0])
+
+    got = {r["tx_id"]: r for r in det.score(test).collect()}
+    for r in rows[::20]:
+        mean = np.mean([path(r["x"], nodes) for nodes in trees.values()])
+        s = 2.0 ** (-mean / float(avg_path_length(np.array([det.psi]))[0]))
+        assert got[r["tx_id"]]["score"] == pytest.approx(s - det.threshold, abs=1e-9)
+        assert got[r["tx_id"]]["prediction"] == int(got[r["tx_id"]]["score"] > 0)
+    plan = det.score(test)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
 @pytest.mark.parametrize("q,rate", [(0.95, 0.05), (0.99, 0.01)])
 def test_pca_reconstruction_thresholds(spark, train, test, q, rate):
     normals = normal_only(train)

@@ -151,6 +151,15 @@ def test_selection_of_extreme_and_missing_values(spark):
             r: text(wanted[r]) for r in range(0, len(rows), 13)}
 
 
+def test_one_quantile_by_selection(spark, skewed):
+    rows, df = skewed
+    values = [r.v for r in df.collect()]
+    with_gap = df.select("v").unionByName(spark.createDataFrame([(None,)], "v double"))
+    for q in (0.0, 0.013, 0.5, 0.95, 1.0):
+        assert ordered.exact_quantile(with_gap, "v", q) == pytest.approx(float(np.quantile(values, q)), abs=1e-12)
+    assert ordered.exact_quantile(df.where("v IS NULL"), "v", 0.5) is None
+
+
 def test_selection_of_an_empty_table_and_of_text(spark):
     assert ordered.keys_at_ranks(spark.createDataFrame([], "a long"), ["a"], [0]) == (0, {})
     with pytest.raises(TypeError):

@@ -368,6 +368,18 @@ def keys_at_ranks(df: DataFrame, order: Sequence[str], ranks, bins: int = HISTOG
                 below += row["n"]
 
 
+def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """Quantile of one column with linear interpolation (as ``exact_quantiles``), by rank selection:
+    the rows are neither sorted nor written.  NULL is ignored; None without values."""
+    some = df.where(F.col(value).isNotNull())
+    n, keys = keys_at_ranks(some, [value], lambda n: {int((n - 1) * q), min(int((n - 1) * q) + 1, n - 1)})
+    if not n:
+        return None
+    h = (n - 1) * q
+    low = float(keys[int(h)][0])
+    return low + (float(keys[min(int(h) + 1, n - 1)][0]) - low) * (h - int(h))
+
+
 def key_less_than(df: DataFrame, order: Sequence[str], key: tuple | None) -> Column:
     """(order columns) < key, lexicographically with NULL last; key None means +infinity.
 
