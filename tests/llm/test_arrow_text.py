@@ -51,3 +51,15 @@ def test_slices_cover_all_rows_and_offsets_of_sliced_arrays():
         ids = rows.column(0).to_pylist()
         seen += [(i, bytes(buf[a:b]).decode()) for i, a, b in zip(ids, off, off[1:])]
     assert seen == list(zip(range(1, 7), texts[1:]))
+
+
+def test_words_of_structured_bytes_differ():
+    """The Thue-Morse word and its complement collide in every polynomial hash modulo 2^64."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    words = [bytes(97 + b for b in bits[:n]) for n in (256, 1024, 2048)]
+    words += [bytes(195 - c for c in w) for w in words] + [b"c" * n for n in (7, 8, 9, 1023, 1024, 1025, 5000)]
+    hashes, _ = word_hashes(*text_buffer(pa.array([b" ".join(words + words[::-1]).decode()])))
+    assert len(set(hashes.tolist())) == len(words)
+    assert hashes[:len(words)].tolist() == hashes[len(words):][::-1].tolist()

@@ -51,7 +51,7 @@ def test_pseudo_labels_help_a_view_with_few_labels():
     test = np.arange(900, n)
 
     def accuracy(rounds):
-        model = cotrain.co_train(x[few], y[few], x[60:900], rounds=rounds)
+        model = cotrain.co_train(x[few], y[few], cotrain.ArrayPool(x[60:900]), rounds=rounds)
         return ((model.scores(x[test])[2] > 0.5) == y[test]).mean()
 
     assert accuracy(4) >= accuracy(0)
@@ -76,3 +76,64 @@ def test_edge_rows_and_columns(spark):
                            "metadata_score", "kept"]
     assert out.where("score IS NOT NULL AND kept IS NOT NULL").count() == len(rows)
     assert cotrain.score_quality(frame.where("false"), model).count() == 0
+
+
+def plain_co_training(x, y, pool, rounds, share):
+    """The same rounds row by row: every view keeps the list of rows it was handed."""
+    model = cotrain.CoTrained(share, x.mean(0), np.maximum(x.std(0), 1e-3))
+    held = np.zeros(len(y), bool)
+    for c in (0, 1):
+        held[np.flatnonzero(y == c)[3::4]] = True
+    views, others = model.views(x), model.views(pool)
+    weights = [cotrain.fit_logistic(views[v][~held], y[~held], ridge=cotrain.RIDGE, rounds=12) for v in (0, 1)]
+    handed = [{}, {}]
+    width = (cotrain.TOP - cotrain._LEAST) / cotrain.CELLS
+    for _ in range(rounds):
+        now = [{}, {}]
+        for v in (0, 1):
+            odds = others[v] @ weights[v]
+            for label, sign, part in ((1, 1, share), (0, -1, 1 - share)):
+                quota = max(1.0, len(pool) * cotrain.HANDED_SHARE * part)
+                cells = {}
+                for i, z in enumerate(sign * odds):
+                    if i not in handed[1 - v] and z >= cotrain._LEAST:
+                        cells.setdefault(min(int((min(z, cotrain.TOP) - cotrain._LEAST) / width), cotrain.CELLS - 1), []).append(i)
+                taken = []
+                for cell in sorted(cells, reverse=True):
+                    if taken and len(taken) + len(cells[cell]) > quota:
+                        break
+                    taken += cells[cell]
+                now[1 - v].update({i: label for i in taken})
+        for v in (0, 1):
+            handed[v] = {**now[v], **handed[v]}
+        for _ in range(cotrain.STEPS):
+            for v in (0, 1):
+                rows = np.array(sorted(handed[v]), int)
+                z = np.vstack([views[v][~held], others[v][rows]])
+                t = np.append(y[~held], [handed[v][i] for i in rows])
+                p = 1 / (1 + np.exp(-np.clip(z @ weights[v], -30, 30)))
+                penalty = np.full(z.shape[1], cotrain.RIDGE)
+                penalty[0] = 1e-6
+                hessian = z.T @ np.diag(p * (1 - p)) @ z + np.diag(penalty)
+                weights[v] = weights[v] + np.linalg.solve(hessian, z.T @ (t - p) - penalty * weights[v])
+    return weights, handed
+
+
+def test_the_whole_pool_takes_part_as_in_plain_co_training(spark):
+    docs, labels = corpus(700)
+    # a language that no label has, so that only pseudo-labels speak about it
+    docs = [d if d[0] % 2 or d[0] % 14 else (d[0], d[1], "xx", *d[3:]) for d in docs]
+    frame = spark.createDataFrame([d[:5] for d in docs], SCHEMA)
+    model = cotrain.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rounds=2)
+    import pyarrow as pa
+    from txsentinel.llm.arrow_text import text_buffer
+    x = cotrain.features(*text_buffer(pa.array([d[1] for d in docs])), *zip(*[d[2:5] for d in docs])).astype(float)
+    known = {d: q for d, q, _ in labels}
+    own = np.array([d[0] in known for d in docs])
+    y = np.array([known[d[0]] for d in docs if d[0] in known], float)
+    weights, handed = plain_co_training(x[own], y, x[~own], 2, y.mean())
+    assert all(len(h) > 10 for h in handed[1:])      # the content view is sure of many rows
+    for got, want in zip(model.weights, weights):
+        np.testing.assert_allclose(got, want, atol=1e-6)
+    rare = [i for i, d in enumerate([d for d in docs if d[0] not in known]) if d[2] == "xx"]
+    assert any(i in handed[1] for i in rare)

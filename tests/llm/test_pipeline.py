@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from txsentinel.llm import bpe, cotrain
@@ -96,3 +97,24 @@ def test_edge_rows_pass_all_stages(spark):
         for _, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, SF)
         rows.count()
+
+
+def test_columns_of_a_user_stay_as_they_are(spark):
+    """Columns named like the stages' own come through with their values."""
+    own = ["score", "kept", "content_score", "metadata_score", "leak", "__leak", "body", "__body", "found", "__found",
+           "__id", "__sha", "id", "rep", "key", "y", "x", "lang_", "c0"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = docs.select("*", *[F.concat_ws("-", F.lit(c), "doc_id").alias(c) for c in own])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, SF)
+        assert rows.columns == docs.columns + own
+    for r in rows.collect():
+        assert all(r[c] == f"{c}-{r['doc_id']}" for c in own)
+
+
+def test_a_copy_does_not_take_a_clean_row_of_its_identifier_along(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(80)) for w in ("gamma", "delta"))
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 1), (0, a + " tail", "en", "s", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(0, a + " tail"), (1, b)]

@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U64 = np.uint64
 _BASE = _U64(0x9E3779B97F4A7C15 | 1)          # odd, so it has an inverse mod 2^64
@@ -119,11 +120,40 @@ def word_spans(buf: np.ndarray, off: np.ndarray,
     return start, end, doc
 
 
+#: Spans beyond this many bytes are hashed one by one.
+LONG_SPAN = 1 << 10
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes [start, end) of every span, eight bytes at a time.
+
+    Every step mixes the state (a permutation), so spans of up to eight bytes and equal length never
+    collide, and no arithmetic structure of longer ones carries through, as it does in polynomials
+    modulo 2^64.  Very long spans go through xxhash.
+    """
+    size = end - start
+    state = mix((size + 1).astype(_U64) * _U64(0xD6E8FEB86659FD93))
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[:len(buf)] = buf
+    eights = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))     # the eight bytes from every place on
+    live, done = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(live):
+        left = size[live] - done
+        word = eights[start[live] + done]
+        short = left < 8
+        word[short] &= (_U64(1) << (left[short] * 8).astype(_U64)) - _U64(1)
+        state[live] = mix((state[live] ^ word) * _BASE)
+        live, done = live[left > 8], done + 8
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        state[k] = xxhash.xxh3_64_intdigest(buf[start[k]:end[k]].tobytes(), 0x5EED)
+    return state
+
+
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash, document index) of every word [^\\x20\\x09-\\x0D]+ after lower-casing A-Z."""
     low = LOWER[buf]
     start, end, doc = word_spans(low, off)
-    return range_hash(prefix_hash(low), start, end), doc
+    return span_hashes(low, start, end), doc
 
 
 def fresh_names(taken: list[str], *wanted: str) -> list[str]:

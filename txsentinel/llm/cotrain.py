@@ -2,25 +2,27 @@
 
 Two views of a document, each with a logistic regression of its own:
 
-* content: hashed word shares, distinct words, repeated words, word lengths;
-* page metadata: language, source, stated length, and layout (lines, cases,
-  digits, punctuation and markup shares of the page's characters).
-
-Rounds: both classifiers are fitted on their labelled rows, each labels the
-unlabelled rows it is most confident about (a share per class that follows the
-labels), and hands them to the *other* view's training rows.  Afterwards each
-view is calibrated on labelled rows held back from training (Platt), the
+* content: hashed word shares, distinct words, repeated words, word lengths, and layout (lines,
+  cases, digits, punctuation and markup shares of the text);
+* page metadata: language, source and stated length, nothing of the text.
+
+Rounds: each classifier labels the unlabelled rows it is most confident about (a share per class
+that follows the labels) and hands them to the *other* view's training rows; then both are fitted
+on.  Afterwards each view is calibrated on labelled rows held back from training (Platt), the
 calibrated log-odds are averaged, and the average is calibrated again.
 
-Fitting uses bounded samples, ``MAX_LABELLED`` labelled and ``MAX_UNLABELLED``
-unlabelled rows chosen by a hash of the identifier; scoring covers every row in
-one pass over the texts without any shuffle.
+The labelled rows are a bounded sample (``MAX_LABELLED``, by a hash of the identifier).  The
+unlabelled pool is every other document: features are written once, and a round reads them a few
+times on Spark.  How confident the most confident share is comes from a histogram of log-odds summed
+over all partitions; a fit takes Newton steps whose gradient and Hessian are summed the same way.
+Which label a row was handed follows from the rounds' weights and thresholds, so nothing is kept per
+row.  Scoring covers every row in one pass over the texts without any shuffle.
 
 Defined results: null text counts as empty, null metadata as its own value;
 without labels of both kinds the score is the share of label 1 (1 without any
 labels) and every row is kept when that share is not below the threshold;
-repeated rows give repeated rows; other columns pass through ``score_quality``
-untouched unless they are named like its results.
+repeated rows give repeated rows (a labelled identifier trains once); other columns pass through
+``score_quality`` untouched unless they are named like its results.
 """
 
 from __future__ import annotations
@@ -30,24 +32,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txsentinel.llm.arrow_text import slices, word_hashes
+from txsentinel.llm.arrow_text import fresh_names, slices, text_buffer, word_hashes
 from txsentinel.llm.toxic_crf import fit_logistic
+from txsentinel.session import materialize
 
-MAX_LABELLED, MAX_UNLABELLED = 12_000, 12_000
+MAX_LABELLED = 12_000
 ROUNDS = 4
+#: Newton steps over the pool after every round, from the weights of the round before.
+STEPS = 3
+RIDGE = 2.0
 #: Pseudo-labels a view hands over per round, as a share of the unlabelled pool, and the least
 #: probability of such a label.
 HANDED_SHARE, CONFIDENCE = 0.05, 0.95
+#: Cells of the histogram of confident log-odds, from the least confident to ``TOP``.
+CELLS, TOP = 1024, 30.0
+_LEAST = float(np.log(CONFIDENCE / (1 - CONFIDENCE)))
 #: Rows scored below this probability of good quality are rejected.
 THRESHOLD = 0.5
 
 WORD_BUCKETS, META_BUCKETS = 64, 24
 
-# Character classes of the layout view
+# Character classes of the layout columns
 _CLASSES = ["other", "upper", "lower", "digit", "blank", "newline", ".,;:", "!", "?", "#$%&*+=@^~_",
             "|", "<>{}[]()\\/", "'\"-", "high"]
 _CLASS = np.zeros(256, np.uint8)
@@ -56,8 +67,8 @@ for _k in range(6, 13):
     _CLASS[list(_CLASSES[_k].encode())] = _k
 _CLASS[128:] = 13
 
-CONTENT_SIZE = WORD_BUCKETS + 6
-META_SIZE = 2 * META_BUCKETS + 2 + len(_CLASSES) + 2
+CONTENT_SIZE = WORD_BUCKETS + 6 + len(_CLASSES) + 2
+META_SIZE = 2 * META_BUCKETS + 2
 SIZE = CONTENT_SIZE + META_SIZE
 _ADDED = ("score", "content_score", "metadata_score", "kept")
 
@@ -97,9 +108,8 @@ def features(buf: np.ndarray, off: np.ndarray, lang: list, source: list, stated:
     chars = np.array([np.nan if c is None else float(c) for c in stated])
     meta[:, -2] = np.where(np.isnan(chars), 0, np.log1p(np.maximum(np.nan_to_num(chars), 0)))
     meta[:, -1] = np.isnan(chars)
-    meta = np.column_stack([meta, layout / np.maximum(size, 1)[:, None], np.log(lines),
-                            np.log1p(size / lines)])
-    return np.column_stack([content, meta]).astype(np.float32)
+    return np.column_stack([content, layout / np.maximum(size, 1)[:, None], np.log(lines),
+                            np.log1p(size / lines), meta]).astype(np.float32)
 
 
 @dataclass
@@ -147,9 +157,87 @@ def _platt(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return c if c[1] > 0 else np.array([np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)), 0.0])
 
 
-def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray, rounds: int = ROUNDS,
+class ArrayPool:
+    """Unlabelled feature rows in memory."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+
+    def total(self, part) -> np.ndarray | None:
+        return part(self.x) if len(self.x) else None
+
+
+class TablePool:
+    """Unlabelled feature rows in a table (x binary, float32); sums are taken on Spark."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.select("x")
+
+    def total(self, part) -> np.ndarray | None:
+        """Sum over all rows of ``part`` (feature rows -> vector); one vector reaches the driver."""
+        def run(batches):
+            held = None
+            for batch in batches:
+                raw, _ = text_buffer(batch.column(0))
+                if len(raw):
+                    mine = part(raw.view(np.float32).reshape(-1, SIZE).astype(float))
+                    held = mine if held is None else held + mine
+            if held is not None:
+                yield pa.RecordBatch.from_pydict({"v": pa.array([held], pa.list_(pa.float64()))})
+
+        sums = self.rows.mapInArrow(run, "v array<double>").select(array_to_vector("v").alias("v"))
+        found = sums.agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("v")).alias("v")).first()
+        return found["v"].toArray() if found["n"] else None
+
+
+def given_labels(views: tuple, history: list) -> np.ndarray:
+    """What a view was handed for every row: 1, 0 or -1 (nothing).  ``history``: per round the giving
+    view, its weights, and the log-odds from which it gave label 1 and label 0; the first label stays."""
+    out = np.full(len(views[0]), -1)
+    for giver, w, high, low in history:
+        z = views[giver] @ w
+        free = out < 0
+        out[free & (z >= high)] = 1
+        out[free & (z <= low)] = 0
+    return out
+
+
+def confident(views: tuple, weights: list, history: list) -> np.ndarray:
+    """Rows of the pool, then per view and class counts of its confident log-odds among the rows that
+    the other view has not been handed."""
+    out = [np.array([float(len(views[0]))])]
+    for v in (0, 1):
+        z = (views[v] @ weights[v])[given_labels(views, history[1 - v]) < 0]
+        for sure in (z, -z):
+            cell = (np.minimum(sure[sure >= _LEAST], TOP) - _LEAST) / (TOP - _LEAST) * CELLS
+            out.append(np.bincount(np.minimum(cell.astype(int), CELLS - 1), minlength=CELLS).astype(float))
+    return np.concatenate(out)
+
+
+def least_sure(counts: np.ndarray, quota: float) -> float:
+    """The log-odds from which at most ``quota`` rows are handed over (the top cell at least)."""
+    above = np.cumsum(counts[::-1])[::-1]
+    if not above[0]:
+        return float("inf")
+    fits = np.flatnonzero(above <= quota)
+    top = int(np.flatnonzero(counts)[-1])
+    return _LEAST + min(int(fits[0]) if len(fits) else top, top) * (TOP - _LEAST) / CELLS
+
+
+def newton_sums(views: tuple, weights: list, history: list) -> np.ndarray:
+    """Gradient and Hessian of both views over the rows they were handed, as one vector."""
+    out = []
+    for v in (0, 1):
+        label = given_labels(views, history[v])
+        x, y = views[v][label >= 0], label[label >= 0]
+        p = _sigmoid(x @ weights[v])
+        out += [x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+    return np.concatenate(out)
+
+
+def co_train(x: np.ndarray, y: np.ndarray, pool, rounds: int = ROUNDS,
              prior: float | None = None) -> CoTrained:
-    """Fit on labelled rows (x, y) and unlabelled rows ``pool``."""
+    """Fit on labelled rows (x, y) and a pool of unlabelled ones (ArrayPool, TablePool)."""
     prior = float(y.mean()) if prior is None and len(y) else 1.0 if prior is None else prior
     if not len(y) or y.min() == y.max():
         return CoTrained(prior)
@@ -164,27 +252,23 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray, rounds: int = ROUND
         train = held
     else:
         train = ~held
-    views, pool_views = model.views(x), model.views(pool)
-    given = [(np.zeros(0, np.int64), np.zeros(0)), (np.zeros(0, np.int64), np.zeros(0))]
-    weights = [None, None]
-    for turn in range(rounds + 1):
-        for v in (0, 1):
-            rows, labels = given[v]
-            weights[v] = fit_logistic(np.vstack([views[v][train], pool_views[v][rows]]),
-                                      np.append(y[train], labels), ridge=2.0, rounds=12)
-        if turn == rounds or not len(pool):
+    views = model.views(x)
+    own = [view[train] for view in views]
+    weights = [fit_logistic(view, y[train], ridge=RIDGE, rounds=12) for view in own]
+    history: list[list] = [[], []]
+    for _ in range(rounds):
+        counts = pool.total(lambda rows: confident(model.views(rows), weights, history))
+        if counts is None:
             break
+        quota = counts[0] * HANDED_SHARE
+        sides = counts[1:].reshape(2, 2, CELLS)
         for v in (0, 1):
-            p = _sigmoid(pool_views[v] @ weights[v])
-            rows, labels = given[1 - v]
-            free = np.ones(len(pool), bool)
-            free[rows] = False
-            for c, sure, share in ((1, p, prior), (0, 1 - p, 1 - prior)):
-                ranked = np.flatnonzero(free & (sure >= CONFIDENCE))
-                ranked = ranked[np.argsort(-sure[ranked], kind="stable")]
-                ranked = ranked[:max(1, int(len(pool) * HANDED_SHARE * share))]
-                rows, labels = np.append(rows, ranked), np.append(labels, np.full(len(ranked), c))
-            given[1 - v] = (rows, labels)
+            high = least_sure(sides[v][0], max(1.0, quota * prior))
+            low = -least_sure(sides[v][1], max(1.0, quota * (1 - prior)))
+            history[1 - v].append((v, weights[v], high, low))
+        for _ in range(STEPS):
+            sums = pool.total(lambda rows: newton_sums(model.views(rows), weights, history))
+            weights = [_stepped(w, view, y[train], part) for w, view, part in zip(weights, own, _parts(sums, own))]
     model.weights = tuple(weights)
     odds = [views[v][held] @ weights[v] for v in (0, 1)]
     model.calibrations = tuple(_platt(o, y[held]) for o in odds)
@@ -193,19 +277,37 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray, rounds: int = ROUND
     return model
 
 
+def _parts(sums: np.ndarray, views: list):
+    """(gradient, Hessian) of each view out of ``newton_sums``."""
+    at = 0
+    for d in (view.shape[1] for view in views):
+        yield sums[at:at + d], sums[at + d:at + d + d * d].reshape(d, d)
+        at += d + d * d
+
+
+def _stepped(w: np.ndarray, x: np.ndarray, y: np.ndarray, handed: tuple) -> np.ndarray:
+    """One Newton step over the labelled rows (x, y) and the handed ones' sums."""
+    penalty = np.full(len(w), RIDGE)
+    penalty[0] = 1e-6
+    p = _sigmoid(x @ w)
+    gradient = x.T @ (y - p) + handed[0] - penalty * w
+    return w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + handed[1] + np.diag(penalty), gradient)
+
+
 def _map(df: DataFrame, text: str, lang: str, source: str, chars: str, carried, extra, finish):
     """mapInArrow over ``carried`` columns and the features; ``finish`` makes the new columns."""
     def pick(name, kind):
         return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
 
-    frame = df.select(*[F.col(f"`{f.name}`") for f in carried], pick(lang, "string").alias("__lang"),
-                      pick(source, "string").alias("__source"), pick(chars, "double").alias("__chars"),
-                      pick(text, "string").alias("__text"))
+    own = fresh_names([f.name for f in carried], "lang", "source", "chars", "text")
+    frame = df.select(*[F.col(f"`{f.name}`") for f in carried], *[
+        pick(name, kind).alias(alias) for name, kind, alias in zip(
+            (lang, source, chars, text), ("string", "string", "double", "string"), own)])
     keep = len(carried)
 
     def run(batches):
         for batch in batches:
-            for rows, buf, off in slices(batch, "__text"):
+            for rows, buf, off in slices(batch, own[3]):
                 x = features(buf, off, *(rows.column(keep + k).to_pylist() for k in range(3)))
                 yield pa.RecordBatch.from_arrays(rows.columns[:keep] + finish(x),
                                                  names=rows.schema.names[:keep] + [f.name for f in extra])
@@ -214,37 +316,30 @@ def _map(df: DataFrame, text: str, lang: str, source: str, chars: str, carried,
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
-        max_unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS, label: str = "quality") -> CoTrained:
+        rounds: int = ROUNDS, label: str = "quality") -> CoTrained:
     """Fit from documents (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
     marked = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-              .groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("__y")))
-    share = marked.agg(F.avg("__y")).first()[0]
+              .groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y")))
+    share = marked.agg(F.avg("y")).first()[0]
     if share is None or share in (0.0, 1.0):
         return CoTrained(1.0 if share is None else share)
+    # a bounded sample of labels, so it may be collected and broadcast
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
-    y_of = {r["doc_id"]: r["__y"] for r in chosen}
-    # the unlabelled pool: a share of the documents by hash, of the bounded size on average
-    total = docs.count()
-    cut = min(1.0, max_unlabelled / max(total, 1))
-    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(cut * (1 << 20)))
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in y_of], "__id long")
-    sample = (docs.join(F.broadcast(ids), docs["doc_id"].cast("long") == ids["__id"], "left")
-              .where(near | F.col("__id").isNotNull()).drop("__id"))
-    key = [T.StructField("doc_id", docs.schema["doc_id"].dataType)]
-    rows = _map(sample, "text", "lang", "source", "n_chars", key,
-                [T.StructField("x", T.BinaryType())],
-                lambda x: [pa.array([r.tobytes() for r in x], pa.binary())])
-    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["x"])) for r in rows.collect()))
-    x = np.array([np.frombuffer(b, np.float32) for _, _, b in got], np.float32).reshape(-1, SIZE)
-    labelled = np.array([not null and i in y_of for null, i, _ in got], bool)
-    y = np.array([y_of[i] for (_, i, _), own in zip(got, labelled) if own], float)
-    return co_train(x[labelled].astype(float), y, x[~labelled][:max_unlabelled].astype(float),
-                    rounds, share)
+    known = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "id long, y int")
+    docs = docs.select(*[c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns])
+    docs = docs.join(F.broadcast(known), docs["doc_id"].cast("long") == known["id"], "left").drop("id")
+    carried = [docs.schema["doc_id"], docs.schema["y"]]
+    rows = materialize(_map(docs, "text", "lang", "source", "n_chars", carried, [T.StructField("x", T.BinaryType())],
+                            lambda x: [pa.array([r.tobytes() for r in x], pa.binary())]), "quality-features")
+    own = rows.where("y IS NOT NULL").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect()
+    own = sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in own)
+    x = np.array([np.frombuffer(b, np.float32) for _, _, b in own], np.float32).reshape(-1, SIZE).astype(float)
+    return co_train(x, np.array([y for _, y, _ in own], float), TablePool(rows.where("y IS NULL")), rounds, share)
 
 
 def score_quality(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD,
-                  carry: list[str] | None = None) -> DataFrame:
+                  carry: list[str] | None = None, text: str = "text", lang: str = "lang",
+                  source: str = "source", chars: str = "n_chars") -> DataFrame:
     """``carry`` columns (all by default) plus score, content_score, metadata_score, kept."""
     names = docs.columns if carry is None else carry
     carried = [f for f in docs.schema.fields if f.name in names and f.name not in _ADDED]
@@ -256,4 +351,4 @@ def score_quality(docs: DataFrame, model: CoTrained, threshold: float = THRESHOL
         return [*(pa.array(s, pa.float64()) for s in (joint, content, meta)),
                 pa.array(joint >= threshold, pa.bool_())]
 
-    return _map(docs, "text", "lang", "source", "n_chars", carried, extra, finish)
+    return _map(docs, text, lang, source, chars, carried, extra, finish)

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txsentinel.llm.arrow_text import mix, prefix_hash, range_hash, word_spans
+from txsentinel.llm.arrow_text import fresh_names, mix, span_hashes, word_spans
 
 #: Share of an item's words that may differ.
 ERROR_SHARE = 0.2
 #: Text of the items that one scan of the documents carries.
 BLOCK_BYTES = 16 << 20
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 20
 
 _U64 = np.uint64
 _STEP = _U64(0xC2B2AE3D27D4EB4F)
@@ -60,7 +60,7 @@ def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     separator[at] = True
     separator[at + 1] = True
     start, end, doc = word_spans(buf, off, separator)
-    return range_hash(prefix_hash(buf), start, end), doc
+    return span_hashes(buf, start, end), doc
 
 
 def pieces_of(n: int, budget: int) -> list[tuple[int, int]]:
@@ -122,8 +122,9 @@ class ItemTable:
         self.pieces = {}
         for length, table in sorted(by_length.items()):
             keys = np.array(sorted(table), _U64)
-            seen = np.zeros(1 << 22, bool)
-            seen[keys & _U64((1 << 22) - 1)] = True
+            # most places of a text are ruled out by a bitmap of 64 cells a key (4 MB at most)
+            seen = np.zeros(1 << min(22, 6 + len(keys).bit_length()), bool)
+            seen[keys & _U64(len(seen) - 1)] = True
             self.pieces[length] = (keys, seen, [table[int(x)] for x in keys])
 
     def matches(self, codes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, tuple]]:
@@ -133,7 +134,7 @@ class ItemTable:
             if len(codes) < length:
                 continue
             rolled = rolling(codes, length)
-            at = np.flatnonzero(seen[rolled & _U64((1 << 22) - 1)])
+            at = np.flatnonzero(seen[rolled & _U64(len(seen) - 1)])
             at = at[owner[at] == owner[at + length - 1]]
             slot = np.searchsorted(keys, rolled[at])
             hit = slot < len(keys)
@@ -218,11 +219,12 @@ def _text_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]
 
 
 def _scan(docs: DataFrame, block: list[tuple[int, str]], carried: list[T.StructField], text: str,
-          error_share: float) -> DataFrame:
-    """``carried`` columns plus ``found``: the items of the block that each row holds."""
+          error_share: float, found_col: str) -> DataFrame:
+    """``carried`` columns plus ``found_col``: the items of the block that each row holds."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
+    body = fresh_names([f.name for f in carried], "body")[0]
     frame = docs.select(*[F.col(f"`{f.name}`") for f in carried],
-                        F.col(f"`{text}`").cast("string").alias("__body"))
+                        F.col(f"`{text}`").cast("string").alias(body))
 
     def scan(batches):
         table = ItemTable(shared.value, error_share)
@@ -234,9 +236,9 @@ def _scan(docs: DataFrame, block: list[tuple[int, str]], carried: list[T.StructF
                 for doc, match in table.matches(codes, owner):
                     found[doc].append(dict(zip(names, match)))
                 yield pa.RecordBatch.from_arrays(rows.columns[:-1] + [pa.array(found, _FOUND_ARROW)],
-                                                 names=rows.schema.names[:-1] + ["__found"])
+                                                 names=rows.schema.names[:-1] + [found_col])
 
-    return frame.mapInArrow(scan, T.StructType([*carried, T.StructField("__found", _FOUND)]))
+    return frame.mapInArrow(scan, T.StructType([*carried, T.StructField(found_col, _FOUND)]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -245,23 +247,24 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """One row per document and item it holds: ``doc_id``, item_id, distance (word errors),
     item_words, start_word, end_word (best place, in words of the document)."""
     carried = [f for f in docs.schema.fields if f.name == doc_id]
+    hits = fresh_names([doc_id], "found")[0]
     out = None
     for block in item_blocks(items, item_id, item_text, block_bytes):
-        found = _scan(docs, block, carried, text, error_share)
+        found = _scan(docs, block, carried, text, error_share, hits)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame(
-            [], T.StructType([*carried, T.StructField("__found", _FOUND)]))
-    return out.select(F.col(f"`{doc_id}`"), F.inline("__found"))
+            [], T.StructType([*carried, T.StructField(hits, _FOUND)]))
+    return out.select(F.col(f"`{doc_id}`"), F.inline(hits))
 
 
 def flag_contaminated(docs: DataFrame, items: DataFrame, flag: str, text: str = "text",
                       item_id: str = "item_id", item_text: str = "text",
                       error_share: float = ERROR_SHARE) -> DataFrame:
-    """All columns of ``docs`` plus boolean ``flag``; every row once."""
+    """All columns of ``docs`` plus boolean ``flag`` (a column of that name is replaced); every row once."""
     out = docs.withColumn(flag, F.lit(False))
+    hits = fresh_names(out.columns, "found")[0]
     for block in item_blocks(items, item_id, item_text):
-        carried = out.schema.fields
-        found = _scan(out, block, carried, text, error_share)
-        out = found.withColumn(flag, F.col(f"`{flag}`") | (F.size("__found") > 0)).drop("__found")
+        found = _scan(out, block, out.schema.fields, text, error_share, hits)
+        out = found.withColumn(flag, F.col(f"`{flag}`") | (F.size(hits) > 0)).drop(hits)
     return out

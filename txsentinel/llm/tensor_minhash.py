@@ -22,7 +22,8 @@ only one of them is compared.
 Defined results: null, empty and wordless texts have no shingles and link with
 nothing; texts under five words have their whole word sequence as one shingle;
 rows with a null identifier take part in classes but cannot be kept; repeated
-rows fall into one class; extra columns are not read.
+rows fall into one class; rows with one identifier and different texts are
+different documents, each in the class of its own text; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,10 +115,16 @@ def _rows(data: np.ndarray) -> pa.Array:
         pa.list_(pa.int64()))
 
 
+def text_hash(text: Column) -> Column:
+    """What tells rows of one identifier apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, key (two longs), sketch (2 * SIDE longs) of every row."""
-    frame = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"),
-                        F.col(f"`{text}`").cast("string").alias("body"))
+    """id, text_hash, n_shingles, key (two longs), sketch (2 * SIDE longs) of every row."""
+    body = F.col(f"`{text}`")
+    frame = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_hash(body).alias("text_hash"),
+                        body.cast("string").alias("body"))
 
     def run(batches):
         for batch in batches:
@@ -125,35 +132,35 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 words, doc = word_hashes(buf, off)
                 values, at = shingle_sets(words, doc, rows.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.diff(at), pa.int64()),
+                    [rows.column(0), rows.column(1), pa.array(np.diff(at), pa.int64()),
                      _rows(set_keys(values, at)), _rows(tensor_sketch(values, at))],
-                    names=["id", "n_shingles", "key", "sketch"])
+                    names=["id", "text_hash", "n_shingles", "key", "sketch"])
 
-    return frame.mapInArrow(run, "id long, n_shingles long, key array<long>, sketch array<long>")
+    return frame.mapInArrow(run, "id long, text_hash long, n_shingles long, key array<long>, sketch array<long>")
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """(a, b): every set that shares a table with others, with the centre of that table.
 
     The centre is the member that shares left hashes with the most sets; sets of one family then
-    have few centres between them and the edges stay few.  ``classes``: rep, sketch.
+    have few centres between them and the edges stay few.  ``classes``: node, sketch.
     """
-    left = classes.select("rep", F.posexplode(F.slice("sketch", 1, SIDE)).alias("i", "left"))
+    left = classes.select("node", F.posexplode(F.slice("sketch", 1, SIDE)).alias("i", "left"))
     shared = materialize(left.groupBy("i", "left").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
                          "left-shared")
     hits = materialize(left.join(shared, ["i", "left"]), "left-hits")
-    degree = hits.groupBy("rep").agg(F.sum("n").alias("degree"))
-    right = degree.join(classes, "rep").select(
-        "rep", "degree", F.slice("sketch", SIDE + 1, SIDE).alias("rights"))
-    tables = hits.select("rep", "i", "left").join(right, "rep").select(
-        "rep", "degree", F.posexplode("rights").alias("j", "right"), "i", "left")
+    degree = hits.groupBy("node").agg(F.sum("n").alias("degree"))
+    right = degree.join(classes, "node").select(
+        "node", "degree", F.slice("sketch", SIDE + 1, SIDE).alias("rights"))
+    tables = hits.select("node", "i", "left").join(right, "node").select(
+        "node", "degree", F.posexplode("rights").alias("j", "right"), "i", "left")
     keyed = materialize(tables.select(
-        "rep", "degree", F.xxhash64("i", "j", "left", "right").alias("table")), "table-keys")
-    centre = F.max(F.struct("degree", (-F.col("rep")).alias("order"))).alias("c")
+        "node", "degree", F.xxhash64("i", "j", "left", "right").alias("table")), "table-keys")
+    centre = F.max(F.struct("degree", (-F.col("node")).alias("order"))).alias("c")
     stars = materialize(keyed.groupBy("table").agg(centre, F.count(F.lit(1)).alias("n"))
                         .where("n > 1").select("table", (-F.col("c.order")).alias("centre")), "table-stars")
-    return (keyed.join(stars, "table").where("rep <> centre")
-            .select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct())
+    return (keyed.join(stars, "table").where("node <> centre")
+            .select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
 
 
 def linked_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -219,16 +226,18 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, doc_id: st
                    block: int = BLOCK) -> DataFrame:
     """(a, b) spanning links of the truly similar sets inside each candidate group.
 
-    ``members``: rep, key, grp (group), n_group (its size).
+    ``members``: node, rep and text_hash (a row that holds the set), key, grp (group), n_group (its size).
     """
     blocks = F.ceil(F.col("n_group") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(7), F.col("rep")), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.col("blocks")).cast("int")
     dealt = (members.withColumn("blocks", blocks).withColumn("own", own)
-             .select("rep", F.col("key").alias("want"), "grp", "own", "blocks"))
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"),
-                       F.col(f"`{text}`").cast("string").alias("body"))
+             .select("node", "rep", "text_hash", F.col("key").alias("want"), "grp", "own", "blocks"))
+    body = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), text_hash(body).alias("seen"),
+                       body.cast("string").alias("body"))
     # the same exchange of the texts at every size, not a broadcast while there are few candidates
-    rows = rows.join(dealt.hint("merge"), rows["id"] == dealt["rep"]).select("rep", "want", "grp", "own", "blocks", "body")
+    rows = rows.join(dealt.hint("merge"), (rows["id"] == dealt["rep"]) & (rows["seen"] == dealt["text_hash"])).select(
+        "node", "want", "grp", "own", "blocks", "body")
 
     def to_sets(batches):
         for batch in batches:
@@ -240,25 +249,25 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, doc_id: st
                 out = pa.RecordBatch.from_arrays(
                     [part.column(0), *part.columns[2:5],
                      pa.array([values[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())],
-                    names=["rep", "grp", "own", "blocks", "shingles"])
+                    names=["node", "grp", "own", "blocks", "shingles"])
                 yield out.filter(same)
 
-    sets = rows.mapInArrow(to_sets, "rep long, grp long, own int, blocks int, shingles binary")
+    sets = rows.mapInArrow(to_sets, "node long, grp long, own int, blocks int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = (sets.withColumn("other", other)
              .select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-                     "rep", "own", "shingles")
-             .repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "rep"))
+                     "node", "own", "shingles")
+             .repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "node"))
 
     def decide(held: list[dict]) -> list[tuple[int, int]]:
-        reps = {r["rep"]: r for r in held}          # repeated rows of a document count once
-        held = list(reps.values())
+        nodes = {r["node"]: r for r in held}          # repeated rows of a document count once
+        held = list(nodes.values())
         if len(held) < 2:
             return []
         side = np.array([int(r["own"] != r["p"]) for r in held])
         if held[0]["p"] != held[0]["q"] and (side.all() or not side.any()):
             return []
-        return forest([r["rep"] for r in held],
+        return forest([r["node"] for r in held],
                       linked_pairs([np.frombuffer(r["shingles"], _U64) for r in held], side, percent))
 
     def verify(batches):
@@ -286,25 +295,28 @@ _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text",
                     block: int = BLOCK) -> DataFrame:
     """``doc_id``, n_shingles, component_id (smallest identifier reachable over links of at least
-    ``percent`` similarity), kept (the document is that one), one row per input row."""
+    ``percent`` similarity), kept (the document is that one) and text_hash, one row per input row."""
     found = materialize(sketches(docs, doc_id, text), "sketches")
-    some = found.where("n_shingles > 0")
-    classes = materialize(some.groupBy("key", "n_shingles")
-                          .agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
-                          .where("rep IS NOT NULL"), "classes")
+    holder = F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))
+    # a node is a set, whatever rows and identifiers hold it
+    classes = materialize(found.where("n_shingles > 0").groupBy("key", "n_shingles")
+                          .agg(F.min(holder).alias("holder"), F.first("sketch").alias("sketch"))
+                          .where("holder IS NOT NULL")
+                          .select(F.monotonically_increasing_id().alias("node"), F.col("holder.id").alias("rep"),
+                                  "holder.text_hash", "key", "n_shingles", "sketch"), "classes")
     edges = candidate_edges(classes)
     groups = connected_components(edges)
     sizes = materialize(groups.groupBy("component").agg(F.count(F.lit(1)).alias("n_group")), "group-sizes")
     members = materialize(
-        groups.join(sizes, "component")
-        .join(classes.select("rep", "key"), F.col("node") == F.col("rep"))
-        .select("rep", "key", F.col("component").alias("grp"), "n_group"), "members")
+        groups.join(sizes, "component").join(classes.select("node", "rep", "text_hash", "key"), "node")
+        .select("node", "rep", "text_hash", "key", F.col("component").alias("grp"), "n_group"), "members")
     links = materialize(verified_links(docs, members, percent, doc_id, text, block), "links")
     final = connected_components(links)
-    named = materialize(
-        classes.select("key", "n_shingles", "rep").join(final, classes["rep"] == final["node"], "left")
-        .select("key", "n_shingles", F.coalesce("component", "rep").alias("component_id")), "class-names")
+    joined = materialize(classes.select("key", "n_shingles", "rep", "node").join(final, "node", "left")
+                         .withColumn("component", F.coalesce("component", "node")), "class-components")
+    names = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = materialize(joined.join(names, "component").select("key", "n_shingles", "component_id"), "class-names")
     out = found.join(named, ["key", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+                      F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), "text_hash")
