@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txsentinel.llm import bpe, cotrain, decontam, exact_tree, tensor_minhash
+from txsentinel.llm.arrow_text import fresh_names
 from txsentinel.session import checkpoint_dir, materialize
 
 #: Least similarity (per cent, five-word shingles) of near duplicates.
@@ -22,7 +23,12 @@ NEAR_PERCENT = 80
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     model = cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return cotrain.score_quality(docs, model).where("kept").select(*docs.columns)
+    # the columns travel under numbers, so that none is taken for one of the classifier's own
+    number = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    scored = cotrain.score_quality(docs.toDF(*number.values()), model, **{
+        part: number[column] for part, column in (("text", "text"), ("lang", "lang"), ("source", "source"),
+                                                  ("chars", "n_chars")) if column in number})
+    return scored.where("kept").select(*[F.col(n).alias(c) for c, n in number.items()])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,17 +46,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays (the smallest doc_id).
 
-    Rows without doc_id cannot be named as copies and stay."""
+    Rows without doc_id cannot be named as copies and stay; of rows with one doc_id, those go whose
+    own text is a copy."""
     classes = tensor_minhash.near_duplicates(docs, percent=NEAR_PERCENT)
     gone = materialize(classes.where("NOT kept AND doc_id IS NOT NULL")
-                       .select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__id"], "left_anti")
+                       .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "near-copies")
+    same = (docs["doc_id"] == gone["__id"]) & (tensor_minhash.text_hash(docs["text"]) == gone["__hash"])
+    return docs.join(gone.hint("merge"), same, "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within its error budget go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.flag_contaminated(docs, items, "__leak").where("NOT __leak").drop("__leak")
+    leak = fresh_names(docs.columns, "leak")[0]
+    return decontam.flag_contaminated(docs, items, leak).where(f"NOT {leak}").drop(leak)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
