@@ -113,13 +113,26 @@ class Tokens:
         self.size = size
 
 
+def _hash_slots(words: np.ndarray) -> np.ndarray:
+    """Open-addressing table, a quarter full at most: the code of the word in each slot, or -1."""
+    slots = np.full(1 << (4 * len(words) + 1).bit_length(), -1, np.int32)
+    mask = _U64(len(slots) - 1)
+    code = np.arange(len(words), dtype=np.int32)
+    at = words & mask
+    while len(code):
+        free = slots[at] < 0
+        slots[at[free]] = code[free]            # of several words for one slot, one gets it
+        left = slots[at] != code
+        code, at = code[left], (at[left] + _U64(1)) & mask
+    return slots
+
+
 class Dictionary:
     """Codes of the most frequent words, their training counts, and sections of hot contexts."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, hot: float):
         self.hashes, self.counts, self.hot = words, counts, hot   # by code, most frequent first
-        order = np.argsort(words)
-        self.sorted, self.code = words[order], order.astype(np.int32)
+        self.slots = _hash_slots(words)
         self.sections = np.maximum(1, np.ceil(counts / hot)).astype(np.int64)
         end = np.flatnonzero(words == END)                      # as many as documents, that is, as BEGIN
         self.begin_sections = int(self.sections[end[0]]) if len(end) else 1
@@ -130,11 +143,22 @@ class Dictionary:
 
     def codes(self, word: np.ndarray) -> np.ndarray:
         out = np.full(len(word), _RARE, np.int32)
-        if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, word), len(self.sorted) - 1)
-            hit = self.sorted[at] == word
-            out[hit] = self.code[at[hit]]
-        return out
+        if not len(self.hashes):
+            return out
+        mask = _U64(len(self.slots) - 1)
+        at, rows = word & mask, None            # all words at first, then those that met another one
+        while True:
+            code = self.slots[at]
+            mine = word if rows is None else word[rows]
+            hit = (code >= 0) & (self.hashes[code] == mine)
+            if rows is None:
+                out[hit] = code[hit]
+            else:
+                out[rows[hit]] = code[hit]
+            again = np.flatnonzero((code >= 0) & ~hit)
+            if not len(again):
+                return out
+            rows, at = again if rows is None else rows[again], (at[again] + _U64(1)) & mask
 
     def words(self, codes: np.ndarray, rare: np.ndarray) -> np.ndarray:
         out = np.empty(len(codes), _U64)
