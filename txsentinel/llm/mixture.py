@@ -97,14 +97,15 @@ def source_targets(entries: DataFrame, weights: Sequence[int] = WEIGHTS, budget:
              .withColumn("ratio", F.col("cap") / F.col("weight")))
     filled = prefix_sums(facts, ["ratio", "number"], {"caps": F.col("cap"), "shares": F.col("weight")},
                          name="mix-levels")
-    total = filled.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all_shares"))
-    level = ((F.lit(float(budget)) * F.col("words") - F.col("caps"))
-             / (F.col("all_shares") - F.col("shares")))
-    # the level rises until the right source and falls behind it
-    levels = filled.crossJoin(F.broadcast(total)).where(level <= F.col("ratio")).agg(F.max(level).alias("level"))
-    target = F.least(F.col("cap").cast("double"),
-                     F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
-    return filled.crossJoin(F.broadcast(levels)).select(*_SOURCE, "source_size", target.alias("target"))
+    total = filled.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("shares")).first()
+    if not total["shares"]:
+        return filled.select(*_SOURCE, "source_size", F.col("cap").cast("double").alias("target"))
+    level = ((F.lit(float(budget) * float(total["words"])) - F.col("caps"))
+             / (F.lit(total["shares"]) - F.col("shares")))
+    # the level rises until the right source and falls behind it; none is right if all are full
+    best = filled.where(level <= F.col("ratio")).agg(F.max(level)).first()[0]
+    share = F.col("weight") * F.lit(float("inf") if best is None else best)
+    return filled.select(*_SOURCE, "source_size", F.least(F.col("cap").cast("double"), share).alias("target"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
