@@ -43,10 +43,19 @@ def get_session(master: str | None = None, app: str = "txsentinel",
     return spark
 
 
+#: Bytes of one Arrow batch handed to Python; Spark's own default (64 MB) holds that much, several
+#: times over, in every worker.
+ARROW_BATCH = "8m"
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Checkpoint folder + package shipped to the Python workers (idempotent)."""
+    """Checkpoint folder, package shipped to the Python workers, and Arrow batches of bounded bytes
+    unless the session sets its own (idempotent)."""
     checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(_ARROW_BYTES) == "67108864b":
+        spark.conf.set(_ARROW_BYTES, ARROW_BATCH)
     return spark
 
 
