@@ -111,11 +111,12 @@ def plain_co_training(x, y, pool, rounds, share):
                 rows = np.array(sorted(handed[v]), int)
                 z = np.vstack([views[v][~held], others[v][rows]])
                 t = np.append(y[~held], [handed[v][i] for i in rows])
-                p = 1 / (1 + np.exp(-np.clip(z @ weights[v], -30, 30)))
+                odds = z @ weights[v]
+                p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
                 penalty = np.full(z.shape[1], cotrain.RIDGE)
                 penalty[0] = 1e-6
-                hessian = z.T @ np.diag(p * (1 - p)) @ z + np.diag(penalty)
-                weights[v] = weights[v] + np.linalg.solve(hessian, z.T @ (t - p) - penalty * weights[v])
+                curvature = z.T @ np.diag(np.tanh(odds / 2) / (2 * odds)) @ z + np.diag(penalty)
+                weights[v] = weights[v] + np.linalg.solve(curvature, z.T @ (t - p) - penalty * weights[v])
     return weights, handed
 
 
@@ -137,3 +138,15 @@ def test_the_whole_pool_takes_part_as_in_plain_co_training(spark):
         np.testing.assert_allclose(got, want, atol=1e-6)
     rare = [i for i, d in enumerate([d for d in docs if d[0] not in known]) if d[2] == "xx"]
     assert any(i in handed[1] for i in rare)
+
+
+def test_steps_do_not_overshoot_on_separable_pools():
+    """Many handed rows that lie far on the right side leave no true curvature."""
+    r = np.random.default_rng(4)
+    y = (r.random(3000) < 0.86).astype(float)
+    x = r.normal(size=(3000, cotrain.SIZE)) * 0.2
+    x[:, :20] += 4 * (2 * y - 1)[:, None]
+    model = cotrain.co_train(x[:400], y[:400], cotrain.ArrayPool(x[400:]))
+    assert all(np.abs(w).max() < 20 for w in model.weights)
+    joint, content, _ = model.scores(x)
+    assert ((content > 0.5) == y).mean() > 0.99 and ((joint > 0.5) == y).mean() > 0.97

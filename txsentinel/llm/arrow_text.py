@@ -7,6 +7,7 @@ whatever the Arrow batch holds; a single longer text is one slice.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,24 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
+def _trimmer():
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+_TRIM = _trimmer()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks and stages, and what an
+    earlier one needed at its peak would stay with them."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut ``batch`` into row ranges of about ``limit`` text bytes: (rows, bytes, offsets)."""
@@ -56,6 +75,7 @@ def slices(batch: pa.RecordBatch, text: str = "text",
         yield (batch.slice(start, stop - start), buf[off[start]:off[stop]],
                off[start:stop + 1] - off[start])
         start = stop
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -14,7 +14,8 @@ calibrated log-odds are averaged, and the average is calibrated again.
 The labelled rows are a bounded sample (``MAX_LABELLED``, by a hash of the identifier).  The
 unlabelled pool is every other document: features are written once, and a round reads them a few
 times on Spark.  How confident the most confident share is comes from a histogram of log-odds summed
-over all partitions; a fit takes Newton steps whose gradient and Hessian are summed the same way.
+over all partitions; a fit takes steps whose gradient and curvature are summed the same way.  The
+curvature is that of a quadratic upper bound of the loss, so no step can overshoot.
 Which label a row was handed follows from the rounds' weights and thresholds, so nothing is kept per
 row.  Scoring covers every row in one pass over the texts without any shuffle.
 
@@ -44,7 +45,7 @@ from txsentinel.session import materialize
 
 MAX_LABELLED = 12_000
 ROUNDS = 4
-#: Newton steps over the pool after every round, from the weights of the round before.
+#: Steps over the pool after every round, from the weights of the round before.
 STEPS = 3
 RIDGE = 2.0
 #: Pseudo-labels a view hands over per round, as a share of the unlabelled pool, and the least
@@ -224,14 +225,22 @@ def least_sure(counts: np.ndarray, quota: float) -> float:
     return _LEAST + min(int(fits[0]) if len(fits) else top, top) * (TOP - _LEAST) / CELLS
 
 
-def newton_sums(views: tuple, weights: list, history: list) -> np.ndarray:
-    """Gradient and Hessian of both views over the rows they were handed, as one vector."""
+def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log-likelihood at w, and the curvature of its quadratic lower bound that
+    touches it there: (sigmoid(z) - 1/2) / z per row, never below the true one."""
+    z = x @ w
+    z = np.where(np.abs(z) < 1e-6, 1e-6, z)
+    bound = (_sigmoid(z) - 0.5) / z
+    return x.T @ (y - _sigmoid(z)), (x * bound[:, None]).T @ x
+
+
+def step_sums(views: tuple, weights: list, history: list) -> np.ndarray:
+    """Gradient and curvature of both views over the rows they were handed, as one vector."""
     out = []
     for v in (0, 1):
         label = given_labels(views, history[v])
-        x, y = views[v][label >= 0], label[label >= 0]
-        p = _sigmoid(x @ weights[v])
-        out += [x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+        gradient, curvature = _slopes(views[v][label >= 0], label[label >= 0], weights[v])
+        out += [gradient, curvature.ravel()]
     return np.concatenate(out)
 
 
@@ -267,7 +276,7 @@ def co_train(x: np.ndarray, y: np.ndarray, pool, rounds: int = ROUNDS,
             low = -least_sure(sides[v][1], max(1.0, quota * (1 - prior)))
             history[1 - v].append((v, weights[v], high, low))
         for _ in range(STEPS):
-            sums = pool.total(lambda rows: newton_sums(model.views(rows), weights, history))
+            sums = pool.total(lambda rows: step_sums(model.views(rows), weights, history))
             weights = [_stepped(w, view, y[train], part) for w, view, part in zip(weights, own, _parts(sums, own))]
     model.weights = tuple(weights)
     odds = [views[v][held] @ weights[v] for v in (0, 1)]
@@ -278,7 +287,7 @@ def co_train(x: np.ndarray, y: np.ndarray, pool, rounds: int = ROUNDS,
 
 
 def _parts(sums: np.ndarray, views: list):
-    """(gradient, Hessian) of each view out of ``newton_sums``."""
+    """(gradient, curvature) of each view out of ``step_sums``."""
     at = 0
     for d in (view.shape[1] for view in views):
         yield sums[at:at + d], sums[at + d:at + d + d * d].reshape(d, d)
@@ -286,12 +295,11 @@ def _parts(sums: np.ndarray, views: list):
 
 
 def _stepped(w: np.ndarray, x: np.ndarray, y: np.ndarray, handed: tuple) -> np.ndarray:
-    """One Newton step over the labelled rows (x, y) and the handed ones' sums."""
+    """One step over the labelled rows (x, y) and the handed ones' sums; the penalised loss falls."""
     penalty = np.full(len(w), RIDGE)
     penalty[0] = 1e-6
-    p = _sigmoid(x @ w)
-    gradient = x.T @ (y - p) + handed[0] - penalty * w
-    return w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + handed[1] + np.diag(penalty), gradient)
+    gradient, curvature = _slopes(x, y, w)
+    return w + np.linalg.solve(curvature + handed[1] + np.diag(penalty), gradient + handed[0] - penalty * w)
 
 
 def _map(df: DataFrame, text: str, lang: str, source: str, chars: str, carried, extra, finish):

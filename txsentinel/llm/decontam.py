@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txsentinel.llm.arrow_text import fresh_names, mix, span_hashes, word_spans
+from txsentinel.llm.arrow_text import fresh_names, give_back, mix, span_hashes, word_spans
 
 #: Share of an item's words that may differ.
 ERROR_SHARE = 0.2
@@ -216,6 +216,7 @@ def _text_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]
         if held >= SLICE_CHARS or i + 1 == len(texts):
             yield batch.slice(start, i + 1 - start), texts[start:i + 1]
             start, held = i + 1, 0
+    give_back()
 
 
 def _scan(docs: DataFrame, block: list[tuple[int, str]], carried: list[T.StructField], text: str,
