@@ -45,7 +45,7 @@ def get_session(master: str | None = None, app: str = "txsentinel",
 
 #: Bytes of one Arrow batch handed to Python; Spark's own default (64 MB) holds that much, several
 #: times over, in every worker.
-ARROW_BATCH = "8m"
+ARROW_BATCH = "4m"
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
