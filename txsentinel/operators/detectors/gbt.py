@@ -5,21 +5,23 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txsentinel.operators.detectors.base import (
     fit_feature_scaler, load_meta, load_scaler, long_scores, prepared, save_meta, save_scaler, verdict,
 )
 from txsentinel.operators.evaluate import classification_metrics
-from txsentinel.operators.ordered import purged_kfold_by_keys
+from txsentinel.operators.ordered import fold_roles
 from txsentinel.operators.profile import scale_pos_weight
 from txsentinel.operators.scaling import Scaler, assemble
 from txsentinel.schema import CLIP_BOUND, FEATURES
+from txsentinel.session import materialize
 
 # Default parameters and the 4-point search grid
 # (trees, depth, learning rate, row subsample).
@@ -116,44 +118,61 @@ def top_importances(importances: DataFrame, k: int = 15) -> DataFrame:
     return importances.orderBy(F.col("importance").desc(), F.col("feature")).limit(k)
 
 
+def fold_mask(folds: list[tuple[int, Column]]) -> Column:
+    """Roles of a row in all folds as one number: bit 2f trains fold f, bit 2f + 1 validates it."""
+    mask = F.lit(0).cast("long")
+    for f, role in folds:
+        bits = F.when(role == "train", F.lit(1 << 2 * f)).when(role == "val", F.lit(2 << 2 * f)).otherwise(F.lit(0))
+        mask = mask + bits.cast("long")
+    return mask
+
+
+def in_role(fold: int, role: str, mask: str = "_mask") -> Column:
+    return F.col(mask).bitwiseAND(F.lit((1 if role == "train" else 2) << 2 * fold).cast("long")) != 0
+
+
 def param_search(train: DataFrame, order: list[str], grid: list[dict] | None = None,
                  n_splits: int = 5, purge: int = 50, embargo: int = 10,
-                 seed: int = 42) -> tuple[dict, DataFrame]:
+                 seed: int = 42, parallelism: int = 4) -> tuple[dict, DataFrame]:
     """M4 + A12: mean validation F1 per grid point over purged/embargoed folds.
 
-    Folds follow ``order`` (key ranges from exact rank selection).  The
-    positive weight is computed once on all training rows; the first grid
-    point with a strictly greater mean F1 wins.  Returns (best, table).
+    Folds follow ``order`` (key ranges from exact rank selection).  The rows are assembled and
+    written once, with their roles in all folds as a bit mask: no fold has a copy of its own.  The
+    fits are jobs that run ``parallelism`` at a time, so that one fit's driver steps overlap with
+    others' tasks (with a fair scheduler configured, in a pool each).  The positive weight is
+    computed once on all training rows; the first grid point with a strictly greater mean F1 wins.
+    Returns (best, table).
     """
     grid = grid or PARAM_GRID
     spark = train.sparkSession
     spw = positive_weight(train)
-    n_rows = train.count()
-    folds = purged_kfold_by_keys(train, order, n_rows, n_splits, purge, embargo).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    fold_ids = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
-    rows = []
-    try:
-        for gi, params in enumerate(grid):
-            for f in fold_ids:
-                tr = folds.where((F.col("fold") == f) & (F.col("role") == "train"))
-                va = folds.where((F.col("fold") == f) & (F.col("role") == "val"))
-                det = GBTDetector(name=f"grid{gi}", params=params, seed=seed)
-                det.scaler = Scaler(FEATURES, [0.0] * len(FEATURES), [1.0] * len(FEATURES))
-                data = assemble(_weighted(prepared(tr, det.scaler, None), spw)).select(
-                    "features", "_label", "_weight")
-                det.model = _estimator(params, seed).fit(data)
-                f1 = classification_metrics(det.score(va)).first()["f1_score"]
-                rows.append((gi, int(f), float(f1)))
-    finally:
-        folds.unpersist()
-    table = spark.createDataFrame(rows, "param_id int, fold int, f1 double")
-    means = {}
-    for gi, _f, f1 in rows:
-        means.setdefault(gi, []).append(f1)
+    folds = fold_roles(train, order, n_splits, purge, embargo)
+    unscaled = Scaler(FEATURES, [0.0] * len(FEATURES), [1.0] * len(FEATURES))
+    rows = assemble(_weighted(prepared(train, unscaled, None), spw)).select(
+        "features", "_label", "_weight", fold_mask(folds).alias("_mask"))
+    rows = materialize(rows, "search-rows")
+
+    def fold_f1(gi: int, f: int) -> tuple[int, int, float]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"search-{gi}-{f}")
+        data = rows.where(in_role(f, "train")).select("features", "_label", "_weight").persist(
+            StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = _estimator(grid[gi], seed).fit(data)
+        finally:
+            data.unpersist()
+        hit = vector_to_array(F.col("probability"))[1] > 0.5
+        scored = model.transform(rows.where(in_role(f, "val"))).select(
+            F.lit("m").alias("model"), F.col("_label").cast("int").alias("label"), hit.cast("int").alias("prediction"))
+        return gi, f, float(classification_metrics(scored).first()["f1_score"])
+
+    tasks = [(gi, f) for gi in range(len(grid)) for f, _ in folds]
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        found = pool.starmap(inheritable_thread_target(spark)(fold_f1), tasks, chunksize=1)
+    table = spark.createDataFrame(found, "param_id int, fold int, f1 double")
     best_id, best_f1 = 0, -1.0
     for gi in range(len(grid)):
-        m = sum(means.get(gi, [0.0])) / max(len(means.get(gi, [])), 1)
-        if m > best_f1:
-            best_id, best_f1 = gi, m
+        scores = [f1 for g, _, f1 in found if g == gi]
+        mean = sum(scores) / max(len(scores), 1)
+        if mean > best_f1:
+            best_id, best_f1 = gi, mean
     return grid[best_id], table.groupBy("param_id").agg(F.avg("f1").alias("mean_f1"))

@@ -522,8 +522,7 @@ WHERE (pos >= vs AND pos < ve) OR pos < vs - 50 OR pos >= ve + 10""")
 def q_folds(spark, sf):
     """W6 on key ranges (exact rank selection), the folds the search uses."""
     train = P.split(spark, sf, columns=[]).where(F.col("is_train") == 1)
-    n = train.count()
-    return ordered.purged_kfold_by_keys(train, ["timestamp", "tx_id"], n, 5, 50, 10).select(
+    return ordered.purged_kfold_by_keys(train, ["timestamp", "tx_id"], None, 5, 50, 10).select(
         "tx_id", "fold", "role")
 
 
@@ -575,18 +574,21 @@ def q_union(spark, sf):
 
 # ---------------------------------------------------------- scalar funcs ---
 @register("planar_distance_km", Q.chain(*Q.BASE) + f"""
-SELECT tx_id, round(sqrt((lat - 0.0) * (lat - 0.0) + (lon - 0.0) * (lon - 0.0)) * 111.0, 6) + 0.0 AS distance_km
+SELECT tx_id, round(sqrt((lat - home_lat) * (lat - home_lat) + (lon - home_lon) * (lon - home_lon)) * 111.0, 6) + 0.0
+  AS distance_km
 FROM (SELECT tx_id, distance_from_home / 111.0 * cos(2 * pi() * {Q.U('tx_id', 'angle')}) AS lat,
-             distance_from_home / 111.0 * sin(2 * pi() * {Q.U('tx_id', 'angle')}) AS lon
+             distance_from_home / 111.0 * sin(2 * pi() * {Q.U('tx_id', 'angle')}) AS lon,
+             {Q.U('customer_id', 'lat')} AS home_lat, {Q.U('customer_id', 'lon')} AS home_lon
       FROM labelled)""")
 def q_planar(spark, sf):
     lab = P.labelled(spark, sf)
     ang = F.lit(2.0 * math.pi) * keyed_uniform("tx_id", "angle")
     pts = lab.select("tx_id",
                      (F.col("distance_from_home") / F.lit(111.0) * F.cos(ang)).alias("lat"),
-                     (F.col("distance_from_home") / F.lit(111.0) * F.sin(ang)).alias("lon"))
-    return pts.select("tx_id", planar_distance_km("lat", "lon", F.lit(0.0), F.lit(0.0))
-                      .alias("distance_km"))
+                     (F.col("distance_from_home") / F.lit(111.0) * F.sin(ang)).alias("lon"),
+                     keyed_uniform("customer_id", "lat").alias("home_lat"),
+                     keyed_uniform("customer_id", "lon").alias("home_lon"))
+    return pts.select("tx_id", planar_distance_km("lat", "lon", "home_lat", "home_lon").alias("distance_km"))
 
 
 @register("timestamp_from_hours", """
@@ -614,15 +616,35 @@ def q_flag(spark, sf):
     return ev.flag_scores(P.rule_scores(spark, sf), 2.0, strict=False)
 
 
-@register("vector_mse", Q.chain(*Q.FEAT_CHAIN) + f"""
-SELECT tx_id, round(({' + '.join(f"(coalesce(CAST({c} AS DOUBLE), 0.0) - 0.0) * (coalesce(CAST({c} AS DOUBLE), 0.0) - 0.0)" for c in ['transaction_amount', 'distance_from_home', 'amount_zscore'])}) / 3.0, 6) + 0.0 AS mse
-FROM feat""")
+_MSE = (["transaction_amount", "distance_from_home", "amount_zscore"],
+        ["amount_deviation", "amount_x_international", "amount_to_median_ratio"])
+
+
+@register("vector_mse", Q.chain(*Q.FEAT_CHAIN) + "SELECT tx_id, round((" + " + ".join(
+    f"pow(coalesce(CAST({x} AS DOUBLE), 0.0) - coalesce(CAST({y} AS DOUBLE), 0.0), 2)" for x, y in zip(*_MSE))
+    + ") / 3.0, 6) + 0.0 AS mse FROM feat")
 def q_mse(spark, sf):
-    f = P.engineered(spark, sf)
-    cols = ["transaction_amount", "distance_from_home", "amount_zscore"]
-    a = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
-    b = F.array(*[F.lit(0.0) for _ in cols])
-    return f.select("tx_id", vector_mse(a, b).alias("mse"))
+    """E14 of two vectors of each row."""
+    a, b = (F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]) for cols in _MSE)
+    return P.engineered(spark, sf).select("tx_id", vector_mse(a, b).alias("mse"))
+
+
+@register("param_fold_rows", Q.chain(*Q.SPLIT_CHAIN) + """,
+tr AS (SELECT tx_id, pos, count(*) OVER () AS n FROM split WHERE is_train = 1),
+bounds AS (SELECT f.fold, t.tx_id, t.pos, (t.n // 5) * f.fold AS vs,
+                  CASE WHEN f.fold < 4 THEN (t.n // 5) * f.fold + t.n // 5 ELSE t.n END AS ve
+           FROM tr t, (SELECT CAST(i AS INTEGER) AS fold FROM range(5) r(i)) f)
+SELECT tx_id, fold, CASE WHEN pos >= vs AND pos < ve THEN 'val' ELSE 'train' END AS role
+FROM bounds WHERE (pos >= vs AND pos < ve) OR pos < vs - 50 OR pos >= ve + 10""")
+def q_param_fold_rows(spark, sf):
+    """M4: the rows that each fold of the parameter search trains and validates on, read from the mask."""
+    from txsentinel.operators.detectors.gbt import fold_mask, in_role
+    train = P.split(spark, sf, columns=[]).where("is_train = 1")
+    folds = ordered.fold_roles(train, ["timestamp", "tx_id"], 5, 50, 10)
+    masked = train.select("tx_id", fold_mask(folds).alias("_mask"))
+    roles = F.array(*[F.struct(F.lit(f).alias("fold"), F.when(in_role(f, "train"), "train")
+                               .when(in_role(f, "val"), "val").alias("role")) for f, _ in folds])
+    return masked.select("tx_id", F.inline(roles)).where("role IS NOT NULL")
 
 
 # ------------------------------------------------------------ injection ---

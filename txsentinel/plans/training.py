@@ -4,7 +4,7 @@ one long score table for the test split, keyed by tx_id."""
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from txsentinel.operators.detectors.discriminator import DiscriminatorDetector
 from txsentinel.operators.detectors.gbt import GBTDetector, param_search
 from txsentinel.operators.detectors.iforest import IsolationForestDetector
-from txsentinel.operators.detectors.recon import AutoencoderDetector, PCAReconstructionDetector
+from txsentinel.operators.detectors.recon import (
+    AutoencoderDetector, PCAReconstructionDetector, choose_components,
+)
 from txsentinel.operators.profile import normal_only
 from txsentinel.plans.flow import SPLIT_ORDER
 from txsentinel.schema import FEATURES
@@ -29,7 +31,7 @@ class TrainingConfig:
     embargo: int = 10
     iforest_trees: int = 200
     iforest_contamination: float = 0.02
-    pca_k: int = 8
+    pca_k: int | None = None                # None -> chosen on a validation fold (latest training rows)
     ae_hidden: tuple[int, ...] = (64, 32, 16, 32, 64)
     ae_epochs: int = 100
     ae_learning_rate: float = 1e-3
@@ -38,7 +40,6 @@ class TrainingConfig:
     models: tuple[str, ...] = ("gbt", "isolation_forest", "pca_p95", "pca_p99",
                                "autoencoder", "sequence_autoencoder", "discriminator")
     seed: int = 42
-    extra: dict = field(default_factory=dict)
 
 
 def train_all(split_df: DataFrame, config: TrainingConfig | None = None,
@@ -60,24 +61,28 @@ def train_all(split_df: DataFrame, config: TrainingConfig | None = None,
             fitted["isolation_forest"] = IsolationForestDetector(
                 n_trees=cfg.iforest_trees, contamination=cfg.iforest_contamination,
                 seed=cfg.seed).fit(train)
+        pca_k = cfg.pca_k
+        if pca_k is None and {"pca_p95", "pca_p99"} & set(cfg.models):
+            pca_k = choose_components(train, list(SPLIT_ORDER))
         if "pca_p95" in cfg.models:
             fitted["pca_p95"] = PCAReconstructionDetector(
-                name="pca_p95", k=cfg.pca_k, quantile=0.95).fit(normals)
+                name="pca_p95", k=pca_k, quantile=0.95).fit(normals)
         if "pca_p99" in cfg.models:
             fitted["pca_p99"] = (
                 fitted["pca_p95"].with_quantile("pca_p99", 0.99, normals) if "pca_p95" in fitted
-                else PCAReconstructionDetector(name="pca_p99", k=cfg.pca_k, quantile=0.99).fit(normals))
+                else PCAReconstructionDetector(name="pca_p99", k=pca_k, quantile=0.99).fit(normals))
         if "autoencoder" in cfg.models:
             fitted["autoencoder"] = AutoencoderDetector(
                 hidden=cfg.ae_hidden, epochs=cfg.ae_epochs,
                 learning_rate=cfg.ae_learning_rate, seed=cfg.seed).fit(normals)
         if "sequence_autoencoder" in cfg.models:
-            # length-1 sequences make the sequence model a per-row reconstruction
-            # scorer: P99 threshold, patience 5
-            fitted["sequence_autoencoder"] = AutoencoderDetector(
-                name="sequence_autoencoder", hidden=cfg.ae_hidden, epochs=cfg.seq_ae_epochs,
-                learning_rate=cfg.ae_learning_rate, patience=5, quantile=0.99,
-                seed=cfg.seed).fit(normals)
+            # length-1 sequences make the sequence model a per-row reconstruction scorer: the same
+            # network with a P99 threshold; trained on its own (patience 5) where there is none
+            fitted["sequence_autoencoder"] = (
+                fitted["autoencoder"].with_quantile("sequence_autoencoder", 0.99, normals)
+                if "autoencoder" in fitted else AutoencoderDetector(
+                    name="sequence_autoencoder", hidden=cfg.ae_hidden, epochs=cfg.seq_ae_epochs,
+                    learning_rate=cfg.ae_learning_rate, patience=5, quantile=0.99, seed=cfg.seed).fit(normals))
         if "discriminator" in cfg.models:
             fitted["discriminator"] = DiscriminatorDetector(
                 max_iter=cfg.disc_iter, seed=cfg.seed).fit(normals)
