@@ -25,3 +25,14 @@ def test_preprocess_train_evaluate(spark, tmp_path):
     for d in ("tournament", "thresholds", "importances", "models/gbt", "models/isolation_forest"):
         assert os.path.exists(os.path.join(out, d))
     assert batch.evaluate(spark, out, ["gbt"]).count() == 1  # partition-pruned read
+
+
+def test_sequence_model_shares_the_network_and_the_projection_size_is_chosen(spark):
+    from txsentinel.plans import flow as P
+    from txsentinel.plans.training import train_all
+    split = P.split(spark, SF_SMALL, persist=True)
+    models = ("pca_p99", "autoencoder", "sequence_autoencoder")
+    fitted, scores = train_all(split, TrainingConfig(models=models, ae_epochs=3, ae_hidden=(8, 4, 8)))
+    assert fitted["sequence_autoencoder"].threshold > fitted["autoencoder"].threshold
+    assert 1 <= fitted["pca_p99"].k < 18
+    assert {r["model"] for r in scores.select("model").distinct().collect()} == set(models)

@@ -79,7 +79,7 @@ def train_all(split_df: DataFrame, config: TrainingConfig | None = None,
             # length-1 sequences make the sequence model a per-row reconstruction scorer: the same
             # network with a P99 threshold; trained on its own (patience 5) where there is none
             fitted["sequence_autoencoder"] = (
-                fitted["autoencoder"].with_quantile("sequence_autoencoder", 0.99, normals)
+                fitted["autoencoder"].with_quantile("sequence_autoencoder", 0.99)
                 if "autoencoder" in fitted else AutoencoderDetector(
                     name="sequence_autoencoder", hidden=cfg.ae_hidden, epochs=cfg.seq_ae_epochs,
                     learning_rate=cfg.ae_learning_rate, patience=5, quantile=0.99, seed=cfg.seed).fit(normals))
