@@ -25,3 +25,10 @@ def keyed_normal(key: Column | str, salt1: str, salt2: str) -> Column:
     u1 = keyed_uniform(key, salt1)
     u2 = keyed_uniform(key, salt2)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+
+
+def keyed_normal_pair(key: Column | str, salt1: str, salt2: str) -> tuple[Column, Column]:
+    """Two independent standard normals from the same two keyed uniforms."""
+    radius = F.sqrt(F.lit(-2.0) * F.log(keyed_uniform(key, salt1)))
+    angle = F.lit(2.0 * math.pi) * keyed_uniform(key, salt2)
+    return radius * F.cos(angle), radius * F.sin(angle)
