@@ -22,14 +22,16 @@ from txsentinel.functions.scalars import (
 from txsentinel.operators import evaluate as ev
 from txsentinel.operators import features as fe
 from txsentinel.operators import inject as inj
+from txsentinel.operators import layout as lay
 from txsentinel.operators import ordered
 from txsentinel.operators import profile as pr
 from txsentinel.operators import scaling as sc
+from txsentinel.operators import sketches as sk
 from txsentinel.operators.detectors.rule import DEFAULT_RULES, all_rule_scores
 from txsentinel.plans import oracle_sql as Q
 from txsentinel.plans import flow as P
 from txsentinel.schema import FEATURES, TX_COLUMNS
-from txsentinel.session import checkpoint_dir
+from txsentinel.session import checkpoint_dir, materialize
 from txsentinel.sources import json_records as js
 from txsentinel.sources import scores as scs
 from txsentinel.sources import transactions as st
@@ -131,6 +133,11 @@ def q_engineer(spark, sf):
     return P.engineered(spark, sf)
 
 
+@register("engineer_features_bucketed", Q.chain(*Q.FEAT_CHAIN) + Q.select(FEAT_ALL_OTHERS, FEAT_ALL_DOUBLES, "feat"))
+def q_engineer_bucketed(spark, sf):
+    return lay.engineer_features_bucketed(lay.write_layout(P.labelled(spark, sf)))
+
+
 @register("customer_stats", Q.chain(*Q.FEAT_CHAIN) + Q.select(
     ["customer_id"], ["cust_mean", "cust_std", "cust_median"], "stats"))
 def q_stats(spark, sf):
@@ -386,6 +393,23 @@ def q_score_threshold(spark, sf):
     return ev.score_quantile(P.rule_scores(spark, sf), 0.95)
 
 
+@register("score_threshold_sketch", Q.chain(*Q.SCORE_CHAIN) + """
+SELECT model, CAST(count(score) AS BIGINT) AS n_scores, TRUE AS within_rank_error FROM scores GROUP BY model""")
+def q_score_threshold_sketch(spark, sf):
+    """A8 from sketches written per (model, class) and merged per model, and whether the exact rank
+    of the threshold is within the sketch's stated error."""
+    scores = materialize(P.rule_scores(spark, sf), "scores")
+    parts = materialize(sk.score_sketches(scores, ["model", "label"]), "score-sketches")
+    found = sk.sketch_quantiles(sk.merge_score_sketches(parts, ["model"]), ["model"], {"threshold": 0.95})
+    ranks = scores.join(found, "model").groupBy("model").agg(
+        F.first("n").alias("n_scores"),
+        F.avg((F.col("score") < F.col("threshold")).cast("double")).alias("below"),
+        F.avg((F.col("score") <= F.col("threshold")).cast("double")).alias("up_to"))
+    error = F.lit(sk.kll_rank_error())
+    return ranks.select("model", "n_scores", (
+        (F.col("below") <= F.lit(0.95) + error) & (F.col("up_to") >= F.lit(0.95) - error)).alias("within_rank_error"))
+
+
 @register("score_range", Q.chain(*Q.SCORE_CHAIN) + """
 SELECT model, round(min(score), 6) + 0.0 AS min_score, round(max(score), 6) + 0.0 AS max_score,
        round((max(score) - min(score)) / 200.0, 6) + 0.0 AS step FROM scores GROUP BY model""")
@@ -436,6 +460,22 @@ def q_distinct(spark, sf):
     return pr.distinct_customers(P.labelled(spark, sf))
 
 
+@register("distinct_customers_sketch", Q.chain(*Q.BASE) + """
+SELECT CAST(count(DISTINCT CAST("timestamp" AS DATE)) AS BIGINT) AS n_days,
+       CAST(count(DISTINCT customer_id) AS BIGINT) AS n_customers, TRUE AS within_relative_error FROM labelled""")
+def q_distinct_sketch(spark, sf):
+    """A13 from one sketch per day, merged over all days, against the exact number (three standard errors)."""
+    tx = P.labelled(spark, sf, persist=True)
+    days = materialize(sk.distinct_sketches(tx, [F.to_date("timestamp").alias("day")]), "day-sketches")
+    facts = (sk.distinct_from_sketches(days, name="estimate")
+             .unionByName(days.agg(F.count("day").alias("n_days")), allowMissingColumns=True)
+             .unionByName(pr.distinct_customers(tx), allowMissingColumns=True)
+             .agg(*[F.max(c).alias(c) for c in ("estimate", "n_days", "n_customers")]))
+    off = F.abs(F.col("estimate") - F.col("n_customers"))
+    return facts.select("n_days", "n_customers", (
+        off <= F.col("n_customers") * F.lit(3 * sk.hll_relative_error())).alias("within_relative_error"))
+
+
 # ------------------------------------------------------ ordered operators ---
 @register("temporal_split", Q.chain(*Q.SPLIT_CHAIN)
           + "SELECT tx_id, CAST(pos AS BIGINT) AS pos, is_train, CAST(n_rows AS BIGINT) AS n_rows FROM split")
