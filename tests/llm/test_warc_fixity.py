@@ -52,6 +52,19 @@ def test_nulls_and_repeated_ids(spark):
     assert sorted((r["file"], r["slot"], r["status"]) for r in got) == [(-1, 0, "changed"), (0, 3, "changed")]
 
 
+def test_many_records_in_one_slot_take_one_bounded_row(spark):
+    rows = [(None, f"u{i}", "h", "") for i in range(5000)] + [(8, "a", "b", "")] * 3000
+    leaves = wf.leaves(wf.warc_records(spark.createDataFrame(rows, SCHEMA).repartition(9)))
+    plan = leaves._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning(file") == 1
+    assert sorted((r["file"], r["node"], len(r["hash"])) for r in leaves.collect()) == [(-1, 0, 64), (0, 8, 64)]
+    assert run(spark, rows, rows[::-1]) == []
+    one_less = [r for k, r in enumerate(rows) if k != 6000]         # one of 3000 equal copies is gone
+    assert [(r["file"], r["slot"], r["status"]) for r in run(spark, rows, one_less)] == [(0, 8, "changed")]
+    swapped = rows[1:] + [(None, "u1", "h", "")]                    # same number of records
+    assert [(r["file"], r["status"]) for r in run(spark, rows, swapped)] == [(-1, "changed")]
+
+
 def test_only_files_with_damage_are_descended(spark):
     levels = wf.merkle_levels(wf.warc_records(spark.createDataFrame(pages(9000, 3), SCHEMA)))
     assert [levels[-1].count(), levels[0].count()] == [3, 3000]

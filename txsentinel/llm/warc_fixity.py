@@ -12,8 +12,8 @@ built.  What is left at the bottom are the damaged slots with their byte range
 in the first replica.
 
 Defined results: null url or html count as empty; records with a null id are
-put in file -1, slot 0, several records of one slot are hashed together in
-sorted order; a slot that only one replica has is ``missing`` or ``extra``;
+put in file -1, slot 0, several records of one slot add up to one leaf whatever
+their order and number (see ``leaves``); a slot that only one replica has is ``missing`` or ``extra``;
 extra columns are not read; two empty replicas give no rows.
 """
 
@@ -53,20 +53,22 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """file, slot, hash, length of every slot in use; texts are hashed before anything moves."""
+    """file, slot, hash, length of every slot in use; texts are hashed before anything moves.
+
+    A slot's record hash is the leaf.  Where records share a slot (repeated or missing ids, be they a
+    third of all rows), the leaf hashes their number and the sums of the eight 32-bit words of their
+    hashes: sums need no order, add up before the shuffle and take the same few bytes for any number
+    of records.  Such sums tell damage from sound copies; they are not meant to withstand records
+    chosen to cancel each other out."""
     hashed = records.select("file", "slot", F.sha2("record", 256).alias("h"),
                             F.octet_length("record").cast("long").alias("size"))
-    # equal records of a slot become one entry with a count before they meet
-    entries = hashed.groupBy("file", "slot", "h", "size").agg(F.count(F.lit(1)).alias("n"))
-    single = (entries["n"] == 1)
-    return (entries.withColumn("part", F.when(single, F.col("h"))
-                               .otherwise(F.concat_ws("*", "h", F.col("n").cast("string"))))
-            .groupBy("file", "slot")
-            .agg(F.sort_array(F.collect_list("part")).alias("parts"),
-                 F.sum(F.col("size") * F.col("n")).alias("length"))
-            .select("file", F.col("slot").alias("node"), "length",
-                    F.when(F.size("parts") == 1, F.col("parts")[0])
-                    .otherwise(F.sha2(F.concat_ws("|", "parts"), 256)).alias("hash")))
+    words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    summed = hashed.groupBy("file", F.col("slot").alias("node")).agg(
+        F.sum("size").alias("length"), F.count(F.lit(1)).alias("n"), F.max("h").alias("h"),
+        *[F.sum(w).alias(f"w{i}") for i, w in enumerate(words)])
+    many = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("n", *(f"w{i}" for i in range(8)))]), 256)
+    return summed.select("file", "node", "length",
+                         F.when(F.col("n") == 1, F.col("h")).otherwise(many).alias("hash"))
 
 
 def parents(nodes: DataFrame) -> DataFrame:
