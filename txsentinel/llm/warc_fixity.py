@@ -64,11 +64,13 @@ def leaves(records: DataFrame) -> DataFrame:
                             F.octet_length("record").cast("long").alias("size"))
     words = [F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
     summed = hashed.groupBy("file", F.col("slot").alias("node")).agg(
-        F.sum("size").alias("length"), F.count(F.lit(1)).alias("n"), F.max("h").alias("h"),
+        F.sum("size").alias("length"), F.count(F.lit(1)).alias("n"),
         *[F.sum(w).alias(f"w{i}") for i, w in enumerate(words)])
+    # the sums of one record are its words (numbers only: a hash aggregation without a sort)
+    single = F.lower(F.concat(*[F.lpad(F.hex(F.col(f"w{i}").cast("long")), 8, "0") for i in range(8)]))
     many = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("n", *(f"w{i}" for i in range(8)))]), 256)
     return summed.select("file", "node", "length",
-                         F.when(F.col("n") == 1, F.col("h")).otherwise(many).alias("hash"))
+                         F.when(F.col("n") == 1, single).otherwise(many).alias("hash"))
 
 
 def parents(nodes: DataFrame) -> DataFrame:
