@@ -178,3 +178,27 @@ def test_replayed_batches_add_nothing_and_unfinished_ones_are_not_read(spark, tm
     assert sink.announced() == [0] and sink.responses().count() == len(answers)
     sink.write(half, 1)
     assert sink.responses().count() == len(answers) + half.count()
+
+
+def test_micro_batches_and_state_partitions_do_not_follow_the_files(spark):
+    import math
+    from txsentinel.streaming.scoring_stream import REPLAY_BATCHES, files_per_trigger, state_partitions
+    from txsentinel.plans.registry import QUERIES
+    path = write_stream_input(spark.range(400).withColumnRenamed("id", "tx_id"), "many", "tx_id", 30)
+    assert math.ceil(30 / files_per_trigger(spark, path)) <= REPLAY_BATCHES
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert state_partitions(spark) == spark.sparkContext.defaultParallelism
+        out = QUERIES["online_velocity"][0](spark, SF_SMALL)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    chk = out.inputFiles()[0].split("file://")[-1].rsplit("/out/", 1)[0]
+    import os
+    commits = [f for f in os.listdir(f"{chk}/chk/commits") if f.isdigit()]
+    stores = [d for d in os.listdir(f"{chk}/chk/state/0") if d.isdigit()]
+    assert 1 < len(commits) <= REPLAY_BATCHES
+    assert len(stores) == spark.sparkContext.defaultParallelism
+    batch = add_velocity_features(P.labelled(spark, SF_SMALL)).select("tx_id", "tx_frequency_1h", "tx_frequency_24h")
+    assert out.select(*batch.columns).exceptAll(batch).count() == 0 and out.count() == batch.count()

@@ -1030,10 +1030,11 @@ def q_batch_predictions(spark, sf):
 # ------------------------------------------------------------ streaming ---
 def _replayed(spark, rows: DataFrame, name: str, initial: DataFrame | None = None) -> DataFrame:
     """T2 over a file stream that replays ``rows`` in (timestamp, tx_id) order."""
-    from txsentinel.streaming.scoring_stream import run_to_table, write_stream_input
+    from txsentinel.streaming.scoring_stream import files_per_trigger, run_to_table, write_stream_input
     from txsentinel.streaming.velocity_state import online_velocity
     path = write_stream_input(rows, name, ("timestamp", "tx_id"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger(spark, path))
+              .parquet(path))
     out = run_to_table(online_velocity(stream, initial=initial), name)
     return out.select("tx_id", "customer_id", "tx_frequency_1h", "tx_frequency_24h", "is_late")
 

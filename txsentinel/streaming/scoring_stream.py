@@ -29,6 +29,9 @@ from txsentinel.plans.training import score_all
 from txsentinel.session import checkpoint_dir, shuffle_partitions
 from txsentinel.sources.json_records import parse_tx_json
 
+#: Micro-batches a replay is cut into, whatever the number of files.
+REPLAY_BATCHES = 8
+
 SCORE_SCHEMA = "tx_id long, model string, score double, prediction int"
 REJECT_SCHEMA = "tx_id long, reason string"
 
@@ -112,6 +115,22 @@ def json_record_stream(spark: SparkSession, path: str, max_files: int = 1) -> Da
             .parquet(path))
 
 
+def files_per_trigger(spark: SparkSession, path: str, batches: int = REPLAY_BATCHES) -> int:
+    """Files of a landing folder that one micro-batch takes so that ``batches`` take them all.
+
+    A micro-batch costs its state partitions and commits whatever it holds, so their number must not
+    follow the number of files."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return max(1, -(-len(files) // batches))
+
+
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions of a stream's state: no more than run at once, as every one of them opens its store and
+    its Python worker in every micro-batch."""
+    return min(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+
+
 def run_to_table(stream_df: DataFrame, name: str) -> DataFrame:
     """Run a streaming query over everything available, return the sink table.
 
@@ -120,9 +139,14 @@ def run_to_table(stream_df: DataFrame, name: str) -> DataFrame:
     """
     spark = stream_df.sparkSession
     base = checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
-    q = (stream_df.writeStream.format("parquet").outputMode("append")
-         .option("path", base + "/out").option("checkpointLocation", base + "/chk")
-         .trigger(availableNow=True).start())
+    before = shuffle_partitions(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", state_partitions(spark))
+    try:  # a query runs in a copy of the session that is taken when it starts
+        q = (stream_df.writeStream.format("parquet").outputMode("append")
+             .option("path", base + "/out").option("checkpointLocation", base + "/chk")
+             .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

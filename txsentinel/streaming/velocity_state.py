@@ -1,9 +1,12 @@
 """Online velocity features with per-customer state.
 
-``groupBy(customer).transformWithStateInPandas`` keeps, per customer, typed
-state of fixed size: the last transaction's time and tx_id, the number of rows
-without a time, and the last 19 gaps in seconds.  A hot customer costs the same
-state as any other.
+``groupBy(group).transformWithStateInPandas`` keeps, per customer, one typed map
+value of fixed size: the last transaction's time and tx_id, the number of rows
+without a time, and the last 19 gaps in seconds.  It is read and written once per
+customer and micro-batch, and a hot customer costs the same state as any other.
+A group holds the customers of one hash value, as a call of the processor (frames
+in and out) costs far more than a customer's own work; with expiry, which needs
+timers of its own, every customer is a group.
 
 * Rows of a micro-batch are taken in (timestamp, tx_id) order, so on in-order
   input the stream reproduces the batch features exactly.
@@ -18,7 +21,7 @@ state as any other.
 * The state may start from a batch table (``initial_states``), and an event-time
   timer may drop the state of customers that stay away.
 
-A micro-batch of one customer is read chunk by chunk into two numeric arrays (16
+A micro-batch of one group is read chunk by chunk into three numeric arrays (24
 bytes a row) and written in chunks; pandas frames of the whole are never built.
 """
 
@@ -49,6 +52,8 @@ HISTORY = VELOCITY_24H_ROWS - 1
 WINDOWS = ((VELOCITY_1H_ROWS, VELOCITY_1H_SECONDS), (VELOCITY_24H_ROWS, VELOCITY_24H_SECONDS))
 #: Rows of one output frame.
 CHUNK = 10_000
+#: Groups over which the customers are dealt.
+CUSTOMER_GROUPS = 256
 #: Groups over which rows without a customer are dealt.
 NOBODY_GROUPS = 1024
 #: Micros of a missing time (numpy's NaT); sorts behind every time after ``_ordered``.
@@ -63,24 +68,25 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("is_late", T.IntegerType()),
 ])
 
-LAST_SCHEMA = T.StructType([
+CUSTOMER_SCHEMA = T.StructType([T.StructField("customer", T.LongType())])
+STATE_SCHEMA = T.StructType([
     T.StructField("last_ts_us", T.LongType()),
     T.StructField("last_tx_id", T.LongType()),
     T.StructField("undated", T.LongType()),
+    T.StructField("gaps", T.ArrayType(T.DoubleType())),
 ])
-GAP_SCHEMA = T.StructType([T.StructField("gap", T.DoubleType())])
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _ordered(chunks: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-    """(micros, tx_id) of all rows by time, then tx_id; rows without a time last."""
-    times, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _ordered(chunks: Iterator[pd.DataFrame]) -> list[np.ndarray]:
+    """(customer, micros, tx_id) of all rows by customer, time, then tx_id; rows without a time last."""
+    parts = [[np.zeros(0, np.int64)] for _ in range(3)]
     for pdf in chunks:
-        times.append(pdf["timestamp"].to_numpy(dtype="datetime64[us]").astype(np.int64))
-        ids.append(pdf["tx_id"].to_numpy(dtype=np.int64))
-    ts, tx = np.concatenate(times), np.concatenate(ids)
-    order = np.lexsort((tx, ts, ts == MISSING))
-    return ts[order], tx[order]
+        for part, c in zip(parts, ("member", "ts_us", "tx_id")):
+            part.append(pdf[c].to_numpy(dtype=np.int64))
+    who, ts, tx = (np.concatenate(part) for part in parts)
+    order = np.lexsort((tx, ts, ts == MISSING, who))
+    return [who[order], ts[order], tx[order]]
 
 
 def _window_sums(gaps: np.ndarray, known: int) -> list[np.ndarray]:
@@ -137,62 +143,58 @@ class VelocityProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", LAST_SCHEMA)
-        self.gaps = handle.getListState("gaps", GAP_SCHEMA)
+        self.states = handle.getMapState("states", CUSTOMER_SCHEMA, STATE_SCHEMA)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self._store((None if pd.isna(row["last_ts_us"]) else int(row["last_ts_us"]),
-                     None if pd.isna(row["last_tx_id"]) else int(row["last_tx_id"]), int(row["undated"])),
-                    [float(g) for g in row["gaps"]])
-        self._watch(None, row["last_ts_us"])
+        for row in initialState["members"].iloc[0]:
+            last_us, last_id = row["last_ts_us"], row["last_tx_id"]
+            last = (None if pd.isna(last_us) else int(last_us), None if pd.isna(last_id) else int(last_id),
+                    int(row["undated"]))
+            self.states.updateValue((int(row["member"]),), (*last, [float(g) for g in row["gaps"]]))
+            self._watch(None, last[0])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ts, ids = _ordered(rows)
-        customer, slot = int(key[0]), int(key[1])
-        if slot:
-            nothing = np.zeros(len(ts), np.int64)
-            yield from _frames(None, ts, ids, nothing, nothing, nothing.astype(bool))
+        who, ts, ids = _ordered(rows)
+        f1h, f24h, late = np.zeros(len(ts), np.int64), np.zeros(len(ts), np.int64), np.zeros(len(ts), bool)
+        if int(key[1]):
+            yield from _frames(None, ts, ids, f1h, f24h, late)
             return
-        last = self.last.get() if self.last.exists() else None
-        gaps = [g for (g,) in self.gaps.get()] if self.gaps.exists() else []
-        now, gaps, f1h, f24h, late = advance(last, gaps, ts, ids)
-        self._store(now, gaps)
-        self._watch(last[0] if last is not None else None, now[0])
-        yield from _frames(customer, ts, ids, f1h, f24h, late)
+        first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+        for a, b in zip(first.tolist(), np.append(first[1:], len(who)).tolist()):
+            customer = (int(who[a]),)
+            known = self.states.getValue(customer)
+            last, gaps = (tuple(known[:3]), list(known[3])) if known is not None else (None, [])
+            now, gaps, f1h[a:b], f24h[a:b], late[a:b] = advance(last, gaps, ts[a:b], ids[a:b])
+            self.states.updateValue(customer, (*now, gaps))
+            self._watch(last[0] if last is not None else None, now[0])
+        yield from _frames(who, ts, ids, f1h, f24h, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        self.gaps.clear()
+        self.states.clear()      # timers are set where a group is one customer
         return iter([])
 
     def close(self) -> None:
         pass
 
-    def _store(self, last: tuple, gaps: list[float]) -> None:
-        self.last.update(last)
-        if gaps:
-            self.gaps.put([(g,) for g in gaps])
-
-    def _watch(self, before: int | None, now) -> None:
+    def _watch(self, before: int | None, now: int | None) -> None:
         """Move the customer's timer behind its last transaction."""
-        if not self.expire_ms or now is None or pd.isna(now) or now == before:
+        if not self.expire_ms or now is None or now == before:
             return
         if before is not None:
             self.handle.deleteTimer(before // 1000 + self.expire_ms)
         self.handle.registerTimer(int(now) // 1000 + self.expire_ms)
 
 
-def _frames(customer, ts, ids, f1h, f24h, late) -> Iterator[pd.DataFrame]:
+def _frames(who, ts, ids, f1h, f24h, late) -> Iterator[pd.DataFrame]:
     for a in range(0, len(ts), CHUNK):
         b = min(a + CHUNK, len(ts))
         nobody = [None] * (b - a)
         yield pd.DataFrame({
             "tx_id": ids[a:b],
-            "customer_id": pd.array(nobody if customer is None else [customer] * (b - a), dtype="Int64"),
+            "customer_id": pd.array(nobody if who is None else who[a:b], dtype="Int64"),
             "timestamp": ts[a:b].astype("datetime64[us]"),
-            "tx_frequency_1h": pd.array(nobody if customer is None else f1h[a:b], dtype="Int64"),
-            "tx_frequency_24h": pd.array(nobody if customer is None else f24h[a:b], dtype="Int64"),
+            "tx_frequency_1h": pd.array(nobody if who is None else f1h[a:b], dtype="Int64"),
+            "tx_frequency_24h": pd.array(nobody if who is None else f24h[a:b], dtype="Int64"),
             "is_late": late[a:b].astype(np.int32),
         })
 
@@ -214,17 +216,20 @@ def initial_states(history: DataFrame) -> DataFrame:
     undated = (history.where("customer_id IS NOT NULL AND timestamp IS NULL").groupBy("customer_id")
                .agg(F.count(F.lit(1)).alias("undated")))
     return lasts.join(undated, "customer_id", "full").select(
-        *_keys(F.lit(0)), "last_ts_us", "last_tx_id",
+        "customer_id", "last_ts_us", "last_tx_id",
         F.coalesce("undated", F.lit(0)).cast("long").alias("undated"),
         F.coalesce("gaps", F.array().cast("array<double>")).alias("gaps"))
 
 
-def _keys(nobody) -> list:
-    """Group keys that are never NULL: customer, and slot 0 for a customer's rows.  Rows without a
-    customer take a slot from 1 on, by the number ``nobody``."""
+def _keys(nobody, alone: bool) -> list:
+    """Group keys that are never NULL: a group of customers (``alone``: the customer), and slot 0 for
+    rows with a customer.  Rows without one take a slot from 1 on, by the number ``nobody``."""
     missing = F.col("customer_id").isNull()
+    customer = F.coalesce("customer_id", F.lit(0)).cast("long")
+    group = customer if alone else F.when(missing, 0).otherwise(
+        F.pmod(F.xxhash64("customer_id"), F.lit(CUSTOMER_GROUPS))).cast("long")
     slot = F.when(missing, F.pmod(nobody, F.lit(NOBODY_GROUPS)) + 1).otherwise(F.lit(0))
-    return [F.coalesce("customer_id", F.lit(0)).cast("long").alias("customer"), slot.cast("long").alias("slot")]
+    return [group.alias("customers"), slot.cast("long").alias("slot"), customer.alias("member")]
 
 
 def online_velocity(stream: DataFrame, expire: str | None = None, watermark: str = "1 day",
@@ -238,13 +243,20 @@ def online_velocity(stream: DataFrame, expire: str | None = None, watermark: str
     State lives in RocksDB, so it may outgrow memory; the session is set to that provider.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    rows = stream.select("tx_id", "timestamp", *_keys(F.xxhash64("tx_id")))
-    start = None if initial is None else initial.groupBy("customer", "slot")
+    keys = _keys(F.xxhash64("tx_id"), expire is not None)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    micros = F.coalesce(F.timestamp_diff("MICROSECOND", epoch, F.col("timestamp")), F.lit(int(MISSING)))
+    rows = stream.select("tx_id", micros.alias("ts_us"), "timestamp", *keys)
+    start = None
+    if initial is not None:     # one row per group
+        member = F.struct("member", "last_ts_us", "last_tx_id", "undated", "gaps")
+        start = (initial.select("*", *_keys(F.lit(0), expire is not None)).groupBy("customers", "slot")
+                 .agg(F.collect_list(member).alias("members")).groupBy("customers", "slot"))
     if expire is None:
-        return rows.groupBy("customer", "slot").transformWithStateInPandas(
+        return rows.drop("timestamp").groupBy("customers", "slot").transformWithStateInPandas(
             VelocityProcessor(), OUTPUT_SCHEMA, "append", "none", start)
     # watermarks need a zoned timestamp; the values themselves stay zone-free
     timed = rows.withColumn("event", rows["timestamp"].cast("timestamp")).withWatermark("event", watermark)
     expire_ms = int(pd.Timedelta(expire).total_seconds() * 1000)
-    return timed.groupBy("customer", "slot").transformWithStateInPandas(
+    return timed.groupBy("customers", "slot").transformWithStateInPandas(
         VelocityProcessor(expire_ms), OUTPUT_SCHEMA, "append", "eventTime", start)
