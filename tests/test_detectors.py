@@ -178,3 +178,20 @@ def test_forest_sample_follows_one_rule(spark):
         got = tree_samples(rows, n, 50, psi).groupBy("tree_id").agg(
             F.count("*").alias("n"), F.countDistinct("tx_id").alias("d")).collect()
         assert len(got) == 50 and all(r["n"] == r["d"] == psi for r in got)
+
+
+def test_pca_errors_are_one_matrix_product_per_batch(spark, train):
+    import numpy as np
+    from txsentinel.operators.detectors.base import prepared
+    from txsentinel.schema import CLIP_BOUND
+    normals = normal_only(train)
+    det = PCAReconstructionDetector(k=4, quantile=0.95).fit(normals)
+    rows = det._errors(prepared(normals, det.scaler, CLIP_BOUND)).select("err", *det.features).toPandas()
+    X, P = rows[det.features].to_numpy(float), np.array(det.components)
+    assert rows["err"].to_numpy() == pytest.approx(np.mean((X - X @ P @ P.T) ** 2, axis=1), abs=1e-9)
+    assert det.threshold == pytest.approx(np.quantile(rows["err"], 0.95), abs=1e-12)
+    # interpreted array functions computed the projection once per feature
+    plan = det.score(train)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "zip_with(" not in plan
+    # another quantile reads the errors that the fit wrote
+    assert det.with_quantile("p99", 0.99).threshold == pytest.approx(np.quantile(rows["err"], 0.99), abs=1e-12)
