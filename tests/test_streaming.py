@@ -202,3 +202,18 @@ def test_micro_batches_and_state_partitions_do_not_follow_the_files(spark):
     assert len(stores) == spark.sparkContext.defaultParallelism
     batch = add_velocity_features(P.labelled(spark, SF_SMALL)).select("tx_id", "tx_frequency_1h", "tx_frequency_24h")
     assert out.select(*batch.columns).exceptAll(batch).count() == 0 and out.count() == batch.count()
+
+
+def test_responses_come_in_few_micro_batches(spark):
+    import re
+    from txsentinel.plans.registry import QUERIES
+    from txsentinel.streaming.scoring_stream import REPLAY_BATCHES
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        out = QUERIES["stream_responses"][0](spark, SF_SMALL)
+        batches = {re.search(r"batch_id=(\d+)", f).group(1) for f in out.inputFiles()}
+        assert 1 < len(batches) <= REPLAY_BATCHES
+        assert out.count() == out.select("tx_id").distinct().count() == P.labelled(spark, SF_SMALL).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

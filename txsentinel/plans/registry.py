@@ -1099,11 +1099,11 @@ def q_stream_scores(spark, sf):
     and the rule detectors; equals the batch rule scores."""
     from txsentinel.operators.detectors.rule import default_rule_detectors
     from txsentinel.streaming.scoring_stream import (
-        json_record_stream, run_to_table, score_stream, write_stream_input,
+        files_per_trigger, json_record_stream, run_to_table, score_stream, write_stream_input,
     )
     test = P.split(spark, sf).where(F.col("is_train") == 0)
     path = write_stream_input(js.features_to_json(test, clean=True), "records", "tx_id")
-    scored = score_stream(json_record_stream(spark, path), default_rule_detectors())
+    scored = score_stream(json_record_stream(spark, path, files_per_trigger(spark, path)), default_rule_detectors())
     out = run_to_table(scored.drop("label"), "stream_scores")
     labels = test.select("tx_id", F.col("is_fraud").alias("label"))
     return scs.align_scores(out, labels)
@@ -1118,11 +1118,13 @@ def q_stream_scores(spark, sf):
 def q_stream_responses(spark, sf):
     """An answer for every streamed record, through the sink for scores and the one for rejects."""
     from txsentinel.operators.detectors.rule import default_rule_detectors
-    from txsentinel.streaming.scoring_stream import ResponseSink, json_record_stream, write_stream_input
+    from txsentinel.streaming.scoring_stream import (
+        ResponseSink, files_per_trigger, json_record_stream, write_stream_input,
+    )
     path = write_stream_input(js.features_to_json(_gappy(spark, sf)), "requests", "tx_id")
     base = checkpoint_dir(spark).rstrip("/") + f"/responses-{uuid.uuid4().hex}"
     sink = ResponseSink(spark, base, default_rule_detectors())
-    query = sink.start(json_record_stream(spark, path))
+    query = sink.start(json_record_stream(spark, path, files_per_trigger(spark, path)))
     query.awaitTermination()
     return sink.responses().select("tx_id", "status", "reason", *[
         c for m, _, _ in DEFAULT_RULES for c in (
