@@ -195,3 +195,32 @@ def test_pca_errors_are_one_matrix_product_per_batch(spark, train):
     assert "aggregate(" not in plan and "zip_with(" not in plan
     # another quantile reads the errors that the fit wrote
     assert det.with_quantile("p99", 0.99).threshold == pytest.approx(np.quantile(rows["err"], 0.99), abs=1e-12)
+
+
+def test_autoencoder_passes_read_whole_matrices(spark, train, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from txsentinel.operators.detectors import recon
+    rows = np.arange(50.0).reshape(25, 2)
+    batches = [pa.RecordBatch.from_pydict({"x": list(rows[a:b]), "is_val": [i % 3 == 0 for i in range(a, b)]})
+               for a, b in ((0, 7), (7, 7), (7, 25)) if b > a]
+    monkeypatch.setattr(recon, "BLOCK_ROWS", 10)
+    blocks = [b.to_pydict() for b in recon._blocks(iter(batches))]
+    X = [np.frombuffer(b["x"][0]).reshape(-1, 2) for b in blocks]
+    assert [len(x) for x in X] == [10, 10, 5] and np.array_equal(np.concatenate(X), rows)
+    assert [v for b in blocks for v in np.frombuffer(b["is_val"][0], bool)] == [i % 3 == 0 for i in range(25)]
+
+
+def test_autoencoder_does_not_depend_on_how_many_tasks_make_its_passes(spark, train, monkeypatch):
+    from txsentinel.operators.detectors import recon
+    monkeypatch.setattr(recon, "ROWS_PER_PARTITION", 700)
+    normals = normal_only(train)
+    coalesce, asked = type(normals).coalesce, []
+
+    def fit(tasks):
+        monkeypatch.setattr(type(normals), "coalesce", lambda df, n: asked.append(n) or coalesce(df, tasks or n))
+        return AutoencoderDetector(hidden=(8, 4, 8), epochs=2).fit(normals)
+
+    many, few = fit(None), fit(1)
+    assert asked and max(asked) <= spark.sparkContext.defaultParallelism     # not one task per partition
+    assert few.weights == pytest.approx(many.weights, abs=1e-9) and len(few.history) == 3

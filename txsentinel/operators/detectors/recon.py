@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field, replace
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -220,6 +222,31 @@ def _row_mse(params: list[np.ndarray], X: np.ndarray) -> np.ndarray:
     return np.mean((out - X) ** 2, axis=1)
 
 
+#: Rows of one matrix that the autoencoder's passes read.
+BLOCK_ROWS = 10_240
+
+
+def _blocks(batches):
+    """(x, is_val) rows of a partition, in their order, as matrices of BLOCK_ROWS rows with the partition's number."""
+    held, shard = None, TaskContext.get().partitionId() if TaskContext.get() else 0
+
+    def block(X, val):
+        return pa.RecordBatch.from_pydict({
+            "shard": pa.array([shard], pa.int32()), "x": [X.tobytes()], "is_val": [val.tobytes()]})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        val = batch.column("is_val").to_numpy(zero_copy_only=False).astype(bool)
+        held = (x, val) if held is None else tuple(np.concatenate(p) for p in zip(held, (x, val)))
+        while len(held[0]) >= BLOCK_ROWS:
+            yield block(held[0][:BLOCK_ROWS], held[1][:BLOCK_ROWS])
+            held = held[0][BLOCK_ROWS:], held[1][BLOCK_ROWS:]
+    if held is not None and len(held[0]):
+        yield block(*held)
+
+
 @dataclass
 class AutoencoderDetector:
     name: str = "autoencoder"
@@ -261,7 +288,12 @@ class AutoencoderDetector:
         parts = max(1, min(train_normal.count() // ROWS_PER_PARTITION,
                            8 * spark.sparkContext.defaultParallelism))
         data = data.repartition(parts, "tx_id").sortWithinPartitions(order)
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        # a pass reads whole matrices: rows are taken apart once, not in every pass
+        blocks = data.select("x", "is_val").mapInArrow(_blocks, "shard int, x binary, is_val binary").persist(
+            StorageLevel.MEMORY_AND_DISK)
+        # a task makes the passes of several partitions one after the other, each on its own
+        tasks = blocks.coalesce(min(parts, spark.sparkContext.defaultParallelism))
+        d = len(self.features)
         sizes, batch, rate = self.sizes, self.batch_size, self.learning_rate
         w = _flatten(_init_weights(sizes, self.seed))
         state, steps = np.concatenate([w, np.zeros(2 * len(w))]), 0
@@ -273,28 +305,27 @@ class AutoencoderDetector:
                 bc = spark.sparkContext.broadcast((state, steps))
 
                 def one_pass(it, bc=bc):
-                    start, step = bc.value
-                    own = start.copy()
+                    start, first = bc.value
                     frozen = _unflatten(start[:len(start) // 3], sizes)
-                    nt = nv = 0
-                    lt = lv = 0.0
-                    for pdf in it:
-                        if pdf.empty:
-                            continue
-                        X = np.vstack(pdf["x"].to_numpy()).astype(float)
-                        val = pdf["is_val"].to_numpy(dtype=bool)
-                        lv += float(np.sum(_row_mse(frozen, X[val])))
-                        nv += int(val.sum())
-                        X = X[~val]
-                        for k in range(0, len(X), batch):
-                            step += 1
-                            lt += _adam_step(own, X[k:k + batch], sizes, step, rate)
-                        nt += len(X)
-                    yield pd.DataFrame({"n_train": [nt], "loss_train": [lt], "n_val": [nv], "loss_val": [lv],
-                                        "steps": [step], "state": [(own * nt).tolist()]})
+                    rows = (block for pdf in it for block in zip(pdf["shard"], pdf["x"], pdf["is_val"]))
+                    for _, shard in groupby(rows, key=lambda block: block[0]):
+                        own, step = start.copy(), first
+                        nt = nv = 0
+                        lt = lv = 0.0
+                        for _, x, v in shard:
+                            X, val = np.frombuffer(x).reshape(-1, d), np.frombuffer(v, bool)
+                            lv += float(np.sum(_row_mse(frozen, X[val])))
+                            nv += int(val.sum())
+                            X = X[~val]
+                            for k in range(0, len(X), batch):
+                                step += 1
+                                lt += _adam_step(own, X[k:k + batch], sizes, step, rate)
+                            nt += len(X)
+                        yield pd.DataFrame({"n_train": [nt], "loss_train": [lt], "n_val": [nv], "loss_val": [lv],
+                                            "steps": [step], "state": [(own * nt).tolist()]})
 
                 # the sums are vector aggregates with partial merges; one vector reaches the driver
-                tot = (data.mapInPandas(one_pass, out_schema)
+                tot = (tasks.mapInPandas(one_pass, out_schema)
                        .select("n_train", "loss_train", "n_val", "loss_val", "steps",
                                array_to_vector("state").alias("g"))
                        .agg(F.sum("n_train").alias("nt"), F.sum("loss_train").alias("lt"),
@@ -316,11 +347,11 @@ class AutoencoderDetector:
                         break
                 state, steps = tot["g"].toArray() / max(nt, 1), int(tot["steps"] or 0)
             self.weights = best_w
-            errs = materialize(self._errors(data).select("tx_id", "err"), "ae_train")
+            errs = materialize(self._errors(self._matrix(train_normal)).select("tx_id", "err"), "ae_train")
             self.threshold = _threshold(errs, self.quantile)
             self.train_errors = errs
         finally:
-            data.unpersist()
+            blocks.unpersist()
         return self
 
     def with_quantile(self, name: str, quantile: float) -> "AutoencoderDetector":
