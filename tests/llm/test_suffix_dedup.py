@@ -55,6 +55,20 @@ def test_matches_brute_force(spark, hot, shard):
     assert found == brute(rows, 40)
 
 
+def test_common_minimizers_take_no_exchange_of_texts_of_their_own(spark, monkeypatch):
+    rows = [(d, t, 0) for d, t in corpus()]
+    written, materialize = [], suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name: written.append(
+        (name, df._jdf.queryExecution().optimizedPlan().toString())) or materialize(df, name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(6)
+    got = suffix_dedup.remove_repeats(docs, length=40, gram=8, hot_regions=3)
+    # every join that needs the texts is part of the last query, which exchanges them once
+    assert not [name for name, plan in written if name != "regions" and "body" in plan]
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan[:plan.index("Initial Plan")].count("ReusedExchange") >= 2
+
+
 def test_empty_and_short(spark):
     docs = spark.createDataFrame([(1, "short"), (2, "short")], "doc_id long, text string")
     assert [bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs).collect()] == [b"short"] * 2
