@@ -224,3 +224,39 @@ def test_autoencoder_does_not_depend_on_how_many_tasks_make_its_passes(spark, tr
     many, few = fit(None), fit(1)
     assert asked and max(asked) <= spark.sparkContext.defaultParallelism     # not one task per partition
     assert few.weights == pytest.approx(many.weights, abs=1e-9) and len(few.history) == 3
+
+
+def test_all_detectors_are_fitted_beside_the_boosted_trees(spark, monkeypatch):
+    from threading import Event
+    from txsentinel.plans import models as M
+    begun, asked = Event(), {}
+
+    def fitted(spark, sf, name, cores=None):
+        asked[name] = cores
+        if name == "gbt":       # one after the other it would wait in vain
+            assert begun.wait(20)
+        begun.set() if name == "discriminator" else None
+        return name
+
+    monkeypatch.setattr(M, "split_table", lambda *a: None)
+    monkeypatch.setattr(M, "fitted", fitted)
+    assert M.fitted_all(spark, SF_MID) == {n: n for n in M.ALL_MODELS}
+    assert asked["autoencoder"] == max(1, spark.sparkContext.defaultParallelism // 2)
+
+
+def test_autoencoder_passes_leave_cores_free_and_hand_over_one_vector_a_task(spark, train, monkeypatch):
+    from txsentinel.operators.detectors import recon
+    monkeypatch.setattr(recon, "ROWS_PER_PARTITION", 700)
+    normals, DataFrame = normal_only(train), type(train)
+    coalesce, mapped, asked, rows = DataFrame.coalesce, DataFrame.mapInArrow, [], []
+    monkeypatch.setattr(DataFrame, "coalesce", lambda df, n: asked.append(n) or coalesce(df, n))
+
+    def counted(df, f, schema):
+        out = mapped(df, f, schema)
+        if "loss_val" in schema:
+            rows.append(out.select("n_train").count())
+        return out
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    AutoencoderDetector(hidden=(8, 4, 8), epochs=1, cores=2).fit(normals)
+    assert asked == [2] and rows == [2, 2]      # 11 partitions in two tasks
