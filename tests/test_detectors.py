@@ -161,6 +161,26 @@ def test_copula_keeps_marginals_and_dependence(spark):
     assert again.select(F.sum("b"), F.max("a")).first()[1] == drawn.select(F.max("a")).first()[0]
 
 
+def test_reference_rows_are_drawn_in_tasks_by_the_same_numbers(spark, train):
+    import numpy as np
+    from txsentinel.functions.hashing import keyed_uniforms
+    from txsentinel.operators.detectors.base import fit_feature_scaler, prepared
+    ids = spark.createDataFrame([(-3,), (0,), (17,), (10 ** 15,)], "tx_id long")
+    want = [r[0] for r in ids.select(keyed_uniform("tx_id", "ref42:box:a")).collect()]
+    assert keyed_uniforms([str(r[0]).encode() for r in ids.collect()], "ref42:box:a").tolist() == want
+    assert len(keyed_uniforms([], "s")) == 0
+    det, normals = DiscriminatorDetector(), normal_only(train)
+    rows = det.training_rows(prepared(normals, fit_feature_scaler(normals, det.features), None))
+    # digests, number conversions and grid look-ups of 55 numbers a row were expressions of one projection
+    assert "md5" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = rows.toPandas()
+    assert (got["_label"] == 1).sum() == (got["_label"] == 0).sum() == normals.count()
+    real, drawn = (np.stack(got.loc[got["_label"] == v, "features"]) for v in (1, 0))
+    # half of the reference rows may leave the copula, each feature in a fifth of them: half of that lies outside
+    outside = (drawn < real.min(axis=0)) | (drawn > real.max(axis=0))
+    assert 0.01 < outside.mean() < 0.06 and abs(outside.any(axis=1).mean() - 0.45) < 0.08
+
+
 def test_copula_of_few_rows(spark):
     one = spark.createDataFrame([(1, 2.0, 3.0)], "tx_id long, a double, b double")
     none = one.where("tx_id < 0")
