@@ -37,3 +37,16 @@ def test_filter_and_projection_pushed_to_scan(spark):
     p = plan(df)
     assert "PushedFilters: [IsNotNull(event_id), EqualTo(event_id,0)]" in p
     assert "ReadSchema: struct<event_id:bigint,value:double>" in p
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark):
+    """Features cleaned, scaled and clipped into one array were a method that ran in the interpreter."""
+    from txsentinel.session import prepare
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    prepare(spark)
+    assert spark.conf.get(limit) == "8000"
+    spark.conf.set(limit, "4000")       # a session's own value stays
+    try:
+        assert prepare(spark).conf.get(limit) == "4000"
+    finally:
+        spark.conf.set(limit, "8000")
