@@ -280,3 +280,44 @@ def test_autoencoder_passes_leave_cores_free_and_hand_over_one_vector_a_task(spa
     monkeypatch.setattr(DataFrame, "mapInArrow", counted)
     AutoencoderDetector(hidden=(8, 4, 8), epochs=1, cores=2).fit(normals)
     assert asked == [2] and rows == [2, 2]      # 11 partitions in two tasks
+
+
+def test_autoencoder_steps_in_float32_follow_plain_adam():
+    import numpy as np
+    from txsentinel.operators.detectors import recon
+    sizes, rng = [3, 5, 2, 5, 3], np.random.default_rng(1)
+    X = rng.normal(size=(20, 3)).astype(np.float32)
+    w = recon._flatten(recon._init_weights(sizes, 7))
+    state = np.concatenate([w, np.zeros(2 * len(w))]).astype(np.float32)
+    net, m, v = recon._Network(sizes, 8), np.zeros(len(w)), np.zeros(len(w))
+    for step, k in enumerate(range(0, 20, 8), 1):
+        rows, params = X[k:k + 8].astype(float), recon._unflatten(w, sizes)
+        acts, loss = recon._forward(params, rows), float(np.sum(recon._row_mse(params, rows)))
+        delta, parts = 2.0 * (acts[-1] - rows) / 3, []
+        for i in range(3, -1, -1):
+            parts[:0] = [acts[i].T @ delta, delta.sum(axis=0)]
+            delta = (delta @ params[2 * i].T) * (acts[i] > 0)
+        g = recon._flatten(parts) / len(rows)
+        assert net.loss(recon._unflatten(state[:len(w)], sizes), X[k:k + 8]) == pytest.approx(loss, rel=1e-4)
+        assert net.adam_step(state, X[k:k + 8], step, 1e-3) == pytest.approx(loss, rel=1e-4)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 1e-3 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-7)
+    assert state.dtype == np.float32 and state[:len(w)] == pytest.approx(w, abs=1e-5)
+
+
+def test_autoencoder_takes_all_cores_when_the_others_are_done(spark, train, monkeypatch):
+    from txsentinel.operators.detectors import recon
+    monkeypatch.setattr(recon, "ROWS_PER_PARTITION", 700)
+    normals, DataFrame, asked, free = normal_only(train), type(train), [], iter([False, True])
+    coalesce = DataFrame.coalesce
+    monkeypatch.setattr(DataFrame, "coalesce", lambda df, n: asked.append(n) or coalesce(df, n))
+    det = AutoencoderDetector(hidden=(8, 4, 8), epochs=2, cores=1, alone=lambda: next(free)).fit(normals)
+    assert asked == [1, spark.sparkContext.defaultParallelism] and len(det.history) == 3
+
+
+def test_discriminator_grows_its_trees_by_histogram_rounds(spark, train, monkeypatch):
+    from txsentinel.operators.detectors import discriminator as D
+    grown, plain = [], getattr(D, "boosted_trees", None)
+    monkeypatch.setattr(D, "boosted_trees", lambda *a, **k: grown.append(k["trees"]) or plain(*a, **k), raising=False)
+    det = DiscriminatorDetector(max_iter=2).fit(normal_only(train))
+    assert grown == [2] and det.model.getNumTrees == 2
